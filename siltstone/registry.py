@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from siltstone.plans import MODULES
 
-FLAGSHIP = "source_lines"
+FLAGSHIP = "rank_findings"
 
 
 def queries() -> dict:
