@@ -1,5 +1,5 @@
 """Queries that apply the operators to the given tables, with their SQL."""
 
-from siltstone.plans import corpus, findings, surface
+from siltstone.plans import corpus, findings, scans, surface
 
-MODULES = (corpus, findings, surface)
+MODULES = (corpus, findings, scans, surface)
