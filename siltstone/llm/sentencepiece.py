@@ -31,7 +31,7 @@ SPACE, BLANK = 0x2581, 0x20
 _LITERAL = 0x110000
 #: Units whose paths a task remembers.
 MEMORY = 400_000
-STEP = 1 << 20
+STEP = 1 << 19
 
 
 @dataclass
@@ -323,13 +323,25 @@ def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
 def decode_lists(lists: pa.ListArray, v: Vocabulary) -> list[bytes]:
     """The UTF-8 bytes of each row of ids; the space put before a text is taken off again."""
     offsets = lists.offsets.to_numpy().astype(np.int64)
-    ids = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
-    ids = np.where((ids < 0) | (ids >= len(v.bounds) - 1), v.unknown, ids)
-    size = v.bounds[ids + 1] - v.bounds[ids]
-    flat = v.raw[_ranges(v.bounds[ids], size)].tobytes()
-    at = np.concatenate(([0], np.cumsum(size)))[offsets - offsets[0]].tolist()
-    rows = (flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True))
-    return [r[1:] if r[:1] == b" " else r for r in rows]
+    values = lists.values.to_numpy(zero_copy_only=False)
+    out: list[bytes] = []
+    for i, j in steps(offsets, STEP // 4):
+        ids = values[offsets[i] : offsets[j]]
+        ids = np.where((ids < 0) | (ids >= len(v.bounds) - 1), v.unknown, ids)
+        size = v.bounds[ids + 1] - v.bounds[ids]
+        flat = v.raw[_ranges(v.bounds[ids], size)].tobytes()
+        at = np.concatenate(([0], np.cumsum(size)))[offsets[i : j + 1] - offsets[i]].tolist()
+        rows = (flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True))
+        out += [r[1:] if r[:1] == b" " else r for r in rows]
+    return out
+
+
+def _parts(batches, place: int):
+    """Batches cut to at most 4 STEPs of text, or a row, so that a task's memory is bounded."""
+    for batch in batches:
+        _, bounds = utf8(batch.column(place))
+        for i, j in steps(bounds, 4 * STEP):
+            yield batch.slice(i, j - i)
 
 
 def encode(docs: DataFrame, v: Vocabulary, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -344,7 +356,7 @@ def encode(docs: DataFrame, v: Vocabulary, text_col: str = "text", ids_col: str
 
     def task(batches):
         encoder = Encoder(v)
-        for batch in batches:
+        for batch in _parts(batches, place):
             yield pa.RecordBatch.from_arrays([*batch.columns, encoder.encode(batch.column(place))], [*kept, ids_col])
 
     return base.mapInArrow(task, base.schema.add(ids_col, "array<int>"))
@@ -375,7 +387,7 @@ def encode_checked(docs: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_
 
     def task(batches):
         encoder = Encoder(v)
-        for batch in batches:
+        for batch in _parts(batches, 1):
             lists = encoder.encode(batch.column(1))
             data, bounds = utf8(batch.column(1))
             raw = [data[bounds[r] : bounds[r + 1]].tobytes() for r in range(batch.num_rows)]
