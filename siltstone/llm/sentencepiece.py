@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.llm.wordhash import U64, span_hashes, steps, utf8
 
@@ -359,7 +360,7 @@ def encode(docs: DataFrame, v: Vocabulary, text_col: str = "text", ids_col: str
         for batch in _parts(batches, place):
             yield pa.RecordBatch.from_arrays([*batch.columns, encoder.encode(batch.column(place))], [*kept, ids_col])
 
-    return base.mapInArrow(task, base.schema.add(ids_col, "array<int>"))
+    return base.mapInArrow(task, T.StructType([*base.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(rows: DataFrame, v: Vocabulary, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -379,7 +380,7 @@ def decode(rows: DataFrame, v: Vocabulary, ids_col: str = "ids", text_col: str =
             texts = [x.decode("utf-8", "replace") for x in decode_lists(lists, v)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*kept, text_col])
 
-    return base.mapInArrow(task, base.schema.add(text_col, "string"))
+    return base.mapInArrow(task, T.StructType([*base.schema.fields, T.StructField(text_col, T.StringType())]))
 
 
 def encode_checked(docs: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
