@@ -6,9 +6,9 @@ signed totals by source, language and tokenizer version, written under the batch
 number and then recorded as committed; a batch that is delivered again is ignored.
 Totals are the sums of the committed batches, so nothing is counted anew.
 
-Layout of a rollup's folder, all Parquet: ``state/<n>`` the documents' counts after
-n commits, ``deltas/batch=<id>`` signed totals, ``commits/<n>`` one row that names
-the batch.  A commit's row is written last; what a lost commit has left is
+Layout of a rollup's folder, all Parquet: ``changes/<n>`` the new and old counts of
+the documents that commit n named, ``deltas/batch=<n>`` its signed totals,
+``commits/<n>`` one row that names the batch.  A commit's row is written last; what a lost commit has left is
 overwritten by the next try.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 KEYS = ("source", "lang", "tokenizer")
 EVENT = "doc_id long, tokenizer string, op string, source string, lang string, tokens long, seq long"
-_STATE = "doc_id long, tokenizer string, source string, lang string, tokens long"
+_CHANGE = "doc_id long, tokenizer string, number long, live boolean, source string, lang string, tokens long"
 _DELTA = "source string, lang string, tokenizer string, docs long, tokens long, inserts long, deletes long, revisions long"
 _COMMIT = "number long, batch string"
 
@@ -40,12 +40,6 @@ class Rollup:
         self._at = hadoop.Path
         self._fs = hadoop.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _read(self, schema: str, *parts: str) -> DataFrame:
-        path = "/".join([self.path, *parts])
-        if not self._fs.exists(self._at(path)):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
-
     def commits(self) -> list[tuple[int, str]]:
         """(number, batch) of each commit; one small row a batch."""
         folder = self._at(f"{self.path}/commits")
@@ -55,7 +49,19 @@ class Rollup:
         return sorted((r["number"], r["batch"]) for r in self.spark.read.schema(_COMMIT).parquet(*done).collect()) if done else []
 
     def state(self) -> DataFrame:
-        return self._read(_STATE, "state", str(len(self.commits())))
+        """``doc_id, tokenizer, source, lang, tokens`` of the documents that are there."""
+        return self._latest(self._log()).filter("live").drop("live")
+
+    def _log(self) -> DataFrame:
+        """The changes of all commits, in no order."""
+        numbers = [n for n, _ in self.commits()]
+        if not numbers:
+            return self.spark.createDataFrame([], _CHANGE)
+        return self.spark.read.schema(_CHANGE).parquet(*[f"{self.path}/changes/{n}" for n in numbers])
+
+    def _latest(self, log: DataFrame) -> DataFrame:
+        last = log.groupBy("doc_id", "tokenizer").agg(F.max(F.struct("number", "live", "source", "lang", "tokens")).alias("o"))
+        return last.select("doc_id", "tokenizer", "o.live", "o.source", "o.lang", "o.tokens")
 
     def apply(self, batch: str, events: DataFrame) -> bool:
         """Commit a batch of events; False if that batch has been committed before.
@@ -65,35 +71,31 @@ class Rollup:
         several events for one document and tokenizer the last by ``seq`` (then by
         op, source, language and count) holds.  Null ids, ops and tokenizers are
         left out; null counts are 0, null sources and languages values of their own.
+
+        Only documents that the batch names are looked up and written.
         """
         done = self.commits()
         if any(b == batch for _, b in done):
             return False
+        number = len(done) + 1
         events = events.select(*[F.col(c.split()[0]) for c in EVENT.split(", ")]).filter("doc_id is not null and tokenizer is not null and op in ('insert', 'delete', 'revise')")
-        last = events.groupBy("doc_id", "tokenizer").agg(F.max(F.struct("seq", "op", "source", "lang", F.coalesce("tokens", F.lit(0)).alias("tokens"))).alias("e"))
-        old = self.state().select("doc_id", "tokenizer", F.struct("source", "lang", "tokens").alias("o"))
-        met = old.join(last, ["doc_id", "tokenizer"], "full")
-        new = F.when(F.col("e").isNull(), F.col("o")).when(F.col("e.op") != "delete", F.struct(F.col("e.source"), F.col("e.lang"), F.col("e.tokens")))
-        after = f"{self.path}/state/{len(done) + 1}"
-        joined = met.select("doc_id", "tokenizer", "o", new.alias("n"), F.col("e.op").alias("op"))
-        joined.filter("n is not null").select("doc_id", "tokenizer", "n.*").write.mode("overwrite").parquet(after)
-        changed = joined.filter("op is not null and (o is not null or n is not null)")
-        signed = changed.select(
-            "tokenizer",
-            F.explode(
-                F.filter(
-                    F.array(
-                        F.when(F.col("o").isNotNull(), F.struct(F.col("o.source"), F.col("o.lang"), F.lit(-1).alias("sign"), F.col("o.tokens"), F.lit(0).alias("i"), F.when(F.col("n").isNull(), 1).otherwise(0).alias("d"), F.lit(0).alias("r"))),
-                        F.when(F.col("n").isNotNull(), F.struct(F.col("n.source"), F.col("n.lang"), F.lit(1).alias("sign"), F.col("n.tokens"), F.when(F.col("o").isNull(), 1).otherwise(0).alias("i"), F.lit(0).alias("d"), F.when(F.col("o").isNotNull(), 1).otherwise(0).alias("r"))),
-                    ),
-                    lambda x: x.isNotNull(),
-                )
-            ).alias("x"),
-        )
+        key = ["doc_id", "tokenizer"]
+        last = events.groupBy(*key).agg(F.max(F.struct("seq", "op", "source", "lang", F.coalesce("tokens", F.lit(0)).alias("tokens"))).alias("e")).select(*key, F.col("e.op").alias("op"), "e.source", "e.lang", "e.tokens")
+        if done:
+            old = self._latest(self._log()).filter("live").select(*key, F.col("source").alias("old_source"), F.col("lang").alias("old_lang"), F.col("tokens").alias("old_tokens"))
+            met = last.join(old, key, "left")
+        else:
+            none = F.lit(None)
+            met = last.select("*", none.cast("string").alias("old_source"), none.cast("string").alias("old_lang"), none.cast("long").alias("old_tokens"))
+        was, live = F.col("old_tokens").isNotNull(), F.col("op") != "delete"
+        met.filter(was | live).select(*key, F.lit(number).cast("long").alias("number"), live.alias("live"), "source", "lang", "tokens", "old_source", "old_lang", "old_tokens").write.mode("overwrite").parquet(f"{self.path}/changes/{number}")
+        changed = self.spark.read.schema(_CHANGE + ", old_source string, old_lang string, old_tokens long").parquet(f"{self.path}/changes/{number}")
+        off = changed.filter(was).select(F.col("old_source").alias("source"), F.col("old_lang").alias("lang"), "tokenizer", F.lit(-1).alias("sign"), F.col("old_tokens").alias("tokens"), F.lit(0).alias("i"), F.when(F.col("live"), 0).otherwise(1).alias("d"), F.lit(0).alias("r"))
+        on = changed.filter("live").select("source", "lang", "tokenizer", F.lit(1).alias("sign"), "tokens", F.when(was, 0).otherwise(1).alias("i"), F.lit(0).alias("d"), F.when(was, 1).otherwise(0).alias("r"))
         total = lambda c, name: F.sum(c).cast("long").alias(name)
-        delta = signed.groupBy("x.source", "x.lang", "tokenizer").agg(total("x.sign", "docs"), total(F.col("x.sign") * F.col("x.tokens"), "tokens"), total("x.i", "inserts"), total("x.d", "deletes"), total("x.r", "revisions"))
-        delta.write.mode("overwrite").parquet(f"{self.path}/deltas/batch={len(done) + 1}")
-        self.spark.createDataFrame([(len(done) + 1, batch)], _COMMIT).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/{len(done) + 1}")
+        delta = off.union(on).groupBy(*KEYS).agg(total("sign", "docs"), total(F.col("sign") * F.col("tokens"), "tokens"), total("i", "inserts"), total("d", "deletes"), total("r", "revisions"))
+        delta.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/deltas/batch={number}")
+        self.spark.range(1).coalesce(1).select(F.lit(number).cast("long").alias("number"), F.lit(batch).alias("batch")).write.mode("overwrite").parquet(f"{self.path}/commits/{number}")
         return True
 
     def totals(self) -> DataFrame:
