@@ -56,7 +56,7 @@ def consensus(votes: DataFrame, tolerance: str = "ask") -> DataFrame:
         F.when(down, OPEN).otherwise(F.col("side")).alias("verdict"),
         F.coalesce(down, F.lit(False)).alias("downgraded"),
         (F.col("split") & F.lit(tolerance == "ask")).alias("flagged"),
-        F.round(F.coalesce(own, "mean_all"), 2).alias("confidence"),
+        (F.floor(F.coalesce(own, "mean_all") * 100 + 0.5) / 100).alias("confidence"),
         F.round(F.col("most") / F.col("n_votes"), 3).alias("agreement"),
         "exclusion_rule",
         "refute_reasons",

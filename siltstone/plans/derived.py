@@ -41,7 +41,7 @@ VOTES = """
 SELECT concat('r', CAST(l_orderkey % 5 AS STRING)) AS repo, concat('v', CAST(l_orderkey AS STRING)) AS fingerprint,
  concat('lens', CAST(l_linenumber AS STRING)) AS lens, l_partkey * 1000 + CAST(l_quantity AS BIGINT) * 10 + l_linenumber AS ord,
  CASE CAST(l_quantity AS BIGINT) % 5 WHEN 0 THEN 'confirmed-exploitable' WHEN 1 THEN 'confirmed-exploitable' WHEN 2 THEN 'not-exploitable' WHEN 3 THEN 'inconclusive' ELSE 'bogus' END AS verdict,
- CASE WHEN l_linenumber % 7 = 6 THEN NULL ELSE l_tax * 12.5 END AS confidence,
+ CASE WHEN l_linenumber % 7 = 6 THEN NULL ELSE CAST(floor(l_tax * 100 + 0.5) AS DOUBLE) / 8 END AS confidence,
  l_suppkey % 3 = 0 AS has_trigger,
  CASE l_partkey % 4 WHEN 0 THEN 'test-only' WHEN 1 THEN 'self-inflicted' WHEN 2 THEN ' ' END AS exclusion_rule,
  CASE l_partkey % 3 WHEN 0 THEN 'unreachable' WHEN 1 THEN 'sanitized' END AS refute_reason

@@ -259,7 +259,7 @@ c AS (SELECT repo, fingerprint, count(*) AS n, count(*) FILTER (verdict = '{_YES
 r AS (SELECT repo, fingerprint, exclusion_rule FROM (SELECT repo, fingerprint, exclusion_rule, count(*) AS k, min(ord) AS seen FROM w WHERE trim(exclusion_rule) <> '' GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY repo, fingerprint ORDER BY k DESC, seen) = 1),
 s AS (SELECT *, CASE WHEN y * 2 > n THEN '{_YES}' WHEN x * 2 > n THEN '{_NO}' ELSE '{_OPEN}' END AS side FROM c)
 SELECT s.repo, s.fingerprint, CASE WHEN side = '{_YES}' AND NOT t THEN '{_OPEN}' ELSE side END AS verdict, side = '{_YES}' AND NOT t AS downgraded, NOT (y * 2 > n) AND NOT (x * 2 > n) AS flagged,
- round(coalesce(CASE side WHEN '{_YES}' THEN my WHEN '{_NO}' THEN mx ELSE mo END, ma), 2) AS confidence, round(greatest(y, x, o) / n, 3) AS agreement, exclusion_rule, refute_reasons FROM s LEFT JOIN r USING (repo, fingerprint)""", v=VOTES
+ floor(coalesce(CASE side WHEN '{_YES}' THEN my WHEN '{_NO}' THEN mx ELSE mo END, ma) * 100 + 0.5) / 100 AS confidence, round(greatest(y, x, o) / n, 3) AS agreement, exclusion_rule, refute_reasons FROM s LEFT JOIN r USING (repo, fingerprint)""", v=VOTES
     ),
     "proof_classify": sql(_RUNS_NONZERO + " SELECT * FROM c", runs=RUNS),
     "proof_differential": sql(
