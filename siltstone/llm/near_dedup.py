@@ -9,11 +9,14 @@ tree settles near 1 - q, with q = (1 - s + s q)^2: 0.969 at s = 0.85.  As many
 trees are grown as reach the wanted recall at the threshold, three for 0.9999
 there; it is greater for pairs above it.
 
-Small nodes are compared exhaustively, larger ones are first linked to one member
-(a star, so a group of copies costs as many comparisons as it has members) and
-then branched on.  A node whose members are already connected is done; pairs
-inside one component are not compared again, which loses no component.  Each
-candidate is confirmed on the full sets.
+A node's members are first linked to one of them, a star, so a group of copies
+costs as many comparisons as it has members.  A node whose members are then
+connected is done.  In others, what lies outside the node's largest component is
+compared exhaustively with all its members of other components, or, where that
+is too much work, the node is branched on.  Pairs inside one component are never
+compared again, which loses no component.  A bit sketch sorts candidates out
+first, at 4.5 standard errors under the threshold; links are confirmed on the full
+sets.
 """
 
 from __future__ import annotations
@@ -37,6 +40,9 @@ COORDINATES, BLOCK = 60, 20
 RECALL = 0.9999
 _XOR, _TIMES = seeds(COORDINATES, 11), seeds(COORDINATES, 12) | U64(1)
 _ROOTS = seeds(64, 13)
+#: Bits of the sketch that candidates are compared by before their sets are.
+WIDE = 512
+_WIDE_XOR, _WIDE_TIMES = seeds(WIDE, 14), seeds(WIDE, 15) | U64(1)
 
 
 def trees_for(similarity: float, recall: float = RECALL) -> int:
@@ -57,6 +63,10 @@ def _row_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield np.unique(found[at[r] : at[r + 1]])
 
 
+def _digest(items: np.ndarray) -> bytes:
+    return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
+
+
 def _sketch(items: np.ndarray) -> np.ndarray:
     out = np.empty(COORDINATES, dtype=np.uint64)
     wide = max(1, (1 << 18) // max(1, len(items)))
@@ -83,7 +93,7 @@ def _describe(batches, k: int, trees: int, depth: int):
         sizes, digests, sketches = [], [], []
         for items in _row_sets(batch.column(1), k):
             sizes.append(len(items))
-            digests.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest())
+            digests.append(_digest(items))
             sketches.append(_sketch(items) if len(items) else np.zeros(COORDINATES, np.int32))
         n = len(sizes)
         flat = np.concatenate(sketches).astype(np.int32) if n else np.zeros(0, np.int32)
@@ -120,26 +130,130 @@ def _children(batches, depth: int):
         yield pa.RecordBatch.from_arrays([batch.column(0).take(twice), batch.column(1).take(twice), pa.array(out.reshape(-1).view(np.int64))], ["cls", "n", "node"])
 
 
+def _bit_sketch(items: np.ndarray) -> bytes:
+    """One bit of each of WIDE minwise values; bits of a pair agree with probability (1 + similarity) / 2."""
+    out = np.empty(WIDE, dtype=np.uint8)
+    step = max(1, (1 << 17) // max(1, len(items)))
+    for c in range(0, WIDE, step):
+        d = min(WIDE, c + step)
+        out[c:d] = ((((items ^ _WIDE_XOR[c:d, None]) * _WIDE_TIMES[c:d, None]).min(axis=1) >> U64(40)) & U64(1)).astype(np.uint8)
+    return np.packbits(out).tobytes()
+
+
+def _words_of(column: list[bytes]) -> np.ndarray:
+    """Binary values of equal length as rows of 64-bit words."""
+    return np.frombuffer(b"".join(column), U64).reshape(len(column), -1) if column else np.zeros((0, 1), U64)
+
+
 def _alike(batches, least: int):
-    """Pairs with both sketches to the pairs that agree on at least ``least`` coordinates."""
+    """Pairs with both bit sketches to the pairs that agree in at least ``least`` bits."""
     for batch in batches:
-        same = (_lists(batch.column(2)) == _lists(batch.column(3))).sum(axis=1)
-        keep = pa.array(same >= least)
+        a, b = _words_of(batch.column(2).to_pylist()), _words_of(batch.column(3).to_pylist())
+        keep = pa.array(WIDE - np.bitwise_count(a ^ b).sum(axis=1) >= least)
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["u", "v"])
 
 
+def _whole_cells(batches):
+    """Batches in order of (node, i, j), cut so that no cell lies in two of them."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
+        key = np.stack([rows.column(c).to_numpy() for c in range(3)])
+        new = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+        at = int(new[-1]) if len(new) else 0
+        if at:
+            yield rows.slice(0, at)
+        held = rows.slice(at)
+    if held is not None:
+        yield held
+
+
+def _candidates(rows: pa.RecordBatch, least: int, percent: int):
+    """Yields, cell by cell, the pairs of a row of side 0 and one of side 1 that may be linked.
+
+    The two lie in different components, are of like size, agree in their sketches
+    and share no earlier node.  Columns: node, i, j, path, side, cls, n, comp, bits, paths.
+    """
+    if not rows.num_rows:
+        return
+    key = np.stack([rows.column(c).to_numpy() for c in range(3)])
+    edge = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [rows.num_rows]))
+    path, side, n = (rows.column(c).to_numpy() for c in (3, 4, 6))
+    comp, bits, paths = (_words_of(rows.column(c).to_pylist()) for c in (7, 8, 9))
+    for low, high in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        own = side[low:high]
+        left, right = np.flatnonzero(own == 0) + low, np.flatnonzero(own == 1) + low
+        if not len(left) or not len(right):
+            continue
+        step = max(1, (1 << 16) // len(right))
+        found_a, found_b = [], []
+        for k in range(0, len(left), step):
+            a = left[k : k + step]
+            x, y = n[a][:, None], n[right]
+            ok = (comp[a][:, None] != comp[right]).any(axis=2) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
+            r, c = np.nonzero(ok)
+            if not len(r):
+                continue
+            r, c = a[r], right[c]
+            ok = WIDE - np.bitwise_count(bits[r] ^ bits[c]).sum(axis=1) >= least
+            r, c = r[ok], c[ok]
+            if path[low] > 0 and len(r):
+                ok = ~(paths[r, : path[low]] == paths[c, : path[low]]).any(axis=1)
+                r, c = r[ok], c[ok]
+            found_a.append(r)
+            found_b.append(c)
+        if found_a:
+            yield np.concatenate(found_a), np.concatenate(found_b)
+
+
+def _candidate_rows(batches, least: int, percent: int):
+    """The rows of each cell that have a candidate in it."""
+    for rows in _whole_cells(batches):
+        hit = np.zeros(rows.num_rows, dtype=bool)
+        for a, b in _candidates(rows, least, percent):
+            hit[a] = hit[b] = True
+        yield rows.filter(pa.array(hit))
+
+
+def _linked_rows(batches, least: int, percent: int, k: int):
+    """Links of each cell, confirmed on the full sets: as many as join its components, no more."""
+    for rows in _whole_cells(batches):
+        cls, comp = rows.column(5).to_pylist(), rows.column(7).to_pylist()
+        sets = list(_row_sets(rows.column(10), k))
+        u, v = [], []
+        for left, right in _candidates(rows, least, percent):
+            root: dict[bytes, bytes] = {}
+
+            def find(x: bytes, root=root) -> bytes:
+                while root.get(x, x) != x:
+                    x = root[x]
+                return x
+
+            for a, b in zip(left.tolist(), right.tolist(), strict=True):
+                x, y = find(comp[a]), find(comp[b])
+                if x != y and _reaches(sets[a], sets[b], percent):
+                    root[x] = y
+                    u.append(max(cls[a], cls[b]))
+                    v.append(min(cls[a], cls[b]))
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
+
+
+def _reaches(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
 def _confirm(batches, k: int, percent: int):
     """Pairs with both texts to the pairs whose full sets reach the threshold."""
     for batch in batches:
-        keep = []
-        for a, b in zip(_row_sets(batch.column(2), k), _row_sets(batch.column(3), k), strict=True):
-            shared = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(100 * shared >= percent * (len(a) + len(b) - shared))
+        keep = [_reaches(a, b, percent) for a, b in zip(_row_sets(batch.column(2), k), _row_sets(batch.column(3), k), strict=True)]
         keep = pa.array(keep, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["u", "v"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle_words: int = 5, percent: int = 80, recall: float = RECALL, first_depth: int = 3, leaf: int = 32, max_depth: int = 24) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle_words: int = 5, percent: int = 80, recall: float = RECALL, first_depth: int = 3, cell: int = 1024, work: int = 1 << 26, max_depth: int = 6) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``.
 
     Words are maximal runs of non-blank bytes after lower-casing A-Z.  Documents
@@ -149,8 +263,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null or blank texts have an empty set and link with nothing.  Repeated rows are
     separate rows of one class.  A component whose ids are all null, or a lone row
     with a null id, has a null component and is kept.  An empty table gives an
-    empty result; other columns are ignored.  A node still mixed at ``max_depth``
-    is compared whole.
+    empty result; other columns are ignored.
+
+    A node is compared exhaustively, in cells of ``cell`` rows a side, if that takes
+    at most ``work`` comparisons or its depth is ``max_depth``; others are branched on.
     """
     trees = trees_for(percent / 100, recall)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -158,56 +274,80 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows.mapInArrow(lambda it: _describe(it, shingle_words, trees, first_depth), "doc_id long, n long, cls binary, sketch array<int>, nodes array<long>"),
         "sets",
     )
+    # equal sets have equal sketches; one document of a class lends its text
     classes = written(
-        described.filter("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("nodes").alias("nodes")),
+        described.filter("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("nodes").alias("nodes")),
         "classes",
     )
-    sketches = classes.select("cls", "sketch")
-    least = max(1, int(COORDINATES * percent / 100 - 5 * (COORDINATES * percent * (100 - percent)) ** 0.5 / 100))
+    share = percent / 100
+    agree = (1 + share) / 2
+    least = int(WIDE * agree - 4.5 * (WIDE * agree * (1 - agree)) ** 0.5)
 
     def close(a: str, b: str):
-        return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
+        return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
-    def populated(nodes: DataFrame, name: str) -> DataFrame:
+    def populated(nodes: DataFrame) -> DataFrame:
         """Nodes with at least two classes, each row with the node's size and star centre."""
-        of = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min(F.struct("cls", "n")).alias("centre")).filter("size > 1")
-        return written(nodes.join(of, "node"), name)
-
-    def stars(live: DataFrame) -> DataFrame:
-        return live.filter((F.col("cls") != F.col("centre.cls")) & close("n", "centre.n")).select(F.col("cls").alias("u"), F.col("centre.cls").alias("v"))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Candidate pairs to confirmed links: sketches first, then the full sets."""
-        pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        with_u = pairs.join(sketches.select(F.col("cls").alias("u"), F.col("sketch").alias("su")), "u")
-        with_v = with_u.join(sketches.select(F.col("cls").alias("v"), F.col("sketch").alias("sv")), "v")
-        likely = written(with_v.select("u", "v", "su", "sv").mapInArrow(lambda it: _alike(it, least), "u binary, v binary"), "likely")
-        wanted = likely.select(F.col("u").alias("cls")).union(likely.select(F.col("v").alias("cls"))).distinct()
-        # one row of each class stands for it
-        chosen = described.join(wanted, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-        texts = written(_texts_of(rows, chosen, shingle_words), "texts")
-        first = likely.join(texts.select(F.col("cls").alias("u"), F.col("text").alias("tu")), "u")
-        both = first.join(texts.select(F.col("cls").alias("v"), F.col("text").alias("tv")), "v")
-        return both.select("u", "v", "tu", "tv").mapInArrow(lambda it: _confirm(it, shingle_words, percent), "u binary, v binary")
-
-    live = populated(classes.select("cls", "n", F.explode("nodes").alias("node")), "nodes")
-    links = written(linked(stars(live)), "links")
+        # written, so that the join has an exchange of its own in which Spark can split a large node
+        of = written(nodes.groupBy("node").agg(F.count("*").alias("size"), F.min(F.struct("cls", "n")).alias("centre")).filter("size > 1"), "populated")
+        return written(nodes.join(of, "node"), "nodes")
+
+    live = populated(classes.select("cls", "n", F.posexplode("nodes").alias("path", "node")))
+    chosen = classes.join(live.select("cls").distinct(), "cls", "left_semi").select("cls", F.col("doc_id").alias("chosen_id"), "nodes")
+    texts = written(_texts_of(rows, chosen, shingle_words), "texts")
+
+    def side(name: str, *columns: str) -> DataFrame:
+        return texts.select(F.col("cls").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+
+    def stars(of: DataFrame) -> DataFrame:
+        """Likely links of each row with its node's centre."""
+        pairs = of.filter((F.col("cls") != F.col("centre.cls")) & close("n", "centre.n")).select(F.greatest("cls", "centre.cls").alias("u"), F.least("cls", "centre.cls").alias("v")).distinct()
+        both = pairs.join(side("u", "bits"), "u").join(side("v", "bits"), "v")
+        return both.select("u", "v", "bits_u", "bits_v").mapInArrow(lambda it: _alike(it, least), "u binary, v binary")
+
+    def crossings(open_rows: DataFrame) -> DataFrame:
+        """Links between components inside each node: what isn't in its largest component, against all.
+
+        Both sides are cut into runs of ``cell`` rows, so a task holds two runs.  A
+        pair is looked at in the first of its common nodes.  Sketches are compared
+        first; texts then go to the cells for the rows that have a candidate.
+        """
+        per = open_rows.groupBy("node", "comp").agg(F.count("*").alias("k"))
+        main = per.groupBy("node").agg(F.max(F.struct("k", "comp")).alias("m")).select("node", F.col("m.comp").alias("main"), F.col("m.k").alias("held"))
+        ranked = open_rows.join(main, "node").withColumn("minor", F.col("comp") != F.col("main"))
+        runs = lambda n: F.ceil(n / cell).cast("int")
+        spot = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "cls"), runs(n)).cast("int")
+        few, all_ = F.col("size") - F.col("held"), F.col("size")
+        a = ranked.filter("minor").select("node", spot(0, few).alias("i"), F.explode(F.sequence(F.lit(0), runs(all_) - 1)).alias("j"), "path", F.lit(0).alias("side"), "cls", "n", "comp")
+        b = ranked.select("node", F.explode(F.sequence(F.lit(0), runs(few) - 1)).alias("i"), spot(1, all_).alias("j"), "path", F.lit(1).alias("side"), "cls", "n", "comp")
+        cells = a.union(b).join(texts.select("cls", "bits", "paths"), "cls").select("node", "i", "j", "path", "side", "cls", "n", "comp", "bits", "paths")
+        together = lambda rows: rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
+        hits = written(together(cells).mapInArrow(lambda it: _candidate_rows(it, least, percent), cells.schema), "candidates")
+        with_text = hits.join(texts.select("cls", "text"), "cls").select(*hits.columns, "text")
+        return written(together(with_text).mapInArrow(lambda it: _linked_rows(it, least, percent, shingle_words), "u binary, v binary"), "links")
+
+    def confirmed(likely: DataFrame) -> DataFrame:
+        """Candidates to links, on the full sets."""
+        both = written(likely, "likely").join(side("u", "text"), "u").join(side("v", "text"), "v")
+        return written(both.select("u", "v", "text_u", "text_v").mapInArrow(lambda it: _confirm(it, shingle_words, percent), "u binary, v binary"), "links")
+
+    links = confirmed(stars(live))
     depth = first_depth
     while True:
         labels = components(links)
-        named = live.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("node", "cls", "n", "size", F.coalesce("component", "cls").alias("comp"))
-        mixed = named.groupBy("node").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("node")
-        open_rows = written(named.join(mixed, "node"), "open")
+        named = live.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("node", "path", "cls", "n", "size", F.coalesce("component", "cls").alias("comp"))
+        held = named.groupBy("node", "comp").agg(F.count("*").alias("k")).groupBy("node").agg(F.count("*").alias("parts"), (F.sum("k") - F.max("k")).alias("minors")).filter("parts > 1").select("node", "minors")
+        open_rows = written(named.join(held, "node"), "open")
         if open_rows.isEmpty():
             break
-        small = open_rows if depth >= max_depth else open_rows.filter(F.col("size") <= leaf)
-        x, y = small.alias("x"), small.alias("y")
-        pairs = x.join(y, "node").filter((F.col("x.cls") < F.col("y.cls")) & (F.col("x.comp") != F.col("y.comp")) & close("x.n", "y.n")).select(F.col("x.cls").alias("u"), F.col("y.cls").alias("v"))
-        large = open_rows.filter(F.lit(depth < max_depth) & (F.col("size") > leaf))
-        below = large.join(sketches, "cls").select("cls", "n", "node", "sketch").mapInArrow(lambda it, d=depth: _children(it, d), "cls binary, n long, node long")
-        live = populated(below, "nodes")
-        found = written(linked(pairs.union(stars(live))), "links")
-        links = links.union(found)
+        fits = F.lit(depth >= max_depth) | (F.col("minors") * F.col("size") <= work)
+        links = links.union(crossings(open_rows.filter(fits)))
+        below = open_rows.filter(~fits).join(classes.select("cls", "sketch"), "cls").select("cls", "n", "node", "sketch").mapInArrow(lambda it, d=depth: _children(it, d), "cls binary, n long, node long").withColumn("path", F.lit(0))
+        live = populated(below)
+        if live.isEmpty():
+            labels = components(links)
+            break
+        links = links.union(confirmed(stars(live)))
         depth += 1
     classed = described.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "n", "cls", F.coalesce("component", "cls").alias("comp"))
     named_by = classed.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
@@ -217,16 +357,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _texts_of(rows: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
-    """The text of each chosen class; ids that several texts share are told apart by their sets."""
-    near = rows.join(chosen.withColumnRenamed("doc_id", "chosen_id"), F.col("doc_id").eqNullSafe(F.col("chosen_id")))
-    own = near.select("cls", "text").mapInArrow(lambda it: _matching(it, k), "cls binary, text string")
-    return own.dropDuplicates(["cls"])
-
-
-def _matching(batches, k: int):
-    for batch in batches:
-        keep = pa.array([hashlib.blake2b(items.tobytes(), digest_size=16).digest() == c for items, c in zip(_row_sets(batch.column(1), k), batch.column(0).to_pylist(), strict=True)], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["cls", "text"])
+    """cls, text, bit sketch and packed first nodes of each chosen class; texts that share an id are told apart by their sets."""
+
+    def task(batches):
+        for batch in batches:
+            keep, bits = [], []
+            for items, cls in zip(_row_sets(batch.column(1), k), batch.column(0).to_pylist(), strict=True):
+                keep.append(_digest(items) == cls)
+                if keep[-1]:
+                    bits.append(_bit_sketch(items))
+            keep = pa.array(keep, pa.bool_())
+            own = batch.filter(keep)
+            paths = [np.array(x, np.int64).tobytes() for x in own.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(bits, pa.binary()), pa.array(paths, pa.binary())], ["cls", "text", "bits", "paths"])
+
+    near = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen_id"))).select("cls", "text", "nodes")
+    return near.mapInArrow(task, "cls binary, text string, bits binary, paths binary").dropDuplicates(["cls"])
 
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
