@@ -1,5 +1,5 @@
 """Queries that apply the operators to the given tables, with their SQL."""
 
-from siltstone.plans import corpus, findings, names, scans, surface
+from siltstone.plans import corpus, findings, names, readers, scans, surface
 
-MODULES = (corpus, findings, names, scans, surface)
+MODULES = (corpus, findings, names, readers, scans, surface)
