@@ -171,3 +171,20 @@ def diff_risk(path: Column, text: Column) -> Column:
     for h, w, _ in hits:
         score = score + F.when(h, w).otherwise(0)
     return F.struct(score.alias("score"), F.array_join(F.array_compact(F.array(*[F.when(h, F.lit(t)) for h, _, t in hits])), ",").alias("tags"))
+
+
+#: Files that tell what a folder is built with.
+MARKERS = (("package.json", "node"), ("go.mod", "go"), ("Cargo.toml", "rust"), ("pom.xml", "java"), ("requirements.txt", "python"), ("CMakeLists.txt", "native"), ("Dockerfile", "container"))
+
+
+def component_markers(files: DataFrame) -> DataFrame:
+    """``repo, marker, role, n, first_paths``: marker files, how many and the first five paths."""
+    p = norm_path(F.col("path"))
+    base = F.substring_index(p, "/", -1)
+    role = F.lit(None).cast("string")
+    for name, kind in MARKERS:
+        role = F.when(base == name, F.lit(kind)).otherwise(role)
+    rows = files.select("repo", p.alias("path"), base.alias("marker"), role.alias("role")).filter("role is not null").distinct()
+    n = F.row_number().over(Window.partitionBy("repo", "marker").orderBy("path"))
+    few = rows.withColumn("k", n)
+    return few.groupBy("repo", "marker", "role").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("k") <= 5, F.col("path")))), ",").alias("first_paths"))
