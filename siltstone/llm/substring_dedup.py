@@ -156,7 +156,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("tag"), F.col(text_col).cast("string").alias("text"))
     places = written(rows.mapInArrow(lambda it: _lay_out(it, window, anchor_words), "doc_id long, tag long, start int, count int, anchor long, whole long"), "stretches")
-    shared = places.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("whole") == F.max("whole")).alias("alike")).filter("n > 1").select("anchor", "alike")
+    # written, so that the join has an exchange of its own in which Spark can split a frequent anchor
+    shared = written(places.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("whole") == F.max("whole")).alias("alike")).filter("n > 1").select("anchor", "alike"), "anchors")
     live = written(places.join(shared, "anchor"), "shared")
     forms = written(
         live.filter("not alike").groupBy("anchor", "whole").agg(F.count("*").alias("weight"), F.min(F.struct("doc_id", "tag", "start", "count")).alias("at")),
