@@ -1,5 +1,5 @@
 """Queries that apply the operators to the given tables, with their SQL."""
 
-from siltstone.plans import corpus, findings, names, readers, scans, structure, surface
+from siltstone.plans import corpus, findings, names, readers, scans, singles, structure, surface
 
-MODULES = (corpus, findings, names, readers, scans, structure, surface)
+MODULES = (corpus, findings, names, readers, scans, singles, structure, surface)
