@@ -156,3 +156,22 @@ def test_line_query_equals_plain_version(spark, small):
         assert r["removed_lines"] == ",".join(map(str, gone))
         kept = "\n".join(x for i, x in enumerate(dict(docs)[r["doc_id"]].split("\n")) if i not in gone)
         assert r["kept_sha256"] == hashlib.sha256(kept.encode()).hexdigest()
+
+
+def repeated_lines(rnd):
+    """Passages of short lines whose lines occur singly before, and long lines that their first holder has twice."""
+    parts = [f"part {k} of it" for k in range(4)]
+    rows = [(i, f"{x}\nonly {i}") for i, x in enumerate(parts)]
+    rows += [(i, "\n".join([f"head {i}", *parts, f"tail {i}"])) for i in range(10, 17)]
+    long = "a long line that many documents hold " + "y" * 20
+    rows += [(20, f"x\n{long}\nz\n{long}\nu")] + [(i, f"own {i}\n{long}\nmore {i}") for i in range(21, 28)]
+    lines = [f"l{i} " + "x" * rnd.randrange(45) for i in range(25)] + [""]
+    return rows + [(i, "\n".join(rnd.choice(lines) for _ in range(rnd.randrange(12)))) for i in range(100, 220)]
+
+
+def test_lines_go_as_in_all_pairs(spark):
+    for seed in (1, 2):
+        rows = repeated_lines(random.Random(seed))
+        want = plain.line_dedup(rows, line_dedup.patience, line_dedup.blocks, len(rows), 40)
+        assert want[11] == [1, 2, 3, 4] and want[22] == [1]
+        assert {r["doc_id"]: r["removed_lines"] for r in line_dedup.line_dedup(frame(spark, rows)).collect()} == want
