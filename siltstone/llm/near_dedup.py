@@ -21,6 +21,7 @@ sets.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -34,11 +35,10 @@ from siltstone.llm.components import components
 from siltstone.llm.wordhash import LOWER, U64, Words, mix, seeds, shingles, steps, utf8
 from siltstone.llm.workspace import written
 
-#: Minwise coordinates of a set, in blocks of BLOCK that the depths take in turn.
-COORDINATES, BLOCK = 60, 20
+#: Minwise coordinates for nodes below the first depths, in blocks of BLOCK that the depths take in turn.
+DEEP, BLOCK = 60, 20
 #: Chance that a pair at the threshold meets in some tree.
 RECALL = 0.9999
-_XOR, _TIMES = seeds(COORDINATES, 11), seeds(COORDINATES, 12) | U64(1)
 _ROOTS = seeds(64, 13)
 #: Bits of the sketch that candidates are compared by before their sets are.
 WIDE = 512
@@ -67,18 +67,28 @@ def _digest(items: np.ndarray) -> bytes:
     return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
 
 
-def _sketch(items: np.ndarray) -> np.ndarray:
-    out = np.empty(COORDINATES, dtype=np.uint64)
+def coordinates(trees: int, depth: int) -> int:
+    """Minwise coordinates of a set: a pair for each node of each tree down to ``depth``, and those below."""
+    return 2 * trees * ((1 << depth) - 1) + DEEP
+
+
+@functools.cache
+def _hashing(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return seeds(n, 11), seeds(n, 12) | U64(1)
+
+
+def _sketch(items: np.ndarray, n: int) -> np.ndarray:
+    xor, times = _hashing(n)
+    out = np.empty(n, dtype=np.uint64)
     wide = max(1, (1 << 18) // max(1, len(items)))
-    for c in range(0, COORDINATES, wide):
-        d = min(COORDINATES, c + wide)
-        out[c:d] = ((items ^ _XOR[c:d, None]) * _TIMES[c:d, None]).min(axis=1)
+    for c in range(0, n, wide):
+        d = min(n, c + wide)
+        out[c:d] = ((items ^ xor[c:d, None]) * times[c:d, None]).min(axis=1)
     return (out >> U64(32)).astype(np.uint32).view(np.int32)
 
 
-def _branch(paths: np.ndarray, sketches: np.ndarray, depth: int) -> np.ndarray:
-    """(n,) paths and (n, COORDINATES) sketches to the (n, 2) paths of the chosen children."""
-    at = (depth % (COORDINATES // BLOCK)) * BLOCK + 2 * (mix(paths + U64(depth + 1)) % U64(BLOCK // 2)).astype(np.int64)
+def _branch(paths: np.ndarray, sketches: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(n,) paths, (n, coordinates) sketches and (n,) first coordinates to the (n, 2) paths of the chosen children."""
     rows = np.arange(len(paths))
     out = np.empty((len(paths), 2), dtype=U64)
     for b in (0, 1):
@@ -87,29 +97,36 @@ def _branch(paths: np.ndarray, sketches: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
+def _nodes(table: np.ndarray, trees: int, depth: int) -> np.ndarray:
+    """(n, coordinates) sketches to the (n, trees << depth) nodes; no two nodes of a set share a coordinate."""
+    n = len(table)
+    paths, which = np.tile(_ROOTS[:trees], n), np.repeat(np.arange(n), trees)
+    for d in range(depth):
+        at = 2 * (trees * ((1 << d) - 1) + np.tile(np.arange(trees << d), n))
+        paths = _branch(paths, table[which], at).reshape(-1)
+        which = np.repeat(which, 2)
+    return paths.reshape(n, trees << depth)
+
+
 def _describe(batches, k: int, trees: int, depth: int):
     """doc_id, text to doc_id, n_shingles, digest of the set, sketch and first nodes."""
+    wide = coordinates(trees, depth)
     for batch in batches:
         sizes, digests, sketches = [], [], []
         for items in _row_sets(batch.column(1), k):
             sizes.append(len(items))
             digests.append(_digest(items))
-            sketches.append(_sketch(items) if len(items) else np.zeros(COORDINATES, np.int32))
+            sketches.append(_sketch(items, wide) if len(items) else np.zeros(wide, np.int32))
         n = len(sizes)
         flat = np.concatenate(sketches).astype(np.int32) if n else np.zeros(0, np.int32)
-        paths = np.tile(_ROOTS[:trees], n)
-        which = np.repeat(np.arange(n), trees)
-        table = flat.reshape(n, COORDINATES)
-        for d in range(depth):
-            paths = _branch(paths, table[which], d).reshape(-1)
-            which = np.repeat(which, 2)
+        paths = _nodes(flat.reshape(n, wide), trees, depth).reshape(-1)
         width = trees << depth
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
                 pa.array(sizes, pa.int64()),
                 pa.array(digests, pa.binary()),
-                pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * COORDINATES), pa.array(flat)),
+                pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * wide), pa.array(flat)),
                 pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(paths.view(np.int64))),
             ],
             ["doc_id", "n", "cls", "sketch", "nodes"],
@@ -117,7 +134,7 @@ def _describe(batches, k: int, trees: int, depth: int):
 
 
 def _lists(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, COORDINATES), np.int32)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, DEEP), np.int32)
 
 
 def _children(batches, depth: int):
@@ -125,7 +142,9 @@ def _children(batches, depth: int):
     for batch in batches:
         if not batch.num_rows:
             continue
-        out = _branch(batch.column(2).to_numpy().view(U64), _lists(batch.column(3)), depth)
+        paths, sketches = batch.column(2).to_numpy().view(U64), _lists(batch.column(3))
+        at = sketches.shape[1] - DEEP + (depth % (DEEP // BLOCK)) * BLOCK + 2 * (mix(paths + U64(depth + 1)) % U64(BLOCK // 2)).astype(np.int64)
+        out = _branch(paths, sketches, at)
         twice = pa.array(np.repeat(np.arange(batch.num_rows), 2))
         yield pa.RecordBatch.from_arrays([batch.column(0).take(twice), batch.column(1).take(twice), pa.array(out.reshape(-1).view(np.int64))], ["cls", "n", "node"])
 

@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +177,15 @@ def test_lines_go_as_in_all_pairs(spark):
         want = plain.line_dedup(rows, line_dedup.patience, line_dedup.blocks, len(rows), 40)
         assert want[11] == [1, 2, 3, 4] and want[22] == [1]
         assert {r["doc_id"]: r["removed_lines"] for r in line_dedup.line_dedup(frame(spark, rows)).collect()} == want
+
+
+def test_trees_are_independent():
+    rng = np.random.default_rng(3)
+    wide = near_dedup.coordinates(4, 3)
+    a, b = [], []
+    for _ in range(8000):
+        items = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
+        a.append(near_dedup._sketch(items[:90], wide))
+        b.append(near_dedup._sketch(items[10:], wide))
+    met = (near_dedup._nodes(np.array(a), 4, 3) == near_dedup._nodes(np.array(b), 4, 3)).any(axis=1)
+    assert (~met).sum() <= 3
