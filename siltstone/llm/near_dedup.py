@@ -193,7 +193,8 @@ def _candidates(rows: pa.RecordBatch, least: int, percent: int):
     """Yields, cell by cell, the pairs of a row of side 0 and one of side 1 that may be linked.
 
     The two lie in different components, are of like size, agree in their sketches
-    and share no earlier node.  Columns: node, i, j, path, side, cls, n, comp, bits, paths.
+    and share no earlier node that is compared too.  Columns: node, i, j, path, side,
+    cls, n, comp, bits, paths, and fit, the positions in paths of compared nodes.
     """
     if not rows.num_rows:
         return
@@ -201,6 +202,8 @@ def _candidates(rows: pa.RecordBatch, least: int, percent: int):
     edge = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [rows.num_rows]))
     path, side, n = (rows.column(c).to_numpy() for c in (3, 4, 6))
     comp, bits, paths = (_words_of(rows.column(c).to_pylist()) for c in (7, 8, 9))
+    fit = np.zeros(paths.shape, dtype=bool)
+    fit[np.repeat(np.arange(len(fit)), [len(x) for x in rows.column(10)]), rows.column(10).flatten().to_numpy()] = True
     for low, high in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
         own = side[low:high]
         left, right = np.flatnonzero(own == 0) + low, np.flatnonzero(own == 1) + low
@@ -219,7 +222,7 @@ def _candidates(rows: pa.RecordBatch, least: int, percent: int):
             ok = WIDE - np.bitwise_count(bits[r] ^ bits[c]).sum(axis=1) >= least
             r, c = r[ok], c[ok]
             if path[low] > 0 and len(r):
-                ok = ~(paths[r, : path[low]] == paths[c, : path[low]]).any(axis=1)
+                ok = ~((paths[r, : path[low]] == paths[c, : path[low]]) & fit[r, : path[low]]).any(axis=1)
                 r, c = r[ok], c[ok]
             found_a.append(r)
             found_b.append(c)
@@ -240,7 +243,7 @@ def _linked_rows(batches, least: int, percent: int, k: int):
     """Links of each cell, confirmed on the full sets: as many as join its components, no more."""
     for rows in _whole_cells(batches):
         cls, comp = rows.column(5).to_pylist(), rows.column(7).to_pylist()
-        sets = list(_row_sets(rows.column(10), k))
+        sets = list(_row_sets(rows.column(11), k))
         u, v = [], []
         for left, right in _candidates(rows, least, percent):
             root: dict[bytes, bytes] = {}
@@ -328,7 +331,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         """Links between components inside each node: what isn't in its largest component, against all.
 
         Both sides are cut into runs of ``cell`` rows, so a task holds two runs.  A
-        pair is looked at in the first of its common nodes.  Sketches are compared
+        pair is looked at in the first of its common nodes that are compared.  Sketches are compared
         first; texts then go to the cells for the rows that have a candidate.
         """
         per = open_rows.groupBy("node", "comp").agg(F.count("*").alias("k"))
@@ -339,7 +342,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         few, all_ = F.col("size") - F.col("held"), F.col("size")
         a = ranked.filter("minor").select("node", spot(0, few).alias("i"), F.explode(F.sequence(F.lit(0), runs(all_) - 1)).alias("j"), "path", F.lit(0).alias("side"), "cls", "n", "comp")
         b = ranked.select("node", F.explode(F.sequence(F.lit(0), runs(few) - 1)).alias("i"), spot(1, all_).alias("j"), "path", F.lit(1).alias("side"), "cls", "n", "comp")
-        cells = a.union(b).join(texts.select("cls", "bits", "paths"), "cls").select("node", "i", "j", "path", "side", "cls", "n", "comp", "bits", "paths")
+        fit = open_rows.groupBy("cls").agg(F.collect_set("path").alias("fit"))
+        cells = a.union(b).join(texts.select("cls", "bits", "paths").join(fit, "cls"), "cls").select("node", "i", "j", "path", "side", "cls", "n", "comp", "bits", "paths", "fit")
         together = lambda rows: rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
         hits = written(together(cells).mapInArrow(lambda it: _candidate_rows(it, least, percent), cells.schema), "candidates")
         with_text = hits.join(texts.select("cls", "text"), "cls").select(*hits.columns, "text")

@@ -189,3 +189,14 @@ def test_trees_are_independent():
         b.append(near_dedup._sketch(items[10:], wide))
     met = (near_dedup._nodes(np.array(a), 4, 3) == near_dedup._nodes(np.array(b), 4, 3)).any(axis=1)
     assert (~met).sum() <= 3
+
+
+@pytest.mark.parametrize(("fit", "found"), [([1], 1), ([0, 1], 0)])
+def test_pairs_are_left_only_to_compared_nodes(fit, found):
+    paths = np.array([7, 8], np.int64).tobytes()
+    column = lambda *x: pa.array(x)
+    rows = pa.RecordBatch.from_arrays(
+        [*[column(0, 0)] * 3, column(1, 1), column(0, 1), column(b"a", b"b"), column(9, 9), column(b"a" * 16, b"b" * 16), *[column(bytes(64), bytes(64))], column(paths, paths), column(fit, fit)],
+        ["node", "i", "j", "path", "side", "cls", "n", "comp", "bits", "paths", "fit"],
+    )
+    assert sum(len(a) for a, _ in near_dedup._candidates(rows, 400, 80)) == found
