@@ -5,7 +5,7 @@ slots is laid out: golden-ratio point ``frac(i * phi)`` of slot i falls into one
 source's share of the unit interval, so that every stretch of the schedule holds
 each source in proportion.  A source's slots are ranked, and rank r takes block r
 of the source: its documents in hashed order, laid end to end and cut every
-``block_words`` words, begun again after the last.
+``block_words`` words, begun again after the last.  Ranks that a source lacks up to its target follow.
 """
 
 from __future__ import annotations
@@ -111,7 +111,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     total = goals.agg(F.sum("target")).first()[0] or 0.0
     block = block_words or max(1, min(4096, int(total // 20_000)))
     slots = int(total // block) + 64
-    used = schedule(goals.select("source", "target"), slots)
+    used = written(schedule(goals.select("source", "target"), slots), "slots")
+    # the points of a small source may be too few, or none: the ranks missing up to its target follow the schedule
+    had = used.groupBy("source").agg(F.count("*").alias("n"))
+    short = goals.alias("a").join(had.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.source", F.coalesce("n", F.lit(0)).alias("n"), F.ceil(F.floor("target") / block).alias("need"))
+    used = used.select("source", "rank").union(short.filter("n < need").select("source", F.explode(F.sequence(F.col("n").cast("long"), F.col("need").cast("long") - 1)).alias("rank")))
     # rank r of a source takes the words [r * block, (r + 1) * block) of its line, up to its target
     blocks = used.alias("a").join(goals.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.source", F.col("rank"), "source_size", F.floor("target").cast("long").alias("upto"))
     blocks = blocks.withColumn("low", F.col("rank") * block).filter(F.col("low") < F.col("upto")).withColumn("high", F.least(F.col("low") + block, "upto"))

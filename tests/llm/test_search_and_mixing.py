@@ -95,6 +95,15 @@ def test_mix_of_odd_rows(spark):
     assert source_mixing.mixed_documents(table).columns == table.columns
 
 
+def test_small_sources_reach_their_targets(spark):
+    big = spark.range(1000).selectExpr("id as doc_id", "repeat('w ', 4000) as text", "'big' as source")
+    tiny = spark.range(5000, 5020).selectExpr("id as doc_id", "repeat('v ', 60) as text", "concat('tiny', id) as source")
+    docs = big.union(tiny)
+    for r in source_mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
+        assert r["target"] > 0 and r["taken"] == int(r["target"])
+    assert source_mixing.mixed_documents(docs).filter("source <> 'big'").select("source").distinct().count() == 20
+
+
 def test_slots_spread_evenly(spark):
     shares = spark.createDataFrame([("a", 60.0), ("b", 30.0), (None, 10.0)], "source string, target double")
     rows = sorted(source_mixing.schedule(shares, 1000).collect(), key=lambda r: r["slot"])
