@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.wordhash import U64, span_hashes, steps, utf8
+from siltstone.llm.wordhash import U64, mix, ranges, span_hashes, steps, utf8
 
 SPACE, BLANK = 0x2581, 0x20
 #: Stands for a literal U+2581, which no piece may take for a space.
@@ -115,13 +115,21 @@ def _pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a * (1 << 21) + b
 
 
+def _grown(hashes: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """The hashes of substrings that each gain a character on the right."""
+    return mix(hashes * U64(0x9E3779B97F4A7C15) + chars.astype(U64) + U64(1))
+
+
 def vocabulary(pieces: list[tuple[str, float, str]], bpe: bool = False) -> Vocabulary:
     """From (piece, score, kind) in order of id; kind: normal, byte, control, unknown or unused."""
     normal = [(i, p, s) for i, (p, s, kind) in enumerate(pieces) if kind == "normal" and p]
     flat = np.concatenate([_code_points(p) for _, p, _ in normal]) if normal else np.zeros(0, np.int64)
     size = np.array([len(p) for _, p, _ in normal], dtype=np.int64)
     end = np.cumsum(size)
-    keys = span_hashes(flat.astype(U64), end - size, end)
+    keys = np.zeros(len(size), U64)
+    for k in range(int(size.max(initial=0))):
+        more = np.flatnonzero(size > k)
+        keys[more] = _grown(keys[more], flat[(end - size)[more] + k])
     order = np.argsort(keys)
     inside = np.ones(max(0, len(flat) - 1), dtype=bool)
     inside[end[:-1] - 1] = False
@@ -159,8 +167,7 @@ def load(model_file: str) -> Vocabulary:
 def _best_paths(chars: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """(n, L) code points of equal-length units to flat ids and their count a unit; -1 for a character without a piece."""
     n, length = chars.shape
-    flat = chars.astype(U64).reshape(-1)
-    base = np.arange(n) * length
+    own = np.zeros((n, length), dtype=U64)
     best = np.full((n, length + 1), -np.inf)
     best[:, 0] = 0.0
     back = np.zeros((n, length + 1), dtype=np.int32)
@@ -168,7 +175,9 @@ def _best_paths(chars: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarra
     for end in range(1, length + 1):
         widths = np.arange(min(end, v.longest), 0, -1)
         starts = end - widths
-        key = span_hashes(flat, (base[:, None] + starts).reshape(-1), np.repeat(base + end, len(widths)))
+        # the substrings that begin at each start grow by the character before the end
+        key = own[:, starts[0] : end] = _grown(own[:, starts[0] : end], chars[:, end - 1 : end])
+        key = key.reshape(-1)
         at = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
         known = (v.keys[at] == key).reshape(n, -1)
         if v.merges is None:
@@ -256,7 +265,7 @@ class Encoder:
         pool = np.concatenate((self.ids, flat))
         order = np.argsort(all_hash, kind="stable")
         self.seen = all_hash[order]
-        self.ids = pool[_ranges(all_begin[order], all_count[order])]
+        self.ids = pool[ranges(all_begin[order], all_count[order])]
         self.at = np.concatenate(([0], np.cumsum(all_count[order])))
 
     def _as_bytes(self, flat: np.ndarray, counts: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -295,7 +304,7 @@ class Encoder:
                 continue
             start = self._units(chars, heads)
             end = np.append(start[1:], len(chars))
-            hashes = span_hashes(chars.astype(U64), start, end)
+            hashes = span_hashes(chars, start, end)
             distinct, index, back = np.unique(hashes, return_index=True, return_inverse=True)
             spot = np.minimum(np.searchsorted(self.seen, distinct), max(0, len(self.seen) - 1))
             new = self.seen[spot] != distinct if len(self.seen) else np.ones(len(distinct), bool)
@@ -306,7 +315,7 @@ class Encoder:
                 spot = np.searchsorted(self.seen, distinct)
             spot = spot[back]
             count = np.diff(self.at)[spot]
-            parts.append(self.ids[_ranges(self.at[:-1][spot], count)])
+            parts.append(self.ids[ranges(self.at[:-1][spot], count)])
             total = np.concatenate(([0], np.cumsum(count)))
             sizes.append(np.diff(total[np.searchsorted(start, at)]))
         flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
@@ -314,13 +323,6 @@ class Encoder:
         return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(flat))
 
 
-def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """begin[0], begin[0] + 1, ... count[0] of them, then those of the next."""
-    end = np.cumsum(count)
-    total = int(end[-1]) if len(end) else 0
-    return np.repeat(begin - (end - count), count) + np.arange(total)
-
-
 def decode_lists(lists: pa.ListArray, v: Vocabulary) -> list[bytes]:
     """The UTF-8 bytes of each row of ids; the space put before a text is taken off again."""
     offsets = lists.offsets.to_numpy().astype(np.int64)
@@ -330,7 +332,7 @@ def decode_lists(lists: pa.ListArray, v: Vocabulary) -> list[bytes]:
         ids = values[offsets[i] : offsets[j]]
         ids = np.where((ids < 0) | (ids >= len(v.bounds) - 1), v.unknown, ids)
         size = v.bounds[ids + 1] - v.bounds[ids]
-        flat = v.raw[_ranges(v.bounds[ids], size)].tobytes()
+        flat = v.raw[ranges(v.bounds[ids], size)].tobytes()
         at = np.concatenate(([0], np.cumsum(size)))[offsets[i : j + 1] - offsets[i]].tolist()
         rows = (flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True))
         out += [r[1:] if r[:1] == b" " else r for r in rows]

@@ -1,8 +1,10 @@
 """Vectorised words, word hashes and shingles over Arrow string columns.
 
 A task works on the bytes of many texts at once.  Words are found with one pass
-over the byte classes, and every word's 64-bit hash comes from a polynomial
-prefix sum, so that no Python loop runs over words.
+over the byte classes.  A word's 64-bit hash sums a pseudo-random number for each
+(place, byte) of it, and a run of words is hashed by doubling, so that no Python
+loop runs over words and no regular text makes hashes collide, as it does for
+polynomials modulo 2^64.
 """
 
 from __future__ import annotations
@@ -16,9 +18,9 @@ U64 = np.uint64
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
 
-_BASE = 0x9E3779B97F4A7C55 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_tables: dict[int, np.ndarray] = {}
+#: Places of a word whose pseudo-random numbers are kept in a table.
+_NEAR = 64
+_LEFT, _LENGTH, _SALT = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)
 
 #: Bytes that separate words: space and the controls 9 to 13.
 BLANKS = np.zeros(256, dtype=bool)
@@ -46,14 +48,12 @@ def seeds(n: int, salt: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(salt))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _tables.get(base)
-    if have is None or len(have) < n:
-        size = max(n, STEP_BYTES + 1)
-        have = np.full(size, base, dtype=U64)
-        have[0] = 1
-        _tables[base] = have = np.multiply.accumulate(have)
-    return have
+def _placed(values: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A pseudo-random number for each value below 2^22 at its place."""
+    return mix(mix((place.astype(U64) << U64(22)) | values.astype(U64)) + _SALT)
+
+
+_TABLE = _placed(np.tile(np.arange(256), _NEAR), np.repeat(np.arange(_NEAR), 256))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -106,18 +106,65 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         data = self.table[self.data] if self.table is not None else self.data
-        return span_hashes(data.astype(U64) + U64(1), self.starts, self.ends)
+        return span_hashes(data, self.starts, self.ends)
+
+
+def ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... count[0] of them, then those of the next."""
+    end = np.cumsum(count)
+    total = int(end[-1]) if len(end) else 0
+    return np.repeat(begin - (end - count), count) + np.arange(total)
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The hash of each span of ``values``: equal spans, equal hashes."""
-    n = len(values)
-    prefix = np.zeros(n + 1, dtype=U64)
-    np.cumsum(values * _powers(_BASE, n + 1)[:n], out=prefix[1:])
-    own = prefix[ends] - prefix[starts]
-    own *= _powers(_BASE_INVERSE, n + 1)[starts]
-    own += (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93)
-    return mix(own)
+    """The hash of each span, none of them empty, of bytes or code points: equal spans, equal hashes."""
+    size = ends - starts
+    if not len(size):
+        return np.zeros(0, U64)
+    at = ranges(starts, size)
+    place = at - np.repeat(starts, size)
+    own = values[at]
+    if values.dtype == np.uint8:
+        near = place < _NEAR
+        if near.all():
+            value = _TABLE[(place << 8) | own]
+        else:
+            value = np.empty(len(at), U64)
+            value[near] = _TABLE[(place[near] << 8) | own[near]]
+            value[~near] = _placed(own[~near], place[~near])
+    else:
+        value = _placed(own, place)
+    return mix(np.add.reduceat(value, np.cumsum(size) - size) + size.astype(U64) * _LENGTH)
+
+
+def _doubled(now: np.ndarray, span: int) -> np.ndarray:
+    return mix(now[:-span] * _LEFT + now[span:])
+
+
+def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The hash of every k neighbouring hashes, by doubling."""
+    if len(hashes) < k:
+        return np.zeros(0, U64)
+    span, now = 1, hashes
+    while 2 * span <= k:
+        now, span = _doubled(now, span), 2 * span
+    rest = k - span
+    return mix(now[: len(now) - rest] * _LEFT + now[rest:] + U64(k)) if rest else now
+
+
+def run_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each run, none of them empty, of hashes; runs may overlap."""
+    size = ends - starts
+    out = np.zeros(len(size), dtype=U64)
+    longest = int(size.max(initial=0))
+    span, now = 1, hashes
+    while span <= longest:
+        mine = np.flatnonzero((size >= span) & (size < 2 * span))
+        out[mine] = mix(now[starts[mine]] * _LEFT + now[ends[mine] - span] + size[mine].astype(U64) * _LENGTH)
+        if 2 * span > longest:
+            break
+        now, span = _doubled(now, span), 2 * span
+    return out
 
 
 _PLACES = seeds(64, 0x51ED) | U64(1)
