@@ -1,16 +1,15 @@
 """Line dedup by pairwise alignment.
 
-Documents are paired through the runs of consecutive lines they share: from each
-line on and up to each line the shortest run that reaches the least length of a
-block, and the document as a whole.  A block holds such a run of both documents
-around each of its lines, so no pair without a common run has a block.  A pair is
-aligned by patience diff on the line hashes, and blocks of aligned lines are
-deleted from the later document.
-
-Each document is aligned first with the first holder of each of its runs, and with
-the first that holds it once.  Where a run has a line left then, the document is
-aligned with all its earlier holders; so the result is that of all pairs, and a
-passage in many documents leads to all pairs only where it can't be aligned.
+A run is a piece of consecutive lines that holds the least length of a block: from
+each line on, and up to each line, the shortest one.  A long line is a run of its
+own; short and frequent lines make rarer runs together.  Every document is paired
+with the first holder of each of its runs, so a run that many documents hold costs
+one pair each, and no run is too frequent to be looked at.
+
+A pair is aligned by patience diff on the line hashes, and blocks of aligned lines
+are deleted from the later document.  A shared run that the diff leaves out, since
+its lines repeat or it has moved across other lines, is then aligned by itself.  So
+exactly those lines go that lie in a block which any earlier document holds too.
 """
 
 from __future__ import annotations
@@ -23,14 +22,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.wordhash import U64, mix
+from siltstone.llm.wordhash import U64, run_hashes
 from siltstone.llm.workspace import written
 
-#: An odd base of the runs' polynomial hashes, and its inverse modulo 2^64.
-_BASE = 0x9E3779B97F4A7C15
-_HEAD, _TAIL = U64(1), U64(2)
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned positions (i, j) with a[i] == b[j], ascending in both.
@@ -101,28 +95,37 @@ def blocks(pairs: list[tuple[int, int]], sizes: list[int], least: int) -> list[i
     return out
 
 
+def moved(a: np.ndarray, b: np.ndarray, runs: list[tuple[int, int]], gone: set[int]) -> None:
+    """Add to ``gone`` the runs of a that have a line left, where b holds them."""
+    at: dict[int, list[int]] = {}
+    for low, high in runs:
+        if all(i in gone for i in range(low, high)):
+            continue
+        if not at:
+            for j, x in enumerate(b.tolist()):
+                at.setdefault(x, []).append(j)
+        if any(np.array_equal(a[low:high], b[j : j + high - low]) for j in at.get(int(a[low]), ())):
+            gone.update(range(low, high))
+
+
 def _align(batches, least: int):
     """One row a pair to the later document's deleted lines."""
     for batch in batches:
-        later, sizes, early = (batch.column(c) for c in (2, 3, 4))
         out = []
         for r in range(batch.num_rows):
-            a, b = later[r].as_py(), early[r].as_py()
-            out.append(blocks(patience(a, b), sizes[r].as_py(), least))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "tag", "gone"])
-
-
-def _powers(x: int, n: int) -> np.ndarray:
-    out = np.full(n, x, U64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=U64)
+            a, size, b = (batch.column(c)[r].values.to_numpy() for c in (2, 3, 5))
+            runs = batch.column(4)[r].values
+            # lines that the other document lacks align with nothing
+            ours, theirs = np.flatnonzero(np.isin(a, b)), np.flatnonzero(np.isin(b, a))
+            pairs = [(int(ours[i]), int(theirs[j])) for i, j in patience(a[ours].tolist(), b[theirs].tolist())]
+            gone = set(blocks(pairs, size.tolist(), least))
+            moved(a, b, list(zip(runs.field("low").to_pylist(), runs.field("high").to_pylist(), strict=True)), gone)
+            out.append(sorted(gone))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["d", "t", "gone"])
 
 
 def _runs(batches, least: int):
-    """d, t, line hashes and sizes to one row a run: d, t, its hash, first line, line after the last, and how often the document has it.
-
-    Runs of equal lines have equal hashes; others might, which costs an alignment only.
-    """
+    """d, t, line hashes and sizes to one row a run: d, t, its hash, first line and line after the last."""
     for batch in batches:
         count = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)
         end = np.cumsum(count)
@@ -132,97 +135,54 @@ def _runs(batches, least: int):
         doc, at = np.repeat(np.arange(len(count)), count), np.arange(len(lines))
         high = np.searchsorted(upto, upto[at] + least)
         low = np.searchsorted(upto, upto[at + 1] - least, "right") - 1
-        on, back, whole = high <= end[doc], low >= start[doc], upto[end] - upto[start] >= least
-        low, high = np.unique(np.stack([np.concatenate((at[on], low[back], start[whole])), np.concatenate((high[on], at[back] + 1, end[whole]))]), axis=1)
-        sums = np.concatenate((np.zeros(1, U64), np.cumsum(lines * _powers(_BASE, len(lines)), dtype=U64)))
-        run = mix((sums[high] - sums[low]) * _powers(_INVERSE, len(lines) + 1)[low] + (high - low).astype(U64))
+        on, back = high <= end[doc], low >= start[doc]
+        span = np.unique(np.concatenate((at[on], low[back])) * (len(lines) + 1) + np.concatenate((high[on], at[back] + 1)))
+        low, high = span // (len(lines) + 1), span % (len(lines) + 1)
         own = doc[low] if len(low) else low
-        # a run at either end is one of its own besides, as it aligns with the same end at once
-        ends = [(low == start[own], _HEAD), (high == end[own], _TAIL)]
-        low, high, own = (np.concatenate([x, *[x[at] for at, _ in ends]]) for x in (low, high, own))
-        run = np.concatenate([run, *[mix(run[at] ^ salt) for at, salt in ends]])
-        _, same, times = np.unique(mix(run + own.astype(U64) * U64(_BASE)), return_inverse=True, return_counts=True)
         take, shift = pa.array(own), start[own]
-        columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(run.view(np.int64)), pa.array((low - shift).astype(np.int32)), pa.array((high - shift).astype(np.int32)), pa.array(times[same] > 1)]
-        yield pa.RecordBatch.from_arrays(columns, ["d", "t", "run", "low", "high", "again"])
+        columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(run_hashes(lines, low, high).view(np.int64)), pa.array((low - shift).astype(np.int32)), pa.array((high - shift).astype(np.int32))]
+        yield pa.RecordBatch.from_arrays(columns, ["d", "t", "run", "low", "high"])
 
 
-def _left(batches):
-    """d, t, runs and deleted lines of each document to the runs that have a line left."""
-    for batch in batches:
-        ids, found = [], []
-        for r in range(batch.num_rows):
-            own = batch.column(2)[r].values
-            run, low, high = (own.field(c).to_numpy() for c in ("run", "low", "high"))
-            gone = np.sort(np.array(batch.column(3)[r].as_py() or [], np.int64))
-            open_ = np.unique(run[np.searchsorted(gone, high) - np.searchsorted(gone, low) < high - low])
-            found.append(open_)
-            ids.append(np.full(len(open_), r))
-        take = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64), pa.int64())
-        runs = pa.array(np.concatenate(found) if found else np.zeros(0, np.int64), pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), runs], ["d", "t", "run"])
-
-
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least_chars: int = 40, some: int = 16) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least_chars: int = 40) -> DataFrame:
     """``docs`` with a cleaned text, and ``n_lines``, ``n_removed``, ``removed_lines``.
 
     Lines end at a line feed; a line's surrounding blanks don't count in
     comparisons.  Of each pair, the document with the greater (doc_id, text hash)
-    is the later one.  A block of aligned lines is deleted from it if its lines
-    hold ``least_chars`` characters or more in total, so empty lines go only with
-    their neighbours.  Blocks are found on the input, and a line goes if the block
-    of any pair of documents holds it.
-
-    Null texts stay null with 0 lines; empty ones have one empty line.  Rows that
-    repeat an id and a text are one document and get the same result.  A null id
-    comes before all others.  An empty table gives an empty result; other columns
-    stay, and columns named like the results are replaced.
+    is the later one.  A line is deleted if it lies in a block of consecutive lines
+    that an earlier document holds too and that has ``least_chars`` characters or
+    more in total, so empty lines go only with their neighbours.  Blocks are found
+    on the input; what repeats within one document only stays.
+
+    Null texts stay null with 0 lines; empty ones have one empty line; long ones are
+    read whole.  Rows that repeat an id and a text are one document and get the same
+    result.  A null id comes before all others.  An empty table gives an empty
+    result; other columns stay, whatever their names, and columns named like the
+    results are replaced.
     """
-    text = F.col(text_col).cast("string")
-    base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed", "removed_lines")])
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), F.split(text, "\n", -1).alias("lines")).filter("lines is not null")
-    trimmed = F.transform("lines", lambda x: F.trim(x))
-    hashed = rows.select("doc_id", "tag", F.transform(trimmed, lambda x: F.when(x == "", F.lit(0).cast("long")).otherwise(F.xxhash64(x))).alias("hashes"), F.transform(trimmed, lambda x: F.length(x)).alias("sizes"))
-    listed = written(hashed, "lines").withColumn("me", F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("d"), F.col("tag").alias("t")))
-    seeds = listed.select("me.d", "me.t", "hashes", "sizes").mapInArrow(lambda it: _runs(it, max(1, least_chars)), "d long, t long, run long, low int, high int, again boolean").select(F.struct("d", "t").alias("me"), "run", "low", "high", "again")
-    holders = seeds.groupBy("run").agg(F.min("me").alias("first"), F.max("me").alias("last"), F.count("*").alias("n"), F.min(F.when(~F.col("again"), F.col("me"))).alias("once")).filter("first <> last").drop("last")
-    shared = written(seeds.drop("again").join(holders, "run"), "shared")
+    base = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed_lines")]
+    text = F.col("row").getField(text_col).cast("string")
+    me = docs.select(F.struct(*[F.col(f"`{c}`") for c in base]).alias("row"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("t"))
+    lines = F.split(text, "\n", -1)
+    trimmed = me.filter(text.isNotNull()).select("d", "t", F.transform(lines, lambda x: F.trim(x)).alias("lines"))
+    hashed = trimmed.select("d", "t", F.transform("lines", lambda x: F.when(x == "", F.lit(0).cast("long")).otherwise(F.xxhash64(x))).alias("hashes"), F.transform("lines", lambda x: F.length(x)).alias("sizes"))
+    listed = written(hashed, "lines")
+    seeds = listed.mapInArrow(lambda it: _runs(it, max(1, least_chars)), "d long, t long, run long, low int, high int")
+    # written, so that the join has an exchange of its own in which Spark can split a frequent run
+    holders = written(seeds.groupBy("run").agg(F.min(F.struct("d", "t")).alias("first"), F.max(F.struct("d", "t")).alias("last")).filter("first <> last").select("run", "first"), "holders")
+    later = seeds.join(holders, "run").filter(F.struct("d", "t") > F.col("first"))
+    pairs = written(later.groupBy("d", "t", F.col("first.d").alias("early_d"), F.col("first.t").alias("early_t")).agg(F.collect_set(F.struct("low", "high")).alias("runs")), "pairs")
     # only documents with a partner are needed from here on
-    arrays = listed.select("me", "hashes", "sizes").join(shared.select("me").distinct(), "me", "left_semi").dropDuplicates(["me"])
-
-    def aligned(pairs: DataFrame) -> DataFrame:
-        """The lines that go, one row a line: d, t, line."""
-        with_later = pairs.join(arrays.select(F.col("me").alias("later"), "hashes", "sizes"), "later")
-        both = with_later.join(arrays.select(F.col("me").alias("early"), F.col("hashes").alias("theirs")), "early")
-        found = both.select("later.d", "later.t", "hashes", "sizes", "theirs").mapInArrow(lambda it: _align(it, least_chars), "d long, t long, gone array<int>")
-        return written(found.filter(F.size("gone") > 0).select("d", "t", F.explode("gone").alias("line")).distinct(), "gone")
-
-    def by_document(lines: DataFrame) -> DataFrame:
-        return lines.distinct().groupBy("d", "t").agg(F.sort_array(F.collect_list("line")).alias("removed"))
-
-    later = shared.filter(F.col("me") > F.col("first"))
-    to_first = later.select(F.col("me").alias("later"), F.col("first").alias("early"))
-    to_once = later.filter(F.col("me") > F.col("once")).select(F.col("me").alias("later"), F.col("once").alias("early"))
-    near = written(to_first.union(to_once).distinct(), "pairs")
-    lines = aligned(near)
-    own = written(later.groupBy("me.d", "me.t").agg(F.collect_list(F.struct("run", "low", "high")).alias("runs")), "runs")
-    every = shared.select(F.col("me").alias("early"), "run", "n").distinct()
-    drawn = F.pmod(F.xxhash64("early", "run"), F.lit(1 << 20)) * F.col("n") < F.lit(some << 20)
-    for of in (every.filter(drawn), every):
-        left = own.join(by_document(lines), ["d", "t"], "left").mapInArrow(_left, "d long, t long, run long")
-        left = written(left.select(F.struct("d", "t").alias("later"), "run"), "left")
-        rest = left.join(of, "run").filter(F.col("later") > F.col("early")).select("later", "early").distinct()
-        rest = written(rest.join(near, ["later", "early"], "left_anti"), "pairs")
-        lines, near = lines.union(aligned(rest)), near.union(rest)
-    gone = by_document(lines)
-    me = base.withColumn("d_", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))).withColumn("t_", F.xxhash64(text))
-    met = me.join(gone, (F.col("d_") == F.col("d")) & (F.col("t_") == F.col("t")), "left")
-    cut = F.when(F.col("removed").isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("removed", i)), "\n"))
-    kept = [cut.alias(c) if c == text_col else F.col(f"`{c}`") for c in base.columns]
-    n_lines = F.coalesce(F.size(F.split(text, "\n", -1)), F.lit(0))
+    partners = pairs.select("d", "t").union(pairs.select("early_d", "early_t")).distinct()
+    arrays = written(listed.join(partners, ["d", "t"], "left_semi").dropDuplicates(["d", "t"]), "arrays")
+    both = pairs.join(arrays, ["d", "t"]).join(arrays.select(F.col("d").alias("early_d"), F.col("t").alias("early_t"), F.col("hashes").alias("theirs")), ["early_d", "early_t"])
+    found = both.select("d", "t", "hashes", "sizes", "runs", "theirs").mapInArrow(lambda it: _align(it, least_chars), "d long, t long, gone array<int>")
+    gone = found.select("d", "t", F.explode("gone").alias("line")).distinct().groupBy("d", "t").agg(F.sort_array(F.collect_list("line")).alias("removed"))
+    met = me.join(gone, ["d", "t"], "left")
+    cut = F.when(F.col("removed").isNull(), text).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("removed", i)), "\n"))
     return met.select(
-        *kept,
-        F.when(text.isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
+        *[cut.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in base],
+        F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long").alias("n_removed"),
         F.coalesce("removed", F.array().cast("array<int>")).alias("removed_lines"),
     )

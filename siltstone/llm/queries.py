@@ -100,6 +100,23 @@ FROM e GROUP BY source, lang, tokenizer
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": """
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, trim(unnest(a), ' ') AS x, unnest(range(len(a))) AS i FROM d),
+u AS (SELECT *, length(x) AS n, CAST(sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS upto FROM l),
+e AS (SELECT doc_id, upto, min(i) AS i FROM u GROUP BY doc_id, upto),
+b AS (SELECT doc_id, upto - n AS before, max(i) AS i FROM u GROUP BY doc_id, upto - n),
+s AS (SELECT u.doc_id, u.i AS low, e.i AS high FROM u ASOF JOIN e ON u.doc_id = e.doc_id AND u.upto - u.n + 40 <= e.upto
+ UNION SELECT u.doc_id, b.i, u.i FROM u ASOF JOIN b ON u.doc_id = b.doc_id AND u.upto - 40 >= b.before),
+t AS (SELECT doc_id, list_transform(a, lambda y: trim(y, ' ')) AS x FROM d),
+r AS (SELECT s.doc_id, low, high, array_to_string(x[low + 1 : high + 1], chr(10)) AS run FROM s JOIN t ON s.doc_id = t.doc_id),
+f AS (SELECT run, min(doc_id) AS first FROM r GROUP BY run),
+g AS (SELECT doc_id, list_sort(list(DISTINCT i)) AS gone FROM (SELECT r.doc_id, unnest(range(low, high + 1)) AS i FROM r JOIN f ON r.run = f.run WHERE r.doc_id > f.first) GROUP BY doc_id)
+SELECT o.doc_id, CAST(coalesce(len(a), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+ coalesce(array_to_string(gone, ','), '') AS removed_lines,
+ sha256(coalesce(array_to_string(list_transform(list_filter(range(1, len(a) + 1), lambda k: NOT list_contains(coalesce(gone, []), k - 1)), lambda k: a[k]), chr(10)), '')) AS kept_sha256
+FROM documents o LEFT JOIN d ON d.doc_id = o.doc_id LEFT JOIN g ON g.doc_id = o.doc_id
+""",
     "op2_substring_dedup": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 s AS (SELECT doc_id, w, unnest(range(len(w) - 34)) AS i FROM d WHERE len(w) >= 35),

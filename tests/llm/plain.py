@@ -74,21 +74,21 @@ def targets(sizes, weights=(3, 1, 2), share=1.5, limit=2.0):
     return full
 
 
-def line_dedup(rows, patience, blocks, rare, least):
-    """rows: (doc_id, text), ids distinct, to {doc_id: deleted lines}."""
+def line_dedup(rows, least):
+    """rows: (doc_id, text), ids distinct, to {doc_id: deleted lines}: all pairs, every common block by dynamic programming."""
     docs = {d: [x.strip(" ") for x in t.split("\n")] for d, t in rows if t is not None}
-    holders = defaultdict(list)
-    for d in sorted(docs):
-        for x in sorted(set(docs[d])):
-            if x:
-                holders[x].append(d)
-    pairs = set()
-    for own in holders.values():
-        for i, d in enumerate(own):
-            pairs.update((d, e) for e in (own[:i] if len(own) <= rare else own[:1]) if e != d)
     gone = defaultdict(set)
-    for a, b in pairs:
-        number = {x: i for i, x in enumerate(sorted({*docs[a], *docs[b]}))}
-        x, y = ([number[s] for s in docs[d]] for d in (a, b))
-        gone[a].update(blocks(patience(x, y), [len(s) for s in docs[a]], least))
+    for later, a in docs.items():
+        for early, b in docs.items():
+            if early >= later:
+                continue
+            above = [(0, 0)] * (len(b) + 1)  # lines and characters of the common run that ends above
+            for i, x in enumerate(a):
+                now = [(0, 0)]
+                for j, y in enumerate(b):
+                    n, size = above[j]
+                    now.append((n + 1, size + len(x)) if x == y else (0, 0))
+                    if now[-1][1] >= least:
+                        gone[later].update(range(i - now[-1][0] + 1, i + 1))
+                above = now
     return {d: sorted(gone[d]) for d in docs}
