@@ -28,15 +28,16 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return moved.filter("u <> v").distinct()
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``links(u, v)`` to ``(node, component)``; a component is named by its least node.
 
-    Nodes without a link have no row.  Each round is written to the shared folder.
-    An empty table gives an empty result.
+    Nodes without a link have no row.  Rounds, each written to the shared folder, go
+    on until one changes nothing, some log2 of the longest path; every round but the
+    last lowers a link, so they end.  An empty table gives an empty result.
     """
     now = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "links")
     seen = None
-    for _ in range(max_rounds):
+    while True:
         now = written(_star(_star(now, large=True), large=False), "star")
         mark = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if tuple(mark) == seen:

@@ -109,11 +109,11 @@ def _nodes(table: np.ndarray, trees: int, depth: int) -> np.ndarray:
 
 
 def _describe(batches, k: int, trees: int, depth: int):
-    """doc_id, text to doc_id, n_shingles, digest of the set, sketch and first nodes."""
+    """doc_id, tag, text to doc_id, tag, n_shingles, digest of the set, sketch and first nodes."""
     wide = coordinates(trees, depth)
     for batch in batches:
         sizes, digests, sketches = [], [], []
-        for items in _row_sets(batch.column(1), k):
+        for items in _row_sets(batch.column(2), k):
             sizes.append(len(items))
             digests.append(_digest(items))
             sketches.append(_sketch(items, wide) if len(items) else np.zeros(wide, np.int32))
@@ -124,12 +124,13 @@ def _describe(batches, k: int, trees: int, depth: int):
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
+                batch.column(1),
                 pa.array(sizes, pa.int64()),
                 pa.array(digests, pa.binary()),
                 pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * wide), pa.array(flat)),
                 pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(paths.view(np.int64))),
             ],
-            ["doc_id", "n", "cls", "sketch", "nodes"],
+            ["doc_id", "tag", "n", "cls", "sketch", "nodes"],
         )
 
 
@@ -275,17 +276,28 @@ def _confirm(batches, k: int, percent: int):
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["u", "v"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle_words: int = 5, percent: int = 80, recall: float = RECALL, first_depth: int = 3, cell: int = 1024, work: int = 1 << 26, max_depth: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``.
 
     Words are maximal runs of non-blank bytes after lower-casing A-Z.  Documents
     are linked where ``100 * |A & B| >= percent * |A | B|`` on their sets of
     ``shingle_words``-word shingles, and a component is named by its least doc_id.
 
-    Null or blank texts have an empty set and link with nothing.  Repeated rows are
-    separate rows of one class.  A component whose ids are all null, or a lone row
-    with a null id, has a null component and is kept.  An empty table gives an
-    empty result; other columns are ignored.
+    Null or blank texts have an empty set and link with nothing; very long ones are
+    read whole.  Repeated rows are separate rows of one class.  A component whose
+    ids are all null, or a lone row with a null id, has a null component and is kept.
+    An empty table gives an empty result; other columns are ignored.  ``options``
+    are those of :func:`classes_of`.
+    """
+    classed = classes_of(docs, id_col, text_col, **options)
+    named_by = classed.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    full = classed.filter("n > 0").join(named_by, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    blank = classed.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return full.union(blank).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle_words: int = 5, percent: int = 80, recall: float = RECALL, first_depth: int = 3, cell: int = 1024, work: int = 1 << 26, max_depth: int = 6) -> DataFrame:
+    """One row per document: ``doc_id, tag, n, comp``: a hash of its text, the size of its set and its component's class.
 
     A node is compared exhaustively, in cells of ``cell`` rows a side, if that takes
     at most ``work`` comparisons or its depth is ``max_depth``; others are branched on.
@@ -293,7 +305,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     trees = trees_for(percent / 100, recall)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     described = written(
-        rows.mapInArrow(lambda it: _describe(it, shingle_words, trees, first_depth), "doc_id long, n long, cls binary, sketch array<int>, nodes array<long>"),
+        rows.select("doc_id", F.xxhash64("text"), "text").mapInArrow(lambda it: _describe(it, shingle_words, trees, first_depth), "doc_id long, tag long, n long, cls binary, sketch array<int>, nodes array<long>"),
         "sets",
     )
     # equal sets have equal sketches; one document of a class lends its text
@@ -372,11 +384,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         links = links.union(confirmed(stars(live)))
         depth += 1
-    classed = described.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "n", "cls", F.coalesce("component", "cls").alias("comp"))
-    named_by = classed.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    full = classed.filter("n > 0").join(named_by, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    blank = classed.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return full.union(blank).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    return described.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "tag", "n", F.coalesce("component", "cls").alias("comp"))
 
 
 def _texts_of(rows: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
@@ -398,8 +406,18 @@ def _texts_of(rows: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
     return near.mapInArrow(task, "cls binary, text string, bits binary, paths binary").dropDuplicates(["cls"])
 
 
-def kept_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that another of their component stands for."""
-    id_col = options.get("id_col", "doc_id")
-    gone = near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each component: that of the least doc_id, null ids last, then of the least text hash.
+
+    Documents are told apart by id and text, so a document that shares the id of a
+    copy stays; of rows that repeat both, one stays.  Null and blank texts all stay.
+    """
+    classed = classes_of(docs, id_col, text_col, **options).filter("n > 0")
+    chief = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag"))
+    kept = written(classed.groupBy("comp").agg(chief.alias("chief")).select("chief.doc_id", "chief.tag", F.lit(True).alias("kept")), "kept")
+    known = classed.select("doc_id", "tag").distinct().alias("a").join(kept.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.tag") == F.col("b.tag")), "left").select("a.doc_id", "a.tag", F.coalesce("kept", F.lit(False)).alias("kept"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select("row", F.col("row").getField(id_col).cast("long").alias("d"), F.xxhash64(F.col("row").getField(text_col).cast("string")).alias("t"))
+    met = rows.join(known, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("tag")), "left").filter("kept is null or kept")
+    # rows that repeat a chief are one; blank texts, in no component, each are their own
+    own = F.when(F.col("kept").isNull(), F.monotonically_increasing_id())
+    return met.select("row", "d", "t", own.alias("own")).dropDuplicates(["d", "t", "own"]).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -101,8 +101,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ``limit`` times, a limit of at most 2.  ``tag`` is a hash of the text that tells
     rows of one id apart.
 
-    Null sources are one source.  Repeated rows lie side by side and are taken
-    alike in sum.  Empty documents and an empty table take nothing.
+    Null sources are one source, null ids a value like any other.  Rows that repeat
+    an id, a text and a source lie side by side and share what is taken; equal texts
+    of two sources are two documents.  Very long texts are cut by blocks like
+    others.  Sources of equal ratio fill up in order of code point, documents of
+    equal hash in order of id.  Empty documents and an empty table take nothing;
+    other columns are ignored.
     ``block_words`` is 1/20,000 of the mix by default, between 1 and 4,096.
     """
     text = F.col(text_col).cast("string")
@@ -126,11 +130,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     line = laid_out(sized).filter("size > 0").withColumn("cell", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block))))
     x, y = line.alias("x"), cut.alias("y")
     overlap = F.least(F.col("x.begin") + F.col("x.size"), F.col("y.high"), (F.col("x.cell") + 1) * block) - F.greatest(F.col("x.begin"), F.col("y.low"), F.col("x.cell") * block)
-    met = x.join(y, (F.col("x.cell") == F.col("y.cell")) & F.col("x.source").eqNullSafe(F.col("y.source"))).select(F.col("x.doc_id").alias("d"), F.col("x.tag").alias("t"), F.greatest(F.lit(0), overlap).alias("n"))
-    taken = met.groupBy("d", "t").agg(F.sum("n").alias("taken"))
-    # rows that repeat an id and a text share what was taken of them
+    met = x.join(y, (F.col("x.cell") == F.col("y.cell")) & F.col("x.source").eqNullSafe(F.col("y.source"))).select(F.col("x.doc_id").alias("d"), F.col("x.tag").alias("t"), F.col("x.source").alias("s"), F.greatest(F.lit(0), overlap).alias("n"))
+    taken = met.groupBy("d", "t", "s").agg(F.sum("n").alias("taken"))
+    # rows that repeat an id, a text and a source share what was taken of them
     copies = sized.groupBy("doc_id", "tag", "source", "size").agg(F.count("*").alias("copies"))
-    full = copies.join(taken, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("tag").eqNullSafe(F.col("t")), "left")
+    full = copies.join(taken, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("tag").eqNullSafe(F.col("t")) & F.col("source").eqNullSafe(F.col("s")), "left")
     full = full.alias("f").join(goals.alias("g"), F.col("f.source").eqNullSafe(F.col("g.source")))
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))
     part = lambda i: F.floor(F.col("all") / F.col("copies")) + F.when(i < F.col("all") % F.col("copies"), 1).otherwise(0)
@@ -143,10 +147,13 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A document is repeated ``round(taken / size)`` times, half counting up, so some
     are left out and some are there twice; empty documents stay as they are.  The
-    columns are those of ``docs``.
+    columns are those of ``docs``, whatever their names.
     """
     drawn = mix(docs, id_col, text_col, source_col, **options)
-    times = drawn.groupBy(F.col("doc_id").alias("d_"), F.col("tag").alias("t_")).agg(F.when(F.max("size") == 0, 1).otherwise(F.floor(F.avg(F.col("taken") / F.greatest(F.lit(1), "size")) + 0.5)).cast("int").alias("times_"))
-    rows = docs.withColumn("tag_", F.xxhash64(F.col(text_col).cast("string")))
-    met = rows.join(times.filter("times_ > 0"), F.col(id_col).cast("long").eqNullSafe(F.col("d_")) & (F.col("tag_") == F.col("t_")))
-    return met.withColumn("turn_", F.explode(F.sequence(F.lit(1), F.col("times_")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    share = F.avg(F.col("taken") / F.greatest(F.lit(1), "size"))
+    times = drawn.groupBy("doc_id", "tag", "source").agg(F.when(F.max("size") == 0, 1).otherwise(F.floor(share + 0.5)).cast("int").alias("times")).filter("times > 0")
+    # the row in one column, so that no name of its columns clashes
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    of = lambda c, kind: F.col("row").getField(c).cast(kind)
+    met = rows.join(times, of(id_col, "long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(of(text_col, "string")) == F.col("tag")) & of(source_col, "string").eqNullSafe(F.col("source")))
+    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

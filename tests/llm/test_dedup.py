@@ -103,6 +103,47 @@ def test_kept_documents_keep_columns(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4, 5]
 
 
+def test_kept_documents_are_rows(spark):
+    one, two = "some words of a document that is copied", "quite another text under the same id here"
+    rows = [(1, one), (2, one), (2, two), (3, two), (3, two), (4, None), (4, None), (None, one), (5, "lone text"), (5, "lone text")]
+    kept = near_dedup.kept_documents(spark.createDataFrame([(d, t, "a", "b") for d, t in rows], "doc_id long, text string, kept string, own string"))
+    assert kept.columns == ["doc_id", "text", "kept", "own"]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(1, one), (2, two), (4, None), (4, None), (5, "lone text")], key=repr)
+
+
+@pytest.mark.parametrize("operator", [line_dedup.line_dedup, line_dedup.cleaned_documents, near_dedup.kept_documents])
+def test_names_of_other_columns_do_not_clash(spark, operator):
+    names = ["d", "t", "row", "removed", "line", "gone", "comp", "first"]
+    text = "a line that is long enough to be a block of its own\nb"
+    docs = spark.createDataFrame([(i, text, *names) for i in range(3)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    out = operator(docs)
+    assert out.columns[: len(docs.columns)] == docs.columns
+    assert {tuple(r[c] for c in names) for r in out.collect()} == {tuple(names)}
+
+
+def regular(n):
+    """Two texts of n letters whose polynomial hashes modulo 2^64 are equal for any odd base."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_regular_words_do_not_collide(spark, n):
+    a, b = regular(n)
+    shared = [f"s{i}" for i in range(34)]
+    rows = [(1, " ".join([a, *shared])), (2, " ".join([b, *shared])), (3, a), (4, b)]
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(frame(spark, rows)).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame(spark, rows[2:])).collect()} == {3: 3, 4: 4}
+
+
+@pytest.mark.parametrize("n", [32, 64, 1024])
+def test_regular_runs_do_not_collide(spark, n):
+    a, b = (t.replace("a", "xx ").replace("b", "yy ") for t in regular(n))
+    rows = [(1, a), (2, b)]
+    got = substring_dedup.remove_repeats(frame(spark, rows), window=n).select("doc_id", "n_removed").collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {1: 0, 2: 0}
+
+
 def test_patience_aligns_in_order():
     rnd = random.Random(7)
     for _ in range(200):
@@ -122,7 +163,7 @@ def test_lines_go_from_the_later_document(spark):
     rows = [(i, "\n".join(rnd.choice(lines) for _ in range(rnd.randrange(9)))) for i in range(120)] + [(200, None), (201, ""), (202, "\n\n"), (203, "é" * 50), (204, "é" * 50)]
     got = line_dedup.line_dedup(frame(spark, rows))
     assert got.columns == [*SCHEMA.replace(" long", "").replace(" string", "").replace(" int", "").split(", "), "n_lines", "n_removed", "removed_lines"]
-    want = plain.line_dedup(rows, line_dedup.patience, line_dedup.blocks, 4, 40)
+    want = plain.line_dedup(rows, 40)
     texts = dict(rows)
     for r in got.collect():
         gone = want.get(r["doc_id"], [])
@@ -145,14 +186,14 @@ def test_empty_tables_and_nulls(spark, operator):
     assert operator(frame(spark, rows)).count() == len(rows)
 
 
-@pytest.mark.parametrize("name", ["op2_substring_dedup", "op8_near_dedup"])
+@pytest.mark.parametrize("name", ["op1_line_dedup", "op2_substring_dedup", "op8_near_dedup"])
 def test_queries_equal_their_sql(spark, small, name):
     against_duckdb(QUERIES[name](spark, small), ORACLE_SQL[name], small)
 
 
 def test_line_query_equals_plain_version(spark, small):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
-    want = plain.line_dedup(docs, line_dedup.patience, line_dedup.blocks, 4, 40)
+    want = plain.line_dedup(docs, 40)
     for r in QUERIES["op1_line_dedup"](spark, small).collect():
         gone = want[r["doc_id"]]
         assert r["removed_lines"] == ",".join(map(str, gone))
@@ -174,7 +215,7 @@ def repeated_lines(rnd):
 def test_lines_go_as_in_all_pairs(spark):
     for seed in (1, 2):
         rows = repeated_lines(random.Random(seed))
-        want = plain.line_dedup(rows, line_dedup.patience, line_dedup.blocks, len(rows), 40)
+        want = plain.line_dedup(rows, 40)
         assert want[11] == [1, 2, 3, 4] and want[22] == [1]
         assert {r["doc_id"]: r["removed_lines"] for r in line_dedup.line_dedup(frame(spark, rows)).collect()} == want
 

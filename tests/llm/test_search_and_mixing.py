@@ -104,6 +104,16 @@ def test_small_sources_reach_their_targets(spark):
     assert source_mixing.mixed_documents(docs).filter("source <> 'big'").select("source").distinct().count() == 20
 
 
+def test_equal_texts_of_two_sources_are_two_documents(spark):
+    rows = [(i, " ".join(["w"] * 30), s) for i in range(20) for s in ("a", "b")] + [(100 + i, " ".join(["v"] * 40), "a") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    check_mix(rows, source_mixing.mix(docs).collect())
+    named = docs.selectExpr("*", "'x' as tag", "'y' as times", "'z' as row", "'u' as d_", "1 as size")
+    mixed = source_mixing.mixed_documents(named)
+    assert mixed.columns == named.columns
+    assert set(map(tuple, mixed.select("tag", "times", "row", "d_", "size").collect())) == {("x", "y", "z", "u", 1)}
+
+
 def test_slots_spread_evenly(spark):
     shares = spark.createDataFrame([("a", 60.0), ("b", 30.0), (None, 10.0)], "source string, target double")
     rows = sorted(source_mixing.schedule(shares, 1000).collect(), key=lambda r: r["slot"])
