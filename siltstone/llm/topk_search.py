@@ -2,59 +2,79 @@
 
 Adding one component sqrt(M^2 - |x|^2) to every vector, M the greatest norm, turns
 the greatest inner products into the least Euclidean distances, so that a metric
-tree finds them.  The tree has three levels: a bounded set of routing objects, to
-whose nearest every vector goes; subtrees of a node, split by a hash of the id so
-that none exceeds ``subtree_rows``; and leaf pages inside a subtree, split at two
-distant objects.  Every page has its routing object, covering radius and distance
-to its parent, every entry its distance to the page's object.
-
-A block of queries searches a subtree best-first: the page with the least
-possible distance comes next, pages whose lower bound exceeds a query's k-th best
-are skipped without computing a distance, by the stored parent distance first and
-by the page's own distance then, and so are entries by their stored distances.
-Queries search their home subtree first; only subtrees that can still improve
-their result are searched after it.  No bound is approximate: results are exact.
+tree finds them.  Its upper nodes have routing objects, to whose nearest every
+vector goes: a bounded set at the root, then, in nodes of more than
+``subtree_rows`` vectors, objects of their own, level by level.  A node that is
+small enough is a subtree, cut at two distant objects into leaf pages.  Subtrees and
+pages are written once, each with its routing object, covering radius and distance
+to its parent's object, and every entry with its distance to the page's.
+
+A block of queries searches a part of the tree best-first: the node with the least
+possible distance comes next, and nodes whose lower bound exceeds a query's k-th
+best are skipped, pages by the stored parent distance before any distance is
+computed and by their own distance then, and so are entries by their stored
+distances.  Queries search their home subtree first; only where a root's ball can
+still improve their result do they go on.  No bound is approximate: results are
+exact.
+
+Shuffle: a query goes to the roots it can't rule out, at most ``roots``.  Under a
+root, blocks of queries meet parts of the tree of some ``4 * 2^20 / dimension`` rows a
+side, so each vector that is sent takes part in as many products.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.llm.wordhash import U64, mix, ranges
 from siltstone.llm.workspace import written
 
-#: Quantised components are held within +-2^40, far beyond any stored float's use here.
-_LIMIT = float(1 << 40)
-_CELL = "query_id long, vec_id long, score long"
+#: Components of a block's or part's vectors that a task holds.
+HELD = 1 << 22
+#: Queries of a block that search together.
+TOGETHER = 4096
+#: Levels under the root at which nodes are split at routing objects; below, by a hash of the row.
+DEEPEST = 12
+_CELL = "uid long, query_id long, vec_id long, score long"
+_PAGE = "root int, node long, object binary, radius double, page_object binary, page_radius double, parent double, uids binary, ids binary, entries binary, vectors binary"
 
 
 def _pack(batches, scale: float):
-    """vec_id, embedding to vec_id, packed integer components and squared norm; invalid rows go."""
+    """vec_id, vector to vec_id, packed integer components and squared norm; invalid rows go."""
     for batch in batches:
-        ids, vectors, norms = [], [], []
-        for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if i is None or v is None or any(c is None for c in v):
-                continue
-            x = np.asarray(v, dtype=np.float64)
-            if not np.isfinite(x).all():
-                continue
-            x = np.clip(np.floor(scale * x), -_LIMIT, _LIMIT)
-            ids.append(i)
-            vectors.append(x.astype(np.int64).tobytes())
-            norms.append(float(x @ x))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vectors, pa.binary()), pa.array(norms, pa.float64())], ["vec_id", "v", "norm2"])
+        lists, n = batch.column(1), batch.num_rows
+        size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        given = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        row = np.repeat(np.arange(n), size)
+        wrong = np.bincount(row, weights=~np.isfinite(given), minlength=n) > 0
+        ok = ~wrong & ~lists.is_null().to_numpy(zero_copy_only=False) & ~batch.column(0).is_null().to_numpy(zero_copy_only=False)
+        mine = ok[row]
+        with np.errstate(over="ignore"):
+            x = np.floor(scale * given[mine])
+            norm2 = np.bincount(row[mine], weights=x * x, minlength=n)
+        whole = np.where(np.abs(x) < 2.0**62, x, 0.0).astype(np.int64)
+        bounds = np.concatenate(([0], np.cumsum(size[ok]))) * 8
+        packed = pa.Array.from_buffers(pa.binary(), int(ok.sum()), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(whole)])
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), packed, pa.array(norm2[ok])], ["vec_id", "v", "norm2"])
 
 
 def _matrix(packed, dim: int) -> np.ndarray:
+    """Packed vectors as rows, shorter ones padded with zeros."""
+    packed = list(packed)
+    flat = np.frombuffer(b"".join(packed), np.int64)
+    size = np.array([len(x) // 8 for x in packed], dtype=np.int64)
+    if (size == dim).all():
+        return flat.reshape(len(packed), dim)
     out = np.zeros((len(packed), dim), dtype=np.int64)
-    for r, x in enumerate(packed):
-        own = np.frombuffer(x, np.int64)
-        out[r, : len(own)] = own
+    out[np.repeat(np.arange(len(packed)), size), ranges(np.zeros(len(packed), np.int64), size)] = flat
     return out
 
 
@@ -70,7 +90,7 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Page:
-    """A leaf: a routing object, its covering radius and parent distance, and its entries."""
+    """A leaf under construction: a routing object, its covering radius and parent distance, and its entries."""
 
     __slots__ = ("entry", "ids", "object", "parent", "radius", "rows")
 
@@ -101,88 +121,119 @@ def _pages(lifted: np.ndarray, root: np.ndarray, size: int) -> list[Page]:
     return out
 
 
-def _search(queries: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, vectors: np.ndarray, ids: np.ndarray, root: np.ndarray, top: float, k: int, page_rows: int):
-    """The k best (score, id) of each query in one subtree that aren't under ``floor``.
+def _build(subtree: pd.DataFrame, dim: int, top: float, page_rows: int) -> pd.DataFrame:
+    """The rows of a subtree to its pages, one row each."""
+    vectors = _matrix(subtree["v"], dim)
+    lifted = _lifted(vectors, top)
+    root = lifted[_distances(lifted, lifted.mean(axis=0)[None])[:, 0].argmin()]
+    radius = float(_distances(lifted, root[None]).max())
+    uids, ids = (subtree[c].to_numpy(np.int64) for c in ("uid", "vec_id"))
+    blob = lambda x, kind: np.ascontiguousarray(x, kind).tobytes()
+    out = []
+    for p in _pages(lifted, root, page_rows):
+        out.append((blob(root, np.float64), radius, blob(p.object, np.float64), p.radius, p.parent, blob(uids[p.rows], np.int64), blob(ids[p.rows], np.int64), blob(p.entry, np.float64), blob(vectors[p.rows], np.int64)))
+    done = pd.DataFrame(out, columns=["object", "radius", "page_object", "page_radius", "parent", "uids", "ids", "entries", "vectors"])
+    done.insert(0, "root", np.int32(subtree["root"].iloc[0]))
+    done.insert(1, "node", np.int64(subtree["node"].iloc[0]))
+    return done
+
+
+class Leaf:
+    """A stored page."""
+
+    __slots__ = ("entry", "ids", "object", "parent", "radius", "uids", "vectors")
+
+    def __init__(self, row, dim: int, kind):
+        self.object = np.frombuffer(row.page_object, np.float64)
+        self.radius, self.parent = row.page_radius, row.parent
+        self.uids, self.ids = np.frombuffer(row.uids, np.int64), np.frombuffer(row.ids, np.int64)
+        self.entry = np.frombuffer(row.entries, np.float64)
+        self.vectors = np.frombuffer(row.vectors, np.int64).reshape(len(self.ids), dim).astype(kind)
+
+
+def _subtrees(pages: pd.DataFrame, dim: int, kind) -> list[tuple[int, np.ndarray, float, list[Leaf]]]:
+    """(node, object, radius, pages) of each subtree."""
+    out: dict[int, tuple[int, np.ndarray, float, list[Leaf]]] = {}
+    for row in pages.itertuples():
+        out.setdefault(row.node, (row.node, np.frombuffer(row.object, np.float64), row.radius, []))[3].append(Leaf(row, dim, kind))
+    return list(out.values())
 
-    ``ids`` ascend; a key packs score and rank of id, so that ties go to the smaller id.
+
+def exact_in_floats(top: float) -> bool:
+    """Whether scores of vectors whose squared norms are at most ``top`` are exact as 64-bit floats."""
+    return top < 2.0**52
+
+
+def _search(queries: np.ndarray, uids: np.ndarray, home: np.ndarray, floor: np.ndarray, subtrees, top: float, k: int, counted: dict | None = None):
+    """The k best (query, vec_id, score) of each query that aren't under its floor.
+
+    A query's own row and its home subtree, unless that is -1, are left out.  Scores are
+    multiplied and ranked as floats where these are exact, else as integers.
     """
-    lifted = _lifted(vectors, top)
-    pages = _pages(lifted, root, page_rows)
+    kind = np.float64 if exact_in_floats(top) else np.int64
+    none = kind(-np.inf) if kind is np.float64 else np.int64(-(2**63 - 1))
+    own = queries.astype(kind)
     wide = np.hstack((queries.astype(np.float64), np.zeros((len(queries), 1))))
     q2 = (wide * wide).sum(axis=1)
-    exact = float(np.sqrt(q2.max(initial=0.0) * top)) < 2.0**52
-    # integer scores in float64 are exact below 2^53; beyond, integers are multiplied
-    left = queries.astype(np.float64) if exact else queries
-    right = vectors.astype(np.float64) if exact else vectors
-    slack = 1e-9 * (1.0 + q2.max(initial=0.0) + top)
-    to_root = _distances(wide, root[None])[:, 0]
-    best = np.full((len(queries), k), -np.inf)
-    best_row = np.full((len(queries), k), -1, dtype=np.int64)
-
-    def reach() -> np.ndarray:
+    slack = 1e-9 * (1.0 + q2 + top)
+    best = np.full((len(queries), k), none)
+    best_id = np.full((len(queries), k), np.iinfo(np.int64).max)
+    floor = np.maximum(floor, none)
+
+    def reach(of) -> np.ndarray:
         """How far a row that still counts can be from each query."""
-        least = np.maximum(best[:, -1], floor)
-        return np.sqrt(np.maximum(0.0, q2 + top - 2.0 * least) + slack)
+        least = np.maximum(best[of, -1], floor[of]).astype(np.float64)
+        least[least <= float(none)] = -np.inf
+        # finite, so that the infinite distance of a subtree left out is beyond it
+        return np.minimum(np.sqrt(np.maximum(0.0, q2[of] + top - 2.0 * least) + slack[of]), np.finfo(np.float64).max)
 
-    far = reach()
-    heap = []
-    for p, page in enumerate(pages):
-        bound = np.maximum(0.0, np.abs(to_root - page.parent) - page.radius)
+    far = reach(slice(None))
+    heap, order = [], itertools.count()
+
+    def push(bound: np.ndarray, *item) -> None:
         if (bound <= far).any():
-            heap.append((float(bound.min()), 0, p))
-    heapq.heapify(heap)
-    kept: dict[int, np.ndarray] = {}
+            heapq.heappush(heap, (float(bound.min()), next(order), *item))
+
+    for node, point, radius, pages in subtrees:
+        to = _distances(wide, point[None])[:, 0]
+        to[home == node] = np.inf
+        push(to - radius, 0, to, pages)
     while heap:
-        _, stage, p = heapq.heappop(heap)
-        page = pages[p]
+        _, _, stage, to, item = heapq.heappop(heap)
         if stage == 0:
-            # the parent distance didn't rule it out: compute the distance to its object
-            live = np.flatnonzero(np.abs(to_root - page.parent) - page.radius <= far)
-            if not len(live):
-                continue
+            for page in item:
+                # ruled out by the stored parent distance, or queued by it
+                push(np.abs(to - page.parent) - page.radius, 1, to, page)
+            continue
+        page = item
+        if stage == 1:
+            live = np.flatnonzero(np.abs(to - page.parent) - page.radius <= far)
             near = np.full(len(queries), np.inf)
             near[live] = _distances(wide[live], page.object[None])[:, 0]
-            kept[p] = near
-            bound = np.maximum(0.0, near - page.radius)
-            if (bound <= far).any():
-                heapq.heappush(heap, (float(bound.min()), 1, p))
+            push(near - page.radius, 2, near, page)
             continue
-        near = kept.pop(p)
-        live = np.flatnonzero(near - page.radius <= far)
+        live = np.flatnonzero(to - page.radius <= far)
         if not len(live):
             continue
-        low, high = (near[live] - far[live]).min(), (near[live] + far[live]).max()
-        some = np.flatnonzero((page.entry >= low) & (page.entry <= high))
+        some = np.flatnonzero((page.entry >= (to[live] - far[live]).min()) & (page.entry <= (to[live] + far[live]).max()))
         if not len(some):
             continue
-        rows = page.rows[some]
-        score = (left[live] @ right[rows].T).astype(np.float64 if exact else object)
-        score = np.where(ids[rows][None, :] == q_ids[live][:, None], -np.inf, score)
-        all_score = np.hstack((best[live], score.astype(np.float64)))
-        all_row = np.hstack((best_row[live], np.broadcast_to(rows, score.shape)))
-        order = np.lexsort((np.where(all_row < 0, np.iinfo(np.int64).max, all_row), -all_score), axis=1)[:, :k] if all_score.shape[1] <= 4 * k else _top(all_score, all_row, k)
-        best[live] = np.take_along_axis(all_score, order, 1)
-        best_row[live] = np.take_along_axis(all_row, order, 1)
-        far[live] = reach()[live]
-    q, c = np.nonzero((best_row >= 0) & (best > -np.inf) & (best >= floor[:, None]))
-    rows = best_row[q, c]
-    return q, rows, (queries[q] * vectors[rows]).sum(axis=1)
-
-
-def _top(score: np.ndarray, row: np.ndarray, k: int) -> np.ndarray:
-    """Columns of each line's k best by (score down, row up)."""
-    cut = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
-    more = (score > cut).sum(axis=1)
-    tie = np.where((score == cut) & (row >= 0), row, np.iinfo(np.int64).max)
-    tie_order = np.argsort(tie, axis=1, kind="stable")
-    place = np.empty_like(tie_order)
-    np.put_along_axis(place, tie_order, np.broadcast_to(np.arange(score.shape[1]), score.shape), 1)
-    chosen = (score > cut) | ((score == cut) & (place < (k - more)[:, None]))
-    flat = np.nonzero(chosen)[1].reshape(len(score), k)
-    own = np.take_along_axis(score, flat, 1)
-    line = np.take_along_axis(row, flat, 1)
-    order = np.lexsort((line, -own), axis=1)
-    return np.take_along_axis(flat, order, 1)
+        if counted is not None:
+            counted["products"] = counted.get("products", 0) + len(live) * len(some)
+        score = own[live] @ page.vectors[some].T
+        score[page.uids[some][None, :] == uids[live][:, None]] = none
+        hit = np.flatnonzero((score >= np.maximum(best[live, -1], floor[live])[:, None]).any(axis=1) & (score > none).any(axis=1))
+        if not len(hit):
+            continue
+        live = live[hit]
+        all_score = np.hstack((best[live], score[hit]))
+        all_id = np.hstack((best_id[live], np.broadcast_to(page.ids[some], (len(hit), len(some)))))
+        chosen = np.lexsort((all_id, -all_score), axis=1)[:, :k]
+        best[live] = np.take_along_axis(all_score, chosen, 1)
+        best_id[live] = np.take_along_axis(all_id, chosen, 1)
+        far[live] = reach(live)
+    q, c = np.nonzero((best > none) & (best >= floor[:, None]))
+    return q, best_id[q, c], best[q, c].astype(np.int64)
 
 
 def _routing(sample: np.ndarray, count: int) -> np.ndarray:
@@ -196,91 +247,128 @@ def _routing(sample: np.ndarray, count: int) -> np.ndarray:
     return distinct[pick]
 
 
-def top_k(table: DataFrame, k: int = 20, every: int = 20, *, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0, roots: int = 32, sample_rows: int = 1024, subtree_rows: int = 4096, block_rows: int = 1024, page_rows: int = 128) -> DataFrame:
+def top_k(table: DataFrame, k: int = 20, every: int = 20, *, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0, roots: int = 32, sample_rows: int = 1024, fan: int = 16, subtree_rows: int = 4096, page_rows: int = 128, block_rows: int | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k greatest integer inner products of each query.
 
     Components become ``floor(scale * x)``.  Queries are the rows whose id is
     divisible by ``every``; candidates are all rows but the query's own; ties go to
-    the smaller id.  Routing objects come from ``sample_rows`` rows chosen by a
-    hash of the id; every row is indexed.
+    the smaller id.  The root's routing objects come from ``sample_rows`` rows, those
+    of lower nodes from some 256 of theirs, all chosen by hashes; every row is indexed.
 
     Rows with a null id, a null vector, or null or non-finite components take no
-    part.  An id names one row: of rows that repeat it, the one with the least
-    vector takes part.  Shorter vectors count as padded with zeros.  An empty table
-    gives an empty result; other columns are ignored.
+    part.  Rows that repeat an id are rows of their own, as candidates and as queries,
+    so a query id then has several results.  Shorter vectors count as padded with
+    zeros.  An empty table gives an empty result; other columns are ignored.
+
+    Scores are exact.  A squared norm of 2^62 or more, whose scores need not fit a
+    long, is an error, as an overflow is in SQL.
     """
-    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    packed = rows.mapInArrow(lambda it: _pack(it, scale), "vec_id long, v binary, norm2 double")
-    unique = written(packed.groupBy("vec_id").agg(F.min(F.struct("v", "norm2")).alias("x")).select("vec_id", "x.v", "x.norm2"), "vectors")
-    size = unique.agg(F.max(F.length("v")), F.max("norm2")).first()
     spark = table.sparkSession
+    result = "query_id long, rank int, vec_id long, score long"
+    rows = table.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
+    packed = rows.mapInArrow(lambda it: _pack(it, scale), "vec_id long, v binary, norm2 double")
+    vectors = written(packed.withColumn("uid", F.monotonically_increasing_id()), "vectors")
+    size = vectors.agg(F.max(F.length("v")), F.max("norm2")).first()
     if size[0] is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return spark.createDataFrame([], result)
     dim, top = size[0] // 8, size[1]
-    sample = unique.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").collect()
-    objects = _routing(_matrix([r["v"] for r in sample], dim), roots)
-    anchors = _lifted(objects, top)
+    if not top < 2.0**62:
+        raise ValueError(f"scores of vectors with a squared norm of {top:g} need not fit a long")
+    kind = np.float64 if exact_in_floats(top) else np.int64
+    held = block_rows or max(TOGETHER, HELD // max(1, dim))
+    sample = vectors.orderBy(F.xxhash64("uid")).limit(sample_rows).select("v").collect()
+    anchors = _lifted(_routing(_matrix([r["v"] for r in sample], dim), roots), top)
 
     def place(batches):
         for batch in batches:
-            own = _matrix(batch.column(1).to_pylist(), dim)
-            d = _distances(_lifted(own, top), anchors) if len(own) else np.zeros((0, len(anchors)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d.argmin(axis=1).astype(np.int32)), pa.array(d.min(axis=1, initial=np.inf))], ["vec_id", "v", "node", "away"])
-
-    placed = written(unique.select("vec_id", "v").mapInArrow(place, "vec_id long, v binary, node int, away double"), "placed")
-    # one line a routing object, at most ``roots`` of them
-    nodes = {r["node"]: (r["n"], r["radius"]) for r in placed.groupBy("node").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()}
-    parts = {node: -(-n // subtree_rows) for node, (n, _) in nodes.items()}
-    part_of = F.create_map(*[F.lit(x) for pair in parts.items() for x in pair])
-    tree = placed.withColumn("parts", part_of[F.col("node")]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+            own = _matrix(batch.column(2).to_pylist(), dim)
+            d = _distances(_lifted(own, top), anchors)
+            root = d.argmin(axis=1) if len(own) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(root.astype(np.int32)), pa.array(root), pa.array(d.min(axis=1, initial=np.inf))], ["uid", "vec_id", "v", "root", "node", "away"])
+
+    placed = written(vectors.select("uid", "vec_id", "v").mapInArrow(place, "uid long, vec_id long, v binary, root int, node long, away double"), "placed")
+    # one line a root, at most ``roots`` of them
+    balls = {r["root"]: (r["n"], r["radius"]) for r in placed.groupBy("root").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()}
+    tree = placed.drop("away")
+
+    def objects_of(batches):
+        for batch in batches:
+            found = [_routing(_matrix(sorted(x), dim), fan) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary())], ["node", "objects"])
+
+    def descend(batches, depth: int):
+        """Rows of a large node to its children: those of its routing objects, or of hashes where it has but one."""
+        for batch in batches:
+            node, uid = (batch.column(c).to_numpy().copy() for c in (3, 0))
+            vectors_, many, objects = batch.column(2).to_pylist(), batch.column(4).to_pylist(), batch.column(5)
+            for of in np.unique(node):
+                at = np.flatnonzero(node == of)
+                if many[at[0]] is None:
+                    continue
+                flat = np.frombuffer(objects[int(at[0])].as_py() or b"", np.int64)
+                points = flat.reshape(-1, dim) if dim else flat[:0]
+                if len(points) > 1 and depth <= DEEPEST:
+                    child = _distances(_lifted(_matrix([vectors_[i] for i in at], dim), top), _lifted(points, top)).argmin(axis=1)
+                else:
+                    child = (mix(uid[at].astype(U64) + U64(depth)) % U64(-(-many[at[0]] // subtree_rows))).astype(np.int64)
+                node[at] = mix(node[at].astype(U64) * U64(0x9E3779B97F4A7C15) + child.astype(U64) * U64(64) + U64(depth)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(node), batch.column(6)], ["uid", "vec_id", "v", "node", "root"])
+
+    for depth in itertools.count(1):
+        large = written(tree.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > subtree_rows), "large")
+        if large.isEmpty():
+            break
+        drawn = tree.join(large, "node").filter(F.pmod(F.xxhash64(F.lit(depth), "uid"), "n") < 256)
+        chosen = drawn.groupBy("node").agg(F.collect_set("v").alias("sample")).mapInArrow(objects_of, "node long, objects binary")
+        objects = written(large.join(chosen, "node", "left"), "objects")
+        beside = tree.join(objects, "node", "left").select("uid", "vec_id", "v", "node", "n", "objects", "root")
+        tree = written(beside.mapInArrow(lambda it, d=depth: descend(it, d), "uid long, vec_id long, v binary, node long, root int"), "placed")
+    pages = written(tree.groupBy("node").applyInPandas(lambda x: _build(x, dim, top, page_rows), _PAGE), "pages")
     queries = tree.filter(F.col("vec_id") % every == 0)
 
-    def visit(key, index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    def visit(index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        """A block of queries in the subtrees of a part."""
         if not len(index) or not len(asked):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        index = index.sort_values("vec_id")
-        ids = index["vec_id"].to_numpy()
-        q_ids = asked["vec_id"].to_numpy()
-        q, rows, score = _search(_matrix(asked["v"], dim), q_ids, asked["floor"].to_numpy(dtype=np.float64), _matrix(index["v"], dim), ids, anchors[key[0]], top, k, page_rows)
-        return pd.DataFrame({"query_id": q_ids[q], "vec_id": ids[rows], "score": score})
-
-    def searched(asked: DataFrame, blocks: dict[int, int], cells) -> DataFrame:
-        """Each block of queries in each of its subtrees; both sides are dealt by (node, part, block)."""
-        number = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair])[F.col("node")]
-        index = tree.filter(F.col("node").isin(list(blocks))).withColumn("block", F.explode(F.sequence(F.lit(0), number - 1))).select("node", "part", "block", "vec_id", "v")
-        dealt = asked.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "vec_id"), number).cast("int"))
-        dealt = dealt.withColumn("part", cells).select("node", "part", "block", "vec_id", "v", "floor")
-        return index.groupBy("node", "part", "block").cogroup(dealt.groupBy("node", "part", "block")).applyInPandas(visit, _CELL)
-
-    counts = {r["node"]: r["n"] for r in queries.groupBy("node").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    at_home = queries.withColumn("floor", F.lit(float("-inf"))).withColumn("home", F.col("part"))
-    # a query has one home, so a home's queries are as bounded as its subtree
-    home = written(searched(at_home, dict.fromkeys(counts, 1), F.col("home")), "home")
-    floors = home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-    known = queries.join(floors, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", F.col("node").alias("own_node"), F.col("part").alias("own_part"), F.coalesce(F.col("floor").cast("double"), F.lit(float("-inf"))).alias("floor"))
-    listed = sorted(nodes)
-    radii = np.array([nodes[x][1] for x in listed])
+            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("uid", "query_id", "vec_id", "score")})
+        subtrees, out = _subtrees(index, dim, kind), []
+        uids, ids, home, floor = (asked[c].to_numpy(np.int64) for c in ("uid", "vec_id", "home", "floor"))
+        for at in range(0, len(asked), TOGETHER):
+            now = slice(at, at + TOGETHER)
+            q, found, score = _search(_matrix(asked["v"].iloc[now], dim), uids[now], home[now], floor[now], subtrees, top, k)
+            out.append(pd.DataFrame({"uid": uids[now][q], "query_id": ids[now][q], "vec_id": found, "score": score}))
+        return pd.concat(out)
+
+    none = F.lit(-(2**63 - 1)).cast("long")
+    at_home = queries.withColumn("home", F.lit(-1).cast("long")).withColumn("floor", none)
+    first = written(pages.groupBy("node").cogroup(at_home.groupBy("node")).applyInPandas(visit, _CELL), "home")
+    floors = first.groupBy("uid").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+    known = queries.join(floors, "uid", "left").select("uid", "vec_id", "v", F.col("node").alias("home"), F.coalesce("floor", none).alias("floor"))
+    listed = sorted(balls)
+    radii = np.array([balls[x][1] for x in listed])
 
     def route(batches):
-        """Each query beside the nodes that can still hold a row for it."""
+        """Each query beside the roots that can still hold a row for it."""
         for batch in batches:
-            own = _matrix(batch.column(1).to_pylist(), dim)
-            if not len(own):
-                continue
+            own = _matrix(batch.column(2).to_pylist(), dim)
             wide = np.hstack((own.astype(np.float64), np.zeros((len(own), 1))))
             q2 = (wide * wide).sum(axis=1)
-            floor = batch.column(4).to_numpy()
+            floor = batch.column(4).to_numpy().astype(np.float64)
+            floor[floor <= -(2.0**63)] = -np.inf
             far = np.sqrt(np.maximum(0.0, q2 + top - 2.0 * floor) + 1e-9 * (1.0 + q2 + top))
-            ok = np.maximum(0.0, _distances(wide, anchors[listed]) - radii) <= far[:, None]
-            r, c = np.nonzero(ok)
-            take = pa.array(r)
-            yield pa.RecordBatch.from_arrays([*(batch.column(x).take(take) for x in range(5)), pa.array(np.array(listed, dtype=np.int32)[c])], ["vec_id", "v", "own_node", "own_part", "floor", "node"])
-
-    routed = written(known.mapInArrow(route, "vec_id long, v binary, own_node int, own_part int, floor double, node int"), "routed")
-    load = {r["node"]: -(-r["n"] // block_rows) for r in routed.groupBy("node").agg(F.count("*").alias("n")).collect()}
-    others = F.filter(F.sequence(F.lit(0), part_of[F.col("node")] - 1), lambda p: ~((F.col("node") == F.col("own_node")) & (p == F.col("own_part"))))
-    away = searched(routed, load, F.explode(others))
-    ranked = home.union(away).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+            r, c = np.nonzero(_distances(wide, anchors[listed]) - radii <= far[:, None])
+            yield pa.RecordBatch.from_arrays([*(x.take(pa.array(r)) for x in batch.columns), pa.array(np.array(listed, dtype=np.int32)[c])], ["uid", "vec_id", "v", "home", "floor", "root"])
+
+    routed = written(known.mapInArrow(route, "uid long, vec_id long, v binary, home long, floor long, root int"), "routed")
+    asked_of = {r["root"]: r["n"] for r in routed.groupBy("root").agg(F.count("*").alias("n")).collect()}
+    if not asked_of:
+        return spark.createDataFrame([], result)
+
+    def pieces(of: dict[int, int]):
+        return F.create_map(*[F.lit(x) for root in listed for x in (root, -(-of.get(root, 0) // held))])[F.col("root")]
+
+    parts, blocks = pieces({x: n for x, (n, _) in balls.items()}), pieces(asked_of)
+    index = pages.filter(F.col("root").isin(list(asked_of))).withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = routed.withColumn("block", F.pmod(F.xxhash64("uid"), blocks).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    away = index.groupBy("root", "part", "block").cogroup(dealt.groupBy("root", "part", "block")).applyInPandas(visit, _CELL)
+    ranked = first.union(away).withColumn("rank", F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

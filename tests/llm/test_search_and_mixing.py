@@ -4,6 +4,8 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,16 +17,15 @@ from tests.llm import plain
 
 
 def brute(rows, k, every):
-    valid = {}
+    valid = []
     for i, v in rows:
         if i is None or v is None or any(c is None or not math.isfinite(c) for c in v):
             continue
-        q = tuple(math.floor(64 * c) for c in v)
-        valid[i] = q
+        valid.append((i, tuple(math.floor(64 * c) for c in v)))
     out = []
-    for q, x in valid.items():
+    for at, (q, x) in enumerate(valid):
         if q % every == 0:
-            best = sorted((-sum(a * b for a, b in zip(x, y, strict=False)), i) for i, y in valid.items() if i != q)[:k]
+            best = sorted((-sum(a * b for a, b in zip(x, y, strict=False)), i) for j, (i, y) in enumerate(valid) if j != at)[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     return sorted(out)
 
@@ -42,10 +43,48 @@ def test_top_k_is_exact(spark, spread):
     rows += [(1000 + i, same) for i in range(150)]
     rows += [(2000, None), (2020, [1.0, None] * 4), (2040, [math.nan] * 8), (2060, [math.inf] + [0.0] * 7), (None, same), (2080, [0.0] * 8), (2100, [])]
     table = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string")
-    got = topk_search.top_k(table, 20, 20, roots=5, sample_rows=64, subtree_rows=100, block_rows=16, page_rows=8)
+    got = topk_search.top_k(table, 20, 20, roots=5, sample_rows=64, fan=3, subtree_rows=100, block_rows=16, page_rows=8)
     assert sorted(map(tuple, got.collect())) == brute(rows, 20, 20)
 
 
+@pytest.mark.parametrize("size", [1e4, 1e6, 3e6])
+def test_large_components_are_exact(spark, size):
+    rnd = random.Random(4)
+    rows = [(i, [rnd.uniform(-size, size) for _ in range(4)]) for i in range(200)]
+    rows += [(i, [size + i, size, size, size]) for i in range(200, 240)]
+    got = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20, 20, subtree_rows=50, page_rows=8)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 20, 20)
+
+
+def test_scores_beyond_a_long_are_an_error(spark):
+    with pytest.raises(ValueError, match="fit a long"):
+        topk_search.top_k(spark.createDataFrame([(1, [1e300])], "vec_id long, embedding array<double>"))
+
+
+def test_bounds_spare_products():
+    """In clustered vectors, most products are ruled out by radii and stored distances."""
+    rng = np.random.default_rng(1)
+    x = np.floor(64 * (rng.normal(0, 1, (40, 16))[rng.integers(0, 40, 4000)] + rng.normal(0, 0.05, (4000, 16)))).astype(np.int64)
+    top = float((x * x).sum(axis=1).max())
+    anchors = topk_search._lifted(topk_search._routing(x[:500], 40), top)
+    node = topk_search._distances(topk_search._lifted(x, top), anchors).argmin(axis=1)
+    pages = []
+    for n in np.unique(node):
+        at = np.flatnonzero(node == n)
+        pages.append(topk_search._build(pd.DataFrame({"uid": at, "vec_id": at, "v": [r.tobytes() for r in x[at]], "root": 0, "node": n}), 16, top, 32))
+    subtrees = topk_search._subtrees(pd.concat(pages), 16, np.float64)
+    found, products = [], 0
+    for q in range(0, 4000, 200):
+        counted = {}
+        _, ids, score = topk_search._search(x[q : q + 1], np.array([q]), np.array([-1]), np.array([-(2**62)]), subtrees, top, 10, counted)
+        products += counted["products"]
+        every = x @ x[q]
+        every[q] = -(2**62)
+        assert score.tolist() == sorted(every.tolist(), reverse=True)[:10]
+        found += ids.tolist()
+    assert len(found) == 200 and products < 0.3 * 20 * 4000
+
+
 def test_top_k_of_few_rows(spark):
     schema = "vec_id long, embedding array<float>"
     assert topk_search.top_k(spark.createDataFrame([], schema)).count() == 0
@@ -139,6 +178,24 @@ def test_rollup_commits_once(spark):
     assert [b for _, b in r.commits()] == ["one", "two", "empty"]
 
 
+def test_of_two_writers_one_goes_on(spark):
+    """Another writer takes the number just before a commit: the batch is counted on top of it."""
+    path = fresh_path(spark, "test")
+    r, other = token_counts.Rollup(spark, path), token_counts.Rollup(spark, path)
+    e = lambda rows: spark.createDataFrame(rows, token_counts.EVENT)
+    commit, first = r._commit, []
+
+    def late(number, batch, attempt, base=False):
+        if not first:
+            first.append(other.apply("b", e([(1, "t", "insert", "a", "en", 10, 0)])))
+        return commit(number, batch, attempt, base)
+
+    r._commit = late
+    assert r.apply("a", e([(1, "t", "insert", "a", "en", 4, 0)])) and first == [True]
+    assert [(x["docs"], x["tokens"], x["inserts"], x["revisions"]) for x in r.totals().collect()] == [(1, 4, 1, 1)]
+    assert r.commits() == [(1, "b"), (2, "a")]
+
+
 def test_rollup_equals_a_recount(spark):
     rnd = random.Random(4)
     r = token_counts.Rollup(spark, fresh_path(spark, "test"))
@@ -153,6 +210,8 @@ def test_rollup_equals_a_recount(spark):
             if op != "delete":
                 held[k] = value
         r.apply(str(b), spark.createDataFrame(rows, token_counts.EVENT))
+        if b == 1:
+            assert r.compact() and not r.apply("0", spark.createDataFrame(rows, token_counts.EVENT))
     want = defaultdict(lambda: [0, 0])
     for (_, t), (s, g, n) in held.items():
         want[s, g, t][0] += 1
