@@ -14,11 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.wordhash import U64, Words, mix, shingles, steps, utf8
+from siltstone.llm.wordhash import U64, Words, mix, seeds, shingles, steps, utf8
 
 BINS, BITS, SHINGLE_WORDS = 256, 4, 5
 _BIN_BITS = U64(BINS.bit_length() - 1)
 _NONE = U64(0xFFFFFFFFFFFFFFFF)
+_OF_BIN = seeds(BINS, 31)
 
 
 def _densify(values: np.ndarray) -> np.ndarray:
@@ -52,7 +53,8 @@ def codes(column: pa.Array, k: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndar
         new = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
         values[i:j].reshape(-1)[which[new]] = np.minimum.reduceat(found, new)
     some = (values != _NONE).any(axis=1)
-    return (mix(_densify(values)) & U64((1 << BITS) - 1)).astype(np.uint8), some
+    # bits of the value and the bin, as a value that fills many bins would agree by chance in all of them at once
+    return (mix(_densify(values) + _OF_BIN) & U64((1 << BITS) - 1)).astype(np.uint8), some
 
 
 def packed(code: np.ndarray, some: np.ndarray) -> list[str]:
@@ -72,8 +74,8 @@ def likeness(a: np.ndarray, a_some: np.ndarray, b: np.ndarray, b_some: np.ndarra
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fingerprint`` for every row; equal texts have equal fingerprints.
 
-    Null and blank texts have the empty fingerprint.  Texts of 1 to 4 words have
-    one shingle, the whole sequence.  Repeated rows give repeated rows, an empty
+    Null and blank texts have the empty fingerprint; very long ones are read whole.
+    Texts of 1 to 4 words have one shingle, the whole sequence.  Repeated rows give repeated rows, an empty
     table an empty result; other columns are ignored.
     """
 
@@ -85,7 +87,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _follow(batches):
-    """Rows in order of (part, guest, doc_id); each with the row after it.  Guests only end a part."""
+    """Rows in order of part, guests last; each with the row after it.  Guests only end a part."""
     part, text, code, some, key = None, None, None, None, None
     for batch in batches:
         n = batch.num_rows
@@ -129,47 +131,64 @@ def _paired(parts, guests, ids, texts, own, own_some, last: bool):
     )
 
 
+def _rank(ids: np.ndarray, tags: np.ndarray, cut_ids: np.ndarray, cut_tags: np.ndarray) -> np.ndarray:
+    """How many of the sorted cuts (id, tag) each row's (id, tag) has reached."""
+    low, high = np.searchsorted(cut_ids, ids, "left"), np.searchsorted(cut_ids, ids, "right")
+    out = low.copy()
+    for at in np.unique(low[high > low]):
+        mine = np.flatnonzero((low == at) & (high > low))
+        out[mine] = at + np.searchsorted(cut_tags[at : high[mine[0]]], tags[mine], "right")
+    return out.astype(np.int32)
+
+
 def fingerprints_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's fingerprint beside that of its edited text and of the next document.
 
-    The next document is the one after it by (doc_id, text), the first one after
-    the last; null ids come first.  In the edited text, the last quarter of the
-    code points is replaced by as many of the next document's first.
+    The next document is the one after it by (doc_id, text hash), the first one after
+    the last; a null id counts as the least.  In the edited text, the last quarter of
+    the code points is replaced by as many of the next document's first.
 
-    The rows are dealt into ranges of doc_id and read in order, each range ended
-    by a copy of the row that follows it, so no task needs more than one batch.
-    A document alone in the table is its own next one.
+    The rows are dealt into ranges of (doc_id, text hash), one partition each, cut at
+    the keys of a bounded sample, and read in order; each range is ended by a copy of
+    the row that follows it, so no task needs more than one batch, and rows that
+    repeat an id are split like others.  A document alone in the table is its own
+    next one.  Null texts are empty; repeated rows follow each other; an empty table
+    gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    rows = rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), F.xxhash64("text").alias("tag"), "doc_id", "text")
     count = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = rows.select(F.approx_percentile("doc_id", [i / count for i in range(1, count)] or [0.5], 20 * count)).first()[0] or []
-    cuts = sorted(set(cuts))
+    # a sample of some 100 keys a range
+    total = rows.count()
+    share = min(1.0, 100 * count / total) if total else 0.0
+    sample = sorted(map(tuple, rows.select("key", "tag").filter(F.pmod(F.xxhash64("key", "tag"), F.lit(1 << 30)) < int(share * (1 << 30))).collect()))
+    cuts = sorted({sample[i * len(sample) // count] for i in range(1, count)}) if sample else []
+    cut_ids, cut_tags = np.array([c[0] for c in cuts], np.int64), np.array([c[1] for c in cuts], np.int64)
 
-    def ranges(ids: pa.Array) -> np.ndarray:
-        at = np.searchsorted(np.array(cuts, dtype=np.int64), ids.fill_null(0).to_numpy(), "right").astype(np.int32)
-        at[ids.is_null().to_numpy(zero_copy_only=False)] = -1
-        return at
+    def part_of(batch) -> np.ndarray:
+        return _rank(batch.column(0).to_numpy(), batch.column(1).to_numpy(), cut_ids, cut_tags)
 
-    def cut(batches):
+    def numbered(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(ranges(batch.column(0))), batch.column(0)], ["part", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(part_of(batch)), batch.column(0), batch.column(1)], ["part", "key", "tag"])
 
-    heads = rows.select("doc_id").mapInArrow(cut, "part int, doc_id long").groupBy("part").agg(F.min("doc_id").alias("head")).orderBy("part").collect()
+    # one line a range
+    heads = rows.select("key", "tag").mapInArrow(numbered, "part int, key long, tag long").groupBy("part").agg(F.min(F.struct("key", "tag")).alias("head")).orderBy("part").collect()
     # each range's first rows also go, as guests, to the range before it
     guests = {b["part"]: heads[i - 1]["part"] for i, b in enumerate(heads)}
-    firsts = {b["part"]: b["head"] for b in heads}
+    firsts = {b["part"]: tuple(b["head"]) for b in heads}
 
     def deal(batches):
         for batch in batches:
-            ids = batch.column(0)
-            at = ranges(ids)
-            lead = [r for r, (p, d) in enumerate(zip(at.tolist(), ids.to_pylist(), strict=True)) if firsts[p] == d]
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.zeros(len(at), bool)), ids, batch.column(1)], ["part", "guest", "doc_id", "text"])
+            at = part_of(batch)
+            keys = zip(at.tolist(), batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            lead = [r for r, (p, d, t) in enumerate(keys) if firsts[p] == (d, t)]
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.zeros(len(at), bool)), *batch.columns], ["part", "guest", "key", "tag", "doc_id", "text"])
             if lead:
                 take = pa.array(lead)
-                yield pa.RecordBatch.from_arrays([pa.array([guests[int(at[r])] for r in lead], pa.int32()), pa.array(np.ones(len(lead), bool)), ids.take(take), batch.column(1).take(take)], ["part", "guest", "doc_id", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array([guests[int(at[r])] for r in lead], pa.int32()), pa.array(np.ones(len(lead), bool)), *(x.take(take) for x in batch.columns)], ["part", "guest", "key", "tag", "doc_id", "text"])
 
-    dealt = rows.mapInArrow(deal, "part int, guest boolean, doc_id long, text string")
-    ordered = dealt.repartition(count, "part").sortWithinPartitions("part", "guest", F.asc_nulls_first("doc_id"), "text")
+    dealt = rows.mapInArrow(deal, "part int, guest boolean, key long, tag long, doc_id long, text string")
+    ordered = dealt.repartitionById(count, F.col("part")).sortWithinPartitions("part", "guest", "key", "tag", "text").select("part", "guest", "doc_id", "text")
     return ordered.mapInArrow(_follow, "doc_id long, n_chars long, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -64,6 +64,9 @@ def test_edited_text_takes_the_next_documents_head(spark, partitions):
 
 
 def test_fingerprints_of_odd_tables(spark):
+    many = [(7, f"text {i} of one id") for i in range(300)] + [(7, "the same text")] * 200
+    got = fingerprints.fingerprints_with_next(frame(spark, many))
+    assert got.count() == 500 and got.filter("near_next = 1 and edited_text like 'the same%'").count() >= 199
     rows = [(None, "a"), (None, None), (3, "b"), (3, "b"), (3, "c")]
     assert fingerprints.fingerprints_with_next(frame(spark, rows)).count() == 5
     assert fingerprints.fingerprints_with_next(frame(spark, [])).count() == 0
@@ -214,6 +217,14 @@ def test_fingerprint_query(spark, small):
         q = len(t) // 4
         want[i] = hashlib.sha256((t[: len(t) - q] + follow[:q]).encode()).hexdigest()
     assert {r["doc_id"]: r["edited_sha256"] for r in rows} == want
+    # likeness against the true Jaccard similarity of all pairs
+    heads, errors = {r["doc_id"]: r for r in rows}, []
+    for (i, t), (_, follow) in zip(docs, docs[1:] + docs[:1], strict=True):
+        q = len(t) // 4
+        a, b, c = (plain.shingle_set(x, 5, fold=False) for x in (t, t[: len(t) - q] + follow[:q], follow))
+        for x, name in ((b, "near_edited"), (c, "near_next")):
+            errors.append(abs(heads[i][name] - (len(a & x) / len(a | x) if a | x else 1.0)))
+    assert max(errors) < 0.2 and np.mean(errors) < 0.03
     by_text = {}
     texts = dict(docs)
     for r in rows:
