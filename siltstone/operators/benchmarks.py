@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import basename, cwe_number, norm_path, same_path
+from siltstone.operators.stores import written
 
 #: Statuses that take no part in matching.
-INACTIVE = ("noise", "reviewed", "remediated")
+INACTIVE = ("reviewed", "noise", "rejected")
 
 
 def _rounded(a: Column, b: Column, places: int = 4) -> Column:
@@ -16,38 +19,61 @@ def _rounded(a: Column, b: Column, places: int = 4) -> Column:
     return F.round(F.try_divide(a, b), places)
 
 
-def matches(truth: DataFrame, actual: DataFrame, tolerance: int = 5) -> DataFrame:
-    """``case_id, id, fingerprint``: expectations and the active findings that meet them.
+def _met(truth: DataFrame, actual: DataFrame, tolerance: int) -> DataFrame:
+    """Distinct places of expectations beside the distinct places of findings that meet them.
 
-    Paths match if one ends with the other, lines within ``tolerance`` where the
-    expectation has one, CWEs where both have one.  The join runs on case and file
-    name, and on the bucket of the line for expectations with one, so that a file
-    with many findings doesn't meet itself.
+    A place is case, path, line and CWE; findings are reduced to counts by place, and
+    to counts by file where an expectation has no line, before anything is joined.
+    The join runs on case and file name, and on the bucket of the line for
+    expectations with one, so that a file with many findings doesn't meet itself.
     """
-    live = actual.filter(~F.col("status").isin(*INACTIVE)).select("case_id", "fingerprint", F.col("cwe").alias("f_cwe"), F.col("file_path").alias("f_path"), F.col("line").alias("f_line"))
+    live = actual.filter(~F.col("status").isin(*INACTIVE))
+    cells = live.groupBy("case_id", F.col("file_path").alias("f_path"), F.col("line").alias("f_line"), cwe_number(F.col("cwe")).alias("f_cwe")).agg(F.count("*").alias("n"), F.count_if(F.col("status") == "proven").alias("np"), F.min("fingerprint").alias("first"))
+    cells = cells.withColumn("base", basename(norm_path(F.col("f_path"))))
+    wanted = truth.select("case_id", F.col("file_path").alias("e_path"), F.col("line").alias("e_line"), cwe_number(F.col("cwe")).alias("e_cwe")).distinct().withColumn("base", basename(norm_path(F.col("e_path"))))
+    ok = same_path(F.col("e_path"), F.col("f_path")) & F.coalesce(F.col("e_cwe") == F.col("f_cwe"), F.lit(True))
     width = 2 * tolerance + 1
-    near = live.withColumn("base", basename(norm_path(F.col("f_path"))))
-    wanted = truth.select("case_id", "id", F.col("cwe").alias("e_cwe"), F.col("file_path").alias("e_path"), F.col("line").alias("e_line")).withColumn("base", basename(norm_path(F.col("e_path"))))
-    cwe_ok = F.coalesce(cwe_number(F.col("e_cwe")) == cwe_number(F.col("f_cwe")), F.lit(True))
-    ok = same_path(F.col("e_path"), F.col("f_path")) & cwe_ok
     with_line = wanted.filter("e_line > 0").withColumn("bucket", F.explode(F.array_distinct(F.array(*[F.floor((F.col("e_line") + d) / width) for d in (-tolerance, tolerance)]))))
-    sited = with_line.join(near.withColumn("bucket", F.floor(F.col("f_line") / width)), ["case_id", "base", "bucket"]).filter(ok & (F.abs(F.col("e_line") - F.col("f_line")) <= tolerance))
-    filed = wanted.filter("coalesce(e_line, 0) <= 0").join(near, ["case_id", "base"]).filter(ok)
-    return sited.select("case_id", "id", "fingerprint").union(filed.select("case_id", "id", "fingerprint"))
+    sited = with_line.join(cells.withColumn("bucket", F.floor(F.col("f_line") / width)), ["case_id", "base", "bucket"]).filter(ok & (F.abs(F.col("e_line") - F.col("f_line")) <= tolerance))
+    files = cells.groupBy("case_id", "base", "f_path", "f_cwe").agg(F.sum("n").alias("n"), F.sum("np").alias("np"), F.min("first").alias("first"))
+    filed = wanted.filter("coalesce(e_line, 0) <= 0").join(files, ["case_id", "base"]).filter(ok).withColumn("f_line", F.lit(None).cast("long"))
+    columns = ["case_id", "e_path", "e_line", "e_cwe", "f_path", "f_line", "f_cwe", "n", "np", "first"]
+    return sited.select(*columns).union(filed.select(*columns))
+
+
+def _by_expectation(truth: DataFrame, met: DataFrame) -> DataFrame:
+    """``truth`` with the number of findings that meet each row, that of proven ones, and the first fingerprint."""
+    per = met.groupBy("case_id", "e_path", "e_line", "e_cwe").agg(F.sum("n").alias("n"), F.sum("np").alias("np"), F.min("first").alias("first")).withColumnRenamed("case_id", "e_case")
+    place = (F.col("case_id") == F.col("e_case")) & (F.col("file_path") == F.col("e_path")) & F.col("line").eqNullSafe(F.col("e_line")) & cwe_number(F.col("cwe")).eqNullSafe(F.col("e_cwe"))
+    return truth.join(per, place, "left").drop("e_case", "e_path", "e_line", "e_cwe")
+
+
+def matches(truth: DataFrame, actual: DataFrame, tolerance: int = 5) -> DataFrame:
+    """``case_id, id, n, first``: expectations that active findings meet, how many and the least fingerprint.
+
+    Paths match if one ends with the other, lines within ``tolerance`` where the
+    expectation has one, CWEs where both have one.
+    """
+    return _by_expectation(truth, _met(truth, actual, tolerance)).filter("n > 0").select("case_id", "id", "n", "first")
 
 
 def score(truth: DataFrame, actual: DataFrame, tolerance: int = 5, strict: bool = False) -> DataFrame:
     """One row a case: hits, misses, false alarms, false proofs and the three rates."""
-    met = matches(truth, actual, tolerance)
-    proven = actual.filter("status = 'proven'").select("case_id", "fingerprint")
-    per = met.join(proven.withColumn("p", F.lit(True)), ["case_id", "fingerprint"], "left").groupBy("case_id", "id").agg(F.count("*").alias("n"), F.count_if(F.col("p")).alias("np"))
-    each = truth.join(per, ["case_id", "id"], "left").withColumn("hit", F.coalesce(F.col("n") > 0, F.lit(False)))
+    met = written(_met(truth, actual, tolerance), "met")
+    each = _by_expectation(truth, met).withColumn("hit", F.coalesce(F.col("n") > 0, F.lit(False)))
     vuln = F.col("kind") == "vuln"
     by_case = each.groupBy("case_id").agg(
         F.count_if(vuln).alias("expected"), F.count_if(vuln & F.col("hit")).alias("tp"), F.count_if(vuln & ~F.col("hit")).alias("fn"), F.count_if(~vuln & F.col("hit")).alias("decoys_hit"), F.count_if(~vuln & (F.coalesce("np", F.lit(0)) > 0)).alias("false_proofs")
     )
-    active = actual.filter(~F.col("status").isin(*INACTIVE)).join(met.select("case_id", "fingerprint").distinct(), ["case_id", "fingerprint"], "left_anti").groupBy("case_id").agg(F.count("*").alias("unmatched"))
-    proofs = proven.groupBy("case_id").agg(F.count("*").alias("proven"))
+    # a place that an expectation meets is matched with all its findings, a file and CWE with all its places
+    keys = ["case_id", "f_path", "f_cwe"]
+    places = met.filter("f_line is not null").select(*keys, "f_line").distinct().withColumn("here", F.lit(True)).alias("p")
+    files = met.filter("f_line is null").select(*keys).distinct().withColumn("whole", F.lit(True)).alias("w")
+    live = actual.filter(~F.col("status").isin(*INACTIVE)).groupBy("case_id", F.col("file_path").alias("f_path"), F.col("line").alias("f_line"), cwe_number(F.col("cwe")).alias("f_cwe")).agg(F.count("*").alias("n")).alias("a")
+    same = lambda other, names: functools.reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"{other}.{c}")) for c in names])
+    free = live.join(places, same("p", [*keys, "f_line"]), "left").join(files, same("w", keys), "left").filter("here is null and whole is null")
+    active = free.groupBy("a.case_id").agg(F.sum("a.n").alias("unmatched"))
+    proofs = actual.filter("status = 'proven'").groupBy("case_id").agg(F.count("*").alias("proven"))
     full = by_case.join(active, "case_id", "left").join(proofs, "case_id", "left").fillna(0, ["unmatched", "proven"])
     fp = F.col("decoys_hit") + (F.col("unmatched") if strict else F.lit(0))
     return full.select(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators.stores import written
+
 
 def blast_radius(anchors: DataFrame, symbols: DataFrame) -> DataFrame:
     """``repo, fingerprint, blast``: callers of the symbol around each anchor, an as-of join.
@@ -67,13 +69,17 @@ def called_elsewhere(symbols: DataFrame, calls: DataFrame) -> DataFrame:
 def k_hop(edges: DataFrame, starts: DataFrame, hops: int = 4) -> DataFrame:
     """``node, hop``: what ``edges(src, dst)`` reach from ``starts(node)`` within ``hops``, and the least number of hops.
 
-    Each step joins the newest nodes only, and leaves out those already reached.
+    Each step joins the newest nodes only, leaves out those already reached, and is
+    written, so that no later step derives it again.
     """
-    seen = starts.select("node").distinct().withColumn("hop", F.lit(0))
-    front = seen
+    edges = written(edges.select("src", "dst").distinct(), "edges")
+    seen = front = written(starts.select("node").distinct().withColumn("hop", F.lit(0)), "hop")
     for i in range(1, hops + 1):
         new = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hop", F.lit(i))
-        seen, front = seen.union(new), new
+        front = written(new, "hop")
+        if front.isEmpty():
+            break
+        seen = seen.union(front)
     return seen
 
 
@@ -127,3 +133,27 @@ def blocks(lines: DataFrame, header: str = r"\)\s*\{\s*$", control: str = r"^\s*
     later = Window.partitionBy("repo", "path", "depth").orderBy("line", "side").rowsBetween(1, Window.unboundedFollowing)
     ended = marks.withColumn("end", F.first(F.when(F.col("side") == 1, F.col("line")), ignorenulls=True).over(later))
     return ended.filter("side = 0").select("repo", "path", F.col("line").alias("start"), "end")
+
+
+def block_calls(lines: DataFrame, most: int = 40) -> DataFrame:
+    """``repo, path, start, block, name, first, n, place``: the first ``most`` names that each block calls, in order of their first line.
+
+    A line belongs to the last block that starts at or before it and isn't ended;
+    a block's name is the last word before the bracket of its first line, and calls of
+    itself don't count.
+    """
+    head = lines.select("repo", "path", F.col("line").alias("start"), F.regexp_extract("text", r"([A-Za-z_]\w*)\s*\(", 1).alias("block"))
+    starts = blocks(lines).join(head, ["repo", "path", "start"]).select("repo", "path", F.col("start").alias("line"), F.lit(0).alias("side"), F.struct("start", "end", "block").alias("b"), F.lit(None).cast("string").alias("name"))
+    calls = call_sites(lines).select("repo", "path", "line", F.lit(1).alias("side"), F.lit(None).cast(starts.schema["b"].dataType).alias("b"), "name")
+    order = Window.partitionBy("repo", "path").orderBy("line", "side").rowsBetween(Window.unboundedPreceding, 0)
+    inside = starts.union(calls).withColumn("in", F.last("b", ignorenulls=True).over(order)).filter("side = 1 and `in` is not null")
+    inside = inside.filter((F.col("in.end").isNull() | (F.col("line") <= F.col("in.end"))) & (F.col("name") != F.col("in.block")))
+    each = inside.groupBy("repo", "path", F.col("in.start").alias("start"), F.col("in.block").alias("block"), "name").agg(F.min("line").alias("first"), F.countDistinct("line").alias("n"))
+    return each.withColumn("place", F.row_number().over(Window.partitionBy("repo", "path", "start").orderBy("first", "name"))).filter(F.col("place") <= most)
+
+
+def call_edges(called: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``repo, src, dst, path, line``: blocks and the names that they call, beside the name's first definition, if it has one."""
+    first = symbols.groupBy("repo", "name").agg(F.min(F.struct("path", "line")).alias("d"))
+    edges = called.select("repo", F.col("block").alias("src"), "name").distinct()
+    return edges.join(first, ["repo", "name"], "left").select("repo", "src", F.col("name").alias("dst"), "d.path", "d.line")

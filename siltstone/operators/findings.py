@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import scores, verdicts
 from siltstone.functions.text import cwe_number, norm_path
+from siltstone.operators.ranking import placed
 
 ACTIONABLE = ("open", "needs-evidence", "needs-trace", "confirmed", "proven")
 
@@ -53,9 +54,8 @@ def semantic_collapse(findings: DataFrame) -> DataFrame:
 def ranked(findings: DataFrame, blast: str = "caller_count") -> DataFrame:
     """``repo, fingerprint, score, rank``: by risk score, then severity, then fingerprint."""
     score = scores.risk_score(F.col("severity"), F.col("proof_state"), F.col("verify_verdict"), F.col("poc_verdict"), F.col(blast), F.col("chain").isNotNull())
-    rows = findings.select("repo", "fingerprint", "severity", score.alias("score"))
-    order = Window.partitionBy("repo").orderBy(F.desc("score"), scores.severity_rank(F.col("severity")).desc(), "fingerprint")
-    return rows.select("repo", "fingerprint", "score", F.row_number().over(order).alias("rank"))
+    rows = findings.select("repo", "fingerprint", scores.severity_rank(F.col("severity")).alias("level"), score.alias("score"))
+    return placed(rows, ["repo"], [("score", True), ("level", True)], "fingerprint", "rank").select("repo", "fingerprint", "score", "rank")
 
 
 def prioritised(findings: DataFrame) -> DataFrame:
@@ -100,10 +100,18 @@ def fix_queue(findings: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def siblings(findings: DataFrame) -> DataFrame:
-    """Pairs of findings in one function of which the other one has an exploit to run."""
-    a, b = findings.alias("a"), findings.filter("poc_verdict = 'exploited'").alias("b")
-    on = (F.col("a.repo") == F.col("b.repo")) & (F.col("a.fn_key") == F.col("b.fn_key")) & (F.col("a.fingerprint") != F.col("b.fingerprint"))
-    return a.filter("status = 'confirmed'").join(b, on).groupBy("a.fingerprint").agg(F.count("*").alias("n_siblings"), F.min("b.fingerprint").alias("first_sibling"))
+    """``fingerprint, n_siblings, first_sibling``: confirmed findings beside the others of their function that have an exploit to run.
+
+    Functions are reduced to the number of such findings and their two least
+    fingerprints, so that no finding meets another.
+    """
+    key = ["repo", "fn_key"]
+    with_poc = findings.filter("poc_verdict = 'exploited' and fn_key is not null").groupBy(*key, "fingerprint").agg(F.count("*").alias("own"))
+    least = with_poc.groupBy(*key).agg(F.sum("own").alias("n"), F.min("fingerprint").alias("first"))
+    second = with_poc.join(least, key).filter("fingerprint <> first").groupBy(*key).agg(F.min("fingerprint").alias("second"))
+    met = findings.filter("status = 'confirmed'").select(*key, "fingerprint").join(least, key).join(second, key, "left").join(with_poc, [*key, "fingerprint"], "left")
+    rows = met.select("fingerprint", (F.col("n") - F.coalesce("own", F.lit(0))).alias("k"), F.when(F.col("first") == F.col("fingerprint"), F.col("second")).otherwise(F.col("first")).alias("s"))
+    return rows.filter("k > 0").groupBy("fingerprint").agg(F.sum("k").alias("n_siblings"), F.min("s").alias("first_sibling"))
 
 
 def errors(findings: DataFrame) -> DataFrame:

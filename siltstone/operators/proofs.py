@@ -121,3 +121,9 @@ def classify_log(text: Column) -> Column:
 def triaged(crashes: DataFrame) -> DataFrame:
     """``crash_key, n, first_fingerprint, last_at`` of crash records."""
     return crashes.groupBy("crash_key").agg(F.count("*").alias("n"), F.min("fingerprint").alias("first_fingerprint"), F.countDistinct("cwe").alias("n_cwes"))
+
+
+def crash_key(error_class: Column, path: Column, line: Column, symbol: Column, label: Column) -> Column:
+    """What makes two crashes one: class and place, else class and symbol, else class and label; none and the label without a class."""
+    at = F.concat(path, F.lit(":"), line.cast("string"))
+    return F.when(error_class.isNull(), F.concat(F.lit("none:"), label)).otherwise(F.concat(error_class, F.lit(":"), F.coalesce(at, symbol, label)))

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import scores
 from siltstone.functions.text import chain_id, component_of, language_of, norm_path, query_names, slug, subsystem_key, url_path
+from siltstone.operators.ranking import placed
+from siltstone.operators.scan import NATIVE_FILES
 
 #: Globs of files that no scan reads, as one pattern.
-EXCLUDED = r"(^|/)(node_modules|\.git|dist|build|vendor|target|out|coverage|__pycache__|third_party)/|\.min\.js$"
+EXCLUDED = r"^(\.git|\.joern)/|(^|/)(node_modules|build|dist|poc|apktool_out)/|(^|/)target/(debug|release)/|^(GPATH|GTAGS|GRTAGS)$"
 #: Path words of files that deal with input, and of code that guards.
 INPUT_PATH = r"(?i)(pars(e|er)|lex(er)?|tokeniz|scanner|decode|decoder|deserial|unmarshal|unpack|inflate|unzip|\bvm\b|interp|bytecode|codec|reader|loader|protocol)"
-GUARD_PATH = r"(?i)(auth|login|session|token|password|secret|crypto|admin|payment|upload|exec|query|template|redirect|permission|handler|middleware|parse)"
+GUARD_PATH = r"(?i)(auth|login|logout|session|token|password|passwd|cred|secret|crypto|cipher|hash|jwt|oauth|saml|admin|payment|billing|charge|checkout|order|invoice|upload|download|exec|command|shell|spawn|query|\bsql\b|database|\bdb\b|deserial|pickle|yaml|xml|template|render|redirect|cors|csrf|permission|role|\bacl\b|tenant|account|\buser\b|route|controller|handler|middleware|validate|sanitiz|escape|webhook|ingest|parse)"
 
 
 def inventory(files: DataFrame) -> DataFrame:
@@ -53,16 +55,26 @@ def partitions(entries: DataFrame, most: int = 6) -> DataFrame:
     rows = entries.withColumn("component", component_of(F.col("path")))
     sized = rows.groupBy("repo", "component").agg(F.count("*").alias("size"))
     w = Window.partitionBy("repo")
-    placed = sized.withColumn("place", F.row_number().over(w.orderBy(F.desc("size"), "component"))).withColumn("n", F.count("*").over(w))
+    ordered = sized.withColumn("place", F.row_number().over(w.orderBy(F.desc("size"), "component"))).withColumn("n", F.count("*").over(w))
     label = F.when((F.col("n") > most) & (F.col("place") > most - 1), "other").otherwise(F.col("component"))
-    named = rows.join(placed.select("repo", "component", label.alias("label")), ["repo", "component"])
+    named = rows.join(ordered.select("repo", "component", label.alias("label")), ["repo", "component"])
     return named.groupBy("repo", "label").agg(F.count("*").alias("size"), F.countDistinct("kind").alias("n_kinds"))
 
 
 def subsystems(file_scores: DataFrame, limit: int = 15) -> DataFrame:
-    """Each repo's ``limit`` subsystems of the greatest score, of files that can be reached."""
-    agg = file_scores.filter("reachable").groupBy("repo", subsystem_key(F.col("path")).alias("subsystem")).agg(F.sum("score").alias("score"), F.count("*").alias("n_files"))
-    return agg.withColumn("place", F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("score"), "subsystem"))).filter(F.col("place") <= limit)
+    """Each repo's ``limit`` subsystems of the greatest score, of files that can be reached.
+
+    ``file_scores(repo, path, score, reachable, reason)``, one row a reason.  A
+    subsystem has its distinct reasons, the first 60 paths and how many more there are;
+    ``tail`` is the number of the repo's subsystems beyond the limit.
+    """
+    rows = file_scores.filter("reachable").withColumn("subsystem", subsystem_key(F.col("path")))
+    agg = rows.groupBy("repo", "subsystem").agg(F.sum("score").alias("score"), F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
+    files = rows.select("repo", "subsystem", "path").distinct().withColumn("k", F.row_number().over(Window.partitionBy("repo", "subsystem").orderBy("path")))
+    paths = files.groupBy("repo", "subsystem").agg(F.count("*").alias("n_files"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("k") <= 60, F.col("path")))), ",").alias("paths"))
+    w = Window.partitionBy("repo")
+    ordered = agg.join(paths, ["repo", "subsystem"]).withColumn("place", F.row_number().over(w.orderBy(F.desc("score"), "subsystem"))).withColumn("tail", F.greatest(F.lit(0), F.count("*").over(w) - limit))
+    return ordered.filter(F.col("place") <= limit).select("repo", "subsystem", "score", "reasons", "n_files", "paths", "place", "tail")
 
 
 def endpoints(requests: DataFrame) -> DataFrame:
@@ -82,8 +94,8 @@ def correlate(observed: DataFrame, routes: DataFrame) -> DataFrame:
 def file_risk(files: DataFrame, features: DataFrame, limit: int | None = None) -> DataFrame:
     """``repo, path, score, reasons, place``: files by an additive score.
 
-    ``features(repo, path, entry_defs, calls, entry, route, boundary, churn)`` has
-    one row a file at most.
+    ``features(repo, path, entry_defs, calls, entry, route, dispatch, boundary, dataflow,
+    churn)`` has one row a file at most.
     """
     f = files.join(features, ["repo", "path"], "left")
     has = lambda c: F.coalesce(F.col(c), F.lit(False))
@@ -93,7 +105,9 @@ def file_risk(files: DataFrame, features: DataFrame, limit: int | None = None) -
         ("reach", scores.reach_score(F.col("calls"))),
         ("entry-point", F.when(has("entry"), 4).otherwise(0)),
         ("route", F.when(has("route"), 4).otherwise(0)),
+        ("dispatch-entry", F.when(has("dispatch"), 6).otherwise(0)),
         ("trust-boundary", F.when(has("boundary"), 3).otherwise(0)),
+        ("dataflow-reach", F.when(has("dataflow"), 5).otherwise(0)),
         ("churn", F.when(has("churn"), 2).otherwise(0)),
         ("input", F.when(F.col("path").rlike(INPUT_PATH), 5).otherwise(0)),
         ("guard", F.when(F.col("path").rlike(GUARD_PATH), 1).otherwise(0)),
@@ -103,8 +117,9 @@ def file_risk(files: DataFrame, features: DataFrame, limit: int | None = None) -
         total = total + p
     reasons = F.array_join(F.array_compact(F.array(*[F.when(p > 0, F.lit(n)) for n, p in parts])), ",")
     rows = f.select("repo", "path", total.cast("int").alias("score"), reasons.alias("reasons"))
-    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("score"), "path")))
-    return placed.filter(F.col("place") <= limit) if limit else placed
+    if not limit:
+        return placed(rows, ["repo"], [("score", True)], "path", prefix=8)
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("score"), "path"))).filter(F.col("place") <= limit)
 
 
 #: Weight of an obligation's class; 5 for others.
@@ -137,20 +152,27 @@ def jobs_planned(producers: DataFrame, shard_rows: DataFrame, offline: bool = Tr
     return per_shard.union(repos).select("repo", "shard_id", "producer", F.coalesce("reason", F.lit("planned")).alias("state"), F.when(F.col("reason").isNull(), budget).alias("budget"))
 
 
-def chains(members: DataFrame, findings: DataFrame) -> DataFrame:
-    """``chain_id`` of each group's distinct members, their number and the worst severity among them.
+def chains(members: DataFrame, findings: DataFrame, claimed: DataFrame) -> DataFrame:
+    """``chain, repo, chain_id, n_members, kind, severity``: each group of at least two distinct members.
 
-    ``members(chain, fingerprint)``; groups with under two members are left out.
+    ``members(chain, fingerprint)``, ``claimed(chain, claimed)`` a severity or null, high
+    by default; a chain is as severe as that or its worst member, an attack path if
+    a member can be reached from an entry.  A chain is named by a digest of all its
+    members, so their fingerprints are held together: it is the work of one review.
     """
-    met = members.distinct().join(findings.select("fingerprint", "severity"), "fingerprint")
-    agg = met.groupBy("chain").agg(F.collect_set("fingerprint").alias("m"), F.max(F.coalesce(scores.level(F.col("severity")), F.lit(0))).alias("worst"))
-    return agg.filter(F.size("m") >= 2).select("chain", chain_id(F.col("m")).alias("chain_id"), F.size("m").alias("n_members"), scores.level_name(F.greatest(F.col("worst"), F.lit(0))).alias("severity"))
+    met = members.distinct().join(findings.select("fingerprint", "repo", "severity", F.coalesce("entry_reachable", F.lit(False)).alias("entry")), "fingerprint")
+    agg = met.groupBy("chain").agg(F.min("repo").alias("repo"), F.collect_set("fingerprint").alias("m"), F.bool_or("entry").alias("entry"), F.max(F.coalesce(scores.level(F.col("severity")), F.lit(0))).alias("worst"))
+    full = agg.filter(F.size("m") >= 2).join(claimed, "chain", "left")
+    level = F.greatest(F.col("worst"), F.coalesce(scores.level(F.col("claimed")), scores.level(F.lit("high"))))
+    return full.select("chain", "repo", chain_id(F.col("m")).alias("chain_id"), F.size("m").alias("n_members"), F.when(F.col("entry"), "attack-path").otherwise("chain").alias("kind"), scores.level_name(level).alias("severity"))
 
 
-def chain_labels(built: DataFrame) -> DataFrame:
-    """Chains by severity, then id, as C-1, C-2 and so on; a report's few chains."""
-    order = Window.orderBy(scores.level(F.col("severity")).desc(), "chain_id")
-    return built.withColumn("label", F.concat(F.lit("C-"), F.row_number().over(order).cast("string")))
+def chain_labels(built: DataFrame, members: DataFrame) -> DataFrame:
+    """``repo, fingerprint, labels``: each finding's chains, as C-1, C-2 and so on by severity, then id, in each repo."""
+    ranked = placed(built.withColumn("level", scores.level(F.col("severity"))), ["repo"], [("level", True)], "chain_id", prefix=8)
+    label = F.concat(F.lit("C-"), F.col("place").cast("string"))
+    met = members.distinct().join(ranked.select("chain", "repo", "place", label.alias("label")), "chain")
+    return met.groupBy("repo", "fingerprint").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "label"))), lambda x: x["label"]), ",").alias("labels"))
 
 
 def diff_risk(path: Column, text: Column) -> Column:
@@ -188,3 +210,26 @@ def component_markers(files: DataFrame) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("repo", "marker").orderBy("path"))
     few = rows.withColumn("k", n)
     return few.groupBy("repo", "marker", "role").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("k") <= 5, F.col("path")))), ",").alias("first_paths"))
+
+
+def memory_dirs(scored: DataFrame, budget: int = 25, most: int = 10, largest: int = 150) -> DataFrame:
+    """``repo, dir, input, native, place``: folders whose files a budget leaves unread, by how many deal with input, then how many are native.
+
+    ``scored(repo, path, score)``; folders of more than ``largest`` files are left out.
+    """
+    rank = F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("score"), "path"))
+    folder = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).otherwise(".")
+    below, reads = F.col("rn") > budget, F.col("path").rlike(INPUT_PATH)
+    agg = scored.withColumn("rn", rank).groupBy("repo", folder.alias("dir")).agg(F.count("*").alias("files"), F.count_if(below & reads).alias("input"), F.count_if(below & ~reads & F.col("path").rlike(NATIVE_FILES)).alias("native"))
+    place = F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("input"), F.desc("native"), "dir"))
+    return agg.filter((F.col("files") <= largest) & (F.col("input") + F.col("native") > 0)).withColumn("place", place).filter(F.col("place") <= most).select("repo", "dir", "input", "native", "place")
+
+
+def slices(lines: DataFrame, obligations: DataFrame, most: int = 80) -> DataFrame:
+    """``repo, path, line, kind, first, last, truncated``: each obligation's excerpt of at most ``most`` lines about it, as places in its file."""
+    w = Window.partitionBy("repo", "path")
+    counted = lines.select("repo", "path", "line").withColumn("k", F.row_number().over(w.orderBy("line"))).withColumn("n", F.count("*").over(w))
+    at = obligations.groupBy("repo", "path", "line").agg(F.min("kind").alias("kind"))
+    met = at.join(counted, ["repo", "path", "line"])
+    first = F.greatest(F.lit(1), F.least(F.col("k") - most // 2, F.col("n") - (most - 1))).cast("int")
+    return met.select("repo", "path", "line", "kind", first.alias("first"), F.least(F.col("n"), first + (most - 1)).cast("int").alias("last"), (F.col("n") > most).alias("truncated"))

@@ -30,7 +30,7 @@ SELECT concat('r', CAST(l_suppkey % 5 AS STRING)) AS repo,
  CASE l_suppkey % 4 WHEN 0 THEN 'confirmed-exploitable' WHEN 1 THEN 'not-exploitable' WHEN 2 THEN 'inconclusive' END AS verify_verdict,
  CASE l_orderkey % 3 WHEN 0 THEN 'exploited' WHEN 1 THEN 'not-reproduced' END AS poc_verdict,
  CASE l_orderkey % 4 WHEN 0 THEN 'validated' WHEN 1 THEN 'failed' END AS fix_verdict,
- CASE l_linenumber WHEN 1 THEN concat('C', CAST(l_orderkey % 50 AS STRING)) END AS chain,
+ CASE WHEN l_linenumber <= 2 THEN concat('C', CAST(l_orderkey AS STRING)) END AS chain,
  CASE l_partkey % 6 WHEN 0 THEN NULL ELSE concat('p', CAST(l_partkey AS STRING), '#fn', CAST(l_linenumber % 3 AS STRING)) END AS fn_key,
  l_orderkey AS batch, l_linenumber * 100000000 + l_partkey * 1000 + CAST(l_quantity AS BIGINT) AS ord
 FROM {lineitem}

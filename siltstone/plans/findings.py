@@ -169,7 +169,8 @@ def recall_scoreboard(spark, sf_dir):
 
 def chain_build(spark, sf_dir):
     f = read(spark, sf_dir, FINDINGS)
-    return surface.chains(f.filter("chain is not null").select("chain", "fingerprint"), f)
+    claimed = f.filter("chain is not null").select("chain", F.when(F.substring("chain", 2, 12).cast("long") % 3 == 0, "low").alias("claimed")).distinct()
+    return surface.chains(f.filter("chain is not null").select("chain", "fingerprint"), f, claimed)
 
 
 _FIRST_RUN = f"""WITH c AS (SELECT finding, role, run_no,
@@ -182,10 +183,10 @@ _PATHS = "(e_path = f_path OR ends_with(f_path, '/' || e_path) OR ends_with(e_pa
 _MATCH = f"""m AS (SELECT t.case_id, t.id, a.fingerprint, a.status FROM (SELECT *, file_path AS e_path FROM truth) t JOIN (SELECT *, file_path AS f_path FROM actual) a
  ON t.case_id = a.case_id AND {_PATHS} AND (coalesce(t.line, 0) <= 0 OR abs(t.line - a.line) <= 5)
  AND coalesce(TRY_CAST(nullif(regexp_extract(t.cwe, '\\d+', 0), '') AS BIGINT) = TRY_CAST(nullif(regexp_extract(a.cwe, '\\d+', 0), '') AS BIGINT), true)
- WHERE a.status NOT IN ('noise', 'reviewed', 'remediated'))"""
+ WHERE a.status NOT IN ('reviewed', 'noise', 'rejected'))"""
 _SCORE = f"""WITH {_MATCH},
 e AS (SELECT t.case_id, t.id, t.kind, count(m.id) > 0 AS hit, count(*) FILTER (m.status = 'proven') AS np FROM truth t LEFT JOIN m ON t.case_id = m.case_id AND t.id = m.id GROUP BY ALL),
-u AS (SELECT case_id, count(*) AS unmatched FROM actual WHERE status NOT IN ('noise', 'reviewed', 'remediated') AND (case_id, fingerprint) NOT IN (SELECT (case_id, fingerprint) FROM m) GROUP BY case_id),
+u AS (SELECT case_id, count(*) AS unmatched FROM actual WHERE status NOT IN ('reviewed', 'noise', 'rejected') AND (case_id, fingerprint) NOT IN (SELECT (case_id, fingerprint) FROM m) GROUP BY case_id),
 p AS (SELECT case_id, count(*) AS proven FROM actual WHERE status = 'proven' GROUP BY case_id),
 g AS (SELECT case_id, count(*) FILTER (kind = 'vuln') AS expected, count(*) FILTER (kind = 'vuln' AND hit) AS tp, count(*) FILTER (kind = 'vuln' AND NOT hit) AS fn, count(*) FILTER (kind <> 'vuln' AND hit) AS decoys, count(*) FILTER (kind <> 'vuln' AND np > 0) AS false_proofs FROM e GROUP BY case_id),
 s AS (SELECT case_id, expected, tp, fn, decoys + coalesce(unmatched, 0) AS fp, false_proofs, coalesce(unmatched, 0) AS unmatched, coalesce(proven, 0) AS proven FROM g LEFT JOIN u USING (case_id) LEFT JOIN p USING (case_id))"""
@@ -273,7 +274,7 @@ FROM f a LEFT JOIN f b ON a.finding = b.finding AND b.role = 'benign' WHERE a.ro
 SELECT finding, CASE WHEN fired = 0 THEN best WHEN fired = total AND clean THEN 5 ELSE least(4, top) END AS level, CASE WHEN fired = 0 THEN best_verdict ELSE 'exploited' END AS verdict, fired, total, round(fired / total, 3) AS rate FROM g""", runs=RUNS
     ),
     "crash_triage": sql("SELECT crash_key, count(*) AS n, min(fingerprint) AS first_fingerprint, count(DISTINCT cwe) AS n_cwes FROM c GROUP BY crash_key", c=CRASHES),
-    "match_ground_truth": sql(f"WITH {_MATCH} SELECT case_id, id, fingerprint FROM m", truth=TRUTH, actual=ACTUAL),
+    "match_ground_truth": sql(f"WITH {_MATCH} SELECT case_id, id, CAST(count(*) AS BIGINT) AS n, min(fingerprint) AS first FROM m GROUP BY ALL", truth=TRUTH, actual=ACTUAL),
     "score_findings": sql(f"{_SCORE} SELECT case_id, expected, tp, fn, fp, false_proofs, unmatched, proven, {_RATES} FROM s", truth=TRUTH, actual=ACTUAL),
     "corpus_aggregate": sql(f"{_SCORE}, z AS (SELECT CAST(sum(expected) AS BIGINT) AS expected, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(false_proofs) AS BIGINT) AS false_proofs, CAST(sum(proven) AS BIGINT) AS proven FROM s) SELECT *, {_RATES} FROM z", truth=TRUTH, actual=ACTUAL),
     "anchor_hits_file": sql(f"WITH {_HITS} SELECT * FROM hf", truth=TRUTH, actual=ACTUAL),
@@ -282,6 +283,6 @@ SELECT finding, CASE WHEN fired = 0 THEN best WHEN fired = total AND clean THEN
         f"WITH {_HITS}, r AS (SELECT t.case_id, t.id, hf.id IS NOT NULL AS f, hs.id IS NOT NULL AS s FROM t LEFT JOIN hf ON t.case_id = hf.case_id AND t.id = hf.id LEFT JOIN hs ON t.case_id = hs.case_id AND t.id = hs.id WHERE kind = 'vuln') SELECT case_id, count(*) AS expected, round(count(*) FILTER (f) / count(*), 4) AS file_recall, round(count(*) FILTER (s) / count(*), 4) AS site_recall FROM r GROUP BY ROLLUP (case_id)", truth=TRUTH, actual=ACTUAL
     ),
     "chain_build": sql(
-        f"SELECT chain, 'chain-' || left(sha256(string_agg(fingerprint, '|' ORDER BY fingerprint)), 12) AS chain_id, CAST(count(*) AS INTEGER) AS n_members, ['info', 'low', 'medium', 'high', 'critical'][max({_case('severity', {k: i for i, k in enumerate(scores.LEVELS)}, '0')}) + 1] AS severity FROM f WHERE chain IS NOT NULL GROUP BY chain HAVING count(*) >= 2", f=FINDINGS
+        f"SELECT chain, min(repo) AS repo, 'chain-' || left(sha256(string_agg(fingerprint, '|' ORDER BY fingerprint)), 12) AS chain_id, CAST(count(*) AS INTEGER) AS n_members, CASE WHEN bool_or(coalesce(entry_reachable, false)) THEN 'attack-path' ELSE 'chain' END AS kind, ['info', 'low', 'medium', 'high', 'critical'][greatest(CASE WHEN CAST(substr(chain, 2) AS BIGINT) % 3 = 0 THEN 1 ELSE 3 END, max({_case('severity', {k: i for i, k in enumerate(scores.LEVELS)}, '0')})) + 1] AS severity FROM f WHERE chain IS NOT NULL GROUP BY chain HAVING count(*) >= 2", f=FINDINGS
     ),
 }

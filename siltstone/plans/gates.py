@@ -15,12 +15,6 @@ def gate_taint(spark, sf_dir):
     return f.select("fingerprint", gates.evidence_gate().alias("g")).select("fingerprint", "g.verdict", "g.gated_from")
 
 
-def gate_verify(spark, sf_dir):
-    f = read(spark, sf_dir, FINDINGS)
-    rows = f.select("fingerprint", F.coalesce("verify_verdict", F.lit("odd")).alias("verdict"), F.when(F.col("start_line") % 2 == 0, F.concat("title", F.lit(" a bounds check"))).otherwise(F.col("title")).alias("rationale"), F.col("poc_verdict").alias("sketch"), "file_path", F.coalesce("fix_verdict", F.lit("no")).alias("negative"))
-    return rows.select("fingerprint", gates.verify_reason(27, 6).alias("reason"))
-
-
 def gate_fix(spark, sf_dir):
     f = read(spark, sf_dir, FINDINGS)
     rows = f.select("fingerprint", F.col("fix_verdict").alias("verdict"), (F.col("start_line") % 2 == 0).alias("poc_blocked"), (F.col("start_line") % 3 > 0).alias("tests_pass"), F.lit(True).alias("builds"), F.col("entry_reachable").alias("semantic"))
@@ -48,14 +42,10 @@ def lead_to_candidate(spark, sf_dir):
     return gates.leads_of(candidates, leads.distinct())
 
 
-QUERIES = {q.__name__: q for q in (gate_taint, gate_verify, gate_fix, gate_crash, gate_supply_chain, promote, lead_to_candidate)}
+QUERIES = {q.__name__: q for q in (gate_taint, gate_fix, gate_crash, gate_supply_chain, promote, lead_to_candidate)}
 
 ORACLE_SQL = {
     "gate_taint": sql("SELECT fingerprint, CASE WHEN down THEN 'candidate' ELSE verdict END AS verdict, CASE WHEN down THEN verdict END AS gated_from FROM (SELECT *, verdict = 'finding' AND start_line % 4 IN (0, 3) AS down FROM f)", f=FINDINGS),
-    "gate_verify": sql(
-        """WITH r AS (SELECT fingerprint, coalesce(verify_verdict, 'odd') AS v, CASE start_line % 2 WHEN 0 THEN title || ' a bounds check' ELSE title END AS t, poc_verdict AS s, coalesce(fix_verdict, 'no') AS n FROM f)
-SELECT fingerprint, CASE WHEN v = 'odd' THEN 'verdict' WHEN length(trim(t)) < 27 THEN 'rationale' WHEN v = 'confirmed-exploitable' AND s IS NULL THEN 'sketch' WHEN v = 'confirmed-exploitable' AND length(n) < 6 THEN 'negative-case' WHEN v = 'not-exploitable' AND NOT contains(t, 'check') THEN 'guard' END AS reason FROM r""", f=FINDINGS
-    ),
     "gate_fix": sql("SELECT fingerprint, fix_verdict <> 'validated' OR (start_line % 2 = 0 AND start_line % 3 > 0 AND coalesce(entry_reachable, true)) AS ok FROM f WHERE fix_verdict IS NOT NULL", f=FINDINGS),
     "gate_crash": sql("SELECT fingerprint, CASE WHEN start_line % 5 > 0 AND start_line % 2 = 0 THEN 'off-target' WHEN start_line % 7 = 0 THEN 'weak' ELSE 'promote' END AS gate FROM f", f=FINDINGS),
     "gate_supply_chain": sql("SELECT fingerprint, severity AS tier, CASE severity WHEN 'high' THEN 'open' ELSE 'needs-evidence' END AS status FROM f WHERE severity IN ('high', 'medium') AND fn_key IS NOT NULL", f=FINDINGS),

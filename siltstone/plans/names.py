@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import scores, text, verdicts
-from siltstone.operators import benchmarks, code, evals, findings, scan, surface
+from siltstone.operators import benchmarks, code, evals, findings, ranking, surface, worklists
 from siltstone.plans import findings as of_findings
 from siltstone.plans import surface as of_surface
 from siltstone.plans.derived import ACTUAL, ANCHORS, FILES, FINDINGS, SYMBOLS, TRUTH, read, sql
-from siltstone.plans.scans import CODE
+from siltstone.plans.readers import APIS, DECLARED
+from siltstone.plans.threats import LEADS, THREATS
+from siltstone.sources import documents
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -47,19 +50,14 @@ def bounded_scores(spark, sf_dir):
     return read(spark, sf_dir, FINDINGS).select("fingerprint", scores.reach_score(n).alias("reach_score"), scores.reach_boost(n).alias("reach_boost"), scores.blast_bonus(n).alias("blast_bonus"), scores.severity_rank(F.col("severity")).alias("severity_rank"))
 
 
-@register("sort_by_priority", sql(f"SELECT repo, fingerprint, CAST(row_number() OVER (PARTITION BY repo ORDER BY {of_findings._PRIORITY} DESC, fingerprint) AS INTEGER) AS place FROM f", f=FINDINGS))
-def sort_by_priority(spark, sf_dir):
-    from pyspark.sql import Window
-
-    return findings.prioritised(read(spark, sf_dir, FINDINGS)).select("repo", "fingerprint", F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("score"), "fingerprint")).alias("place"))
-
-
-@register("path_suffix_eq", sql("SELECT t.id, a.fingerprint FROM t JOIN a ON t.case_id = a.case_id AND (t.file_path = a.file_path OR ends_with(a.file_path, '/' || t.file_path))", t=TRUTH, a=ACTUAL))
+@register("path_suffix_eq", sql("SELECT t.id, count(*) AS n, min(a.fingerprint) AS first FROM t JOIN a ON t.case_id = a.case_id AND (t.file_path = a.file_path OR ends_with(a.file_path, '/' || t.file_path)) GROUP BY t.id", t=TRUTH, a=ACTUAL))
 def path_suffix_eq(spark, sf_dir):
+    """Expectations with the number of findings in a file of the same path, and the first; findings are counted by path first."""
     t = read(spark, sf_dir, TRUTH).select("case_id", "id", F.col("file_path").alias("p"))
-    a = read(spark, sf_dir, ACTUAL).select("case_id", "fingerprint", F.col("file_path").alias("q"))
-    met = t.withColumn("base", text.basename(F.col("p"))).join(a.withColumn("base", text.basename(F.col("q"))), ["case_id", "base"])
-    return met.filter(text.same_path(F.col("p"), F.col("q"))).select("id", "fingerprint")
+    a = read(spark, sf_dir, ACTUAL).groupBy("case_id", F.col("file_path").alias("q")).agg(F.count("*").alias("n"), F.min("fingerprint").alias("first"))
+    paths = t.select("case_id", "p").distinct().withColumn("base", text.basename(F.col("p"))).join(a.withColumn("base", text.basename(F.col("q"))), ["case_id", "base"])
+    met = paths.filter(text.same_path(F.col("p"), F.col("q"))).groupBy("case_id", "p").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    return t.join(met, ["case_id", "p"]).select("id", "n", "first")
 
 
 @register("clamp_confidence", "SELECT l_orderkey, l_linenumber, l_partkey, greatest(0.0, least(1.0, l_tax * 20 - 0.3)) AS confidence FROM lineitem")
@@ -81,7 +79,7 @@ def obligation_id(spark, sf_dir):
     return read(spark, sf_dir, FINDINGS).select(text.obligation_id("OB", F.col("start_line"), F.col("file_path"), F.col("batch"), F.col("source")).alias("id"))
 
 
-@register("chain_id", of_findings.ORACLE_SQL["chain_build"].replace("SELECT chain, 'chain-'", "SELECT 'chain-'", 1).split(", CAST(count(*)")[0] + " FROM f WHERE chain IS NOT NULL GROUP BY chain HAVING count(*) >= 2")
+@register("chain_id", f"SELECT chain_id FROM ({of_findings.ORACLE_SQL['chain_build']})")
 def chain_id(spark, sf_dir):
     return of_findings.chain_build(spark, sf_dir).select("chain_id")
 
@@ -180,12 +178,6 @@ def overlay_exclude(spark, sf_dir):
     return f.join(top, ["repo", "file_path"], "left_anti").select("fingerprint")
 
 
-@register("resume_anti", sql("SELECT DISTINCT repo, file_path FROM f WHERE (repo, file_path) NOT IN (SELECT (repo, file_path) FROM f WHERE status = 'proven')", f=FINDINGS))
-def resume_anti(spark, sf_dir):
-    f = read(spark, sf_dir, FINDINGS)
-    return f.select("repo", "file_path").distinct().join(f.filter("status = 'proven'"), ["repo", "file_path"], "left_anti")
-
-
 @register("false_proof_stats", sql(of_findings._SCORE + " SELECT case_id, false_proofs, proven FROM s", truth=TRUTH, actual=ACTUAL))
 def false_proof_stats(spark, sf_dir):
     return of_findings.score_findings(spark, sf_dir).select("case_id", "false_proofs", "proven")
@@ -246,89 +238,73 @@ def cross_file_flow(spark, sf_dir):
     return evals.cross_file(read(spark, sf_dir, HOPS))
 
 
-@register("flow_link", sql("WITH h AS (SELECT repo, file_path AS path, start_line AS line, 'CWE-' || " + _NUMBER + " AS cwe, CASE start_line % 2 WHEN 0 THEN 'source' ELSE 'sink' END AS kind FROM f GROUP BY ALL), l AS (SELECT s.repo, s.cwe, s.path, max(x.line) AS source_line, s.line AS sink_line FROM h s JOIN h x ON s.repo = x.repo AND s.path = x.path AND s.cwe = x.cwe AND x.kind = 'source' AND x.line < s.line WHERE s.kind = 'sink' GROUP BY ALL), p AS (SELECT *, CAST(row_number() OVER (PARTITION BY repo, cwe ORDER BY path, sink_line) AS INTEGER) AS place FROM l) SELECT * FROM p WHERE place <= 25", f=FINDINGS))
-def flow_link(spark, sf_dir):
-    f = read(spark, sf_dir, FINDINGS)
-    hits = f.select("repo", F.col("file_path").alias("path"), F.col("start_line").alias("line"), text.norm_cwe(F.col("cwe")).alias("cwe"), F.when(F.col("start_line") % 2 == 0, "source").otherwise("sink").alias("kind")).distinct().filter("cwe is not null")
-    return evals.flow_link(hits)
-
-
-@register("gate_deep_scan", sql("SELECT fingerprint, CASE WHEN verdict NOT IN ('finding', 'candidate', 'rejected') THEN 'verdict' WHEN length(trim(title)) < 28 THEN 'rationale' WHEN verdict = 'finding' AND trim(cwe) = '' THEN 'cwe' WHEN verdict = 'finding' AND length(trim(ref_id)) < 7 THEN 'self-check' END AS reason FROM f", f=FINDINGS))
-def gate_deep_scan(spark, sf_dir):
-    f = read(spark, sf_dir, FINDINGS).withColumn("rationale", F.col("title")).withColumn("self_check", F.col("ref_id"))
-    return f.select("fingerprint", evals.draft_reason(("finding", "candidate", "rejected"), 28, 7).alias("reason"))
-
-
-@register("scan_entry_defs", sql("SELECT repo, path, count(*) AS n FROM c WHERE regexp_matches(text, '@app\\.|findById') GROUP BY ALL", c=CODE))
-def scan_entry_defs(spark, sf_dir):
-    return read(spark, sf_dir, CODE).filter(F.col("text").rlike(r"@app\.|findById")).groupBy("repo", "path").agg(F.count("*").alias("n"))
-
-
-@register("scan_any_fixed", sql("SELECT DISTINCT repo, path FROM c WHERE contains(text, 'memcpy(') OR contains(text, 'os.system(') OR contains(text, 'free(')", c=CODE))
-def scan_any_fixed(spark, sf_dir):
-    lines = read(spark, sf_dir, CODE)
-    hit = F.col("text").contains("memcpy(") | F.col("text").contains("os.system(") | F.col("text").contains("free(")
-    return lines.filter(hit).select("repo", "path").distinct()
+@register("entry_point_counts", sql("SELECT repo, kind, count(*) AS n, CASE WHEN count(*) >= 20 THEN 'WATCH' ELSE 'ok' END AS state FROM (SELECT repo, 'k' || (bytes % 3) AS kind FROM f) GROUP BY ALL", f=FILES))
+def entry_point_counts(spark, sf_dir):
+    f = read(spark, sf_dir, FILES).withColumn("kind", F.concat(F.lit("k"), (F.col("bytes") % 3).cast("string")))
+    return f.groupBy("repo", "kind").agg(F.count("*").alias("n")).withColumn("state", F.when(F.col("n") >= 20, "WATCH").otherwise("ok"))
 
 
-@register("hit_rank", sql("SELECT repo, path, line, " + " + ".join(f"CASE WHEN regexp_matches({s}, '{p}') THEN {w} ELSE 0 END" for s, p, w in scan.RANKERS["systems"]) + " AS score FROM c", c=CODE))
-def hit_rank(spark, sf_dir):
-    return read(spark, sf_dir, CODE).select("repo", "path", "line", scan.rank(F.col("path"), F.col("text"), "systems").alias("score"))
+@register("sort_by_priority", sql(f"SELECT repo, fingerprint, CAST(row_number() OVER (PARTITION BY repo ORDER BY {of_findings._PRIORITY} DESC, fingerprint) AS INTEGER) AS place FROM f", f=FINDINGS))
+def sort_by_priority(spark, sf_dir):
+    return ranking.placed(findings.prioritised(read(spark, sf_dir, FINDINGS)), ["repo"], [("score", True)], "fingerprint").select("repo", "fingerprint", "place")
 
 
-@register("classify_program_kind", sql("SELECT repo, CASE WHEN web > cmd AND web > 0 THEN 'web-service' WHEN cmd > 0 THEN 'cli' ELSE 'unknown' END AS kind, web, cmd FROM (SELECT repo, CAST(sum(len(regexp_extract_all(text, '@app\\.|requests\\.'))) AS BIGINT) AS web, CAST(sum(len(regexp_extract_all(text, 'os\\.system|exec'))) AS BIGINT) AS cmd FROM c GROUP BY repo)", c=CODE))
-def classify_program_kind(spark, sf_dir):
-    count = lambda p: F.sum(F.regexp_count("text", F.lit(p))).cast("long")
-    agg = read(spark, sf_dir, CODE).groupBy("repo").agg(count(r"@app\.|requests\.").alias("web"), count(r"os\.system|exec").alias("cmd"))
-    return agg.withColumn("kind", F.when((F.col("web") > F.col("cmd")) & (F.col("web") > 0), "web-service").when(F.col("cmd") > 0, "cli").otherwise("unknown"))
+@register("chain_labels", sql("WITH b AS (" + of_findings.ORACLE_SQL["chain_build"].split(") SELECT chain", 1)[1].join(["SELECT chain", ""]) + "), l AS (SELECT chain, repo, row_number() OVER (PARTITION BY repo ORDER BY list_position(['info', 'low', 'medium', 'high', 'critical'], severity) DESC, chain_id) AS place FROM b) SELECT l.repo, m.fingerprint, string_agg('C-' || place, ',' ORDER BY place) AS labels FROM (SELECT DISTINCT chain, fingerprint FROM f WHERE chain IS NOT NULL) m JOIN l ON m.chain = l.chain GROUP BY ALL", f=FINDINGS))
+def chain_labels(spark, sf_dir):
+    members = read(spark, sf_dir, FINDINGS).filter("chain is not null").select("chain", "fingerprint")
+    return surface.chain_labels(of_findings.chain_build(spark, sf_dir), members)
 
 
-@register("call_edges", sql("SELECT DISTINCT repo, file_path AS src, concat('fn', line * 3 % 97) AS dst FROM a", a=ANCHORS))
-def call_edges(spark, sf_dir):
-    return read(spark, sf_dir, ANCHORS).select("repo", F.col("file_path").alias("src"), F.concat(F.lit("fn"), (F.col("line") * 3 % 97).cast("string")).alias("dst")).distinct()
+@register("resume_anti", sql(f"WITH {of_surface._SHARDS} SELECT repo, shard_id FROM s WHERE (repo, shard_id) NOT IN (SELECT (repo, shard_id) FROM s WHERE n_files % 2 = 0)", files=FILES))
+def resume_anti(spark, sf_dir):
+    """Shards that aren't in the table of those done, here those of an even number of files."""
+    shards = of_surface.shard_plan(spark, sf_dir)
+    return shards.select("repo", "shard_id").join(shards.filter("n_files % 2 = 0").select("repo", "shard_id"), ["repo", "shard_id"], "left_anti")
 
 
-@register("block_callees", sql("SELECT repo, path, name, count(*) AS n FROM (SELECT repo, path, line, unnest(list_distinct(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]+)\\s*\\(', 1))) AS name FROM c) WHERE name NOT IN ('if', 'for', 'while', 'switch', 'return', 'catch', 'function', 'sizeof') GROUP BY ALL", c=CODE))
-def block_callees(spark, sf_dir):
-    return code.call_sites(read(spark, sf_dir, CODE)).groupBy("repo", "path", "name").agg(F.count("*").alias("n"))
+@register("dataflow_reach_files", sql(f"WITH s AS (SELECT repo, file_path, concat('lib/g', start_line, '.c') AS node FROM f WHERE source IN ('deep-scan', 'variant-hunt', 'sast') AND (status IS NULL OR {_ACTIVE} OR status = 'candidate')) SELECT DISTINCT repo, path FROM (SELECT repo, file_path AS path FROM s UNION ALL SELECT repo, node FROM s)", f=FINDINGS))
+def dataflow_reach_files(spark, sf_dir):
+    """Files of the evidence and of the graph nodes of live findings of the flow producers."""
+    f = read(spark, sf_dir, FINDINGS).filter(F.col("source").isin("deep-scan", "variant-hunt", "sast") & (F.col("status").isNull() | F.col("status").isin(*findings.ACTIONABLE, "candidate")))
+    nodes = F.array(F.col("file_path"), F.concat(F.lit("lib/g"), F.col("start_line").cast("string"), F.lit(".c")))
+    return f.select("repo", F.explode(nodes).alias("path")).distinct()
 
 
-@register("union_candidates", sql("SELECT repo, file_path AS path, 'finding' AS origin FROM f GROUP BY ALL UNION ALL SELECT repo, file_path, 'symbol' FROM s GROUP BY ALL", f=FINDINGS, s=SYMBOLS))
+@register("union_candidates", sql("SELECT repo, 'threat' AS origin, id FROM t UNION ALL SELECT repo, 'lead', id FROM l UNION ALL SELECT repo, 'route-code', path || '#' || line FROM d WHERE text <> 'nothing' AND contains(text, '/') UNION ALL SELECT 'r' || (id % 3), 'route-spec', '/a/' || id FROM p UNION ALL SELECT repo, 'finding', fingerprint FROM f UNION ALL SELECT repo, 'anchor', file_path || '#' || line FROM a GROUP BY repo, file_path, line", t=THREATS, l=LEADS, d=DECLARED, p=APIS, f=FINDINGS, a=ANCHORS))
 def union_candidates(spark, sf_dir):
-    part = lambda t, o: read(spark, sf_dir, t).select("repo", F.col("file_path").alias("path"), F.lit(o).alias("origin")).distinct()
-    return part(FINDINGS, "finding").unionByName(part(SYMBOLS, "symbol"))
+    """Candidates of a review: threats and leads, routes of the code and of specifications, findings and anchors."""
+    site = lambda path, line: F.concat(F.col(path), F.lit("#"), F.col(line).cast("string"))
+    spec = documents.openapi_routes(read(spark, sf_dir, APIS), "id").filter(F.col("path").startswith("/a/")).select(F.concat(F.lit("r"), (F.col("id") % 3).cast("string")).alias("repo"), F.col("path").alias("id"))
+    parts = {
+        "threat": (read(spark, sf_dir, THREATS), None), "lead": (read(spark, sf_dir, LEADS), None), "route-code": (read(spark, sf_dir, DECLARED).filter("text <> 'nothing' and contains(text, '/')").withColumn("id", site("path", "line")), None),
+        "route-spec": (spec, None), "finding": (read(spark, sf_dir, FINDINGS).withColumn("id", F.col("fingerprint")), None), "anchor": (read(spark, sf_dir, ANCHORS).select("repo", site("file_path", "line").alias("id")).distinct(), None),
+    }
+    return worklists.candidates(parts)
 
 
-@register("stamp_provenance", sql("SELECT repo, left(sha256(concat_ws('|', repo, count(*), CAST(sum(bytes) AS BIGINT))), 16) AS digest FROM f GROUP BY repo", f=FILES))
+@register("stamp_provenance", sql("SELECT repo, left(sha256('siltstone 1'), 16) AS toolchain, left(sha256(concat_ws('|', repo, count(*), CAST(sum(bytes) AS BIGINT))), 16) AS files, left(sha256(string_agg(DISTINCT split_part(path, '.', -1), ',' ORDER BY split_part(path, '.', -1))), 16) AS scope, left(sha256('default'), 16) AS policy FROM f GROUP BY repo", f=FILES))
 def stamp_provenance(spark, sf_dir):
-    agg = read(spark, sf_dir, FILES).groupBy("repo").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
-    return agg.select("repo", F.left(F.sha2(F.concat_ws("|", "repo", F.col("n").cast("string"), F.col("b").cast("string")), 256), F.lit(16)).alias("digest"))
+    """Digests of the tools, of a repository's files, of the kinds of files in scope, and of the policy."""
+    digest = lambda x: F.left(F.sha2(x, 256), F.lit(16))
+    files = read(spark, sf_dir, FILES).withColumn("kind", F.substring_index("path", ".", -1))
+    kinds = files.select("repo", "kind").distinct().groupBy("repo").agg(F.array_join(F.array_sort(F.collect_list("kind")), ",").alias("kinds"))
+    agg = files.groupBy("repo").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).join(kinds, "repo")
+    return agg.select("repo", digest(F.lit("siltstone 1")).alias("toolchain"), digest(F.concat_ws("|", "repo", F.col("n").cast("string"), F.col("b").cast("string"))).alias("files"), digest(F.col("kinds")).alias("scope"), digest(F.lit("default")).alias("policy"))
 
 
-@register("change_set", sql("SELECT doc_id, substr(content, 1, 8000) AS diff FROM f WHERE NOT contains(path, '.md')", f=FILES))
+@register("change_set", sql("SELECT repo, path, CASE doc_id % 5 WHEN 1 THEN 'A' ELSE 'M' END AS status, substr(content, 1, 8000) AS diff FROM f WHERE doc_id % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY repo ORDER BY path) <= 40", f=FILES))
 def change_set(spark, sf_dir):
-    return read(spark, sf_dir, FILES).filter(~F.col("path").contains(".md")).select("doc_id", F.substring("content", 1, 8000).alias("diff"))
+    """Each repository's first 40 changed files that aren't deleted, with the beginning of their change."""
+    state = F.when(F.col("doc_id") % 5 == 0, "D").when(F.col("doc_id") % 5 == 1, "A").otherwise("M")
+    changed = read(spark, sf_dir, FILES).withColumn("status", state).filter("status <> 'D'")
+    few = changed.withColumn("n", F.row_number().over(Window.partitionBy("repo").orderBy("path"))).filter("n <= 40")
+    return few.select("repo", "path", "status", F.substring("content", 1, 8000).alias("diff"))
 
 
-@register("read_ground_truth", sql("SELECT case_id, id, 'vuln' AS kind, cwe FROM t WHERE kind = 'vuln' UNION ALL SELECT case_id, id, kind, NULL FROM t WHERE kind = 'safe'", t=TRUTH))
+@register("read_ground_truth", sql("SELECT case_id, id, CASE WHEN CAST(substr(id, 2) AS BIGINT) % 2 = 0 THEN 'vuln' ELSE kind END AS kind, cwe, file_path, CAST(line AS BIGINT) AS line FROM t", t=TRUTH))
 def read_ground_truth(spark, sf_dir):
-    t = read(spark, sf_dir, TRUTH)
-    expected = t.filter("kind = 'vuln'").select("case_id", "id", F.lit("vuln").alias("kind"), "cwe")
-    return expected.unionByName(t.filter("kind = 'safe'").select("case_id", "id", "kind"), allowMissingColumns=True)
-
-
-@register("dataflow_reach_files", sql("SELECT DISTINCT repo, file_path FROM f WHERE source IN ('deep-scan', 'variant-hunt', 'sast') AND (" + _ACTIVE + ")", f=FINDINGS))
-def dataflow_reach_files(spark, sf_dir):
-    f = read(spark, sf_dir, FINDINGS)
-    return f.filter(F.col("source").isin("deep-scan", "variant-hunt", "sast") & F.col("status").isin(*findings.ACTIONABLE)).select("repo", "file_path").distinct()
-
-
-@register("entry_point_counts", sql("SELECT repo, kind, count(*) AS n, CASE WHEN count(*) >= 20 THEN 'WATCH' ELSE 'ok' END AS state FROM (SELECT repo, 'k' || (bytes % 3) AS kind FROM f) GROUP BY ALL", f=FILES))
-def entry_point_counts(spark, sf_dir):
-    f = read(spark, sf_dir, FILES).withColumn("kind", F.concat(F.lit("k"), (F.col("bytes") % 3).cast("string")))
-    return f.groupBy("repo", "kind").agg(F.count("*").alias("n")).withColumn("state", F.when(F.col("n") >= 20, "WATCH").otherwise("ok"))
-
-
-@register("chain_labels", "SELECT chain_id, 'C-' || row_number() OVER (ORDER BY list_position(['info', 'low', 'medium', 'high', 'critical'], severity) DESC, chain_id) AS label FROM (" + of_findings.ORACLE_SQL["chain_build"] + ")")
-def chain_labels(spark, sf_dir):
-    return surface.chain_labels(of_findings.chain_build(spark, sf_dir)).select("chain_id", "label")
+    """Manifests of two shapes: expectations that are all vulnerable, and those that name their kind."""
+    t = read(spark, sf_dir, TRUTH).withColumn("n", F.substring("id", 2, 12).cast("long"))
+    row = F.struct("id", "kind", "cwe", F.col("file_path").alias("file"), "line")
+    docs = t.select("case_id", F.when(F.col("n") % 2 == 0, F.to_json(F.struct(F.array(row).alias("expected")))).otherwise(F.to_json(F.struct(F.array(row).alias("expectations")))).alias("json"))
+    return documents.ground_truth(docs, "case_id")

@@ -2,26 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from siltstone.operators import proofs, scan
 from siltstone.plans.derived import read, sql
-from siltstone.streaming import crashes
-
-#: Source lines, one a line item: a file an order, with statements of many kinds.
-CODE = """
-SELECT concat('r', CAST(l_orderkey % 3 AS STRING)) AS repo,
- concat(CASE l_orderkey % 6 WHEN 0 THEN 'src/test/' ELSE 'src/' END, 'o', CAST(l_orderkey AS STRING), CASE l_orderkey % 4 WHEN 0 THEN '.c' WHEN 1 THEN '.py' WHEN 2 THEN '.go' ELSE '.js' END) AS path,
- l_partkey * 1000 + CAST(l_quantity AS BIGINT) * 10 + l_linenumber AS line,
- concat(CASE l_partkey % 7 WHEN 0 THEN '  ' WHEN 1 THEN '// ' ELSE '' END, CASE l_suppkey * 31 % 29 + CAST(l_quantity AS BIGINT) % 3
- WHEN 0 THEN 'memcpy(dst, src, n);' WHEN 1 THEN 'if (token == secret) return;' WHEN 2 THEN 'char buf [LIMIT];' WHEN 3 THEN 'p = malloc(n * size);' WHEN 4 THEN 'free(p);' WHEN 5 THEN 'os.system(cmd)'
- WHEN 6 THEN 'cursor.execute(sql)' WHEN 7 THEN 'requests.get(url)' WHEN 8 THEN 'x = findById(req.params.id)' WHEN 9 THEN 'import os' WHEN 10 THEN '@app.route(x)' WHEN 11 THEN 'h = MD5(data)'
- WHEN 12 THEN 'verify = False' WHEN 13 THEN 'balance = Amount - refund' WHEN 14 THEN 'status = paid' WHEN 15 THEN 'commit' WHEN 16 THEN 'if (user_id != owner) stop' WHEN 17 THEN 'if (!exists) create' WHEN 18 THEN 'nonce once'
- WHEN 19 THEN 'memset(key, 0)' WHEN 20 THEN 'salt = rand ()' WHEN 21 THEN 'Runtime.exec(x)' WHEN 22 THEN 'private native  int f();' WHEN 23 THEN 'pickle.loads(b)' WHEN 24 THEN 'res.redirect(u)' WHEN 25 THEN 'MEMCMP (a, b)' WHEN 26 THEN '' ELSE 'x = y + 1' END) AS text
-FROM {lineitem}
-"""
+from siltstone.plans.lines import CODE, code_lines, code_sql
 
 #: Log lines of fuzzing runs, one an event.
 LOGS = """
@@ -34,28 +19,33 @@ FROM {events}
 """
 
 
+#: Packs whose queries aren't named scan_<pack>.
+_NAMES = {"route_patterns": "route_pattern_hits", "logic": "logic_probes"}
+
+
 def _pack(name: str):
     def query(spark, sf_dir):
-        return scan.pattern_scan(read(spark, sf_dir, CODE), scan.PACKS[name])
+        return scan.pattern_scan(code_lines(spark, sf_dir), scan.PACKS[name])
 
-    query.__name__ = f"scan_{name}"
+    query.__name__ = _NAMES.get(name, f"scan_{name}")
     return query
 
 
 def _pack_sql(pack: scan.Pack) -> str:
     quoted = lambda p: p.replace("'", "''")
-    parts = " UNION ALL ".join(f"SELECT *, {o} AS ord, '{i}' AS pattern FROM code WHERE regexp_matches(text, '{quoted(p)}')" for o, (i, p) in enumerate(pack.regexes()))
+    only = {i: f" AND regexp_matches(path, '{quoted(p)}')" for i, p in pack.files}
+    parts = " UNION ALL ".join(f"SELECT *, {o} AS ord, '{i}' AS pattern FROM code WHERE regexp_matches(text, '{quoted(p)}'){only.get(i, '')}" for o, (i, p) in enumerate(pack.regexes()))
     score = " + ".join(f"CASE WHEN regexp_matches({side}, '{p}') THEN {w} ELSE 0 END" for side, p, w in scan.RANKERS[pack.ranker])
-    return sql(
+    budget = "score DESC, ord, m" if pack.by_score else "ord, m"
+    return code_sql(
         f"""WITH h AS ({parts}), f AS (SELECT *, {score} AS score FROM h QUALIFY row_number() OVER (PARTITION BY repo, ord, path ORDER BY line) <= {pack.per_file}),
 m AS (SELECT *, row_number() OVER (PARTITION BY repo, ord ORDER BY score DESC, path, line) AS m FROM f QUALIFY m <= {pack.per_pattern}),
-p AS (SELECT *, CAST(row_number() OVER (PARTITION BY repo ORDER BY ord, m) AS INTEGER) AS place FROM m) SELECT repo, pattern, path, line, score, place FROM p WHERE place <= {pack.budget}""",
-        code=CODE,
+p AS (SELECT *, CAST(row_number() OVER (PARTITION BY repo ORDER BY {budget}) AS INTEGER) AS place FROM m) SELECT repo, pattern, path, line, score, place FROM p WHERE place <= {pack.budget}"""
     )
 
 
 def scan_obligations(spark, sf_dir):
-    return scan.obligations(read(spark, sf_dir, CODE))
+    return scan.obligations(code_lines(spark, sf_dir))
 
 
 def fuzz_telemetry(spark, sf_dir):
@@ -67,25 +57,16 @@ def crash_classify(spark, sf_dir):
     return c.filter("c is not null").select("run_id", "line", "c.tool", "c.error_class", "c.cwe")
 
 
-def crash_stream_dedup(spark, sf_dir):
-    """Crash keys of the event stream, each once."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
-    rows = stream.select(F.concat(F.lit("c"), F.col("user_id").cast("string"), F.lit(":"), F.col("event_type")).alias("crash_key"), F.col("ts").cast("timestamp").alias("seen_at"))
-    base = f"{spark.conf.get('spark.checkpoint.dir')}/siltstone/stream-{uuid.uuid4().hex}"
-    return crashes.run_once(crashes.first_crashes(rows, "3650 days").select("crash_key"), f"{base}/rows", f"{base}/progress")
-
-
 def _rules(rules) -> str:
     return "CASE " + " ".join("WHEN regexp_matches(text, '" + p.replace("'", "''") + f"') THEN '{k}'" for k, p in rules) + " END"
 
 
-QUERIES = {q.__name__: q for q in (*[_pack(n) for n in scan.PACKS], scan_obligations, fuzz_telemetry, crash_classify, crash_stream_dedup)}
+QUERIES = {q.__name__: q for q in (*[_pack(n) for n in scan.PACKS], scan_obligations, fuzz_telemetry, crash_classify)}
 
-ORACLE_SQL = {f"scan_{n}": _pack_sql(p) for n, p in scan.PACKS.items()} | {
-    "scan_obligations": sql(
+ORACLE_SQL = {_NAMES.get(n, f"scan_{n}"): _pack_sql(p) for n, p in scan.PACKS.items()} | {
+    "scan_obligations": code_sql(
         f"""SELECT repo, path, line, kind FROM (SELECT *, CASE WHEN regexp_matches(path, '{scan.NATIVE_FILES}') THEN {_rules(scan.NATIVE_RULES)} WHEN regexp_matches(path, '{scan.BOTH_FILES}') THEN {_rules(scan.NATIVE_RULES + scan.WEB_RULES)}
- WHEN regexp_matches(path, '{scan.WEB_FILES}') THEN {_rules(scan.WEB_RULES)} END AS kind FROM code WHERE trim(text) <> '' AND NOT regexp_matches(text, '{scan.COMMENT}')) WHERE kind IS NOT NULL""", code=CODE
+ WHEN regexp_matches(path, '{scan.WEB_FILES}') THEN {_rules(scan.WEB_RULES)} END AS kind FROM code WHERE trim(text) <> '' AND length(text) <= 400 AND NOT regexp_matches(text, '{scan.COMMENT}')) WHERE kind IS NOT NULL"""
     ),
     "fuzz_telemetry": sql(
         """WITH x AS (SELECT *, TRY_CAST(nullif(regexp_extract(text, '^#(\\d+)', 1), '') AS BIGINT) AS e, TRY_CAST(nullif(regexp_extract(text, 'cov:\\s*(\\d+)', 1), '') AS BIGINT) AS c, TRY_CAST(nullif(regexp_extract(text, 'ft:\\s*(\\d+)', 1), '') AS BIGINT) AS f, TRY_CAST(nullif(regexp_extract(text, 'exec/s:\\s*(\\d+)', 1), '') AS BIGINT) AS s FROM logs),
@@ -97,5 +78,4 @@ SELECT *, CASE WHEN crashes > 0 THEN 'crashed' WHEN cov IS NULL THEN 'no-coverag
         """SELECT run_id, line, CASE WHEN contains(text, 'runtime error') THEN 'UndefinedBehaviorSanitizer' ELSE 'AddressSanitizer' END AS tool, CASE WHEN contains(text, 'ERROR: ') THEN 'heap-use-after-free' WHEN contains(text, 'runtime error') THEN 'div-by-zero' ELSE 'bus-error' END AS error_class,
  CASE WHEN contains(text, 'ERROR: ') THEN 'CWE-416' WHEN contains(text, 'runtime error') THEN 'CWE-369' ELSE 'CWE-119' END AS cwe FROM logs WHERE contains(text, 'Sanitizer') OR contains(text, 'runtime error')""", logs=LOGS
     ),
-    "crash_stream_dedup": "SELECT DISTINCT concat('c', user_id, ':', event_type) AS crash_key FROM events",
 }

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from siltstone.operators import code, surface
+from siltstone.operators import code, stores, surface
 from siltstone.plans.derived import read, sql
 from siltstone.streaming import crashes
 
 #: Functions of six lines, one an order, in a file a customer.
 FUNCTIONS = """
 SELECT concat('r', CAST(o_custkey % 3 AS STRING)) AS repo, concat('c', CAST(o_custkey AS STRING), '.c') AS path, o_orderkey * 10 + i AS line,
- CASE i WHEN 0 THEN 'int f(int a) {{' WHEN 1 THEN '  if (a) {{' WHEN 2 THEN '    g(a);' WHEN 3 THEN '  }}' WHEN 4 THEN CASE o_orderkey % 2 WHEN 0 THEN '  while (h()) {{ k(); }}' ELSE '' END ELSE '}}' END AS text
+ CASE i WHEN 0 THEN concat('int f', CAST(o_custkey % 50 AS STRING), '(int a) {{') WHEN 1 THEN '  if (a) {{' WHEN 2 THEN concat('    g(a, f', CAST((o_custkey * 3 + o_orderkey) % 50 AS STRING), '(a));') WHEN 3 THEN '  }}' WHEN 4 THEN CASE o_orderkey % 2 WHEN 0 THEN '  while (h()) {{ k(); }}' ELSE '' END ELSE '}}' END AS text
 FROM {orders} CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) n
 """
 
@@ -28,6 +26,16 @@ def enclosing_block(spark, sf_dir):
     return code.blocks(read(spark, sf_dir, FUNCTIONS))
 
 
+def block_callees(spark, sf_dir):
+    return code.block_calls(read(spark, sf_dir, FUNCTIONS))
+
+
+def call_edges(spark, sf_dir):
+    lines = read(spark, sf_dir, FUNCTIONS)
+    heads = lines.filter(F.col("text").startswith("int ")).select("repo", "path", "line", F.regexp_extract("text", r"([A-Za-z_]\w*)\s*\(", 1).alias("name"))
+    return code.call_edges(code.block_calls(lines), heads)
+
+
 def component_markers(spark, sf_dir):
     return surface.component_markers(read(spark, sf_dir, MARKED))
 
@@ -37,13 +45,20 @@ def dropped_ledger_stream(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     rows = stream.select(F.when(F.col("user_id") % 2 == 0, F.col("event_type")).alias("source"), F.lit(" ").alias("stage"), F.col("event_id").cast("string").alias("id"), F.lit(None).cast("string").alias("verdict"), F.when(F.col("user_id") % 3 == 0, F.lit("old")).alias("reason"))
-    base = f"{spark.conf.get('spark.checkpoint.dir')}/siltstone/stream-{uuid.uuid4().hex}"
+    base = stores.shared(spark, "stream")
     return crashes.run_once(crashes.dropped_ledger(rows), f"{base}/rows", f"{base}/progress")
 
 
-QUERIES = {q.__name__: q for q in (enclosing_block, component_markers, dropped_ledger_stream)}
+QUERIES = {q.__name__: q for q in (enclosing_block, block_callees, call_edges, component_markers, dropped_ledger_stream)}
+
+_CALLS = """b AS (SELECT repo, path, line AS start, lead(line) OVER (PARTITION BY repo, path ORDER BY line) AS nxt, regexp_extract(text, '([A-Za-z_]\\w*)\\s*\\(', 1) AS block FROM f WHERE starts_with(text, 'int ')),
+s AS (SELECT repo, path, line, unnest(list_distinct(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]+)\\s*\\(', 1))) AS name FROM f WHERE contains(text, '(')),
+c AS (SELECT b.repo, b.path, b.start, b.block, s.name, min(s.line) AS first, count(DISTINCT s.line) AS n FROM b JOIN s ON b.repo = s.repo AND b.path = s.path AND s.line >= b.start AND s.line <= b.start + 5 WHERE s.name <> b.block AND s.name NOT IN ('if', 'for', 'while', 'switch', 'return', 'catch', 'function', 'sizeof') GROUP BY ALL),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY repo, path, start ORDER BY first, name) AS INTEGER) AS place FROM c QUALIFY place <= 40)"""
 
 ORACLE_SQL = {
+    "block_callees": sql(f"WITH {_CALLS} SELECT * FROM k", f=FUNCTIONS),
+    "call_edges": sql(f"WITH {_CALLS}, d AS (SELECT repo, block AS name, path, start AS line FROM b QUALIFY row_number() OVER (PARTITION BY repo, block ORDER BY path, start) = 1), e AS (SELECT DISTINCT repo, block AS src, name FROM k) SELECT e.repo, src, e.name AS dst, d.path, d.line FROM e LEFT JOIN d ON e.repo = d.repo AND e.name = d.name", f=FUNCTIONS),
     "enclosing_block": "SELECT concat('r', o_custkey % 3) AS repo, concat('c', o_custkey, '.c') AS path, o_orderkey * 10 AS start, o_orderkey * 10 + 5 AS \"end\" FROM orders",
     "component_markers": sql(
         """WITH d AS (SELECT DISTINCT repo, path, split_part(path, '/', 2) AS marker FROM m WHERE NOT ends_with(path, '.md')), k AS (SELECT *, row_number() OVER (PARTITION BY repo, marker ORDER BY path) AS k FROM d)

@@ -87,7 +87,7 @@ def called_elsewhere(spark, sf_dir):
 def k_hop_reach(spark, sf_dir):
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     edges = li.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("p"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 5000).cast("string")).alias("dst")).distinct()
-    starts = edges.filter(F.col("src").isin("p1", "p2", "p3", "p5", "p8")).select(F.col("src").alias("node"))
+    starts = read(spark, sf_dir, FINDINGS).filter("entry_reachable and exposure = 'unauth' and severity = 'critical'").select(F.substring_index(F.substring_index("file_path", "/", -1), ".", 1).alias("node"))
     return code.k_hop(edges, starts, 4)
 
 
@@ -115,13 +115,13 @@ def interleave_anchors(spark, sf_dir):
 def risk_rank_files(spark, sf_dir):
     s = read(spark, sf_dir, SYMBOLS)
     files = s.select("repo", F.col("file_path").alias("path")).distinct()
-    a = read(spark, sf_dir, ANCHORS).groupBy("repo", F.col("file_path").alias("path")).agg(F.count_if(F.col("line") > 45).alias("entry_defs"), F.bool_or(F.col("line") == 1).alias("entry"), F.bool_or(F.col("line") == 2).alias("route"), F.bool_or(F.col("line") == 3).alias("boundary"), F.bool_or(F.col("line") == 4).alias("churn"))
+    a = read(spark, sf_dir, ANCHORS).groupBy("repo", F.col("file_path").alias("path")).agg(F.count_if(F.col("line") > 45).alias("entry_defs"), F.bool_or(F.col("line") == 1).alias("entry"), F.bool_or(F.col("line") == 2).alias("route"), F.bool_or(F.col("line") == 3).alias("boundary"), F.bool_or(F.col("line") == 4).alias("churn"), F.bool_or(F.col("line") == 5).alias("dispatch"), F.bool_or(F.col("line") == 6).alias("dataflow"))
     weight = code.caller_weight(s).select("repo", F.col("file_path").alias("path"), F.col("weight").alias("calls"))
     return surface.file_risk(files, weight.join(a, ["repo", "path"], "full"), 50)
 
 
 def attack_subsystems(spark, sf_dir):
-    rows = read(spark, sf_dir, FINDINGS).select("repo", F.col("file_path").alias("path"), F.col("caller_count").alias("score"), F.coalesce("entry_reachable", F.lit(False)).alias("reachable"))
+    rows = read(spark, sf_dir, FINDINGS).select("repo", F.col("file_path").alias("path"), F.col("caller_count").alias("score"), F.coalesce("entry_reachable", F.lit(False)).alias("reachable"), F.col("exposure").alias("reason"))
     return surface.subsystems(rows)
 
 
@@ -227,8 +227,8 @@ SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY repo ORDER BY call
     ),
     "resolve_callees": sql(f"WITH {_CALLS}, n AS (SELECT DISTINCT repo, name FROM calls), d AS (SELECT *, CAST(row_number() OVER (PARTITION BY repo, name ORDER BY file_path, line) AS INTEGER) AS n FROM symbols) SELECT d.repo, d.name, file_path, line, n FROM d SEMI JOIN n USING (repo, name) WHERE n <= 5", symbols=SYMBOLS, anchors=ANCHORS),
     "called_elsewhere": sql(f"WITH {_CALLS} SELECT repo, name, file_path, line FROM symbols s WHERE EXISTS (SELECT 1 FROM calls c WHERE c.repo = s.repo AND c.name = s.name AND c.file_path <> s.file_path)", symbols=SYMBOLS, anchors=ANCHORS),
-    "k_hop_reach": """WITH RECURSIVE e AS (SELECT DISTINCT concat('p', l_partkey) AS src, concat('p', (l_partkey * 7 + l_suppkey) % 5000) AS dst FROM lineitem),
-r AS (SELECT DISTINCT src AS node, 0 AS hop FROM e WHERE src IN ('p1', 'p2', 'p3', 'p5', 'p8') UNION SELECT dst, hop + 1 FROM r JOIN e ON node = src WHERE hop < 4) SELECT node, CAST(min(hop) AS INTEGER) AS hop FROM r GROUP BY node""",
+    "k_hop_reach": sql("""RECURSIVE WITH e AS (SELECT DISTINCT concat('p', l_partkey) AS src, concat('p', (l_partkey * 7 + l_suppkey) % 5000) AS dst FROM lineitem),
+r AS (SELECT DISTINCT split_part(string_split(file_path, '/')[-1], '.', 1) AS node, 0 AS hop FROM f WHERE entry_reachable AND exposure = 'unauth' AND severity = 'critical' UNION SELECT dst, hop + 1 FROM r JOIN e ON node = src WHERE hop < 4) SELECT node, CAST(min(hop) AS INTEGER) AS hop FROM r GROUP BY node""", f=FINDINGS),
     "excerpt_radius": sql(
         f"""WITH {_LINES}, a AS (SELECT repo, path, bytes % 30 + 1 AS at FROM files) SELECT a.repo, a.path, a.at, count(l.line) AS n_lines, CAST(min(l.line) AS BIGINT) AS first_line, CAST(coalesce(sum(length(l.text)), 0) AS BIGINT) AS n_chars
  FROM a LEFT JOIN lines l ON a.repo = l.repo AND a.path = l.path AND l.line BETWEEN a.at - 10 AND a.at + 10 GROUP BY a.repo, a.path, a.at""", files=FILES
@@ -244,15 +244,18 @@ SELECT repo, fingerprint, kind, CAST(row_number() OVER (PARTITION BY repo ORDER
     ),
     "risk_rank_files": sql(
         f"""WITH p AS (SELECT DISTINCT repo, file_path FROM symbols), w AS (SELECT repo, file_path, sum(caller_count) AS calls FROM symbols GROUP BY ALL),
-a AS (SELECT repo, file_path, count(*) FILTER (line > 45) AS d, bool_or(line = 1) AS e, bool_or(line = 2) AS r, bool_or(line = 3) AS b, bool_or(line = 4) AS c FROM anchors GROUP BY ALL),
-s AS (SELECT p.repo, p.file_path AS path, CASE WHEN d > 0 THEN least(7, d + 3) ELSE 0 END AS x1, least(8, CAST(round(log2(coalesce(calls, 0) + 1) * 1.6) AS INTEGER)) AS x2, CASE WHEN e THEN 4 ELSE 0 END AS x3, CASE WHEN r THEN 4 ELSE 0 END AS x4, CASE WHEN b THEN 3 ELSE 0 END AS x5, CASE WHEN c THEN 2 ELSE 0 END AS x6
+a AS (SELECT repo, file_path, count(*) FILTER (line > 45) AS d, bool_or(line = 1) AS e, bool_or(line = 2) AS r, bool_or(line = 3) AS b, bool_or(line = 4) AS c, bool_or(line = 5) AS q, bool_or(line = 6) AS y FROM anchors GROUP BY ALL),
+s AS (SELECT p.repo, p.file_path AS path, CASE WHEN d > 0 THEN least(7, d + 3) ELSE 0 END AS x1, least(8, CAST(round(log2(coalesce(calls, 0) + 1) * 1.6) AS INTEGER)) AS x2, CASE WHEN e THEN 4 ELSE 0 END AS x3, CASE WHEN r THEN 4 ELSE 0 END AS x4, CASE WHEN b THEN 3 ELSE 0 END AS x5, CASE WHEN c THEN 2 ELSE 0 END AS x6, CASE WHEN q THEN 6 ELSE 0 END AS x7, CASE WHEN y THEN 5 ELSE 0 END AS x8
  FROM p LEFT JOIN w ON p.repo = w.repo AND p.file_path = w.file_path LEFT JOIN a ON p.repo = a.repo AND p.file_path = a.file_path),
-t AS (SELECT repo, path, CAST(x1 + x2 + x3 + x4 + x5 + x6 AS INTEGER) AS score, concat_ws(',', CASE WHEN x1 > 0 THEN 'entry-defs' END, CASE WHEN x2 > 0 THEN 'reach' END, CASE WHEN x3 > 0 THEN 'entry-point' END, CASE WHEN x4 > 0 THEN 'route' END, CASE WHEN x5 > 0 THEN 'trust-boundary' END, CASE WHEN x6 > 0 THEN 'churn' END) AS reasons FROM s)
+t AS (SELECT repo, path, CAST(x1 + x2 + x3 + x4 + x5 + x6 + x7 + x8 AS INTEGER) AS score, concat_ws(',', CASE WHEN x1 > 0 THEN 'entry-defs' END, CASE WHEN x2 > 0 THEN 'reach' END, CASE WHEN x3 > 0 THEN 'entry-point' END, CASE WHEN x4 > 0 THEN 'route' END, CASE WHEN x7 > 0 THEN 'dispatch-entry' END, CASE WHEN x5 > 0 THEN 'trust-boundary' END, CASE WHEN x8 > 0 THEN 'dataflow-reach' END, CASE WHEN x6 > 0 THEN 'churn' END) AS reasons FROM s)
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY repo ORDER BY score DESC, path) AS INTEGER) AS place FROM t) WHERE place <= 50""", symbols=SYMBOLS, anchors=ANCHORS
     ),
     "attack_subsystems": sql(
-        """WITH g AS (SELECT repo, split_part(file_path, '/', 1) || '/' || split_part(split_part(file_path, '/', 3), '.', 1) AS subsystem, CAST(sum(caller_count) AS BIGINT) AS score, count(*) AS n_files FROM f WHERE entry_reachable GROUP BY ALL)
-SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY repo ORDER BY score DESC, subsystem) AS INTEGER) AS place FROM g) WHERE place <= 15""", f=FINDINGS
+        """WITH k AS (SELECT *, split_part(file_path, '/', 1) || '/' || split_part(split_part(file_path, '/', 3), '.', 1) AS subsystem FROM f WHERE entry_reachable),
+g AS (SELECT repo, subsystem, CAST(sum(caller_count) AS BIGINT) AS score, coalesce(string_agg(DISTINCT exposure, ',' ORDER BY exposure), '') AS reasons, count(DISTINCT file_path) AS n_files FROM k GROUP BY ALL),
+p AS (SELECT repo, subsystem, string_agg(file_path, ',' ORDER BY file_path) AS paths FROM (SELECT DISTINCT repo, subsystem, file_path FROM k QUALIFY dense_rank() OVER (PARTITION BY repo, subsystem ORDER BY file_path) <= 60) GROUP BY ALL),
+o AS (SELECT g.*, paths, CAST(row_number() OVER (PARTITION BY g.repo ORDER BY score DESC, g.subsystem) AS INTEGER) AS place, greatest(0, count(*) OVER (PARTITION BY g.repo) - 15) AS tail FROM g JOIN p ON g.repo = p.repo AND g.subsystem = p.subsystem)
+SELECT repo, subsystem, score, reasons, n_files, paths, place, tail FROM o WHERE place <= 15""", f=FINDINGS
     ),
     "rank_obligations": sql(
         f"""WITH o AS (SELECT DISTINCT repo, file_path AS path, start_line AS line, {_KINDS}[batch % 17 + 1] AS kind FROM f), s AS (SELECT repo, file_path AS path, max(caller_count) AS score FROM f GROUP BY ALL),

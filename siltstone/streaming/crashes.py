@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 
 def first_crashes(crashes: DataFrame, delay: str = "30 days") -> DataFrame:
@@ -23,3 +24,26 @@ def run_once(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
+
+
+def flagged(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Append every record with a flag ``duplicate``: its key is in an earlier batch, or earlier in its own.
+
+    ``stream(crash_key, seen_at, ...)``; order in a batch is by time, then by all
+    columns.  A batch goes to a folder of its own and is overwritten if it is
+    repeated, so no record is lost or written twice.
+    """
+    spark: SparkSession = stream.sparkSession
+    schema = StructType([*stream.schema.fields, StructField("duplicate", BooleanType())])
+
+    def fold(batch: DataFrame, number: int) -> None:
+        first = F.row_number().over(Window.partitionBy("crash_key").orderBy("seen_at", *[c for c in batch.columns if c not in ("crash_key", "seen_at")])) == 1
+        rows = batch.withColumn("first", first)
+        if number:
+            seen = spark.read.schema(schema).parquet(*[f"{path}/batch={n}" for n in range(number)]).select("crash_key").distinct().withColumn("seen", F.lit(True))
+            rows = rows.join(seen, "crash_key", "left").withColumn("first", F.col("first") & F.col("seen").isNull()).drop("seen")
+        rows.select(*batch.columns, (~F.col("first")).alias("duplicate")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)

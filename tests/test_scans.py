@@ -5,7 +5,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import evals, scan
+from siltstone.operators import flows, scan
 from siltstone.streaming import crashes
 
 
@@ -62,5 +62,5 @@ def test_ledger_fills_defaults(spark):
 
 def test_flows_link_the_nearest_source_before(spark):
     rows = [("r", "a", 1, "C", "source"), ("r", "a", 5, "C", "source"), ("r", "a", 9, "C", "sink"), ("r", "a", 0, "C", "sink"), ("r", "b", 9, "C", "sink"), ("r", "a", 7, "D", "sink")]
-    got = evals.flow_link(spark.createDataFrame(rows, "repo string, path string, line long, cwe string, kind string")).collect()
+    got = flows.linked(spark.createDataFrame(rows, "repo string, path string, line long, cwe string, kind string")).collect()
     assert [(r["path"], r["source_line"], r["sink_line"]) for r in got] == [("a", 5, 9)]
