@@ -1,4 +1,4 @@
-"""Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
+"""Toxicity: FTRL-proximal logistic regression over hashed words, stems, n-grams and skip-grams.
 
 The model is fitted on at most ``max_rows`` labelled rows, a documented bound:
 their ids are broadcast, their features hashed where the texts lie, and one task
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from siltstone.llm.features import hashed_grams
 
 BITS = 20
-#: Fixed settings of the optimiser: rate, offset of the rate, L1 and L2 terms, passes.
-ALPHA, BETA, L1, L2, PASSES = 2.0, 1.0, 6.0, 0.0, 6
+#: Fixed settings: rate, offset of the rate, L1 and L2 terms, passes, and bytes of stems; chosen by folds of rows that aren't held out.
+ALPHA, BETA, L1, L2, PASSES, STEMS = 2.0, 1.0, 5.0, 0.0, 4, (5, 7)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -28,7 +28,7 @@ def held_out(doc_id: Column) -> Column:
 def _featurise(batches):
     for batch in batches:
         found: list[np.ndarray] = []
-        for i, j, row, index in hashed_grams(batch.column(2), BITS, skips=True):
+        for i, j, row, index in hashed_grams(batch.column(2), BITS, skips=True, stems=STEMS):
             key = np.unique(row << BITS | index)
             at = np.searchsorted(key, np.arange(j - i + 1) << BITS)
             index = (key & ((1 << BITS) - 1)).astype(np.int32)
@@ -67,9 +67,10 @@ def ftrl(examples: list[tuple[int, np.ndarray]], passes: int = PASSES) -> tuple[
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, max_rows: int = 20_000, passes: int = PASSES):
     """The model (bias, indices, weights) from labelled rows that aren't held out.
 
-    At most ``max_rows`` labelled rows are used, chosen by a hash of the id; a
-    doc_id with both labels counts as 1.  Null labels and ids are left out.
-    Without rows the model is a bias of 0.
+    At most ``max_rows`` labelled ids are used, chosen by a hash of the id, each with
+    one text, that of the least features where there are several; a doc_id with
+    both labels counts as 1.  Null labels and ids are left out.  Without rows the
+    model is a bias of 0.
     """
     d = F.col(id_col).cast("long")
     marked = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(d.alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
@@ -78,7 +79,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     order = F.xxhash64(F.lit("toxicity"), "id")
     chosen = marked.withColumn("ord", order).filter(F.pmod("ord", F.lit(1 << 30)) < int(share * (1 << 30)))
     rows = docs.select(d.alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("ord", "label", "text")
-    featured = rows.mapInArrow(_featurise, "ord long, label int, grams binary")
+    featured = rows.mapInArrow(_featurise, "ord long, label int, grams binary").groupBy("ord", "label").agg(F.min("grams").alias("grams"))
 
     def train(batches):
         kept = [x for batch in batches for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
@@ -94,7 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def _scores(column: pa.Array, bias: float, dense: np.ndarray) -> np.ndarray:
     out = np.full(len(column), bias, dtype=np.float64)
     hot = dense != 0
-    for i, j, row, index in hashed_grams(column, BITS, skips=True):
+    for i, j, row, index in hashed_grams(column, BITS, skips=True, stems=STEMS):
         some = hot[index]
         key = np.unique(row[some] << BITS | index[some])
         out[i:j] += np.bincount(key >> BITS, weights=dense[key & ((1 << BITS) - 1)], minlength=j - i)
@@ -110,8 +111,9 @@ def _dense(at: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = 0.7) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row.
 
-    Only the text is an input of the score.  Null and empty texts score what the
-    bias gives.  Repeated rows give repeated rows; an empty table an empty result.
+    Only the text is an input of the score, very long ones as a whole.  Null and empty
+    texts score what the bias gives.  Repeated rows give repeated rows; an empty
+    table an empty result; other columns are ignored.
     """
     bias, at, weight = model
 
