@@ -100,8 +100,9 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     ``round(share * rows)`` rows are kept: those with the greatest ``sort_key``,
     the weight plus Gumbel noise from a hash of the id, so reruns agree.  Equal
     keys are ranked by a hash of the id; rows that repeat an id and a text are
-    kept or left together, so their number may then exceed the share.  An empty
-    table gives an empty result; a null id is a value like any other.
+    kept or left together, so their number may then exceed the share.  Null and
+    blank texts weigh 0, very long ones are read whole.  An empty table gives an
+    empty result; a null id is a value like any other, and other columns are ignored.
     """
     from siltstone.llm.workspace import written
 

@@ -153,14 +153,32 @@ def vocabulary(pieces: list[tuple[str, float, str]], bpe: bool = False) -> Vocab
     )
 
 
+def check(model) -> None:
+    """Refuse a model whose settings encoding doesn't follow: it puts a space before texts and changes no character of them."""
+    n, t = model.normalizer_spec, model.trainer_spec
+    wrong = {
+        "a normaliser of characters": n.name not in ("identity", "") or len(n.precompiled_charsmap) > 0,
+        "no space before a text": not n.add_dummy_prefix,
+        "removal of extra blanks": n.remove_extra_whitespaces,
+        "blanks that aren't escaped": not n.escape_whitespaces,
+        "blanks as suffixes": t.treat_whitespace_as_suffix,
+        "a model that is neither unigram nor BPE": t.model_type not in (1, 2),
+        "user-defined pieces": any(p.type == 4 for p in model.pieces),
+    }
+    found = [name for name, is_so in wrong.items() if is_so]
+    if found:
+        raise ValueError(f"this model has {', '.join(found)}")
+
+
 def load(model_file: str) -> Vocabulary:
-    """Read a SentencePiece model, unigram or BPE, on the driver."""
+    """Read a SentencePiece model, unigram or BPE, on the driver; models with other settings are refused."""
     from sentencepiece import sentencepiece_model_pb2 as proto
 
     model = proto.ModelProto()
     with open(model_file, "rb") as f:
         model.ParseFromString(f.read())
-    kinds = {1: "normal", 2: "unknown", 3: "control", 4: "normal", 5: "unused", 6: "byte"}
+    check(model)
+    kinds = {1: "normal", 2: "unknown", 3: "control", 5: "unused", 6: "byte"}
     return vocabulary([(p.piece, p.score, kinds[p.type]) for p in model.pieces], bpe=model.trainer_spec.model_type == 2)
 
 
@@ -350,8 +368,9 @@ def _parts(batches, place: int):
 def encode(docs: DataFrame, v: Vocabulary, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with an array of piece ids; other columns stay, and a column ``ids_col`` is replaced.
 
-    Null and empty texts have no pieces.  Repeated rows give repeated rows, an
-    empty table an empty result.
+    Null and empty texts have no pieces; a very long text is a step of its own and
+    encoded whole.  Of paths of equal worth the one with the longest last piece is
+    taken.  Repeated rows give repeated rows, an empty table an empty result.
     """
     kept = [c for c in docs.columns if c != ids_col]
     place = kept.index(text_col)
@@ -386,7 +405,10 @@ def decode(rows: DataFrame, v: Vocabulary, ids_col: str = "ids", text_col: str =
 
 
 def encode_checked(docs: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_chars, n_pieces, ids, round_trip``: each text's ids, and whether they decode to it."""
+    """``doc_id, n_chars, n_pieces, ids, round_trip``: each text's ids, and whether they decode to it.
+
+    Rows are taken as in :func:`encode`; a null text counts as empty, other columns are ignored.
+    """
 
     def task(batches):
         encoder = Encoder(v)

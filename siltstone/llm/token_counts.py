@@ -178,6 +178,6 @@ def _by_bucket(changes: DataFrame, path: str) -> None:
 
 
 def events(docs: DataFrame, op: str, seq: int, text: Column, id_col: str = "doc_id", tokenizers=tuple(TOKENIZERS)) -> DataFrame:
-    """One event a document and tokenizer version, with the count of ``text``."""
+    """One event a document and tokenizer version, with the count of the whole ``text``; 0 for a null or blank one."""
     counts = F.array(*[F.struct(F.lit(t).alias("tokenizer"), count_tokens(text, t).alias("tokens")) for t in tokenizers])
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), "source", "lang", F.explode(counts).alias("c")).select("doc_id", "c.tokenizer", F.lit(op).alias("op"), "source", "lang", "c.tokens", F.lit(seq).cast("long").alias("seq"))

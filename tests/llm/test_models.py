@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import fingerprints, quality, sentencepiece, toxicity
+from siltstone.llm import fingerprints, line_dedup, quality, sentencepiece, token_counts, toxicity
 from siltstone.llm.queries import MODEL_FILE, QUERIES
 from tests.llm import plain
 
@@ -206,6 +206,64 @@ def test_bpe_ids_equal_the_library(model, spark, small):
     assert sentencepiece.Encoder(model).encode(pa.array(texts)).to_pylist() == m.encode(texts)
 
 
+def test_models_with_other_settings_are_refused(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    if not os.path.exists(MODEL_FILE):
+        pytest.skip("no model file")
+    m = proto.ModelProto()
+    with open(MODEL_FILE, "rb") as f:
+        m.ParseFromString(f.read())
+    for change in (lambda x: setattr(x.normalizer_spec, "add_dummy_prefix", False), lambda x: setattr(x.normalizer_spec, "remove_extra_whitespaces", True), lambda x: setattr(x.pieces[300], "type", 4), lambda x: setattr(x.normalizer_spec, "name", "nmt_nfkc")):
+        other = proto.ModelProto()
+        other.CopyFrom(m)
+        change(other)
+        file = tmp_path / "m"
+        file.write_bytes(other.SerializeToString())
+        with pytest.raises(ValueError, match="this model has"):
+            sentencepiece.load(str(file))
+
+
+def test_regular_words_have_their_own_ids(model):
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    texts = [a, a.translate(str.maketrans("ab", "ba"))]
+    assert [x.decode() for x in sentencepiece.decode_lists(sentencepiece.Encoder(model).encode(pa.array(texts)), model)] == texts
+
+
+LONG = " ".join(f"word{i % 977} and{i % 13}" for i in range(150_000))
+
+
+def test_very_long_texts_are_read_whole(spark, model):
+    rows = [(1, LONG), (2, LONG + " end"), (3, None), (4, "short")]
+    docs = frame(spark, rows)
+    marks = spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id long, toxic int, quality int")
+    coded = {r["doc_id"]: r for r in sentencepiece.encode_checked(docs, model).collect()}
+    assert all(r["round_trip"] for r in coded.values()) and coded[2]["n_chars"] == len(LONG) + 4 and coded[2]["n_pieces"] > coded[1]["n_pieces"]
+    assert toxicity.score(docs, toxicity.fit(docs, marks)).count() == 4
+    grams = {r["doc_id"]: r["n_grams"] for r in quality.resample(docs, marks).collect()}
+    assert grams[1] == 2 * 300_000 - 1 and grams[2] == grams[1] + 2 and grams[3] == 0
+    counts = {r["doc_id"]: r["tokens"] for r in token_counts.events(docs.selectExpr("*", "'s' as source", "'l' as lang"), "insert", 0, F.col("text"), tokenizers=("words-1",)).collect()}
+    assert counts == {1: 300_000, 2: 300_001, 3: 0, 4: 1}
+    assert {r["doc_id"]: r["n_removed"] for r in line_dedup.line_dedup(frame(spark, [(1, LONG), (2, "x\n" + LONG)])).collect()} == {1: 0, 2: 1}
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, "en", None, None)] * 3, [(1, "", "en", "a", 0), (1, "", "en", "a", 0), (2, "one text", None, None, 8), (2, "one text", None, None, 8), (None, "one text", "en", "a", 8), (3, " \n ", "en", "b", 3)]])
+def test_pipeline_stages_on_odd_tables(spark, rows):
+    """Null, empty, repeated and no rows pass every stage; clean texts stay."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        kept = out.collect()
+        if name != "sentencepiece":
+            assert out.columns == docs.columns
+            docs = spark.createDataFrame(kept, out.schema)
+    texts = {r["text"] for r in kept}
+    assert texts == {t for _, t, *_ in rows}
+    assert sum(r["text"] == "one text" for r in kept) <= 2
+
+
 def test_unigram_ids_are_the_best_paths():
     rnd = random.Random(8)
     letters = "abc▁"
