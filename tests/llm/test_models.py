@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -342,21 +343,41 @@ def test_fingerprint_query(spark, small):
 
 
 def test_pipeline_stages(spark):
+    """Each stage's rows against a plain version, on the stage's own input."""
     import corpus_pipeline
 
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    columns, ids = docs.columns, {r["doc_id"] for r in docs.collect()}
-    seen = {}
+    columns, before, seen = docs.columns, docs.collect(), {}
+    given = {}
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, folder)
-        seen[name] = [r for r in out.collect()]
+        given[name], seen[name] = before, out.collect()
         if name != "sentencepiece":
             assert out.columns == columns
-        assert {r["doc_id"] for r in seen[name]} <= ids
-        docs = spark.createDataFrame(seen[name], out.schema)
-    near = plain.near_duplicates([(r["doc_id"], r["text"]) for r in seen["line_dedup"]], 5, 80)
+        docs, before = spark.createDataFrame(seen[name], out.schema), seen[name]
+    marks = spark.read.parquet(f"{folder}/labels.parquet")
+    raw = spark.read.parquet(f"{folder}/documents.parquet")
+    toxic = {r["doc_id"] for r in toxicity.score(raw, toxicity.fit(raw, marks)).collect() if r["score"] >= 0.7}
+    assert {r["doc_id"] for r in seen["toxicity"]} == {r["doc_id"] for r in given["toxicity"]} - toxic
+    gone = plain.line_dedup([(r["doc_id"], r["text"]) for r in given["line_dedup"]], 40)
+    want = {}
+    for r in given["line_dedup"]:
+        text = "\n".join(x for k, x in enumerate(r["text"].split("\n")) if k not in gone[r["doc_id"]])
+        if not gone[r["doc_id"]] or text.strip(" "):
+            want[r["doc_id"]] = (text, len(text))
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in seen["line_dedup"]} == want
+    near = plain.near_duplicates([(r["doc_id"], r["text"]) for r in given["near_dedup"]], 5, 80)
     assert {r["doc_id"] for r in seen["near_dedup"]} == {d for d, _, _, kept in near if kept}
+    sizes, mixed, longest = defaultdict(int), defaultdict(int), defaultdict(int)
+    for r in given["source_mixing"]:
+        sizes[r["source"]] += len(plain.words(r["text"]))
+        longest[r["source"]] = max(longest[r["source"]], len(plain.words(r["text"])))
+    for r in seen["source_mixing"]:
+        mixed[r["source"]] += len(plain.words(r["text"]))
+    for source, target in plain.targets(dict(sizes)).items():
+        assert abs(mixed[source] - target) <= 2 * longest[source] + 0.1 * target, source
+    assert max(Counter(r["doc_id"] for r in seen["source_mixing"]).values()) <= 2
     assert all(r["n_pieces"] == len(r["ids"]) for r in seen["sentencepiece"])
+    assert Counter(r["doc_id"] for r in seen["sentencepiece"]) == Counter(r["doc_id"] for r in seen["source_mixing"])
     assert corpus_pipeline.run(spark, folder).count() == len(seen["sentencepiece"])
-    _ = F
