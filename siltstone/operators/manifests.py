@@ -8,25 +8,45 @@ from pyspark.sql import functions as F
 from siltstone.functions.text import basename
 
 
-def dependencies(lines: DataFrame) -> DataFrame:
-    """``repo, ecosystem, name, path, line``: the first declaration of each dependency.
+#: Manifests by file name, and their ecosystem.
+MANIFESTS = ((r"^package\.json$", "npm"), (r"^requirements[\w.-]*\.txt$", "pypi"), (r"^go\.mod$", "go"), (r"^Cargo\.toml$", "crates"), (r"^Gemfile$", "rubygems"), (r"^pom\.xml$", "maven"))
 
-    requirements files name one a line; go.mod and Cargo.toml have blocks, whose
-    state is the last header above a line.
+
+def dependencies(lines: DataFrame, manifests: int = 12, per_manifest: int = 120, most: int = 40) -> DataFrame:
+    """``repo, ecosystem, name, path, line, dev``: the first declaration of each dependency.
+
+    Files of one declaration a line are read by pattern; package.json, go.mod and
+    Cargo.toml have blocks, whose state is the last header above a line.  Of a repo
+    the first manifests by path count, of each the first declarations, and ``most``
+    dependencies stay, by path and line.
     """
-    base = basename(F.col("path"))
-    kind = F.when(base == "requirements.txt", "pypi").when(base == "go.mod", "go").when(base == "Cargo.toml", "cargo")
+    base, text = basename(F.col("path")), F.trim("text")
+    kind = F.lit(None).cast("string")
+    for pattern, ecosystem in reversed(MANIFESTS):
+        kind = F.when(base.rlike(pattern), F.lit(ecosystem)).otherwise(kind)
     rows = lines.withColumn("ecosystem", kind).filter("ecosystem is not null")
-    text = F.trim("text")
-    header = F.when(F.col("ecosystem") == "go", F.when(text.rlike(r"^require\s*\("), "on").when(text == ")", "off")).when(F.col("ecosystem") == "cargo", F.when(text.rlike(r"^\[(dev-)?dependencies\]"), "on").when(text.startswith("["), "off"))
+    files = rows.select("repo", "path").distinct().withColumn("n", F.row_number().over(Window.partitionBy("repo").orderBy("path"))).filter(F.col("n") <= manifests).drop("n")
+    rows = rows.join(files, ["repo", "path"])
+    of = lambda name: F.col("ecosystem") == name
+    header = (
+        F.when(of("npm"), F.when(text.rlike(r'^"dependencies"\s*:\s*\{'), "on").when(text.rlike(r'^"(dev|optional|peer)Dependencies"\s*:\s*\{'), "dev").when(text.startswith("}"), "off"))
+        .when(of("go"), F.when(text.rlike(r"^require\s*\("), "on").when(text == ")", "off"))
+        .when(of("crates"), F.when(text.rlike(r"^\[(.*\.)?(dev-)?dependencies\]$"), "on").when(text.startswith("["), "off"))
+    )
     state = F.last(header, ignorenulls=True).over(Window.partitionBy("repo", "path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
-    go = F.when(text.rlike(r"^require\s+[^(\s]"), F.regexp_extract(text, r"^require\s+(\S+)", 1)).when((F.col("state") == "on") & header.isNull(), F.regexp_extract(text, r"^([^\s/]\S*)\s+v", 1))
-    cargo = F.when((F.col("state") == "on") & header.isNull(), F.regexp_extract(text, r"^([A-Za-z0-9_-]+)\s*=", 1))
-    pypi = F.when(~text.startswith("#") & ~text.startswith("-"), F.regexp_extract(text, r"^([A-Za-z0-9._-]+)", 1))
-    name = F.when(F.col("ecosystem") == "go", go).when(F.col("ecosystem") == "cargo", cargo).otherwise(pypi)
-    found = rows.withColumn("state", state).withColumn("name", name).filter("name <> ''")
+    rows = rows.withColumn("state", state).withColumn("inside", F.col("state").isin("on", "dev") & header.isNull())
+    name = (
+        F.when(of("npm"), F.when(F.col("inside"), F.regexp_extract(text, r'^"([^"]+)"\s*:', 1)))
+        .when(of("pypi"), F.when(~text.startswith("#") & ~text.startswith("-"), F.regexp_extract(text, r"^([^<>=!~;\[\s]+)", 1)))
+        .when(of("go"), F.when(text.rlike(r"^require\s+[^(\s]"), F.regexp_extract(text, r"^require\s+([\w.\-/]+)\s+v[\w.\-+]", 1)).when(F.col("inside"), F.regexp_extract(text, r"^([\w.\-/]+)\s+v[\w.\-+]", 1)))
+        .when(of("crates"), F.when(F.col("inside"), F.regexp_extract(text, r"^([A-Za-z0-9_-]+)\s*=", 1)))
+        .when(of("rubygems"), F.regexp_extract(text, r"""^gem\s+['"]([^'"]+)['"]""", 1))
+        .otherwise(F.regexp_extract(text, r"<artifactId>([^<]+)</artifactId>", 1))
+    )
+    found = rows.withColumn("name", name).filter("name <> ''").withColumn("k", F.row_number().over(Window.partitionBy("repo", "path").orderBy("line"))).filter(F.col("k") <= per_manifest)
     first = F.row_number().over(Window.partitionBy("repo", "ecosystem", "name").orderBy("path", "line"))
-    return found.withColumn("n", first).filter("n = 1").select("repo", "ecosystem", "name", "path", "line")
+    one = found.withColumn("n", first).filter("n = 1").withColumn("m", F.row_number().over(Window.partitionBy("repo").orderBy("path", "line"))).filter(F.col("m") <= most)
+    return one.select("repo", "ecosystem", "name", "path", "line", F.coalesce(F.col("state") == "dev", F.lit(False)).alias("dev"))
 
 
 #: Framework, pattern of a declaration, group of the method (0: none), group of the path.

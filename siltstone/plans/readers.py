@@ -31,9 +31,13 @@ SELECT event_id, concat(CASE event_id % 3 WHEN 0 THEN 'Here it is ```json ' WHEN
 """
 #: Lines of manifests, one a part.
 MANIFESTS = """
-SELECT concat('r', CAST(p_partkey % 3 AS STRING)) AS repo, CASE p_partkey % 4 WHEN 0 THEN 'go.mod' WHEN 1 THEN 'x/requirements.txt' WHEN 2 THEN 'y/Cargo.toml' ELSE 'README' END AS path, p_partkey AS line,
- CASE p_partkey % 4 WHEN 0 THEN CASE p_size % 7 WHEN 0 THEN 'require (' WHEN 1 THEN ')' WHEN 2 THEN concat('require h.example/m', CAST(p_size AS STRING), ' v1') ELSE concat('  h.example/d', CAST(p_size AS STRING), ' v2') END
- WHEN 1 THEN CASE p_size % 5 WHEN 0 THEN '# no' WHEN 1 THEN '-r other' ELSE concat('lib', CAST(p_size AS STRING), '>=1') END ELSE CASE p_size % 6 WHEN 0 THEN '[dependencies]' WHEN 1 THEN '[package]' ELSE concat('dep', CAST(p_size AS STRING), ' = 1') END END AS text
+SELECT concat('r', CAST(p_partkey % 50 AS STRING)) AS repo, CASE p_size % 7 WHEN 0 THEN 'go.mod' WHEN 1 THEN 'x/requirements-dev.txt' WHEN 2 THEN 'y/Cargo.toml' WHEN 3 THEN 'package.json' WHEN 4 THEN 'Gemfile' WHEN 5 THEN 'z/pom.xml' ELSE 'README' END AS path, p_partkey AS line,
+ CASE p_size % 7 WHEN 0 THEN CASE p_partkey % 9 WHEN 0 THEN 'require (' WHEN 1 THEN ')' WHEN 2 THEN concat('require h.example/m', CAST(p_partkey % 70 AS STRING), ' v1.0') ELSE concat('  h.example/d', CAST(p_partkey % 70 AS STRING), ' v2') END
+ WHEN 1 THEN CASE p_partkey % 9 WHEN 0 THEN '# no' WHEN 1 THEN '-r other' ELSE concat('lib', CAST(p_partkey % 70 AS STRING), CASE p_partkey % 2 WHEN 0 THEN '>=1' ELSE '[x]' END) END
+ WHEN 2 THEN CASE p_partkey % 9 WHEN 0 THEN '[dependencies]' WHEN 1 THEN '[package]' WHEN 2 THEN '[target.x.dependencies]' ELSE concat('dep', CAST(p_partkey % 70 AS STRING), ' = 1') END
+ WHEN 3 THEN CASE p_partkey % 9 WHEN 0 THEN '"dependencies": {{' WHEN 1 THEN '}},' WHEN 2 THEN '"devDependencies": {{' ELSE concat('  "pkg', CAST(p_partkey % 70 AS STRING), '": "^1",') END
+ WHEN 4 THEN CASE p_partkey % 3 WHEN 0 THEN 'source "x"' ELSE concat('  gem "g', CAST(p_partkey % 70 AS STRING), '", "1"') END
+ ELSE CASE p_partkey % 3 WHEN 0 THEN '<version>1</version>' ELSE concat('<artifactId>a', CAST(p_partkey % 70 AS STRING), '</artifactId>') END END AS text
 FROM {part}
 """
 #: Lines that declare routes, one an order.
@@ -83,10 +87,13 @@ SELECT *, count(*) AS n FROM r GROUP BY ALL""",
     "openapi_json_routes": "SELECT p_partkey AS id, 'GET' AS method, concat('/a/', p_partkey) AS path FROM part UNION ALL SELECT p_partkey, CASE p_partkey % 2 WHEN 0 THEN 'POST' ELSE 'PUT' END, '/b' FROM part",
     "clean_model_json": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN event_id END AS v FROM events",
     "dependency_scan": sql(
-        """WITH e AS (SELECT *, CASE path WHEN 'go.mod' THEN 'go' WHEN 'x/requirements.txt' THEN 'pypi' WHEN 'y/Cargo.toml' THEN 'cargo' END AS ecosystem, CASE WHEN path = 'go.mod' AND text = 'require (' OR path = 'y/Cargo.toml' AND text = '[dependencies]' THEN 'on' WHEN path = 'go.mod' AND text = ')' OR path = 'y/Cargo.toml' AND text = '[package]' THEN 'off' END AS h FROM m WHERE path <> 'README'),
-s AS (SELECT *, last_value(h IGNORE NULLS) OVER (PARTITION BY repo, path ORDER BY line ROWS UNBOUNDED PRECEDING) AS state FROM e),
-n AS (SELECT *, CASE ecosystem WHEN 'pypi' THEN CASE WHEN starts_with(text, 'lib') THEN regexp_extract(text, '^[A-Za-z0-9._-]+') END WHEN 'go' THEN CASE WHEN starts_with(text, 'require h') THEN split_part(text, ' ', 2) WHEN state = 'on' AND h IS NULL THEN split_part(trim(text), ' ', 1) END ELSE CASE WHEN state = 'on' AND h IS NULL THEN split_part(text, ' ', 1) END END AS name FROM s)
-SELECT repo, ecosystem, name, path, line FROM n WHERE name <> '' QUALIFY row_number() OVER (PARTITION BY repo, ecosystem, name ORDER BY path, line) = 1""", m=MANIFESTS
+        """WITH e AS (SELECT *, trim(text, ' ') AS t, CASE path WHEN 'package.json' THEN 'npm' WHEN 'go.mod' THEN 'go' WHEN 'x/requirements-dev.txt' THEN 'pypi' WHEN 'y/Cargo.toml' THEN 'crates' WHEN 'Gemfile' THEN 'rubygems' WHEN 'z/pom.xml' THEN 'maven' END AS ecosystem FROM m WHERE path <> 'README'),
+h AS (SELECT *, CASE ecosystem WHEN 'npm' THEN CASE WHEN starts_with(t, '"dependencies"') THEN 'on' WHEN starts_with(t, '"devDependencies"') THEN 'dev' WHEN starts_with(t, '}') THEN 'off' END WHEN 'go' THEN CASE t WHEN 'require (' THEN 'on' WHEN ')' THEN 'off' END WHEN 'crates' THEN CASE WHEN ends_with(t, 'dependencies]') THEN 'on' WHEN starts_with(t, '[') THEN 'off' END END AS h FROM e),
+s AS (SELECT *, last_value(h IGNORE NULLS) OVER (PARTITION BY repo, path ORDER BY line ROWS UNBOUNDED PRECEDING) AS state FROM h), i AS (SELECT *, coalesce(state IN ('on', 'dev'), false) AND h IS NULL AS inside FROM s),
+n AS (SELECT *, CASE ecosystem WHEN 'npm' THEN CASE WHEN inside THEN regexp_extract(t, '^"([^"]+)"', 1) END WHEN 'pypi' THEN CASE WHEN starts_with(t, 'lib') THEN regexp_extract(t, '^(lib\\d+)', 1) END WHEN 'go' THEN CASE WHEN starts_with(t, 'require h') THEN split_part(t, ' ', 2) WHEN inside AND NOT starts_with(t, 'require') THEN split_part(t, ' ', 1) END
+ WHEN 'crates' THEN CASE WHEN inside THEN split_part(t, ' ', 1) END WHEN 'rubygems' THEN regexp_extract(t, '^gem "([^"]+)"', 1) ELSE regexp_extract(t, '<artifactId>([^<]+)<', 1) END AS name FROM i),
+k AS (SELECT * FROM n WHERE name <> '' QUALIFY row_number() OVER (PARTITION BY repo, path ORDER BY line) <= 120), o AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY repo, ecosystem, name ORDER BY path, line) = 1)
+SELECT repo, ecosystem, name, path, line, coalesce(state = 'dev', false) AS dev FROM o QUALIFY row_number() OVER (PARTITION BY repo ORDER BY path, line) <= 40""", m=MANIFESTS
     ),
     "route_scan": sql(
         """WITH r AS (SELECT repo, CASE WHEN line % 6 IN (0, 3, 4) THEN 'http' WHEN line % 6 = 1 THEN 'flask' WHEN line % 6 = 2 THEN 'spring' WHEN starts_with(text, 'path') THEN 'django' WHEN starts_with(text, 'get') THEN 'rails' ELSE 'go-http' END AS framework,
