@@ -103,6 +103,26 @@ def test_kept_documents_keep_columns(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4, 5]
 
 
+def test_pairs_at_the_threshold_survive_branching(spark):
+    """Documents of one template under the threshold, with planted pairs just above it: the node is branched on."""
+    rnd = random.Random(11)
+    template = [f"t{i}" for i in range(70)]
+    rows, pairs = [], []
+    for i in range(150):
+        w = template + [f"d{i}x{k}" for k in range(50)]
+        v = list(w)
+        v[rnd.randrange(75, 115)] = "edited"
+        v[rnd.randrange(75, 115)] = "again"
+        a, b = plain.shingle_set(" ".join(w), 3), plain.shingle_set(" ".join(v), 3)
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+        if 100 * len(a & b) >= 85 * len(a | b):
+            pairs.append((2 * i, 2 * i + 1))
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame(spark, rows), shingle_words=3, percent=85, work=3000, cell=64).collect()}
+    found = sum(got[a] == got[b] for a, b in pairs)
+    assert len(pairs) >= 100 and found >= len(pairs) - 1
+    assert len(set(got.values())) >= 150
+
+
 def test_kept_documents_are_rows(spark):
     one, two = "some words of a document that is copied", "quite another text under the same id here"
     rows = [(1, one), (2, one), (2, two), (3, two), (3, two), (4, None), (4, None), (None, one), (5, "lone text"), (5, "lone text")]
