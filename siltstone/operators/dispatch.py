@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import command_name
+from siltstone.operators.stores import written
 
 #: Names of handlers, of handlers by convention of their definition, and words that are no symbols.
 HANDLER = r"^[A-Za-z_]\w*(?:Command|Handler|Cmd|Callback|Cb|Proc|Fn|Func|Op|Hook|Action|Dispatch|Exec)$"
@@ -45,7 +46,9 @@ def handlers(lines: DataFrame, most: int = 400) -> DataFrame:
     counts once.  A symbol of a row counts if its name is a handler's, the last one of
     the row, or if it follows the row's name and is defined.
     """
-    defs = definitions(lines)
+    # the lines are read once; what may matter is little, and written, as each part reads it again
+    lines = written(lines.filter(F.col("text").rlike(TABLE) | F.col("text").rlike(DEFINITION) | F.col("text").rlike(ENTRY)), "handlers")
+    defs = written(definitions(lines), "definitions")
     hit = lines.filter(F.col("text").rlike(TABLE)).select("repo", F.lit(1).alias("part"), F.lit("handler-table-decl").alias("kind"), F.lit(None).cast("string").alias("name"), F.concat(F.lit("table@"), "path", F.lit(":"), F.col("line").cast("string")).alias("handler"), "path", "line", F.col("path").alias("def_path"), F.col("line").alias("def_line"))
     usual = defs.filter(F.col("name").rlike(BY_CONVENTION)).select("repo", F.lit(2).alias("part"), F.lit("convention-def").alias("kind"), command_name(F.col("name")).alias("name"), F.col("name").alias("handler"), "path", "line", F.col("path").alias("def_path"), F.col("line").alias("def_line"))
     rows = lines.filter(F.col("text").rlike(ENTRY))
