@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from siltstone.llm.workspace import written
 
 KEYS = ("source", "lang", "tokenizer")
-BUCKETS = 64
+BUCKETS = 16
 EVENT = "doc_id long, tokenizer string, op string, source string, lang string, tokens long, seq long"
 _CHANGE = "doc_id long, tokenizer string, number long, live boolean, source string, lang string, tokens long, bucket int"
 _OLD = ", old_source string, old_lang string, old_tokens long"
@@ -174,7 +174,7 @@ class Rollup:
 
 def _by_bucket(changes: DataFrame, path: str) -> None:
     """Write changes by bucket, several files for a large one; an empty table gets its folder all the same."""
-    changes.repartition("bucket", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(8))).write.partitionBy("bucket").parquet(path)
+    changes.repartition("bucket", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4))).write.partitionBy("bucket").parquet(path)
 
 
 def events(docs: DataFrame, op: str, seq: int, text: Column, id_col: str = "doc_id", tokenizers=tuple(TOKENIZERS)) -> DataFrame:
