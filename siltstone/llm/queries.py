@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import fingerprints, line_dedup, near_dedup, quality, sentencepiece, source_mixing, substring_dedup, token_counts, topk_search, toxicity
+from siltstone.llm import fingerprints, line_dedup, near_dedup, phrases, quality, sentencepiece, source_mixing, substring_dedup, token_counts, topk_search, toxicity
 from siltstone.llm.workspace import fresh_path
 
 #: The SentencePiece model that op7 and the pipeline read; a parameter, never copied here.
@@ -73,6 +73,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 _COUNT = "len(regexp_extract_all({text}, '{pattern}'))"
 _LINES = "string_split(text, chr(10))"
 
@@ -97,6 +101,7 @@ FROM e GROUP BY source, lang, tokenizer
 """
 
 
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -148,6 +153,23 @@ m AS (SELECT x, min(y) AS component_id FROM c GROUP BY x)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d JOIN m ON m.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """,
     "op10_token_counts": _oracle_token_counts(),
+    "op11_collocations": rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_FOLDED}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+m AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+i AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, k, w[i : i + k - 1] AS w, count(*) AS a FROM i GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, k, w, a, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+s AS (SELECT c.lang, c.k, c.w, c.a, cut, x.a AS l, y.a AS r, CAST(CAST(c.a AS HUGEINT) * 2000000 // (CAST(x.a AS HUGEINT) + y.a) AS BIGINT) AS score
+ FROM c JOIN f x ON x.lang = c.lang AND x.w = c.w[1 : cut] JOIN f y ON y.lang = c.lang AND y.w = c.w[cut + 1 : c.k]),
+b AS (SELECT lang, k, w, a, arg_min(struct_pack(l := l, r := r, score := score), struct_pack(score := score, cut := cut)) AS o FROM s GROUP BY lang, k, w, a),
+o AS (SELECT lang, k, a AS longer, w, unnest(range(2, k)) AS m FROM f WHERE k > 2),
+e AS (SELECT lang, longer, m, w, unnest(range(1, k - m + 2)) AS i FROM o),
+z AS (SELECT lang, w[i : i + m - 1] AS w, max(longer) AS longer FROM e GROUP BY ALL),
+t AS (SELECT b.lang, array_to_string(b.w, ' ') AS phrase, a, o.l AS l, o.r AS r, o.score AS score FROM b LEFT JOIN z ON z.lang = b.lang AND z.w = b.w WHERE longer IS NULL OR CAST(longer AS HUGEINT) * 100 < CAST(a AS HUGEINT) * 80),
+k AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score FROM t)
+SELECT k.lang, rank, phrase, a, l, r, n, score FROM k JOIN m USING (lang) WHERE rank <= 2000
+""",
 }
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_substring_dedup, op3_source_mixing, op4_topk_search, op5_fingerprints, op6_toxicity, op7_sentencepiece, op8_near_dedup, op9_quality_classifier, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_substring_dedup, op3_source_mixing, op4_topk_search, op5_fingerprints, op6_toxicity, op7_sentencepiece, op8_near_dedup, op9_quality_classifier, op10_token_counts, op11_collocations)}
