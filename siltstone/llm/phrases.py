@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.filters import key_filter
-from siltstone.llm.wordhash import LOWER, U64, Words, ranges, steps, utf8, window_hashes
+from siltstone.llm.spelling import spelled
+from siltstone.llm.wordhash import LOWER, U64, Words, steps, utf8, window_hashes
 from siltstone.llm.workspace import written
 
 #: Bytes that end a piece: . , ; : ! ? and the controls 10 to 13; space and tab only end words.
@@ -114,21 +115,6 @@ def _mine(batches, level: int, most: int, frequent):
         yield flush()
 
 
-def _spell(words: Words, at: np.ndarray, k: int) -> pa.Array:
-    """The k words from each place on, in lower case, joined by one space."""
-    at = at[:, None] + np.arange(k)
-    size = words.ends[at] - words.starts[at]
-    end = np.cumsum((size + 1).ravel())
-    out = np.full(int(end[-1]) if len(end) else 0, 32, dtype=np.uint8)
-    to = end - size.ravel() - 1
-    out[ranges(to, size.ravel())] = LOWER[words.data[ranges(words.starts[at].ravel(), size.ravel())]]
-    # the space after the last word of a phrase is left out by moving it up
-    last = end.reshape(-1, k)[:, -1] - 1 if k else end
-    out = np.delete(out, last)
-    bounds = np.concatenate(([0], last - np.arange(len(last)))).astype(np.int32)
-    return pa.Array.from_buffers(pa.string(), len(last), [None, pa.py_buffer(bounds), pa.py_buffer(out)])
-
-
 def _count(batches, most: int, candidates):
     """lang, key of the language, text to ``lang, phrase, n`` of all candidates."""
     held, size = [], 0
@@ -145,7 +131,7 @@ def _count(batches, most: int, candidates):
             for x, (_, _, where, part, langs) in enumerate(mine):
                 some = at_sorted[edge[x] : edge[x + 1]] - begin[x]
                 if len(some):
-                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(part.row[where[some]])), _spell(part.words, where[some], k), pa.array(n[order[edge[x] : edge[x + 1]]])], ["lang", "phrase", "n"])
+                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(part.row[where[some]])), spelled(part.words, where[some], np.full(len(some), k)), pa.array(n[order[edge[x] : edge[x + 1]]])], ["lang", "phrase", "n"])
 
     for batch in batches:
         langs, keys = batch.column(0), batch.column(1).to_numpy().view(U64)

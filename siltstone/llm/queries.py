@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import fingerprints, line_dedup, near_dedup, phrases, quality, sentencepiece, source_mixing, substring_dedup, token_counts, topk_search, toxicity
+from siltstone.llm import decontaminate, fingerprints, importance, line_dedup, near_dedup, phrases, quality, sentencepiece, source_mixing, substring_dedup, token_counts, topk_search, toxicity
 from siltstone.llm.workspace import fresh_path
 
 #: The SentencePiece model that op7 and the pipeline read; a parameter, never copied here.
@@ -77,6 +77,15 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample_towards(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return done.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 _COUNT = "len(regexp_extract_all({text}, '{pattern}'))"
 _LINES = "string_split(text, chr(10))"
 
@@ -102,6 +111,7 @@ FROM e GROUP BY source, lang, tokenizer
 
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LETTERS = rf"regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -169,7 +179,42 @@ z AS (SELECT lang, w[i : i + m - 1] AS w, max(longer) AS longer FROM e GROUP BY
 t AS (SELECT b.lang, array_to_string(b.w, ' ') AS phrase, a, o.l AS l, o.r AS r, o.score AS score FROM b LEFT JOIN z ON z.lang = b.lang AND z.w = b.w WHERE longer IS NULL OR CAST(longer AS HUGEINT) * 100 < CAST(a AS HUGEINT) * 80),
 k AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score FROM t)
 SELECT k.lang, rank, phrase, a, l, r, n, score FROM k JOIN m USING (lang) WHERE rank <= 2000
+""",
+    # the CRC is the sum (xor) of what each byte adds with so many bytes after it, and that of as many zero bytes
+    "op12_importance_resampling": f"""
+WITH RECURSIVE g(b, v, i) AS (SELECT b, b, 0 FROM range(256) r(b) UNION ALL SELECT b, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, i + 1 FROM g WHERE i < 8),
+c AS (SELECT b, v FROM g WHERE i = 8),
+p(b, v, d) AS (SELECT b, v, 0 FROM c UNION ALL SELECT p.b, xor(p.v >> 8, c.v), d + 1 FROM p JOIN c ON c.b = p.v % 256 WHERE d < 1000),
+z(v, n) AS (SELECT 4294967295::BIGINT, 0 UNION ALL SELECT xor(z.v >> 8, c.v), n + 1 FROM z JOIN c ON c.b = z.v % 256 WHERE n < 1001),
+o AS (SELECT true AS doc, doc_id AS id, {_LETTERS} AS w FROM documents UNION ALL SELECT false, item_id, {_LETTERS} FROM benchmark),
+i AS (SELECT doc, id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM o, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k),
+f AS (SELECT doc, id, array_to_string(w[i : i + k - 1], ' ') AS f, count(*) AS n FROM i GROUP BY ALL),
+h AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM f)),
+e AS (SELECT f, len(h) // 2 AS n, h, unnest(range(len(h) // 2)) AS i FROM h),
+x AS (SELECT f, n, bit_xor(v) AS v FROM e JOIN p ON d = n - 1 - i AND printf('%02X', b) = h[2 * i + 1 : 2 * i + 2] GROUP BY f, n),
+u AS (SELECT f, xor(xor(x.v, z.v), 4294967295) % 10000 AS bucket FROM x JOIN z USING (n)),
+n AS (SELECT bucket, sum(CASE WHEN doc THEN n ELSE 0 END)::DOUBLE AS s, sum(CASE WHEN doc THEN 0 ELSE n END)::DOUBLE AS t FROM f JOIN u USING (f) GROUP BY bucket),
+m AS (SELECT sum(s) AS s, sum(t) AS t FROM n),
+a AS (SELECT bucket, floor(1000 * ln((n.t + 1) * (m.s + 10000) / ((n.s + 1) * (m.t + 10000))))::BIGINT AS gain FROM n, m),
+w AS (SELECT id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM f JOIN u USING (f) JOIN a USING (bucket) WHERE doc GROUP BY id),
+r AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len({_LETTERS}) >= 20 AS fit,
+ coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM documents LEFT JOIN w ON id = doc_id),
+k AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM r WHERE fit),
+l AS (SELECT 5 * count(*) // 100 AS draw FROM r WHERE fit)
+SELECT r.doc_id, n_features, weight, score, CASE WHEN rank <= draw THEN rank END AS rank FROM r LEFT JOIN k USING (doc_id), l
+""",
+    "op13_decontamination": f"""
+WITH d AS (SELECT doc_id, {_LETTERS} AS w FROM documents),
+b AS (SELECT item_id, {_LETTERS} AS w FROM benchmark),
+v AS (SELECT DISTINCT item_id, win FROM (SELECT item_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 10 THEN [w] ELSE list_transform(range(1, len(w) - 8), lambda i: w[i : i + 9]) END AS a FROM b), unnest(a) AS x(win)),
+s AS (SELECT DISTINCT len(win) AS size FROM v),
+o AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, s WHERE len(w) >= size),
+h AS (SELECT doc_id, i, size, item_id FROM o JOIN v ON w[i : i + size - 1] = win),
+n AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS j FROM h) GROUP BY doc_id),
+m AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM h GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, len(coalesce(ids, []))::BIGINT AS n_items, sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """,
 }
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_substring_dedup, op3_source_mixing, op4_topk_search, op5_fingerprints, op6_toxicity, op7_sentencepiece, op8_near_dedup, op9_quality_classifier, op10_token_counts, op11_collocations)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_substring_dedup, op3_source_mixing, op4_topk_search, op5_fingerprints, op6_toxicity, op7_sentencepiece, op8_near_dedup, op9_quality_classifier, op10_token_counts, op11_collocations, op12_importance_resampling, op13_decontamination)}
