@@ -14,7 +14,7 @@ everything through that is frequent.  Counts are shuffled by shard and phrase, a
 each task has summed up its own; no group of rows is ever gathered.
 
 Phrases are mined by 64-bit hashes and finally counted as texts, so equal hashes of
-different phrases could only matter within a part of two million words.
+different phrases could only matter within a part of some 600,000 words.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ _ENDS[[ord(c) for c in ".,;:!?"]] = _ENDS[10:14] = True
 _BLANKS = _ENDS.copy()
 _BLANKS[[9, 32]] = True
 #: Words of which a task sums up the phrases before it hands them on.
-_PART = 2_000_000
+_PART = 600_000
 
 
 class _Part:
@@ -54,6 +54,11 @@ class _Part:
         self.piece = np.cumsum(new)
         self.key = keys[i:j][self.row]
 
+    def free(self) -> None:
+        """Keep what spelling a phrase needs."""
+        self.row = self.row.astype(np.int32)
+        self.hashes = self.piece = self.key = None
+
     def whole(self, k: int) -> np.ndarray:
         """Where k words of one piece begin."""
         n = len(self.piece) - k + 1
@@ -140,8 +145,9 @@ def _count(batches, most: int, candidates):
                 grams = part.grams(k)
                 at = np.flatnonzero(candidates.value.holds(grams) & part.whole(k))
                 if len(at):
-                    held.append((k, grams[at], at, part, langs.slice(i, j - i)))
+                    held.append((k, grams[at], at.astype(np.int32), part, langs.slice(i, j - i)))
             size += len(part.hashes)
+            part.free()
             if size >= _PART:
                 yield from flush()
                 held, size = [], 0
