@@ -173,21 +173,28 @@ def _alike(batches, least: int):
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["u", "v"])
 
 
-def _whole_cells(batches):
-    """Batches in order of (node, i, j), cut so that no cell lies in two of them."""
-    held = None
+def _whole_cells(batches, k: int = 0):
+    """Batches in order of (node, i, j), cut so that no cell lies in two of them, each with its rows' sets.
+
+    With ``k`` the last column is the text: it becomes sets of k-word shingles as it
+    comes and is let go, so that no two batches' texts are ever held or put together.
+    """
+    held, sets = None, []
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
+        if k:
+            sets.extend(_row_sets(batch.column(batch.num_columns - 1), k))
+            batch = batch.select(batch.schema.names[:-1])
+        rows = batch if held is None else pa.concat_batches([held, batch])
         key = np.stack([rows.column(c).to_numpy() for c in range(3)])
         new = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
         at = int(new[-1]) if len(new) else 0
         if at:
-            yield rows.slice(0, at)
-        held = rows.slice(at)
+            yield rows.slice(0, at), sets[:at]
+        held, sets = rows.slice(at), sets[at:]
     if held is not None:
-        yield held
+        yield held, sets
 
 
 def _candidates(rows: pa.RecordBatch, least: int, percent: int):
@@ -233,7 +240,7 @@ def _candidates(rows: pa.RecordBatch, least: int, percent: int):
 
 def _candidate_rows(batches, least: int, percent: int):
     """The rows of each cell that have a candidate in it."""
-    for rows in _whole_cells(batches):
+    for rows, _ in _whole_cells(batches):
         hit = np.zeros(rows.num_rows, dtype=bool)
         for a, b in _candidates(rows, least, percent):
             hit[a] = hit[b] = True
@@ -242,9 +249,8 @@ def _candidate_rows(batches, least: int, percent: int):
 
 def _linked_rows(batches, least: int, percent: int, k: int):
     """Links of each cell, confirmed on the full sets: as many as join its components, no more."""
-    for rows in _whole_cells(batches):
+    for rows, sets in _whole_cells(batches, k):
         cls, comp = rows.column(5).to_pylist(), rows.column(7).to_pylist()
-        sets = list(_row_sets(rows.column(11), k))
         u, v = [], []
         for left, right in _candidates(rows, least, percent):
             root: dict[bytes, bytes] = {}
@@ -296,11 +302,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return full.union(blank).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
-def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle_words: int = 5, percent: int = 80, recall: float = RECALL, first_depth: int = 3, cell: int = 1024, work: int = 1 << 26, max_depth: int = 6) -> DataFrame:
+def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle_words: int = 5, percent: int = 80, recall: float = RECALL, first_depth: int = 3, cell: int = 1024, cell_items: int = 1 << 22, work: int = 1 << 26, max_depth: int = 6) -> DataFrame:
     """One row per document: ``doc_id, tag, n, comp``: a hash of its text, the size of its set and its component's class.
 
-    A node is compared exhaustively, in cells of ``cell`` rows a side, if that takes
-    at most ``work`` comparisons or its depth is ``max_depth``; others are branched on.
+    A node is compared exhaustively, in cells of some ``cell`` rows and ``cell_items``
+    shingles (8 bytes each) a side, if that takes at most ``work`` comparisons or its depth is ``max_depth``; others are branched on.
     """
     trees = trees_for(percent / 100, recall)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -342,18 +348,18 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def crossings(open_rows: DataFrame) -> DataFrame:
         """Links between components inside each node: what isn't in its largest component, against all.
 
-        Both sides are cut into runs of ``cell`` rows, so a task holds two runs.  A
+        Both sides are cut into runs by rows and by size, so a task holds two runs.  A
         pair is looked at in the first of its common nodes that are compared.  Sketches are compared
         first; texts then go to the cells for the rows that have a candidate.
         """
-        per = open_rows.groupBy("node", "comp").agg(F.count("*").alias("k"))
-        main = per.groupBy("node").agg(F.max(F.struct("k", "comp")).alias("m")).select("node", F.col("m.comp").alias("main"), F.col("m.k").alias("held"))
+        per = open_rows.groupBy("node", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("items"))
+        main = per.groupBy("node").agg(F.max(F.struct("k", "comp", "items")).alias("m"), F.sum("items").alias("items")).select("node", F.col("m.comp").alias("main"), F.col("m.k").alias("held"), "items", (F.col("items") - F.col("m.items")).alias("few_items"))
         ranked = open_rows.join(main, "node").withColumn("minor", F.col("comp") != F.col("main"))
-        runs = lambda n: F.ceil(n / cell).cast("int")
-        spot = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "cls"), runs(n)).cast("int")
-        few, all_ = F.col("size") - F.col("held"), F.col("size")
-        a = ranked.filter("minor").select("node", spot(0, few).alias("i"), F.explode(F.sequence(F.lit(0), runs(all_) - 1)).alias("j"), "path", F.lit(0).alias("side"), "cls", "n", "comp")
-        b = ranked.select("node", F.explode(F.sequence(F.lit(0), runs(few) - 1)).alias("i"), spot(1, all_).alias("j"), "path", F.lit(1).alias("side"), "cls", "n", "comp")
+        runs = lambda n, items: F.ceil(F.greatest(n / cell, items / cell_items)).cast("int")
+        spot = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "cls"), n).cast("int")
+        few, all_ = runs(F.col("size") - F.col("held"), F.col("few_items")), runs(F.col("size"), F.col("items"))
+        a = ranked.filter("minor").select("node", spot(0, few).alias("i"), F.explode(F.sequence(F.lit(0), all_ - 1)).alias("j"), "path", F.lit(0).alias("side"), "cls", "n", "comp")
+        b = ranked.select("node", F.explode(F.sequence(F.lit(0), few - 1)).alias("i"), spot(1, all_).alias("j"), "path", F.lit(1).alias("side"), "cls", "n", "comp")
         fit = open_rows.groupBy("cls").agg(F.collect_set("path").alias("fit"))
         cells = a.union(b).join(texts.select("cls", "bits", "paths").join(fit, "cls"), "cls").select("node", "i", "j", "path", "side", "cls", "n", "comp", "bits", "paths", "fit")
         together = lambda rows: rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")

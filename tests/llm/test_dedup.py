@@ -90,6 +90,35 @@ def test_large_groups_are_compared_or_branched_on(spark, work):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got.collect()), key=repr) == want
 
 
+def test_a_cell_that_comes_in_many_batches_keeps_every_row():
+    """Texts become sets batch by batch and are never put together, whatever their bytes."""
+    rnd = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    names = ["node", "i", "j", "path", "side", "cls", "n", "comp", "bits", "paths", "fit", "text"]
+    batches, texts = [], []
+    for b in range(12):
+        rows = []
+        for r in range(5):
+            w = list(base)
+            w[rnd.randrange(60)] = f"x{b}{r}"
+            items = next(near_dedup._row_sets(pa.array([" ".join(w)]), 3))
+            cls = near_dedup._digest(items)
+            rows.append((7, 0, 0, -1, r % 2, cls, len(items), cls, near_dedup._bit_sketch(items), bytes(8), [], " ".join(w)))
+            texts.append((5 * b + r, " ".join(w)))
+        batches.append(pa.RecordBatch.from_arrays([pa.array(c) if n != "fit" else pa.array(c, pa.list_(pa.int32())) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names))
+    cells = list(near_dedup._whole_cells(iter(batches), 3))
+    assert sum(rows.num_rows for rows, _ in cells) == 60 and sum(len(sets) for _, sets in cells) == 60
+    links = [x for out in near_dedup._linked_rows(iter(batches), 300, 80, 3) for x in out.to_pylist()]
+    assert len(links) == 59
+
+
+@pytest.mark.parametrize("items", [1, 400])
+def test_cells_bounded_by_size_lose_no_link(spark, items):
+    rows = passages(4)
+    got = near_dedup.near_duplicates(frame(spark, rows), shingle_words=3, percent=85, cell_items=items)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"], bool(r["kept"])) for r in got.collect()), key=repr) == plain.near_duplicates(rows, 3, 85)
+
+
 def test_trees_reach_the_recall():
     assert near_dedup.trees_for(0.85) == 3
     assert near_dedup.trees_for(0.80) == 4
