@@ -14,7 +14,7 @@ everything through that is frequent.  Counts are shuffled by shard and phrase, a
 each task has summed up its own; no group of rows is ever gathered.
 
 Phrases are mined by 64-bit hashes and finally counted as texts, so equal hashes of
-different phrases could only matter within a part of some 600,000 words.
+different phrases could only matter within a part of some 900,000 words.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ _ENDS[[ord(c) for c in ".,;:!?"]] = _ENDS[10:14] = True
 _BLANKS = _ENDS.copy()
 _BLANKS[[9, 32]] = True
 #: Words of which a task sums up the phrases before it hands them on.
-_PART = 600_000
+_PART = 900_000
 
 
 class _Part:
@@ -154,7 +154,7 @@ def _count(batches, most: int, candidates):
     yield from flush()
 
 
-def phrase_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, max_words: int = 4, support: int = 30, shards: int = 8) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, max_words: int = 4, support: int = 30, shards: int = 4) -> tuple[DataFrame, DataFrame]:
     """``(lang, phrase, a)`` of every phrase of 1 to ``max_words`` words that occurs ``support`` times, and ``(lang, n)`` of all words.
 
     ``shards`` below ``support`` keeps the lowered support above one occurrence, at any size of the corpus.
@@ -186,7 +186,7 @@ def phrase_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return written(frequent, "phrases"), totals
 
 
-def collocations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, max_words: int = 4, support: int = 30, shards: int = 8, percent: int = 80, top: int = 2000) -> DataFrame:
+def collocations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, max_words: int = 4, support: int = 30, shards: int = 4, percent: int = 80, top: int = 2000) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: each language's best ``top`` phrases of 2 to ``max_words`` words.
 
     Texts are cut at ``.,;:!?`` and line ends, words at spaces and tabs; A-Z are
