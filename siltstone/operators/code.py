@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators.spans import all_spans, innermost
 from siltstone.operators.stores import written
 
 
@@ -42,7 +43,7 @@ def definitions(symbols: DataFrame, names: DataFrame, limit: int = 5) -> DataFra
     return names.join(defs, ["repo", "name"])
 
 
-def call_sites(lines: DataFrame, stop_words=("if", "for", "while", "switch", "return", "catch", "function", "sizeof")) -> DataFrame:
+def call_sites(lines: DataFrame, stop_words=("if", "for", "while", "switch", "return", "catch", "function", "sizeof", "def", "class")) -> DataFrame:
     """``repo, path, line, name``: names that an opening bracket follows, with their lines."""
     found = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z_][A-Za-z0-9_]+)\s*\("), 1)))
     return lines.filter(F.col("text").contains("(")).select("repo", "path", "line", found.alias("name")).filter(~F.col("name").isin(*stop_words))
@@ -138,17 +139,11 @@ def blocks(lines: DataFrame, header: str = r"\)\s*\{\s*$", control: str = r"^\s*
 def block_calls(lines: DataFrame, most: int = 40) -> DataFrame:
     """``repo, path, start, block, name, first, n, place``: the first ``most`` names that each block calls, in order of their first line.
 
-    A line belongs to the last block that starts at or before it and isn't ended;
-    a block's name is the last word before the bracket of its first line, and calls of
-    itself don't count.
+    A call belongs to the innermost block around it, so those after a nested block
+    are the outer one's again; calls of the block itself don't count.
     """
-    head = lines.select("repo", "path", F.col("line").alias("start"), F.regexp_extract("text", r"([A-Za-z_]\w*)\s*\(", 1).alias("block"))
-    starts = blocks(lines).join(head, ["repo", "path", "start"]).select("repo", "path", F.col("start").alias("line"), F.lit(0).alias("side"), F.struct("start", "end", "block").alias("b"), F.lit(None).cast("string").alias("name"))
-    calls = call_sites(lines).select("repo", "path", "line", F.lit(1).alias("side"), F.lit(None).cast(starts.schema["b"].dataType).alias("b"), "name")
-    order = Window.partitionBy("repo", "path").orderBy("line", "side").rowsBetween(Window.unboundedPreceding, 0)
-    inside = starts.union(calls).withColumn("in", F.last("b", ignorenulls=True).over(order)).filter("side = 1 and `in` is not null")
-    inside = inside.filter((F.col("in.end").isNull() | (F.col("line") <= F.col("in.end"))) & (F.col("name") != F.col("in.block")))
-    each = inside.groupBy("repo", "path", F.col("in.start").alias("start"), F.col("in.block").alias("block"), "name").agg(F.min("line").alias("first"), F.countDistinct("line").alias("n"))
+    inside = innermost(call_sites(lines), all_spans(lines)).filter("span.end is not null and name <> span.block")
+    each = inside.groupBy("repo", "path", F.col("span.start").alias("start"), F.col("span.block").alias("block"), "name").agg(F.min("line").alias("first"), F.countDistinct("line").alias("n"))
     return each.withColumn("place", F.row_number().over(Window.partitionBy("repo", "path", "start").orderBy("first", "name"))).filter(F.col("place") <= most)
 
 

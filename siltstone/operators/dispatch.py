@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.literals import candidates, matches, once
 from siltstone.functions.text import command_name
 from siltstone.operators.stores import written
 
@@ -30,9 +31,9 @@ def _some(x: Column) -> Column:
 
 
 def definitions(lines: DataFrame) -> DataFrame:
-    """``repo, name, path, line``: where each function is defined; a body comes before a header, then the first by path and line."""
+    """``repo, name, path, line``: where each function that these lines define is defined; a body comes before a header, then the first by path and line."""
     plain = F.when(~F.col("text").rlike(r";\s*$"), _some(F.regexp_extract("text", CALL, 1)))
-    named = lines.filter(F.col("text").rlike(DEFINITION)).select("repo", "path", "line", F.coalesce(_some(F.regexp_extract("text", KEYWORD_DEF, 1)), plain).alias("name"))
+    named = lines.select("repo", "path", "line", F.coalesce(_some(F.regexp_extract("text", KEYWORD_DEF, 1)), plain).alias("name"))
     named = named.filter(F.col("name").isNotNull() & ~F.col("name").isin(*KEYWORDS))
     first = named.groupBy("repo", "name").agg(F.min(F.struct(F.col("path").rlike(HEADER).alias("header"), "path", "line")).alias("d"))
     return first.select("repo", "name", "d.path", "d.line")
@@ -47,11 +48,13 @@ def handlers(lines: DataFrame, most: int = 400) -> DataFrame:
     the row, or if it follows the row's name and is defined.
     """
     # the lines are read once; what may matter is little, and written, as each part reads it again
-    lines = written(lines.filter(F.col("text").rlike(TABLE) | F.col("text").rlike(DEFINITION) | F.col("text").rlike(ENTRY)), "handlers")
-    defs = written(definitions(lines), "definitions")
-    hit = lines.filter(F.col("text").rlike(TABLE)).select("repo", F.lit(1).alias("part"), F.lit("handler-table-decl").alias("kind"), F.lit(None).cast("string").alias("name"), F.concat(F.lit("table@"), "path", F.lit(":"), F.col("line").cast("string")).alias("handler"), "path", "line", F.col("path").alias("def_path"), F.col("line").alias("def_line"))
+    kinds = F.array_compact(F.array(*[F.when(matches(p), i) for i, p in enumerate((TABLE, DEFINITION, ENTRY))]))
+    tagged = once(candidates(lines, [TABLE, DEFINITION, ENTRY]), "kinds", kinds).select("repo", "path", "line", "text", "kinds")
+    lines = written(tagged.filter(F.size("kinds") > 0), "handlers")
+    tables, defining, rows = (lines.filter(F.array_contains("kinds", i)) for i in range(3))
+    defs = written(definitions(defining), "definitions")
+    hit = tables.select("repo", F.lit(1).alias("part"), F.lit("handler-table-decl").alias("kind"), F.lit(None).cast("string").alias("name"), F.concat(F.lit("table@"), "path", F.lit(":"), F.col("line").cast("string")).alias("handler"), "path", "line", F.col("path").alias("def_path"), F.col("line").alias("def_line"))
     usual = defs.filter(F.col("name").rlike(BY_CONVENTION)).select("repo", F.lit(2).alias("part"), F.lit("convention-def").alias("kind"), command_name(F.col("name")).alias("name"), F.col("name").alias("handler"), "path", "line", F.col("path").alias("def_path"), F.col("line").alias("def_line"))
-    rows = lines.filter(F.col("text").rlike(ENTRY))
     # names that are called are no symbols of the row
     bare = F.regexp_replace("text", CALL, "(")
     symbols = F.filter(F.regexp_extract_all(bare, F.lit(SYMBOL), F.lit(1)), lambda x: ~x.isin(*KEYWORDS) & ~x.rlike(CONSTANT))

@@ -41,11 +41,3 @@ def cross_file(hops: DataFrame) -> DataFrame:
     """Paths of at least two hops in at least two files."""
     agg = hops.groupBy("path_id").agg(F.count("*").alias("n_hops"), F.countDistinct("file_path").alias("n_files"))
     return agg.filter("n_hops >= 2 and n_files >= 2")
-
-
-def overlap(left: DataFrame, right: DataFrame, on: str, key: str) -> DataFrame:
-    """Rows of ``left`` beside those of ``right`` that share an element of their arrays ``on``: key, n and the first."""
-    a = left.select(key, F.explode(F.array_distinct(on)).alias("x"))
-    b = right.select(F.col("id"), F.explode(F.array_distinct(on)).alias("x"))
-    met = a.join(b, "x").select(key, "id").distinct()
-    return met.groupBy(key).agg(F.count("*").alias("n"), F.min("id").alias("first"))

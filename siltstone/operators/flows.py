@@ -1,10 +1,14 @@
-"""Links of untrusted sources and dangerous sinks in the text of a file."""
+"""Links of untrusted sources and dangerous sinks in the text of a block."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.literals import candidates, matches, once
+from siltstone.operators.spans import all_spans, innermost
+from siltstone.operators.stores import written
+
 _WEB = r"(?i)(req\.|request\.|getParameter|\.body\b|\.params\b|\.query\b|\.headers\b|\.cookies\b)"
 _FREE = r"(?i)\b(free|kfree|vfree|g_free|xfree|zfree|sdsfree|delete|release)\s*\("
 #: CWE, pattern of sources, pattern of sinks.  The two of freed memory are looked for in the text, as any use after a release.
@@ -26,24 +30,37 @@ RULES = (
 
 
 def rule_hits(lines: DataFrame, rules=RULES) -> DataFrame:
-    """``repo, path, line, cwe, kind``: the lines that a rule takes for a source or a sink."""
-    tags = []
+    """``repo, path, line, cwe, kind``: the lines that a rule takes for a source or a sink.
+
+    A pattern that several rules share is tried once, and only on lines that hold one of its literals.
+    """
+    used: dict[str, list[Column]] = {}
     for cwe, source, sink in rules:
         for kind, pattern in (("source", source), ("sink", sink)):
-            tags.append(F.when(F.col("text").rlike(pattern), F.struct(F.lit(cwe).alias("cwe"), F.lit(kind).alias("kind"))))
-    return lines.select("repo", "path", "line", F.explode(F.array_compact(F.array(*tags))).alias("h")).select("repo", "path", "line", "h.cwe", "h.kind")
+            used.setdefault(pattern, []).append(F.struct(F.lit(cwe).alias("cwe"), F.lit(kind).alias("kind")))
+    tags = [F.when(matches(pattern), F.array(*uses)) for pattern, uses in used.items()]
+    tagged = once(candidates(lines, used), "tags", F.array_compact(F.array(*tags)))
+    found = tagged.filter(F.size("tags") > 0).select("repo", "path", "line", F.explode(F.flatten("tags")).alias("h"))
+    return found.select("repo", "path", "line", "h.cwe", "h.kind")
 
 
-def linked(hits: DataFrame, ends: int = 200, most: int = 25) -> DataFrame:
-    """``repo, cwe, path, source_line, sink_line, place``: sinks after the nearest source of their CWE in the same file.
+def linked(hits: DataFrame, lines: DataFrame, ends: int = 200, most: int = 25) -> DataFrame:
+    """``repo, cwe, path, block_start, block, source_line, sink_line, place``: sinks after the nearest source of their CWE in the same block.
 
-    Of each repo and CWE the first ``ends`` sources and sinks count, and ``most``
-    links stay, by path and line.  A link is one in the text, not a dataflow.
+    A hit belongs to the innermost block around its line, or to the top level of its
+    file; so a source in a nested function isn't one of what encloses it.  Of
+    each repo and CWE the first ``ends`` sources and sinks count, and ``most`` links
+    stay, by path and line.  A link is one in the text, not a dataflow.
     """
     place = Window.partitionBy("repo", "cwe", "kind").orderBy("path", "line")
-    few = hits.withColumn("n", F.row_number().over(place)).filter(F.col("n") <= ends)
-    order = Window.partitionBy("repo", "cwe", "path").orderBy("line").rangeBetween(Window.unboundedPreceding, -1)
+    few = written(hits.withColumn("n", F.row_number().over(place)).filter(F.col("n") <= ends).drop("n"), "ends")
+    # only files with a source and a sink of one CWE can have a link
+    both = few.groupBy("repo", "path", "cwe").agg(F.countDistinct("kind").alias("kinds")).filter("kinds = 2").select("repo", "path").distinct()
+    around = written(lines.join(both, ["repo", "path"], "left_semi").select("repo", "path", "line", "text"), "files")
+    placed = innermost(few.join(both, ["repo", "path"], "left_semi"), all_spans(around))
+    placed = placed.withColumn("span", F.when(F.col("span.end").isNotNull(), F.col("span")))
+    order = Window.partitionBy("repo", "cwe", "path", "span.start").orderBy("line").rangeBetween(Window.unboundedPreceding, -1)
     near = F.max(F.when(F.col("kind") == "source", F.col("line"))).over(order)
-    met = few.withColumn("source_line", near).filter("kind = 'sink' and source_line is not null")
+    met = placed.withColumn("source_line", near).filter("kind = 'sink' and source_line is not null")
     n = F.row_number().over(Window.partitionBy("repo", "cwe").orderBy("path", "line"))
-    return met.withColumn("place", n).filter(F.col("place") <= most).select("repo", "cwe", "path", "source_line", F.col("line").alias("sink_line"), "place")
+    return met.withColumn("place", n).filter(F.col("place") <= most).select("repo", "cwe", "path", F.col("span.start").alias("block_start"), F.col("span.block").alias("block"), "source_line", F.col("line").alias("sink_line"), "place")

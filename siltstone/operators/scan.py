@@ -9,6 +9,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.literals import candidates, matches, once
+from siltstone.operators.grams import lines_with
+
 
 @dataclass(frozen=True)
 class Pack:
@@ -158,13 +161,14 @@ def pattern_scan(lines: DataFrame, pack: Pack, ranker: Callable[[Column, Column]
     """``repo, pattern, path, line, score, place``: a pack's hits within its limits; ``ranker`` may score path and text its own way.
 
     Every pattern is a literal of one projection, so it is compiled once and a line
-    is read once.  The limits are ranks: by line in a file, by score in a pattern,
+    is read once; it is tried only on lines that hold one of its required literals.  The limits are ranks: by line in a file, by score in a pattern,
     by pattern in a repo, in which a pattern gets what those before it have left.
     """
     only = dict(pack.files)
-    here = lambda i, p: F.col("text").rlike(p) & F.col("path").rlike(only[i]) if i in only else F.col("text").rlike(p)
+    here = lambda i, p: matches(p) & F.col("path").rlike(only[i]) if i in only else matches(p)
     found = F.array_compact(F.array(*[F.when(here(i, p), F.struct(F.lit(o).alias("ord"), F.lit(i).alias("pattern"))) for o, (i, p) in enumerate(pack.regexes())]))
-    hits = lines.select("repo", "path", "line", (ranker or (lambda p, t: rank(p, t, pack.ranker)))(F.col("path"), F.col("text")).alias("score"), F.explode(found).alias("h")).select("repo", "path", "line", "score", "h.ord", "h.pattern")
+    lines = once(candidates(lines, [p for _, p in pack.regexes()]), "found", found)
+    hits = lines.select("repo", "path", "line", (ranker or (lambda p, t: rank(p, t, pack.ranker)))(F.col("path"), F.col("text")).alias("score"), F.explode("found").alias("h")).select("repo", "path", "line", "score", "h.ord", "h.pattern")
     in_file = Window.partitionBy("repo", "ord", "path").orderBy("line")
     in_pattern = Window.partitionBy("repo", "ord").orderBy(F.desc("score"), "path", "line")
     few = hits.withColumn("n", F.row_number().over(in_file)).filter(F.col("n") <= pack.per_file)
@@ -180,13 +184,13 @@ def obligations(lines: DataFrame) -> DataFrame:
     def first(rules) -> Column:
         out = F.lit(None).cast("string")
         for kind, pattern in reversed(rules):
-            out = F.when(F.col("text").rlike(pattern), F.lit(kind)).otherwise(out)
+            out = F.when(matches(pattern), F.lit(kind)).otherwise(out)
         return out
 
     p = F.col("path")
     kind = F.when(p.rlike(NATIVE_FILES), first(NATIVE_RULES)).when(p.rlike(BOTH_FILES), first(NATIVE_RULES + WEB_RULES)).when(p.rlike(WEB_FILES), first(WEB_RULES))
-    rows = lines.filter((F.trim("text") != "") & (F.length("text") <= 400) & ~F.col("text").rlike(COMMENT))
-    return rows.select("repo", "path", "line", kind.alias("kind")).filter("kind is not null")
+    rows = candidates(lines, [x for _, x in NATIVE_RULES + WEB_RULES]).filter((F.trim("text") != "") & (F.length("text") <= 400) & ~F.col("text").rlike(COMMENT))
+    return once(rows, "kind", kind).select("repo", "path", "line", "kind").filter("kind is not null")
 
 
 def telemetry(lines: DataFrame) -> DataFrame:
@@ -262,22 +266,21 @@ def _first(table, value: Column) -> Column:
 
 def anchors(lines: DataFrame, pattern: str, per_file: int = 8, width: int = 160) -> DataFrame:
     """``repo, path, line, signal``: the first lines of each file that match, without their indent, clipped."""
-    hits = lines.filter(F.col("text").rlike(flagged(pattern, "smart"))).groupBy("repo", "path", "line").agg(F.min("text").alias("text"))
+    pattern = flagged(pattern, "smart")
+    hits = candidates(lines, [pattern]).filter(F.col("text").rlike(pattern)).groupBy("repo", "path", "line").agg(F.min("text").alias("text"))
     few = hits.withColumn("n", F.row_number().over(Window.partitionBy("repo", "path").orderBy("line"))).filter(F.col("n") <= per_file)
     return few.select("repo", "path", "line", F.substring(F.trim("text"), 1, width).alias("signal"))
 
 
 def entry_defs(lines: DataFrame) -> DataFrame:
     """``repo, path, n``: how many lines of a file define an entry point."""
-    return lines.filter(F.col("text").rlike(ENTRY_DEFS)).groupBy("repo", "path").agg(F.count("*").alias("n"))
+    return candidates(lines, [ENTRY_DEFS]).filter(F.col("text").rlike(ENTRY_DEFS)).groupBy("repo", "path").agg(F.count("*").alias("n"))
 
 
 def any_fixed(lines: DataFrame, signals, most: int = 80) -> DataFrame:
     """``repo, path``: the first files by path that hold any of the fixed strings of three characters or more, of which 120 count."""
-    wanted = [x for x in signals if len(x) >= 3][:120]
-    # one alternation, so that a line is read once for all of them
-    hit = F.col("text").rlike("|".join(re.escape(x) for x in wanted)) if wanted else F.lit(False)
-    files = lines.filter(hit).select("repo", "path").distinct()
+    wanted = lines.sparkSession.createDataFrame([(x,) for x in [x for x in signals if len(x) >= 3][:120]], "signal string")
+    files = lines_with(lines, wanted).select("repo", "path").distinct()
     return files.withColumn("n", F.row_number().over(Window.partitionBy("repo").orderBy("path"))).filter(F.col("n") <= most).drop("n")
 
 
@@ -293,8 +296,8 @@ def program_kind(lines: DataFrame) -> DataFrame:
 
 def harnesses(lines: DataFrame) -> DataFrame:
     """``repo, path, engine, line, confidence``: fuzz harnesses, by the first engine in order that a file has."""
-    engine = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.struct(F.lit(o).alias("ord"), F.lit(i).alias("engine"))) for o, (i, p) in enumerate(HARNESSES)]))
-    first = lines.select("repo", "path", "line", F.explode(engine).alias("e")).groupBy("repo", "path").agg(F.min(F.struct("e.ord", "line", "e.engine")).alias("m"))
+    engine = F.array_compact(F.array(*[F.when(matches(p), F.struct(F.lit(o).alias("ord"), F.lit(i).alias("engine"))) for o, (i, p) in enumerate(HARNESSES)]))
+    first = once(candidates(lines, [p for _, p in HARNESSES]), "found", engine).select("repo", "path", "line", F.explode("found").alias("e")).groupBy("repo", "path").agg(F.min(F.struct("e.ord", "line", "e.engine")).alias("m"))
     built = lines.groupBy("repo").agg(F.bool_or(F.col("path").rlike(r"(^|/)build\.sh$")).alias("built"))
     sure = F.when(F.col("built") | (F.col("m.engine") == "cargo-fuzz"), "high").otherwise("medium")
     return first.join(built, "repo").select("repo", "path", "m.engine", "m.line", sure.alias("confidence"))
@@ -312,8 +315,8 @@ def taint_names(lines: DataFrame, table, per_file: int = 200) -> DataFrame:
     language = _first([(i, files) for i, files, _ in table], F.col("path"))
     here = F.lit(False)
     for _, files, names in table:
-        here = here | (F.col("path").rlike(files) & F.col("text").rlike(names))
-    hits = lines.filter(here).select("repo", "path", "line", language.alias("language"))
+        here = here | (F.col("path").rlike(files) & matches(names))
+    hits = candidates(lines, [names for _, _, names in table]).filter(here).select("repo", "path", "line", language.alias("language"))
     return hits.withColumn("n", F.row_number().over(Window.partitionBy("repo", "path").orderBy("line"))).filter(F.col("n") <= per_file).drop("n")
 
 

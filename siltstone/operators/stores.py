@@ -8,8 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.operators.findings import upsert
-
 
 def shared(spark: SparkSession, name: str) -> str:
     """A new folder in the place that all executors share."""
@@ -30,7 +28,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 class Versions:
-    """A table of which every write is a new version; readers see the greatest whole one."""
+    """A small table of one writer of which every write is a new version; readers see the greatest whole one.
+
+    Tables that grow, or with several writers, are :class:`siltstone.operators.merged.MergedTable`.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -61,22 +62,6 @@ def appended(records: DataFrame, path: str) -> None:
     records.write.mode("append").json(path)
 
 
-def upsert_stream(stream: DataFrame, versions: Versions, key: list[str], order: list, checkpoint: str) -> None:
-    """Fold what is there now of a stream of findings into the table, a version a batch.
-
-    The one writer is the stream itself; a batch that is repeated after a failure
-    overwrites its own version, so no update is lost or counted twice.
-    """
-    schema = stream.schema
-
-    def fold(batch: DataFrame, number: int) -> None:
-        before = versions.read(schema, number) if number else versions.read(schema, 0)
-        versions.replace(upsert(before.unionByName(batch), key, order), number + 1)
-
-    query = stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-
-
 def report(findings: DataFrame, most: int = 200) -> DataFrame:
     """``repo, section, name, n``: a report's counts by severity, status and producer, its table's size and what it leaves out."""
     by = lambda section, column: findings.groupBy("repo", F.lit(section).alias("section"), F.coalesce(column, F.lit("(none)")).alias("name")).agg(F.count("*").alias("n"))

@@ -9,6 +9,8 @@ from siltstone.functions import scores
 from siltstone.functions.text import chain_id, component_of, language_of, norm_path, query_names, slug, subsystem_key, url_path
 from siltstone.operators.ranking import placed
 from siltstone.operators.scan import NATIVE_FILES
+from siltstone.operators.spans import enclosing
+from siltstone.operators.stores import written
 
 #: Globs of files that no scan reads, as one pattern.
 EXCLUDED = r"^(\.git|\.joern)/|(^|/)(node_modules|build|dist|poc|apktool_out)/|(^|/)target/(debug|release)/|^(GPATH|GTAGS|GRTAGS)$"
@@ -83,14 +85,6 @@ def endpoints(requests: DataFrame) -> DataFrame:
     return rows.groupBy("repo", "method", "path").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("q")))), ",").alias("params"), F.bool_or("has_cookies").alias("has_cookies"))
 
 
-def correlate(observed: DataFrame, routes: DataFrame) -> DataFrame:
-    """Observed endpoints beside declared routes: mapped, shadow without a route, no-traffic without a request."""
-    route = routes.select("repo", "method", "path", F.lit(True).alias("declared")).distinct()
-    met = observed.select("repo", "method", "path", "n").join(route, ["repo", "method", "path"], "full")
-    state = F.when(F.col("n").isNull(), "no-traffic").when(F.col("declared").isNull(), "shadow").otherwise("mapped")
-    return met.select("repo", "method", "path", F.coalesce("n", F.lit(0)).alias("n"), state.alias("state"))
-
-
 def file_risk(files: DataFrame, features: DataFrame, limit: int | None = None) -> DataFrame:
     """``repo, path, score, reasons, place``: files by an additive score.
 
@@ -137,21 +131,6 @@ def obligations_ranked(obligations: DataFrame, file_scores: DataFrame, budget: i
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("priority"), "path", "line", "kind"))).filter(F.col("place") <= budget)
 
 
-def jobs_planned(producers: DataFrame, shard_rows: DataFrame, offline: bool = True) -> DataFrame:
-    """Producers beside the shards that they can work on; what is left out has its reason.
-
-    ``producers(producer, scope, lang, network)`` is a small dimension.  A producer
-    of scope repo has one job a repo, one of scope shard a job a shard of its
-    language or of any.
-    """
-    reason = F.when(F.lit(offline) & F.col("network"), "offline")
-    p = F.broadcast(producers.withColumn("reason", reason))
-    per_shard = shard_rows.join(p.filter("scope = 'shard'"), (F.col("lang") == "any") | (F.col("lang") == F.col("language"))).select("repo", "shard_id", "producer", "reason", "n_files")
-    repos = shard_rows.select("repo").distinct().crossJoin(p.filter("scope = 'repo'")).select("repo", F.lit(None).cast("string").alias("shard_id"), "producer", "reason", F.lit(None).cast("long").alias("n_files"))
-    budget = F.least(F.lit(24), F.greatest(F.lit(4), F.ceil(F.col("n_files") / 3))).cast("int")
-    return per_shard.union(repos).select("repo", "shard_id", "producer", F.coalesce("reason", F.lit("planned")).alias("state"), F.when(F.col("reason").isNull(), budget).alias("budget"))
-
-
 def chains(members: DataFrame, findings: DataFrame, claimed: DataFrame) -> DataFrame:
     """``chain, repo, chain_id, n_members, kind, severity``: each group of at least two distinct members.
 
@@ -226,10 +205,18 @@ def memory_dirs(scored: DataFrame, budget: int = 25, most: int = 10, largest: in
 
 
 def slices(lines: DataFrame, obligations: DataFrame, most: int = 80) -> DataFrame:
-    """``repo, path, line, kind, first, last, truncated``: each obligation's excerpt of at most ``most`` lines about it, as places in its file."""
-    w = Window.partitionBy("repo", "path")
-    counted = lines.select("repo", "path", "line").withColumn("k", F.row_number().over(w.orderBy("line"))).withColumn("n", F.count("*").over(w))
+    """``repo, path, line, kind, first, last, truncated``: each obligation's excerpt, as places in its file.
+
+    It is the enclosing block or, without one, what lies around the line; of more
+    than ``most`` lines those about the obligation.
+    """
+    counted = lines.withColumn("k", F.row_number().over(Window.partitionBy("repo", "path").orderBy("line")))
     at = obligations.groupBy("repo", "path", "line").agg(F.min("kind").alias("kind"))
-    met = at.join(counted, ["repo", "path", "line"])
-    first = F.greatest(F.lit(1), F.least(F.col("k") - most // 2, F.col("n") - (most - 1))).cast("int")
-    return met.select("repo", "path", "line", "kind", first.alias("first"), F.least(F.col("n"), first + (most - 1)).cast("int").alias("last"), (F.col("n") > most).alias("truncated"))
+    # blocks are looked for in the obligations' files only
+    counted = written(counted.join(at.select("repo", "path").distinct(), ["repo", "path"], "left_semi"), "numbered")
+    points = at.join(counted.select("repo", "path", "line", "k"), ["repo", "path", "line"]).select("repo", "path", F.col("k").alias("line"), F.col("line").alias("own"), "kind")
+    met = enclosing(points, counted.select("repo", "path", F.col("k").alias("line"), "text"))
+    long = F.col("last") - F.col("first") + 1 > most
+    first = F.when(long, F.least(F.greatest(F.col("first"), F.col("line") - most // 2), F.col("last") - (most - 1))).otherwise(F.col("first"))
+    last = F.when(long, first + (most - 1)).otherwise(F.col("last"))
+    return met.select("repo", "path", F.col("own").alias("line"), "kind", first.cast("int").alias("first"), last.cast("int").alias("last"), long.alias("truncated"))

@@ -6,35 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import cwe_number
+from siltstone.operators.grams import lines_with
 from siltstone.operators.scan import rank
 
-#: Signals that one scan looks for at once, a documented bound: catalogs are configuration and don't grow with the code.
-MOST_SIGNALS = 2000
 _LANGUAGES = (("c", r"\.(c|h)$"), ("python", r"\.py$"), ("javascript", r"\.js$"), ("java", r"\.java$"), ("go", r"\.go$"), ("ruby", r"\.rb$"))
 
 
-def _listed(signals: DataFrame) -> list[str]:
-    """The distinct signals, an error beyond the bound."""
-    found = [r[0] for r in signals.distinct().limit(MOST_SIGNALS + 1).collect()]
-    if len(found) > MOST_SIGNALS:
-        raise ValueError(f"more than {MOST_SIGNALS} signals")
-    return sorted(found)
-
-
-def _held(lines: DataFrame, signals: list[str], loose: bool):
-    """Each line beside the signals that it holds; loose ones without capitals match in any case."""
-    low = F.lower("text")
-    has = [F.when(F.contains(low if loose and s == s.lower() else F.col("text"), F.lit(s)), F.lit(s)) for s in signals]
-    return lines.withColumn("signal", F.explode(F.array_compact(F.array(*has)) if has else F.array().cast("array<string>")))
-
-
 def invariant_files(lines: DataFrame, invariants: DataFrame, most: int = 25) -> DataFrame:
     """``repo, id, path, place``: the first files by path, of an invariant's language if it names one, that hold its signal."""
     language = F.lit("other")
     for name, files in reversed(_LANGUAGES):
         language = F.when(F.col("path").rlike(files), name).otherwise(language)
-    hits = _held(lines, _listed(invariants.select("signal").filter("signal is not null")), False).select("repo", "path", "signal", language.alias("file_language")).distinct()
-    met = invariants.join(hits, ["repo", "signal"]).filter("language is null or language = file_language").select("repo", "id", "path").distinct()
+    hits = lines_with(lines, invariants).select("repo", "path", "signal", language.alias("file_language")).distinct()
+    # each signal's first files of each language are enough, so no invariant meets all files
+    first = hits.withColumn("n", F.row_number().over(Window.partitionBy("repo", "signal", "file_language").orderBy("path"))).filter(F.col("n") <= most).drop("n")
+    met = invariants.join(first, ["repo", "signal"]).filter("language is null or language = file_language").select("repo", "id", "path").distinct()
     return met.withColumn("place", F.row_number().over(Window.partitionBy("repo", "id").orderBy("path"))).filter(F.col("place") <= most)
 
 
@@ -49,7 +35,7 @@ def variant_files(seeds: DataFrame, entries: DataFrame, lines: DataFrame, most:
     """``repo, fingerprint, path, score, place``: other files that hold signals of a seed's CWE, by their best hit."""
     signals = entries.select("cwe", F.explode("signals").alias("signal")).filter(F.length("signal") >= 3)
     wanted = signals.join(seeds.select("cwe"), "cwe", "left_semi")
-    hits = _held(lines, _listed(wanted.select("signal")), True).select("repo", "path", "line", "signal", rank(F.col("path"), F.col("text"), "generic").alias("score"))
+    hits = lines_with(lines, wanted, any_case=True).select("repo", "path", "line", "signal", rank(F.col("path"), F.col("text"), "generic").alias("score"))
     hits = hits.withColumn("n", F.row_number().over(Window.partitionBy("repo", "path", "signal").orderBy("line"))).filter(F.col("n") <= per_file)
     best = hits.groupBy("repo", "path", "signal").agg(F.max("score").alias("score"))
     met = seeds.join(signals, "cwe").join(best, ["repo", "signal"]).filter("path <> file_path").groupBy("repo", "fingerprint", "path").agg(F.max("score").alias("score"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import scores, text, verdicts
-from siltstone.operators import benchmarks, code, evals, findings, ranking, surface, worklists
+from siltstone.operators import benchmarks, code, evals, findings, overlaps, ranking, surface, worklists
 from siltstone.plans import findings as of_findings
 from siltstone.plans import surface as of_surface
 from siltstone.plans.derived import ACTUAL, ANCHORS, FILES, FINDINGS, SYMBOLS, TRUTH, read, sql
@@ -145,7 +145,7 @@ def intel_for_threats(spark, sf_dir):
     f = read(spark, sf_dir, FINDINGS).withColumn("c", text.norm_cwe(F.col("cwe")))
     threats = f.groupBy("repo").agg(F.collect_set("c").alias("cwes"))
     leads = f.filter("severity = 'critical'").groupBy(F.col("source").alias("id")).agg(F.collect_set("c").alias("cwes"))
-    return evals.overlap(threats, leads, "cwes", "repo")
+    return overlaps.overlap(threats, leads, "cwes", "repo")
 
 
 @register("symbol_lookup", sql("SELECT repo, name, file_path, line FROM s QUALIFY row_number() OVER (PARTITION BY repo, name ORDER BY file_path, line) <= 50", s=SYMBOLS))

@@ -9,6 +9,7 @@ from siltstone.plans.derived import FINDINGS, read
 from siltstone.plans.lines import code_lines, code_sql
 from siltstone.plans.register import registry
 from siltstone.plans.scans import ORACLE_SQL as SCANS_SQL
+from siltstone.plans.structure import inside_sql, spans_sql
 from siltstone.plans.threats import INVARIANTS, LEADS, THREATS
 
 QUERIES, ORACLE_SQL, register = registry()
@@ -161,6 +162,7 @@ def flow_rules(spark, sf_dir):
     return flows.rule_hits(code_lines(spark, sf_dir)).groupBy("repo", "cwe", "kind").agg(F.count("*").alias("hits"), F.countDistinct("path").alias("files"))
 
 
-@register("flow_link", code_sql(f"WITH h AS ({_RULE_HITS}), w AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY repo, cwe, kind ORDER BY path, line) <= 200), l AS (SELECT s.repo, s.cwe, s.path, max(x.line) AS source_line, s.line AS sink_line FROM w s JOIN w x ON s.repo = x.repo AND s.path = x.path AND s.cwe = x.cwe AND x.kind = 'source' AND x.line < s.line WHERE s.kind = 'sink' GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY repo, cwe ORDER BY path, sink_line) AS INTEGER) AS place FROM l QUALIFY place <= 25"))
+@register("flow_link", code_sql(f"WITH h AS ({_RULE_HITS}), w AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY repo, cwe, kind ORDER BY path, line) <= 200), t AS (SELECT code.* FROM code WHERE (repo, path) IN (SELECT (repo, path) FROM w)), {spans_sql('t')}, i AS ({inside_sql('w', 'repo, path, line, cwe, kind')}), b AS (SELECT repo, path, line, cwe, kind, CASE WHEN stop IS NOT NULL THEN start END AS block_start, CASE WHEN stop IS NOT NULL THEN block END AS block FROM i), l AS (SELECT s.repo, s.cwe, s.path, s.block_start, s.block, max(x.line) AS source_line, s.line AS sink_line FROM b s JOIN b x ON s.repo = x.repo AND s.path = x.path AND s.cwe = x.cwe AND s.block_start IS NOT DISTINCT FROM x.block_start AND x.kind = 'source' AND x.line < s.line WHERE s.kind = 'sink' GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY repo, cwe ORDER BY path, sink_line) AS INTEGER) AS place FROM l QUALIFY place <= 25"))
 def flow_link(spark, sf_dir):
-    return flows.linked(flows.rule_hits(code_lines(spark, sf_dir)))
+    lines = code_lines(spark, sf_dir)
+    return flows.linked(flows.rule_hits(lines), lines)

@@ -10,6 +10,7 @@ from siltstone.plans.lines import code_lines, code_sql
 from siltstone.plans.packs import ORACLE_SQL as PACKS_SQL
 from siltstone.plans.register import registry
 from siltstone.plans.scans import ORACLE_SQL as SCANS_SQL
+from siltstone.plans.structure import enclosing_sql, spans_sql
 from siltstone.plans.threats import DRAFTS, INVARIANTS, LEADS, THREATS
 
 QUERIES, ORACLE_SQL, register = registry()
@@ -232,7 +233,10 @@ def memory_dirs(spark, sf_dir):
     return surface.memory_dirs(scored)
 
 
-@register("obligation_slices", code_sql(f"WITH o AS ({SCANS_SQL['scan_obligations']}), a AS (SELECT repo, path, line AS ln, min(kind) AS kind FROM o GROUP BY ALL), n AS (SELECT repo, path, line, row_number() OVER (PARTITION BY repo, path ORDER BY line) AS k FROM code), t AS (SELECT repo, path, max(k) AS n FROM n GROUP BY ALL), p AS (SELECT a.repo, a.path, ln, kind, k, t.n FROM a JOIN n ON a.repo = n.repo AND a.path = n.path AND a.ln = n.line JOIN t ON a.repo = t.repo AND a.path = t.path) SELECT repo, path, ln AS line, kind, CAST(greatest(1, least(k - 40, n - 79)) AS INTEGER) AS first, CAST(least(n, greatest(1, least(k - 40, n - 79)) + 79) AS INTEGER) AS last, n > 80 AS truncated FROM p"))
+_NUMBERED = "n AS (SELECT repo, path, line AS ln, text, row_number() OVER (PARTITION BY repo, path ORDER BY line) AS line FROM code WHERE (repo, path) IN (SELECT (repo, path) FROM o))"
+
+
+@register("obligation_slices", code_sql(f"WITH o AS ({SCANS_SQL['scan_obligations']}), {_NUMBERED}, {spans_sql('n')}, a AS (SELECT repo, path, line AS own, min(kind) AS kind FROM o GROUP BY ALL), p AS (SELECT a.repo, a.path, n.line, own, kind FROM a JOIN n ON a.repo = n.repo AND a.path = n.path AND own = n.ln), {enclosing_sql('p', 'repo, path, line, own, kind', 'n')}, y AS (SELECT *, last - first + 1 > 80 AS truncated, least(greatest(first, line - 40), last - 79) AS cut FROM x) SELECT repo, path, own AS line, kind, CAST(CASE WHEN truncated THEN cut ELSE first END AS INTEGER) AS first, CAST(CASE WHEN truncated THEN cut + 79 ELSE last END AS INTEGER) AS last, truncated FROM y"))
 def obligation_slices(spark, sf_dir):
     lines = code_lines(spark, sf_dir)
     return surface.slices(lines, scan.obligations(lines))
@@ -353,13 +357,3 @@ def score_hook(spark, sf_dir):
     """Blast radius from a table that the caller gives, here the greatest of the repo."""
     blast = read(spark, sf_dir, SYMBOLS).groupBy("repo").agg(F.max("caller_count").alias("blast"))
     return read(spark, sf_dir, FINDINGS).select("repo", "fingerprint").join(blast, "repo", "left").select("repo", "fingerprint", F.coalesce("blast", F.lit(0)).alias("blast"))
-
-
-@register("register_producer", sql("SELECT producer, scope, count(DISTINCT source) AS repos FROM (VALUES ('own-native', 'shard', 'systems-hunt'), ('own-any', 'repo', NULL)) p(producer, scope, needs) JOIN (SELECT repo AS source, source AS kind FROM f) g ON needs IS NULL OR needs = kind GROUP BY ALL", f=FINDINGS))
-def register_producer(spark, sf_dir):
-    """Producers of one's own as rows of the producers' table, beside the repositories that they apply to."""
-    own = spark.createDataFrame([("own-native", "shard", "systems-hunt"), ("own-any", "repo", None)], "producer string, scope string, needs string")
-    have = read(spark, sf_dir, FINDINGS).select(F.col("repo"), F.col("source").alias("kind")).distinct()
-    met = have.join(F.broadcast(own), F.col("needs").isNull() | (F.col("needs") == F.col("kind")))
-    return met.groupBy("producer", "scope").agg(F.countDistinct("repo").alias("repos"))
-

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.operators import stores
+from siltstone.operators import merged, sarif, stores
 from siltstone.plans.derived import CRASHES, FINDINGS, RUNS, VOTES, read, sql
 from siltstone.plans.register import registry
 from siltstone.sources import documents
@@ -129,9 +129,9 @@ def findings_stream_upsert(spark, sf_dir):
     source = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     stream = spark.sql(RUNS, lineitem=spark.readStream.schema(source.schema).parquet(f"{sf_dir}/lineitem.parquet*")).select("finding", "role", "run_no", "exit_code")
     base = stores.shared(spark, "stream")
-    table = stores.Versions(spark, f"{base}/table")
-    stores.upsert_stream(stream, table, ["finding", "role"], [F.col("run_no"), F.col("exit_code")], f"{base}/progress")
-    return table.read(stream.schema)
+    table = merged.MergedTable(spark, f"{base}/table", stream.schema, ["finding", "role"], [F.col("run_no"), F.col("exit_code")], buckets=8)
+    merged.upsert_stream(stream, table, f"{base}/progress")
+    return table.read()
 
 
 @register("crash_stream_dedup", "SELECT concat('c', user_id, ':', event_type) AS crash_key, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) > 1 AS duplicate FROM events")
@@ -152,3 +152,25 @@ def crash_stream_first(spark, sf_dir):
     rows = stream.select(F.concat(F.lit("c"), F.col("user_id").cast("string"), F.lit(":"), F.col("event_type")).alias("crash_key"), F.col("ts").cast("timestamp").alias("seen_at"))
     base = stores.shared(spark, "stream")
     return crashes.run_once(crashes.first_crashes(rows, "3650 days").select("crash_key"), f"{base}/rows", f"{base}/progress")
+
+
+#: Findings with several anchors or none, a rationale of untidy blanks, and a CWE as written.
+_EVIDENCE = "SELECT *, concat(title, '  is\t', coalesce(verdict, ''), ' ', repeat('because ', CAST(start_line AS INT) * 3)) AS rationale, CASE ord % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS n FROM {f}"
+
+
+@register("sarif_document", sql(r"""WITH k AS (SELECT *, coalesce(upper(nullif(trim(cwe, ' '), '')), source) AS rule, ord % 3 AS anchors FROM f WHERE status IN ('open', 'confirmed', 'proven') OR verdict IN ('exploitable', 'finding')),
+p AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY fingerprint) AS place FROM k), r AS (SELECT repo, rule, row_number() OVER (PARTITION BY repo ORDER BY min(place)) - 1 AS rule_index FROM p GROUP BY repo, rule),
+w AS (SELECT *, trim(regexp_replace(concat(title, '  is' || chr(9), coalesce(verdict, ''), ' ', repeat('because ', start_line * 3)), '\s+', ' ', 'g'), ' ') AS why FROM p)
+SELECT w.repo, fingerprint, w.rule AS rule_id, rule_index, CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level, title || ' — ' || substr(why, 1, 600) AS message,
+ CASE anchors WHEN 0 THEN '.:1' WHEN 1 THEN file_path || ':' || start_line ELSE file_path || ':' || start_line || ' other.c:1' END AS locations, status, coalesce(verify_verdict, '') AS verified FROM w JOIN r ON r.repo = w.repo AND r.rule = w.rule""", f=FINDINGS))
+def sarif_document(spark, sf_dir):
+    """Documents written to shared storage and read back: a row a result."""
+    f = spark.sql(_EVIDENCE, f=read(spark, sf_dir, FINDINGS))
+    one, other = F.struct("file_path", F.col("start_line").cast("long").alias("start_line")), F.struct(F.lit("./other.c").alias("file_path"), F.lit(0).cast("long").alias("start_line"))
+    evidence = F.when(F.col("n") == 1, F.array(one)).when(F.col("n") == 2, F.array(one, other))
+    path = stores.shared(spark, "sarif")
+    sarif.write(sarif.document(f.withColumn("evidence", evidence), "siltstone", "1"), path)
+    r = F.col("result")
+    at = F.array_join(F.transform(r["locations"], lambda x: F.concat(x["physicalLocation"]["artifactLocation"]["uri"], F.lit(":"), x["physicalLocation"]["region"]["startLine"].cast("string"))), " ")
+    properties = r["properties"]
+    return sarif.read(spark, path).select("repo", r["partialFingerprints"]["primary"].alias("fingerprint"), r["ruleId"].alias("rule_id"), r["ruleIndex"].alias("rule_index"), r["level"].alias("level"), r["message"]["text"].alias("message"), at.alias("locations"), properties["status"].alias("status"), F.coalesce(properties["verificationVerdict"], F.lit("")).alias("verified"))

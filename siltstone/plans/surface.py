@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import text
-from siltstone.operators import code, surface
+from siltstone.operators import code, paths, surface, sweep, traffic
 from siltstone.plans.derived import ANCHORS, CRASHES, FILES, FINDINGS, REQUESTS, SYMBOLS, read, sql
 from siltstone.sources.files import numbered_lines
 
@@ -50,10 +50,14 @@ def url_parts(spark, sf_dir):
     return read(spark, sf_dir, REQUESTS).select("url", text.url_path(F.col("url")).alias("path"), F.array_join(text.query_names(F.col("url")), ",").alias("names"))
 
 
+#: Some endpoints as declared routes: with parameters of several spellings, as they are, or under another method.
+_TEMPLATES = "CASE n % 4 WHEN 0 THEN regexp_replace(path, '/u[0-9]+', '/:user') WHEN 1 THEN regexp_replace(path, '/u[0-9]+', '/{id}') WHEN 2 THEN path ELSE regexp_replace(path, '/u[0-9]+/x', '/<int:u>/:rest') END"
+
+
 def traffic_correlate(spark, sf_dir):
-    r = read(spark, sf_dir, REQUESTS)
-    routes = surface.endpoints(r).filter("n > 1").select("repo", F.when(F.col("has_cookies"), F.lit("DELETE")).otherwise(F.col("method")).alias("method"), "path")
-    return surface.correlate(surface.endpoints(r), routes)
+    seen = surface.endpoints(read(spark, sf_dir, REQUESTS))
+    routes = seen.filter("n > 1").select("repo", F.when(F.col("has_cookies"), F.lit("DELETE")).otherwise(F.col("method")).alias("method"), F.expr(_TEMPLATES).alias("path"))
+    return traffic.correlate(seen, routes)
 
 
 def blast_radius(spark, sf_dir):
@@ -91,6 +95,15 @@ def k_hop_reach(spark, sf_dir):
     return code.k_hop(edges, starts, 4)
 
 
+def k_hop_paths(spark, sf_dir):
+    """The pairs of a source and a sink that are joined within four hops, and where the two searches meet."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    edges = li.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("p"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 5000).cast("string")).alias("dst"))
+    part = F.substring_index(F.substring_index("file_path", "/", -1), ".", 1).alias("node")
+    f = read(spark, sf_dir, FINDINGS).filter("entry_reachable and severity = 'critical'")
+    return paths.witness_paths(edges, f.filter("exposure = 'unauth'").select(part), f.filter("exposure in ('local', 'internal', 'adjacent')").select(part), 4).select("source", "sink", "hops", "meeting")
+
+
 def excerpt_radius(spark, sf_dir):
     f = read(spark, sf_dir, FILES)
     anchors = f.select("repo", "path", (F.col("bytes") % 30 + 1).alias("at"))
@@ -133,11 +146,25 @@ def rank_obligations(spark, sf_dir):
     return surface.obligations_ranked(rows, scores)
 
 
+#: Producers of one's own: one that runs code, one of a language that no shard has.
+OWN = (("own-runner", "repo", (), (), False, True, False, True), ("own-cobol", "shard", ("COBOL",), (), False, False, False, True), ("own-index", "shard", (), ("semgrep", "symbols"), False, False, False, True))
+#: What each repository has.
+_THERE = "SELECT repo, CASE doc_id % 91 WHEN 0 THEN 'binaries' WHEN 1 THEN 'semgrep' WHEN 2 THEN 'threat-model' ELSE 'symbols' END AS thing FROM files WHERE doc_id % 91 < 4"
+
+
+def _sweep(spark, sf_dir, **how):
+    f = read(spark, sf_dir, FILES).withColumn("language", text.language_of(F.col("path"))).withColumn("shard_id", text.slug(text.component_of(F.col("path"))))
+    shards = f.groupBy("repo", "shard_id").agg(F.collect_set("language").alias("languages"), F.count("*").alias("n_files"))
+    return sweep.jobs(sweep.registry(spark, OWN), shards, spark.sql(_THERE.replace("FROM files", "FROM {files}"), files=f), **how)
+
+
 def producer_shard_jobs(spark, sf_dir):
-    producers = spark.sql("select * from values ('sast', 'shard', 'any', false), ('deep', 'shard', 'C', false), ('intel', 'repo', 'any', true), ('context', 'repo', 'any', false), ('pyscan', 'shard', 'Python', true) as t(producer, scope, lang, network)")
-    f = read(spark, sf_dir, FILES)
-    shards = f.select("repo", text.slug(F.concat_ws("-", text.component_of(F.col("path")), text.language_of(F.col("path")))).alias("shard_id"), text.language_of(F.col("path")).alias("language")).groupBy("repo", "shard_id", "language").agg(F.count("*").alias("n_files"))
-    return surface.jobs_planned(producers, shards)
+    return _sweep(spark, sf_dir, offline=True, deep=True)
+
+
+def register_producer(spark, sf_dir):
+    """The jobs of one's own producers, and why others have none."""
+    return _sweep(spark, sf_dir, requested=[p[0] for p in OWN]).groupBy("producer", "scope", "reason").agg(F.count("job_id").alias("jobs"), F.countDistinct("repo").alias("repos"))
 
 
 def diff_risk(spark, sf_dir):
@@ -187,11 +214,35 @@ _HAY = "concat_ws(chr(10), path, substr(content, 1, 8000))"
 QUERIES = {
     f.__name__: f
     for f in (
-        inventory, shard_plan, coverage_map, uncovered_shards, partition_entry_points, path_names, endpoint_dedupe, url_parts, traffic_correlate, blast_radius, caller_weight, diff_blast_radius, code_graph, resolve_callees, called_elsewhere, k_hop_reach, excerpt_radius, per_file_cap, even_sample,
-        interleave_anchors, risk_rank_files, attack_subsystems, rank_obligations, producer_shard_jobs, diff_risk, latest_run, recent_churn,
+        inventory, shard_plan, coverage_map, uncovered_shards, partition_entry_points, path_names, endpoint_dedupe, url_parts, traffic_correlate, blast_radius, caller_weight, diff_blast_radius, code_graph, resolve_callees, called_elsewhere, k_hop_reach, k_hop_paths, excerpt_radius, per_file_cap, even_sample,
+        interleave_anchors, risk_rank_files, attack_subsystems, rank_obligations, producer_shard_jobs, register_producer, diff_risk, latest_run, recent_churn,
     )
 }
 
+
+
+def _jobs(chosen: str, offline: bool) -> str:
+    rows = {p[0]: p for p in (*sweep.PRODUCERS, *OWN)}
+    listed = lambda xs: "CAST([" + ", ".join(f"'{x}'" for x in xs) + "] AS VARCHAR[])"
+    values = ", ".join(f"({i}, '{n}', '{s}', {listed(a)}, {listed(r)}, {', '.join(map(str, flags))})" for i, (n, s, a, r, *flags) in enumerate(rows.values(), 1))
+    off = "CASE WHEN network THEN 'offline: may use the network' WHEN executes THEN 'offline: runs code of the target' END" if offline else "NULL"
+    return f"""w_p AS (SELECT * FROM (VALUES {values}) t(ord, producer, scope, langs, requires, network, executes, deep_only, by_default) WHERE {chosen}),
+w_f AS (SELECT repo, regexp_replace(regexp_replace({_COMPONENT}, '[^A-Za-z0-9_-]+', '-', 'g'), '^-+|-+$', '', 'g') AS shard_id, {_LANG.format(p="path")} AS language FROM files),
+w_s AS (SELECT repo, shard_id, list(DISTINCT language) FILTER (language <> 'Other') AS languages, count(*) AS n_files FROM w_f GROUP BY ALL),
+w_t AS (SELECT DISTINCT * FROM ({_THERE})),
+w_r AS (SELECT repo FROM w_s UNION SELECT repo FROM w_t),
+w_m AS (SELECT w_r.repo, w_p.*, list_sort(list_filter(requires, lambda x: NOT list_contains(coalesce(h.have, []), x)))[1] AS lacks FROM w_r CROSS JOIN w_p LEFT JOIN (SELECT repo, list(thing) AS have FROM w_t GROUP BY repo) h ON h.repo = w_r.repo),
+w_j AS (SELECT *, coalesce({off}, 'requirement not met: ' || lacks) AS bad FROM w_m),
+w_g AS (SELECT repo, ord, producer, scope, CAST(NULL AS VARCHAR) AS shard_id, CAST(NULL AS INTEGER) AS budget FROM w_j WHERE bad IS NULL AND scope = 'repo' UNION ALL
+ SELECT j.repo, ord, producer, scope, s.shard_id, CAST(least(24, greatest(4, ceil(n_files / 3))) AS INTEGER) FROM w_j j JOIN w_s s ON s.repo = j.repo WHERE bad IS NULL AND scope = 'shard' AND (len(langs) = 0 OR list_has_any(langs, coalesce(languages, [])))),
+sweep_rows AS (SELECT repo, producer, scope, shard_id, concat('j', row_number() OVER (PARTITION BY repo ORDER BY ord, shard_id NULLS FIRST)) AS job_id, budget, CAST(NULL AS VARCHAR) AS reason FROM w_g
+ UNION ALL SELECT repo, producer, scope, NULL, NULL, NULL, bad FROM w_j WHERE bad IS NOT NULL
+ UNION ALL SELECT repo, producer, scope, NULL, NULL, NULL, 'no shard of its languages' FROM w_j WHERE bad IS NULL AND scope = 'shard' AND (repo, producer) NOT IN (SELECT (repo, producer) FROM w_g))"""
+
+
+#: a route's parameters, anywhere in it
+_PARAMETER = traffic.PARAMETER[1:-1]
+
 ORACLE_SQL = {
     "inventory": sql(f"SELECT repo, language, count(*) AS n_files, CAST(sum(bytes) AS BIGINT) AS bytes FROM (SELECT repo, {_NORM} AS path, {_LANG.format(p=_NORM)} AS language, bytes FROM files) WHERE NOT regexp_matches(path, '{surface.EXCLUDED}') AND language <> 'Other' GROUP BY repo, language", files=FILES),
     "shard_plan": sql(f"WITH {_SHARDS} SELECT * FROM s", files=FILES),
@@ -211,8 +262,11 @@ SELECT r.repo, CASE WHEN n > 6 AND place > 5 THEN 'other' ELSE r.component END A
     "endpoint_dedupe": sql(f"WITH {_ENDPOINTS} SELECT repo, method, path, n, params, has_cookies FROM e", requests=REQUESTS),
     "url_parts": sql(f"SELECT url, regexp_extract({_URL}, '^[^?#]*', 0) AS path, array_to_string({_NAMES}, ',') AS names FROM requests", requests=REQUESTS),
     "traffic_correlate": sql(
-        f"""WITH {_ENDPOINTS}, t AS (SELECT DISTINCT repo, CASE WHEN has_cookies THEN 'DELETE' ELSE method END AS method, path FROM e WHERE n > 1)
-SELECT coalesce(e.repo, t.repo) AS repo, coalesce(e.method, t.method) AS method, coalesce(e.path, t.path) AS path, coalesce(n, 0) AS n, CASE WHEN e.repo IS NULL THEN 'no-traffic' WHEN t.repo IS NULL THEN 'shadow' ELSE 'mapped' END AS state FROM e FULL JOIN t ON e.repo = t.repo AND e.method = t.method AND e.path = t.path""", requests=REQUESTS
+        f"""WITH {_ENDPOINTS}, t AS (SELECT DISTINCT repo, CASE WHEN has_cookies THEN 'DELETE' ELSE method END AS method, {_TEMPLATES} AS template FROM e WHERE n > 1),
+tu AS (SELECT *, regexp_replace(template, '{_PARAMETER}', '[^/]+', 'g') AS pattern, list_transform(string_split(trim(template, '/'), '/'), lambda x: CASE WHEN regexp_full_match(x, '{_PARAMETER}') THEN 'b' ELSE 'a' END) AS mask FROM t),
+tm AS (SELECT e.repo, e.method, e.path, template FROM e JOIN tu ON e.repo = tu.repo AND e.method = tu.method AND regexp_full_match(e.path, pattern) QUALIFY row_number() OVER (PARTITION BY e.repo, e.method, e.path ORDER BY len(list_filter(mask, lambda x: x = 'a')) DESC, array_to_string(mask, ''), template) = 1)
+SELECT e.repo, e.method, e.path, n, template, CASE WHEN template IS NULL THEN 'shadow' ELSE 'mapped' END AS state FROM e LEFT JOIN tm m ON e.repo = m.repo AND e.method = m.method AND e.path = m.path
+UNION ALL SELECT repo, method, template, 0, template, 'no-traffic' FROM t WHERE (repo, method, template) NOT IN (SELECT (repo, method, template) FROM tm)""", requests=REQUESTS
     ),
     "blast_radius": sql(
         """WITH m AS (SELECT repo, file_path, line, max(caller_count) AS c FROM symbols GROUP BY ALL), z AS (SELECT repo, file_path, max(caller_count) AS most FROM symbols GROUP BY ALL)
@@ -229,6 +283,12 @@ SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY repo ORDER BY call
     "called_elsewhere": sql(f"WITH {_CALLS} SELECT repo, name, file_path, line FROM symbols s WHERE EXISTS (SELECT 1 FROM calls c WHERE c.repo = s.repo AND c.name = s.name AND c.file_path <> s.file_path)", symbols=SYMBOLS, anchors=ANCHORS),
     "k_hop_reach": sql("""RECURSIVE WITH e AS (SELECT DISTINCT concat('p', l_partkey) AS src, concat('p', (l_partkey * 7 + l_suppkey) % 5000) AS dst FROM lineitem),
 r AS (SELECT DISTINCT split_part(string_split(file_path, '/')[-1], '.', 1) AS node, 0 AS hop FROM f WHERE entry_reachable AND exposure = 'unauth' AND severity = 'critical' UNION SELECT dst, hop + 1 FROM r JOIN e ON node = src WHERE hop < 4) SELECT node, CAST(min(hop) AS INTEGER) AS hop FROM r GROUP BY node""", f=FINDINGS),
+    "k_hop_paths": sql("""RECURSIVE WITH e AS (SELECT DISTINCT concat('p', l_partkey) AS src, concat('p', (l_partkey * 7 + l_suppkey) % 5000) AS dst FROM lineitem),
+g AS (SELECT split_part(string_split(file_path, '/')[-1], '.', 1) AS node, exposure, status FROM f WHERE entry_reachable AND severity = 'critical'),
+a AS (SELECT DISTINCT node AS origin, node, 0 AS hop FROM g WHERE exposure = 'unauth' UNION SELECT origin, dst, hop + 1 FROM a JOIN e ON node = src WHERE hop < 2),
+b AS (SELECT DISTINCT node AS origin, node, 0 AS hop FROM g WHERE exposure IN ('local', 'internal', 'adjacent') UNION SELECT origin, src, hop + 1 FROM b JOIN e ON node = dst WHERE hop < 2),
+x AS (SELECT origin, node, min(hop) AS hop FROM a GROUP BY ALL), y AS (SELECT origin, node, min(hop) AS hop FROM b GROUP BY ALL)
+SELECT x.origin AS source, y.origin AS sink, CAST(min(x.hop + y.hop) AS INTEGER) AS hops, arg_min(x.node, (x.hop + y.hop, x.node)) AS meeting FROM x JOIN y ON x.node = y.node WHERE x.hop - y.hop IN (0, 1) GROUP BY ALL""", f=FINDINGS),
     "excerpt_radius": sql(
         f"""WITH {_LINES}, a AS (SELECT repo, path, bytes % 30 + 1 AS at FROM files) SELECT a.repo, a.path, a.at, count(l.line) AS n_lines, CAST(min(l.line) AS BIGINT) AS first_line, CAST(coalesce(sum(length(l.text)), 0) AS BIGINT) AS n_chars
  FROM a LEFT JOIN lines l ON a.repo = l.repo AND a.path = l.path AND l.line BETWEEN a.at - 10 AND a.at + 10 GROUP BY a.repo, a.path, a.at""", files=FILES
@@ -262,13 +322,8 @@ SELECT repo, subsystem, score, reasons, n_files, paths, place, tail FROM o WHERE
 p AS (SELECT repo, path, line, kind, CAST({_WEIGHT} + least(4, CAST(round(log2(score + 1)) AS INTEGER)) AS INTEGER) AS priority FROM o JOIN s USING (repo, path))
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY repo ORDER BY priority DESC, path, line, kind) AS INTEGER) AS place FROM p) WHERE place <= 120""", f=FINDINGS
     ),
-    "producer_shard_jobs": sql(
-        f"""WITH p AS (SELECT * FROM (VALUES ('sast', 'shard', 'any', false), ('deep', 'shard', 'C', false), ('intel', 'repo', 'any', true), ('context', 'repo', 'any', false), ('pyscan', 'shard', 'Python', true)) t(producer, scope, lang, network)),
-g AS (SELECT repo, {_COMPONENT} || '-' || {_LANG.format(p="path")} AS c, {_LANG.format(p="path")} AS language FROM files),
-s AS (SELECT repo, regexp_replace(regexp_replace(c, '[^A-Za-z0-9_-]+', '-', 'g'), '^-+|-+$', '', 'g') AS shard_id, language, count(*) AS n_files FROM g GROUP BY ALL),
-j AS (SELECT repo, shard_id, producer, network, n_files FROM s JOIN p ON scope = 'shard' AND (lang = 'any' OR lang = language) UNION ALL SELECT repo, NULL, producer, network, NULL FROM (SELECT DISTINCT repo FROM s), p WHERE scope = 'repo')
-SELECT repo, shard_id, producer, CASE WHEN network THEN 'offline' ELSE 'planned' END AS state, CASE WHEN NOT network THEN CAST(least(24, greatest(4, ceil(n_files / 3))) AS INTEGER) END AS budget FROM j""", files=FILES
-    ),
+    "producer_shard_jobs": sql(f"WITH {_jobs('NOT deep_only AND by_default OR deep_only', True)} SELECT * FROM sweep_rows", files=FILES),
+    "register_producer": sql(f"WITH {_jobs('producer IN (' + ', '.join(repr(p[0]) for p in OWN) + ')', False)} SELECT producer, scope, reason, count(job_id) AS jobs, count(DISTINCT repo) AS repos FROM sweep_rows GROUP BY ALL", files=FILES),
     "diff_risk": sql("SELECT doc_id, " + " + ".join(f"CASE WHEN regexp_matches({_HAY}, '(?i){p}') THEN {w} ELSE 0 END" for p, w, _ in _DIFF) + " AS score, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches({_HAY}, '(?i){p}') THEN '{t}' END" for p, _, t in _DIFF) + ") AS tags FROM files", files=FILES),
     "latest_run": sql("SELECT source, arg_max(fingerprint, (seen_at, fingerprint)) AS fingerprint, max(seen_at) AS seen_at FROM c GROUP BY source", c=CRASHES),
     "recent_churn": """WITH d AS (SELECT l_shipdate, row_number() OVER (ORDER BY l_shipdate DESC) AS pos FROM (SELECT DISTINCT l_shipdate FROM lineitem ORDER BY l_shipdate DESC LIMIT 60))

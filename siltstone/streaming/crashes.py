@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 
@@ -26,24 +29,58 @@ def run_once(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def flagged(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+class _FirstOfKey(StatefulProcessor):
+    """Flags all rows of a key but its first.  The state is one value a key; of a batch one row a key is held at a time."""
+
+    def __init__(self, schema: StructType, first: list[str], keep_ms: int | None):
+        self._row = Row(*[f.name for f in schema.fields], "duplicate")
+        self._order = [schema.names.index(c) for c in first]
+        self._keep = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._seen = handle.getValueState("seen", "seen boolean", self._keep) if self._keep else handle.getValueState("seen", "seen boolean")
+
+    def _before(self, row) -> tuple:
+        return tuple((row[i] is not None, row[i]) if row[i] is not None else (False,) for i in self._order)
+
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[Row]:
+        known, held = self._seen.exists(), None
+        for row in rows:
+            if known:
+                yield self._row(*row, True)
+            elif held is None:
+                held = row
+            else:
+                early, late = (row, held) if self._before(row) < self._before(held) else (held, row)
+                yield self._row(*late, True)
+                held = early
+        if held is not None:
+            self._seen.update((True,))
+            yield self._row(*held, False)
+
+    def close(self) -> None:
+        pass
+
+
+def flagged(stream: DataFrame, path: str, checkpoint: str, keep_ms: int | None = None) -> DataFrame:
     """Append every record with a flag ``duplicate``: its key is in an earlier batch, or earlier in its own.
 
     ``stream(crash_key, seen_at, ...)``; order in a batch is by time, then by all
-    columns.  A batch goes to a folder of its own and is overwritten if it is
-    repeated, so no record is lost or written twice.
+    columns, nulls first.  What was seen is the query's keyed state, in RocksDB and
+    its checkpoint, so a batch costs its own records, however many came before, and one
+    that is repeated after a failure is written once.  With ``keep_ms`` a key is
+    forgotten so many milliseconds after it was first seen.
     """
     spark: SparkSession = stream.sparkSession
     schema = StructType([*stream.schema.fields, StructField("duplicate", BooleanType())])
-
-    def fold(batch: DataFrame, number: int) -> None:
-        first = F.row_number().over(Window.partitionBy("crash_key").orderBy("seen_at", *[c for c in batch.columns if c not in ("crash_key", "seen_at")])) == 1
-        rows = batch.withColumn("first", first)
-        if number:
-            seen = spark.read.schema(schema).parquet(*[f"{path}/batch={n}" for n in range(number)]).select("crash_key").distinct().withColumn("seen", F.lit(True))
-            rows = rows.join(seen, "crash_key", "left").withColumn("first", F.col("first") & F.col("seen").isNull()).drop("seen")
-        rows.select(*batch.columns, (~F.col("first")).alias("duplicate")).write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    query = stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+    order = ["seen_at", *[c for c in stream.columns if c not in ("crash_key", "seen_at")]]
+    fold = stream.groupBy("crash_key").transformWithState(_FirstOfKey(stream.schema, order, keep_ms), schema, "Append", "ProcessingTime" if keep_ms else "None")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = fold.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.schema(schema).parquet(path)

@@ -62,5 +62,6 @@ def test_ledger_fills_defaults(spark):
 
 def test_flows_link_the_nearest_source_before(spark):
     rows = [("r", "a", 1, "C", "source"), ("r", "a", 5, "C", "source"), ("r", "a", 9, "C", "sink"), ("r", "a", 0, "C", "sink"), ("r", "b", 9, "C", "sink"), ("r", "a", 7, "D", "sink")]
-    got = flows.linked(spark.createDataFrame(rows, "repo string, path string, line long, cwe string, kind string")).collect()
+    none = spark.createDataFrame([], "repo string, path string, line long, text string")
+    got = flows.linked(spark.createDataFrame(rows, "repo string, path string, line long, cwe string, kind string"), none).collect()
     assert [(r["path"], r["source_line"], r["sink_line"]) for r in got] == [("a", 5, 9)]
