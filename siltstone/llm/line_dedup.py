@@ -7,9 +7,10 @@ with the first holder of each of its runs, so a run that many documents hold cos
 one pair each, and no run is too frequent to be looked at.
 
 A pair is aligned by patience diff on the line hashes, and blocks of aligned lines
-are deleted from the later document.  A shared run that the diff leaves out, since
-its lines repeat or it has moved across other lines, is then aligned by itself.  So
-exactly those lines go that lie in a block which any earlier document holds too.
+are deleted from the later document.  Where a shared run is left out, since it has
+moved across other lines or its lines repeat, what is left is aligned again
+(:func:`aligned`).  So exactly those lines go that lie in a block which any earlier
+document holds too, and all of them by an alignment.
 """
 
 from __future__ import annotations
@@ -95,33 +96,54 @@ def blocks(pairs: list[tuple[int, int]], sizes: list[int], least: int) -> list[i
     return out
 
 
-def moved(a: np.ndarray, b: np.ndarray, runs: list[tuple[int, int]], gone: set[int]) -> None:
-    """Add to ``gone`` the runs of a that have a line left, where b holds them."""
-    at: dict[int, list[int]] = {}
-    for low, high in runs:
-        if all(i in gone for i in range(low, high)):
-            continue
-        if not at:
-            for j, x in enumerate(b.tolist()):
-                at.setdefault(x, []).append(j)
-        if any(np.array_equal(a[low:high], b[j : j + high - low]) for j in at.get(int(a[low]), ())):
-            gone.update(range(low, high))
+def aligned(a: np.ndarray, b: np.ndarray, size: list[int], runs: list[tuple[int, int]], least: int) -> tuple[set[int], set[int]]:
+    """Lines of a in blocks that the two texts' alignment finds, and those in blocks that only a further one does.
+
+    One alignment keeps the order of both texts, so it leaves out a shared run that has
+    moved across other lines or whose lines repeat.  As long as such a run is left,
+    what remains of a is aligned with b again; a run of lines that repeat, which has
+    no anchor among them, is at last aligned by itself, with the place where b holds it.
+    """
+
+    def found(mine: np.ndarray, theirs: np.ndarray) -> set[int]:
+        pairs = patience(a[mine].tolist(), b[theirs].tolist())
+        return set(blocks([(int(mine[i]), int(theirs[j])) for i, j in pairs], size, least))
+
+    # lines that the other document lacks align with nothing
+    ours, theirs = np.flatnonzero(np.isin(a, b)), np.flatnonzero(np.isin(b, a))
+    first = found(ours, theirs)
+    again: set[int] = set()
+    left = [r for r in runs if not first.issuperset(range(*r))]
+    while left:
+        new = found(np.array([i for i in ours.tolist() if i not in first and i not in again], dtype=np.int64), theirs) - again
+        again |= new
+        left = [r for r in left if not all(i in first or i in again for i in range(*r))]
+        if not new:
+            break
+    if left:
+        at: dict[int, list[int]] = {}
+        for j, x in enumerate(b.tolist()):
+            at.setdefault(x, []).append(j)
+        for low, high in left:
+            for j in at.get(int(a[low]), ()):
+                if np.array_equal(a[low:high], b[j : j + high - low]):
+                    again |= found(np.arange(low, high), np.arange(j, j + high - low))
+                    break
+    return first, again - first
 
 
 def _align(batches, least: int):
-    """One row a pair to the later document's deleted lines."""
+    """One row a pair to the later document's deleted lines: those of its alignment, those of further ones."""
     for batch in batches:
-        out = []
+        out, more = [], []
         for r in range(batch.num_rows):
             a, size, b = (batch.column(c)[r].values.to_numpy() for c in (2, 3, 5))
             runs = batch.column(4)[r].values
-            # lines that the other document lacks align with nothing
-            ours, theirs = np.flatnonzero(np.isin(a, b)), np.flatnonzero(np.isin(b, a))
-            pairs = [(int(ours[i]), int(theirs[j])) for i, j in patience(a[ours].tolist(), b[theirs].tolist())]
-            gone = set(blocks(pairs, size.tolist(), least))
-            moved(a, b, list(zip(runs.field("low").to_pylist(), runs.field("high").to_pylist(), strict=True)), gone)
-            out.append(sorted(gone))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["d", "t", "gone"])
+            first, again = aligned(a, b, size.tolist(), list(zip(runs.field("low").to_pylist(), runs.field("high").to_pylist(), strict=True)), least)
+            out.append(sorted(first))
+            more.append(sorted(again))
+        lists = pa.list_(pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, lists), pa.array(more, lists)], ["d", "t", "gone", "again"])
 
 
 def _runs(batches, least: int):
@@ -145,14 +167,15 @@ def _runs(batches, least: int):
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least_chars: int = 40) -> DataFrame:
-    """``docs`` with a cleaned text, and ``n_lines``, ``n_removed``, ``removed_lines``.
+    """``docs`` with a cleaned text, and ``n_lines``, ``n_removed``, ``removed_lines``, ``n_moved``.
 
     Lines end at a line feed; a line's surrounding blanks don't count in
     comparisons.  Of each pair, the document with the greater (doc_id, text hash)
     is the later one.  A line is deleted if it lies in a block of consecutive lines
     that an earlier document holds too and that has ``least_chars`` characters or
     more in total, so empty lines go only with their neighbours.  Blocks are found
-    on the input; what repeats within one document only stays.
+    on the input; what repeats within one document only stays.  ``n_moved`` counts the
+    deleted lines that no pair's first alignment holds, as they have moved or repeat.
 
     Null texts stay null with 0 lines; empty ones have one empty line; long ones are
     read whole.  Rows that repeat an id and a text are one document and get the same
@@ -160,7 +183,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     result; other columns stay, whatever their names, and columns named like the
     results are replaced.
     """
-    base = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed_lines")]
+    base = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed_lines", "n_moved")]
     text = F.col("row").getField(text_col).cast("string")
     me = docs.select(F.struct(*[F.col(f"`{c}`") for c in base]).alias("row"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("t"))
     lines = F.split(text, "\n", -1)
@@ -176,8 +199,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     partners = pairs.select("d", "t").union(pairs.select("early_d", "early_t")).distinct()
     arrays = written(listed.join(partners, ["d", "t"], "left_semi").dropDuplicates(["d", "t"]), "arrays")
     both = pairs.join(arrays, ["d", "t"]).join(arrays.select(F.col("d").alias("early_d"), F.col("t").alias("early_t"), F.col("hashes").alias("theirs")), ["early_d", "early_t"])
-    found = both.select("d", "t", "hashes", "sizes", "runs", "theirs").mapInArrow(lambda it: _align(it, least_chars), "d long, t long, gone array<int>")
-    gone = found.select("d", "t", F.explode("gone").alias("line")).distinct().groupBy("d", "t").agg(F.sort_array(F.collect_list("line")).alias("removed"))
+    found = both.select("d", "t", "hashes", "sizes", "runs", "theirs").mapInArrow(lambda it: _align(it, least_chars), "d long, t long, gone array<int>, again array<int>")
+    marked = lambda c, again: F.transform(c, lambda x: F.struct(x.alias("line"), F.lit(again).alias("again")))
+    lost = found.select("d", "t", F.explode(F.concat(marked("gone", False), marked("again", True))).alias("x")).groupBy("d", "t", "x.line").agg(F.min("x.again").alias("again"))
+    gone = lost.groupBy("d", "t").agg(F.sort_array(F.collect_list("line")).alias("removed"), F.count_if("again").alias("moved"))
     met = me.join(gone, ["d", "t"], "left")
     cut = F.when(F.col("removed").isNull(), text).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("removed", i)), "\n"))
     return met.select(
@@ -185,6 +210,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long").alias("n_removed"),
         F.coalesce("removed", F.array().cast("array<int>")).alias("removed_lines"),
+        F.coalesce("moved", F.lit(0)).cast("long").alias("n_moved"),
     )
 
 

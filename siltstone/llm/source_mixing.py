@@ -17,6 +17,9 @@ from siltstone.llm.workspace import written
 
 #: The golden ratio's fractional part, the step between schedule points.
 GOLDEN = 0.6180339887498949
+#: Slots that a source can lack at most: of N golden-ratio points an interval of length p holds
+#: N p within 3 + 2.1 ln N, under 64 for N below 10^12.
+LACK = 64
 WEIGHTS = (3, 1, 2)
 
 
@@ -93,12 +96,14 @@ def laid_out(sized: DataFrame, pieces: int = 1024) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights=WEIGHTS, share: float = 1.5, limit: float = 2.0, block_words: int | None = None) -> DataFrame:
-    """One row per document: ``doc_id, tag, source, size, source_size, target, taken``.
+    """One row per document: ``doc_id, tag, source, size, source_size, target, taken, first_slot``.
 
     ``size`` counts words, 0 for a null text.  The mix takes ``taken`` words of a
     document, repeats counted: the blocks that the schedule gives its source, the
     last of them only as far as the target.  No document is taken more than
-    ``limit`` times, a limit of at most 2.  ``tag`` is a hash of the text that tells
+    ``limit`` times, a limit of at most 2.  ``first_slot`` is the first slot of the schedule that
+    takes words of it, null without any: in order of it the mix's beginning holds the sources
+    in their shares.  ``tag`` is a hash of the text that tells
     rows of one id apart.
 
     Null sources are one source, null ids a value like any other.  Rows that repeat
@@ -116,30 +121,31 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     block = block_words or max(1, min(4096, int(total // 20_000)))
     slots = int(total // block) + 64
     used = written(schedule(goals.select("source", "target"), slots), "slots")
-    # the points of a small source may be too few, or none: the ranks missing up to its target follow the schedule
+    # a source may have a few points too few, a small one none: these ranks, LACK at most, follow the schedule
     had = used.groupBy("source").agg(F.count("*").alias("n"))
     short = goals.alias("a").join(had.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.source", F.coalesce("n", F.lit(0)).alias("n"), F.ceil(F.floor("target") / block).alias("need"))
-    used = used.select("source", "rank").union(short.filter("n < need").select("source", F.explode(F.sequence(F.col("n").cast("long"), F.col("need").cast("long") - 1)).alias("rank")))
+    rest = short.filter("n < need").select("source", F.explode(F.sequence(F.col("n").cast("long"), F.least(F.col("need").cast("long"), F.col("n") + LACK) - 1)).alias("rank"))
+    used = used.select("source", "rank", "slot").union(rest.select("source", "rank", F.lit(slots) + F.col("rank")))
     # rank r of a source takes the words [r * block, (r + 1) * block) of its line, up to its target
-    blocks = used.alias("a").join(goals.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.source", F.col("rank"), "source_size", F.floor("target").cast("long").alias("upto"))
+    blocks = used.alias("a").join(goals.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.source", "rank", "slot", "source_size", F.floor("target").cast("long").alias("upto"))
     blocks = blocks.withColumn("low", F.col("rank") * block).filter(F.col("low") < F.col("upto")).withColumn("high", F.least(F.col("low") + block, "upto"))
     # where a block runs over the end of the line, it goes on at its beginning
     turns = F.explode(F.sequence(F.floor(F.col("low") / F.col("source_size")), F.floor((F.col("high") - 1) / F.col("source_size"))))
-    turned = blocks.withColumn("turn", turns).select("source", "turn", F.greatest(F.lit(0), F.col("low") - F.col("turn") * F.col("source_size")).alias("low"), F.least(F.col("source_size"), F.col("high") - F.col("turn") * F.col("source_size")).alias("high"))
+    turned = blocks.withColumn("turn", turns).select("source", "turn", "slot", F.greatest(F.lit(0), F.col("low") - F.col("turn") * F.col("source_size")).alias("low"), F.least(F.col("source_size"), F.col("high") - F.col("turn") * F.col("source_size")).alias("high"))
     cut = turned.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / block), F.floor((F.col("high") - 1) / block))))
     line = laid_out(sized).filter("size > 0").withColumn("cell", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block))))
     x, y = line.alias("x"), cut.alias("y")
     overlap = F.least(F.col("x.begin") + F.col("x.size"), F.col("y.high"), (F.col("x.cell") + 1) * block) - F.greatest(F.col("x.begin"), F.col("y.low"), F.col("x.cell") * block)
-    met = x.join(y, (F.col("x.cell") == F.col("y.cell")) & F.col("x.source").eqNullSafe(F.col("y.source"))).select(F.col("x.doc_id").alias("d"), F.col("x.tag").alias("t"), F.col("x.source").alias("s"), F.greatest(F.lit(0), overlap).alias("n"))
-    taken = met.groupBy("d", "t", "s").agg(F.sum("n").alias("taken"))
+    met = x.join(y, (F.col("x.cell") == F.col("y.cell")) & F.col("x.source").eqNullSafe(F.col("y.source"))).select(F.col("x.doc_id").alias("d"), F.col("x.tag").alias("t"), F.col("x.source").alias("s"), F.greatest(F.lit(0), overlap).alias("n"), "y.slot")
+    taken = met.groupBy("d", "t", "s").agg(F.sum("n").alias("taken"), F.min(F.when(F.col("n") > 0, F.col("slot"))).alias("first_slot"))
     # rows that repeat an id, a text and a source share what was taken of them
     copies = sized.groupBy("doc_id", "tag", "source", "size").agg(F.count("*").alias("copies"))
     full = copies.join(taken, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("tag").eqNullSafe(F.col("t")) & F.col("source").eqNullSafe(F.col("s")), "left")
     full = full.alias("f").join(goals.alias("g"), F.col("f.source").eqNullSafe(F.col("g.source")))
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))
     part = lambda i: F.floor(F.col("all") / F.col("copies")) + F.when(i < F.col("all") % F.col("copies"), 1).otherwise(0)
-    out = full.select("doc_id", "tag", F.col("f.source").alias("source"), "size", "source_size", "target", "copies", F.coalesce("taken", F.lit(0)).alias("all")).withColumn("i", each)
-    return out.select("doc_id", "tag", "source", "size", "source_size", "target", part(F.col("i")).cast("long").alias("taken"))
+    out = full.select("doc_id", "tag", F.col("f.source").alias("source"), "size", "source_size", "target", "copies", "first_slot", F.coalesce("taken", F.lit(0)).alias("all")).withColumn("i", each)
+    return out.select("doc_id", "tag", "source", "size", "source_size", "target", part(F.col("i")).cast("long").alias("taken"), F.col("first_slot").cast("long").alias("first_slot"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:

@@ -206,12 +206,25 @@ def test_patience_aligns_in_order():
     assert line_dedup.patience([], [1]) == []
 
 
+def test_alignments_decide_what_goes(spark, small, monkeypatch):
+    """Without patience no line goes; moved and repeated blocks are told apart."""
+    wide = [f"a line of its own, number {i}, of over forty characters" for i in range(6)]
+    short = ["ab " * 5, "cd " * 5, "ab " * 5, "cd " * 5]
+    rows = [(1, "\n".join([*wide, *short])), (2, "\n".join(["new", *wide[3:], *wide[:3]])), (3, "\n".join([*short, "x", *short])), (4, "\n".join(wide[2:4]))]
+    got = {r["doc_id"]: (r["removed_lines"], r["n_moved"]) for r in line_dedup.line_dedup(frame(spark, rows)).collect()}
+    assert got == {1: ([], 0), 2: ([1, 2, 3, 4, 5, 6], 3), 3: ([0, 1, 2, 3, 5, 6, 7, 8], 4), 4: ([0, 1], 0)}
+    a, b = (np.array(x, dtype=np.int64) for x in ([1, 2, 3, 4], [3, 4, 1, 2]))
+    assert line_dedup.aligned(a, b, [30] * 4, [(0, 2), (2, 4)], 40) in (({0, 1}, {2, 3}), ({2, 3}, {0, 1}))
+    monkeypatch.setattr(line_dedup, "patience", lambda a, b: [])
+    assert line_dedup.aligned(a, b, [30] * 4, [(0, 2), (2, 4)], 40) == (set(), set())
+
+
 def test_lines_go_from_the_later_document(spark):
     rnd = random.Random(9)
     lines = [f"line {i} " + "x" * rnd.randrange(60) for i in range(40)] + [""]
     rows = [(i, "\n".join(rnd.choice(lines) for _ in range(rnd.randrange(9)))) for i in range(120)] + [(200, None), (201, ""), (202, "\n\n"), (203, "é" * 50), (204, "é" * 50)]
     got = line_dedup.line_dedup(frame(spark, rows))
-    assert got.columns == [*SCHEMA.replace(" long", "").replace(" string", "").replace(" int", "").split(", "), "n_lines", "n_removed", "removed_lines"]
+    assert got.columns == [*SCHEMA.replace(" long", "").replace(" string", "").replace(" int", "").split(", "), "n_lines", "n_removed", "removed_lines", "n_moved"]
     want = plain.line_dedup(rows, 40)
     texts = dict(rows)
     for r in got.collect():

@@ -153,6 +153,23 @@ def test_equal_texts_of_two_sources_are_two_documents(spark):
     assert set(map(tuple, mixed.select("tag", "times", "row", "d_", "size").collect())) == {("x", "y", "z", "u", 1)}
 
 
+def test_slots_decide_what_is_taken(spark, monkeypatch):
+    """The beginning of the mix holds the shares, and without slots the targets aren't reached."""
+    docs = spark.range(6000).selectExpr("id as doc_id", "concat(id, repeat(' w', 20)) as text", "case when id % 6 = 0 then 'a' when id % 6 < 3 then 'b' else 'c' end as source")
+    got = source_mixing.mix(docs).collect()
+    total = {r["source"]: r["target"] for r in got}
+    slots = max(r["first_slot"] for r in got if r["first_slot"] is not None)
+    for part in (8, 4, 2):
+        # in that part of the schedule each document is met for the first time
+        seen = {s: sum(r["size"] for r in got if r["source"] == s and r["first_slot"] is not None and r["first_slot"] < slots / part) for s in total}
+        held = [seen[s] / total[s] for s in total]
+        assert max(held) < 1.03 * min(held) and max(held) < 1.0 / part
+    schedule = source_mixing.schedule
+    monkeypatch.setattr(source_mixing, "schedule", lambda shares, slots: schedule(shares, slots).filter("false"))
+    none = source_mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert all(r["taken"] < 0.05 * r["target"] for r in none)
+
+
 def test_slots_spread_evenly(spark):
     shares = spark.createDataFrame([("a", 60.0), ("b", 30.0), (None, 10.0)], "source string, target double")
     rows = sorted(source_mixing.schedule(shares, 1000).collect(), key=lambda r: r["slot"])
