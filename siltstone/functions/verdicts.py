@@ -17,6 +17,8 @@ def lookup(value: Column, table: dict, default=None) -> Column:
 STATUSES = ("lead", "candidate", "open", "needs-evidence", "needs-trace", "confirmed", "proven", "patched", "remediated", "reviewed", "noise")
 PROOF_STATES = ("lead", "candidate", "open", "reachable", "trigger-built", "confirmed", "proven", "patch-planned", "patch-validated", "remediated", "reviewed", "noise")
 VERIFY_VERDICTS = ("confirmed-exploitable", "not-exploitable", "inconclusive")
+POC_VERDICTS = ("exploited", "not-reproduced", "non-discriminating", "harness-failed-build", "timeout", "error")
+FIX_VERDICTS = ("validated", "unvalidated-no-harness", "build-failed", "needs-more-evidence", "exploit-still-fires", "stops-exploit-breaks-function", "validated-pending-reattack")
 DRAFT_STATUS = {"exploitable": "open", "finding": "open", "candidate": "needs-evidence", "rejected": "reviewed", "reviewed-no-impact": "reviewed", "likely-library-noise": "noise", "needs-more-evidence": "needs-evidence", "needs-active-agent-trace": "needs-trace"}
 VERIFY_STATUS = {"confirmed-exploitable": "confirmed", "not-exploitable": "reviewed"}
 POC_STATUS = {"exploited": "proven", "not-reproduced": "reviewed"}

@@ -48,6 +48,7 @@ def semantic_collapse(findings: DataFrame) -> DataFrame:
         F.min("fingerprint").alias("fingerprint"),
         F.count("*").alias("n_findings"),
         F.countDistinct("file_path", "start_line").alias("n_anchors"),
+        F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("file_path", "start_line"))), lambda x: F.concat(x["file_path"], F.lit(":"), x["start_line"].cast("string"))), ",").alias("anchors"),
     ).drop("_a", "_g")
 
 
@@ -115,19 +116,37 @@ def siblings(findings: DataFrame) -> DataFrame:
 
 
 def errors(findings: DataFrame) -> DataFrame:
-    """``fingerprint, errors``: every rule of the finding schema that a row breaks."""
+    """``fingerprint, n_errors, errors``: every rule of the finding schema that a row breaks, by the path of its value.
+
+    Besides its texts a finding has ``evidence``, an array of file_path, start_line and
+    end_line, and may have blocks ``verification`` (verdict, confidence, verified_at),
+    ``poc`` (proof_level, proof_verdict, backend, proven_at) and ``fix`` (verdict, patch_path,
+    applied, and the four results of its validation).  A block that is there is checked as
+    a whole; a validated fix needs its results, of which the semantic one may be missing.
+    """
     blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
-    rules = [
-        (blank("title"), "title"),
-        (blank("ref_id"), "ref_id"),
-        (~F.coalesce(F.col("status").isin(*verdicts.STATUSES), F.lit(False)), "status"),
-        (F.col("proof_state").isNotNull() & ~F.col("proof_state").isin(*verdicts.PROOF_STATES), "proof_state"),
-        (blank("file_path"), "file_path"),
-        (F.coalesce(F.col("start_line") < 1, F.lit(True)), "start_line"),
-        (cwe_number(F.col("cwe")).isNull(), "cwe"),
-        (~F.coalesce(F.col("severity").isin(*scores.LEVELS, "none"), F.lit(False)), "severity"),
-    ]
-    found = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for bad, name in rules]))
+    unlike = lambda c, known: F.coalesce(~c.isin(*known), F.lit(True))
+    say = lambda bad, path: F.when(bad, F.lit(path))
+    own = [say(blank(F.col(c)), c) for c in ("fingerprint", "source", "ref_id", "title", "severity", "status", "proof_state")]
+    own += [say(~blank(F.col(c)) & ~F.col(c).isin(*known), f"{c}: unknown") for c, known in (("status", verdicts.STATUSES), ("proof_state", verdicts.PROOF_STATES))]
+    own.append(say(F.col("evidence").isNull(), "evidence"))
+    at = lambda i, name: F.concat(F.lit("evidence["), i.cast("string"), F.lit("]."), F.lit(name))
+    below = lambda c: F.coalesce(c < 1, F.lit(False))
+    anchors = F.flatten(
+        F.transform(F.coalesce("evidence", F.array().cast("array<struct<file_path:string,start_line:bigint,end_line:bigint>>")), lambda a, i: F.array(F.when(blank(a["file_path"]), at(i, "file_path")), F.when(below(a["start_line"]), at(i, "start_line")), F.when(below(a["end_line"]), at(i, "end_line"))))
+    )
+
+    def block(name: str, rules: list[tuple[Column, str]]) -> list[Column]:
+        return [say(F.col(name).isNotNull() & bad, f"{name}.{field}") for bad, field in rules]
+
+    get = lambda c: F.col(c)
+    checks = block("verification", [(unlike(get("verification.verdict"), verdicts.VERIFY_VERDICTS), "verdict"), (F.coalesce(~get("verification.confidence").between(0, 1), F.lit(True)), "confidence"), (blank(get("verification.verified_at")), "verified_at")])
+    checks += block("poc", [(F.coalesce(~get("poc.proof_level").between(1, 5), F.lit(True)), "proof_level"), (unlike(get("poc.proof_verdict"), verdicts.POC_VERDICTS), "proof_verdict"), (blank(get("poc.backend")), "backend"), (blank(get("poc.proven_at")), "proven_at")])
+    checks += block("fix", [(unlike(get("fix.verdict"), verdicts.FIX_VERDICTS), "verdict"), (blank(get("fix.patch_path")), "patch_path"), (get("fix.applied").isNull(), "applied")])
+    sound = F.coalesce(get("fix.verdict") == "validated", F.lit(False))
+    wanted = lambda c: sound & ~F.coalesce(get(f"fix.{c}"), F.lit(False))
+    checks += block("fix", [(wanted("exploit_passed"), "exploit_passed"), (wanted("functional_passed"), "functional_passed"), (sound & ~F.coalesce(get("fix.semantic_passed"), F.lit(True)), "semantic_passed"), (wanted("poc_plus_passed"), "poc_plus_passed")])
+    found = F.array_compact(F.concat(F.array(*own), anchors, F.array(*checks)))
     return findings.select("fingerprint", found.alias("e")).select("fingerprint", F.size("e").alias("n_errors"), F.array_join("e", ",").alias("errors"))
 
 

@@ -194,17 +194,30 @@ def obligations(lines: DataFrame) -> DataFrame:
 
 
 def telemetry(lines: DataFrame) -> DataFrame:
-    """One row a fuzzing run of its log lines: last counters, new and reduced inputs, crashes, and what they advise."""
+    """One row a fuzzing run of its log lines: last counters, new and reduced inputs, crashes, and what they advise.
+
+    ``corpus`` and ``crashers`` come from the last such line of engines that count them,
+    ``artifact`` and ``summary`` from the first line that names one; ``ended_with`` is
+    done if the last status line says so, crash with a summary or a crasher, else unknown.
+    """
+    lines = once(lines, "text", F.col("text"))  # many patterns read it
     number = lambda name: F.nullif(F.regexp_extract("text", name + r":\s*(\d+)", 1), F.lit("")).try_cast("bigint")
     execs = F.nullif(F.regexp_extract("text", r"^#(\d+)", 1), F.lit("")).try_cast("bigint")
     last = lambda c, name: F.max_by(c, F.when(c.isNotNull(), F.col("line"))).alias(name)
+    early = lambda c, name: F.min_by(c, F.when(c.isNotNull(), F.col("line"))).alias(name)
+    some = lambda pattern, i=1: F.nullif(F.regexp_extract("text", pattern, i), F.lit(""))
+    status = some(r"(?i)^#\d+\s+(NEW|REDUCE|pulse|INITED|DONE)\b.*?\bcov:\s*\d+.*?\bft:\s*\d+")
+    go = r"(?i)\bcorpus:\s*(\d+).*?\bcrashers?:\s*(\d+)"
     agg = lines.groupBy("run_id").agg(
         last(execs, "execs"), last(number("cov"), "cov"), last(number("ft"), "features"), last(number("exec/s"), "execs_per_second"),
         F.count_if(F.col("text").rlike(r"^#\d+\s+NEW")).alias("new_inputs"), F.count_if(F.col("text").rlike(r"^#\d+\s+REDUCE")).alias("reduced"),
         F.count_if(F.col("text").rlike("ERROR: .*Sanitizer|deadly signal")).alias("crashes"), F.bool_or(F.col("text").rlike("^Done ")).alias("done"),
+        last(some(go, 1).try_cast("bigint"), "corpus"), last(some(go, 2).try_cast("bigint"), "crashers"), early(some(r"(?i)Test unit written to (\S+)"), "artifact"),
+        early(F.trim(some(r"(?i)SUMMARY:\s*(?:libFuzzer|AddressSanitizer|UndefinedBehaviorSanitizer):\s*(.+)")), "summary"), last(F.upper(status), "_last"),
     )
+    ended = F.when(F.col("summary").isNotNull() | (F.coalesce("crashers", F.lit(0)) > 0), "crash").when(F.col("_last") == "DONE", "done").otherwise("unknown")
     signal = F.when(F.col("crashes") > 0, "crashed").when(F.col("cov").isNull(), "no-coverage-data").when(F.col("new_inputs") == 0, "saturating").when(F.col("done"), "completed").otherwise("interrupted")
-    return agg.withColumn("signal", signal)
+    return agg.withColumn("signal", signal).withColumn("ended_with", ended).drop("_last")
 
 
 #: Where untrusted input enters, and what is dangerous to do with it.

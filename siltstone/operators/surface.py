@@ -26,26 +26,49 @@ def inventory(files: DataFrame) -> DataFrame:
     return rows.groupBy("repo", "language").agg(F.count("*").alias("n_files"), F.sum("bytes").alias("bytes"))
 
 
-def shards(files: DataFrame, most: int = 60) -> DataFrame:
-    """``repo, shard_id, dir, n_files``: files by top folder, in runs of at most ``most`` by path.
+def shard_files(files: DataFrame, most: int = 60) -> DataFrame:
+    """``repo, path, dir, shard_id``: the shard of every distinct file.
 
-    A folder that fits keeps its name; the runs of a larger one are numbered from 1.
+    Files go by top folder, in runs of at most ``most`` by path.  A folder that fits
+    keeps its name; the runs of a larger one are numbered from 1.  Places in a folder
+    are found by pieces of its paths, so a folder of any size is no one task's.
     """
     p = norm_path(F.col("path"))
     top = F.when(F.instr(p, "/") > 0, F.substring_index(p, "/", 1)).otherwise("(root)")
-    rows = files.select("repo", p.alias("path"), top.alias("dir")).distinct()
-    w = Window.partitionBy("repo", "dir")
-    part = rows.withColumn("k", F.ceil(F.row_number().over(w.orderBy("path")) / most)).withColumn("n", F.count("*").over(w))
-    name = F.when(F.col("n") > most, F.concat(slug(F.col("dir")), F.lit("__"), F.col("k").cast("string"))).otherwise(slug(F.col("dir")))
-    return part.groupBy("repo", name.alias("shard_id"), "dir").agg(F.count("*").alias("n_files"), F.min("path").alias("first_path"))
+    rows = written(files.select("repo", p.alias("path"), top.alias("dir")).distinct(), "files")
+    sizes = rows.groupBy("repo", "dir").agg(F.count("*").alias("n"))
+    at = placed(rows, ["repo", "dir"], [], "path", "at", prefix=24).join(sizes, ["repo", "dir"])
+    part = F.ceil(F.col("at") / most).cast("string")
+    name = F.when(F.col("n") > most, F.concat(slug(F.col("dir")), F.lit("__"), part)).otherwise(slug(F.col("dir")))
+    return at.select("repo", "path", "dir", name.alias("shard_id"))
+
+
+def shards(files: DataFrame, most: int = 60) -> DataFrame:
+    """``repo, shard_id, dir, n_files, first_path, by_language``: shards with their files counted by language."""
+    rows = shard_files(files, most).withColumn("language", language_of(F.col("path")))
+    each = rows.groupBy("repo", "shard_id", "dir", "language").agg(F.count("*").alias("n"), F.min("path").alias("first"))
+    counts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("language", "n"))), lambda x: F.concat(x["language"], F.lit(":"), x["n"].cast("string"))), ",")
+    return each.groupBy("repo", "shard_id", "dir").agg(F.sum("n").alias("n_files"), F.min("first").alias("first_path"), counts.alias("by_language"))
 
 
 def coverage(shard_rows: DataFrame, jobs: DataFrame) -> DataFrame:
-    """One row a repo: files in shards with a job and without, and the covered per cent; 100 for no files."""
+    """One row a repo: files in shards with a job and without, the covered per cent, 100 for no files, and the producers of the whole repo."""
     done = jobs.filter("scope = 'shard'").select("repo", "shard_id").distinct().withColumn("c", F.lit(True))
     met = shard_rows.join(done, ["repo", "shard_id"], "left")
     agg = met.groupBy("repo").agg(F.sum("n_files").alias("files"), F.coalesce(F.sum(F.when(F.col("c"), F.col("n_files"))), F.lit(0)).alias("covered"))
-    return agg.select("repo", "files", "covered", (F.col("files") - F.col("covered")).alias("uncovered"), F.when(F.col("files") == 0, 100.0).otherwise(F.round(F.col("covered") * 100 / F.col("files"), 1)).alias("pct"))
+    whole = jobs.filter("scope = 'repo'").groupBy("repo").agg(F.array_join(F.array_sort(F.collect_set("producer")), ",").alias("repo_producers"))
+    pct = F.when(F.col("files") == 0, 100.0).otherwise(F.round(F.col("covered") * 100 / F.col("files"), 1))
+    return agg.join(whole, "repo", "left").select("repo", "files", "covered", (F.col("files") - F.col("covered")).alias("uncovered"), pct.alias("pct"), F.coalesce("repo_producers", F.lit("")).alias("repo_producers"))
+
+
+def shard_coverage(files: DataFrame, jobs: DataFrame, most: int = 60, sample: int = 5) -> DataFrame:
+    """``repo, shard_id, n_files, covered, producers, sample_files``: each shard's producers, and the first files of one without any."""
+    rows = shard_files(files, most)
+    by = jobs.filter("scope = 'shard'").groupBy("repo", "shard_id").agg(F.array_join(F.array_sort(F.collect_set("producer")), ",").alias("producers"))
+    first = F.row_number().over(Window.partitionBy("repo", "shard_id").orderBy("path"))  # a shard is small
+    met = rows.withColumn("at", first).groupBy("repo", "shard_id").agg(F.count("*").alias("n_files"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("at") <= sample, F.col("path")))), lambda x: x), ",").alias("first"))
+    done = F.col("producers").isNotNull()
+    return met.join(by, ["repo", "shard_id"], "left").select("repo", "shard_id", "n_files", done.alias("covered"), F.coalesce("producers", F.lit("")).alias("producers"), F.when(~done, F.col("first")).otherwise("").alias("sample_files"))
 
 
 def uncovered(shard_rows: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -12,17 +12,20 @@ YES, NO, OPEN = VERIFY_VERDICTS
 
 
 def majority(votes: DataFrame) -> DataFrame:
-    """``repo, fingerprint, verdict, agreement, n_votes``: a strict majority confirms or clears.
+    """``repo, fingerprint, verdict, agreement, n_votes, tally``: a strict majority confirms or clears.
 
     Votes outside the vocabulary don't count; findings without a valid vote are
-    inconclusive with an agreement of 0.
+    inconclusive.  ``agreement`` is the share of the votes for the verdict itself, so 0
+    where a split leaves it open and no vote does; ``tally`` counts the verdicts voted for.
     """
     valid = F.col("verdict").isin(*VERIFY_VERDICTS)
     n = F.count_if(valid)
     by = {v: F.count_if(F.col("verdict") == v) for v in VERIFY_VERDICTS}
     verdict = F.when(by[YES] * 2 > n, YES).when(by[NO] * 2 > n, NO).otherwise(OPEN)
-    agreement = F.when(n == 0, 0.0).otherwise(F.round(F.greatest(*by.values()) / n, 3))
-    return votes.groupBy("repo", "fingerprint").agg(verdict.alias("verdict"), agreement.alias("agreement"), n.alias("n_votes"))
+    backing = F.when(by[YES] * 2 > n, by[YES]).when(by[NO] * 2 > n, by[NO]).otherwise(by[OPEN])
+    agreement = F.when(n == 0, 0.0).otherwise(F.round(backing / n, 3))
+    tally = F.concat_ws(",", *[F.when(by[v] > 0, F.concat(F.lit(f"{v}:"), by[v].cast("string"))) for v in VERIFY_VERDICTS])
+    return votes.groupBy("repo", "fingerprint").agg(verdict.alias("verdict"), agreement.alias("agreement"), n.alias("n_votes"), tally.alias("tally"))
 
 
 def consensus(votes: DataFrame, tolerance: str = "ask") -> DataFrame:

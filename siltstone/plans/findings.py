@@ -68,8 +68,22 @@ def sibling_findings(spark, sf_dir):
     return findings.siblings(read(spark, sf_dir, FINDINGS))
 
 
+#: Findings with anchors and, some of them, with the blocks of a verification, a proof and a fix.
+_BLOCKS = """SELECT fingerprint, source, nullif(ref_id, 'REF-7') AS ref_id, CASE WHEN ord % 17 = 0 THEN ' ' ELSE title END AS title, severity, status, proof_state, {evidence} AS evidence,
+ CASE WHEN ord % 2 = 0 THEN {verification} END AS verification, CASE WHEN ord % 3 = 0 THEN {poc} END AS poc, CASE WHEN ord % 5 = 0 THEN {fix} END AS fix FROM {f}"""
+_FIELDS = {
+    "verification": "verify_verdict AS verdict, CASE WHEN ord % 7 = 0 THEN NULL ELSE CAST(ord % 13 AS DOUBLE) / 10 END AS confidence, CASE WHEN ord % 11 = 0 THEN '' ELSE 'now' END AS verified_at",
+    "poc": "CAST(ord % 7 AS INT) AS proof_level, poc_verdict AS proof_verdict, CASE WHEN ord % 11 = 0 THEN NULL ELSE 'local' END AS backend, 'now' AS proven_at",
+    "fix": "fix_verdict AS verdict, CASE WHEN ord % 7 = 0 THEN '' ELSE 'p.diff' END AS patch_path, CASE WHEN ord % 3 > 0 THEN ord % 3 = 1 END AS applied, ord % 4 > 0 AS exploit_passed, CASE WHEN ord % 6 > 0 THEN true END AS functional_passed, CASE WHEN ord % 8 > 3 THEN ord % 8 > 4 END AS semantic_passed, ord % 9 > 0 AS poc_plus_passed",
+}
+
+
 def validate_finding(spark, sf_dir):
-    return findings.errors(read(spark, sf_dir, FINDINGS))
+    made = {name: "struct(" + fields + ")" for name, fields in _FIELDS.items()}
+    anchor = "struct(CASE WHEN ord % 19 = 0 THEN '' ELSE file_path END AS file_path, start_line - 2 AS start_line, CASE WHEN ord % 23 = 0 THEN CAST(0 AS BIGINT) END AS end_line)"
+    evidence = f"CASE WHEN ord % 29 > 0 THEN CASE WHEN ord % 4 = 0 THEN array({anchor}, {anchor}) ELSE array({anchor}) END END"
+    f = spark.sql(_BLOCKS.format(evidence=evidence, f="{f}", **made), f=read(spark, sf_dir, FINDINGS))
+    return findings.errors(f)
 
 
 def sarif_export(spark, sf_dir):
@@ -204,11 +218,32 @@ QUERIES = {
     )
 }
 
+
+
+def _say(*rules: tuple[str, str]) -> str:
+    return ", ".join(f"CASE WHEN {bad} THEN '{path}' END" for bad, path in rules)
+
+
+def _blank(c: str) -> str:
+    return f"trim(coalesce({c}, ''), ' ') = ''"
+
+
+_ON = {"verification": "ord % 2 = 0", "poc": "ord % 3 = 0", "fix": "ord % 5 = 0"}
+_SOUND = "fix_verdict = 'validated' AND "
+_VALID_FINDINGS = f"""WITH g AS (SELECT *, nullif(ref_id, 'REF-7') AS ref, CASE WHEN ord % 17 = 0 THEN '' ELSE title END AS name, CASE WHEN ord % 29 = 0 THEN 0 WHEN ord % 4 = 0 THEN 2 ELSE 1 END AS anchors FROM f),
+a AS (SELECT *, list_concat([{_say((_blank("fingerprint"), "fingerprint"), (_blank("source"), "source"), (_blank("ref"), "ref_id"), (_blank("name"), "title"), (_blank("severity"), "severity"), (_blank("status"), "status"), (_blank("proof_state"), "proof_state"), (f"status NOT IN {verdicts.STATUSES}", "status: unknown"), (f"proof_state NOT IN {verdicts.PROOF_STATES}", "proof_state: unknown"), ("anchors = 0", "evidence"))}],
+ flatten(list_transform(range(anchors), lambda i: [CASE WHEN ord % 19 = 0 THEN concat('evidence[', i, '].file_path') END, CASE WHEN start_line - 2 < 1 THEN concat('evidence[', i, '].start_line') END, CASE WHEN ord % 23 = 0 THEN concat('evidence[', i, '].end_line') END])),
+ CASE WHEN {_ON["verification"]} THEN [{_say((f"coalesce(verify_verdict NOT IN {verdicts.VERIFY_VERDICTS}, true)", "verification.verdict"), ("ord % 7 = 0 OR ord % 13 > 10", "verification.confidence"), ("ord % 11 = 0", "verification.verified_at"))}] ELSE [] END,
+ CASE WHEN {_ON["poc"]} THEN [{_say(("ord % 7 NOT BETWEEN 1 AND 5", "poc.proof_level"), (f"coalesce(poc_verdict NOT IN {verdicts.POC_VERDICTS}, true)", "poc.proof_verdict"), ("ord % 11 = 0", "poc.backend"))}] ELSE [] END,
+ CASE WHEN {_ON["fix"]} THEN [{_say((f"coalesce(fix_verdict NOT IN {verdicts.FIX_VERDICTS}, true)", "fix.verdict"), ("ord % 7 = 0", "fix.patch_path"), ("ord % 3 = 0", "fix.applied"), (_SOUND + "ord % 4 = 0", "fix.exploit_passed"), (_SOUND + "ord % 6 = 0", "fix.functional_passed"), (_SOUND + "ord % 8 = 4", "fix.semantic_passed"), (_SOUND + "ord % 9 = 0", "fix.poc_plus_passed"))}] ELSE [] END) AS e FROM g),
+b AS (SELECT fingerprint, list_filter(e, lambda x: x IS NOT NULL) AS e FROM a)
+SELECT fingerprint, CAST(len(e) AS INTEGER) AS n_errors, array_to_string(e, ',') AS errors FROM b"""
+
 ORACLE_SQL = {
     "upsert_findings": sql("SELECT key, fingerprint, status, batch FROM (SELECT *, concat_ws('|', repo, ref_id, source) AS key FROM f) QUALIFY row_number() OVER (PARTITION BY key ORDER BY batch DESC, ord DESC) = 1", f=FINDINGS),
     "patch_findings": sql(f"SELECT fingerprint, coalesce({_case('poc_verdict', verdicts.POC_STATUS)}, status) AS status, severity FROM f", f=FINDINGS),
     "semantic_collapse": sql(
-        "SELECT repo, min(fingerprint) AS fingerprint, count(*) AS n_findings, count(DISTINCT (file_path, start_line)) AS n_anchors FROM f GROUP BY repo, CASE WHEN status = 'proven' OR fn_key IS NULL THEN fingerprint ELSE concat_ws('|', source, fn_key) END", f=FINDINGS
+        "SELECT repo, min(fingerprint) AS fingerprint, count(*) AS n_findings, count(DISTINCT (file_path, start_line)) AS n_anchors, array_to_string(list_transform(list_sort(list(DISTINCT {'p': file_path, 'l': start_line})), lambda x: x.p || ':' || x.l), ',') AS anchors FROM f GROUP BY repo, CASE WHEN status = 'proven' OR fn_key IS NULL THEN fingerprint ELSE concat_ws('|', source, fn_key) END", f=FINDINGS
     ),
     "rank_findings": sql(f"SELECT repo, fingerprint, {_RISK} AS score, CAST(row_number() OVER (PARTITION BY repo ORDER BY {_RISK} DESC, {_SEVERITY_RANK} DESC, fingerprint) AS INTEGER) AS rank FROM f", f=FINDINGS),
     "priority_score": sql(f"SELECT repo, fingerprint, CAST(p AS INTEGER) AS score, CASE WHEN p >= 75 THEN 'P0' WHEN p >= 55 THEN 'P1' WHEN p >= 35 THEN 'P2' ELSE 'P3' END AS tier FROM (SELECT *, {_PRIORITY} AS p FROM f)", f=FINDINGS),
@@ -222,9 +257,7 @@ ORACLE_SQL = {
     ),
     "fix_queue": sql("SELECT repo, fingerprint, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY coalesce(poc_verdict = 'exploited', false) DESC, fingerprint) AS place FROM f WHERE status IN ('proven', 'confirmed') AND coalesce(fix_verdict, '') <> 'validated') WHERE place <= 20", f=FINDINGS),
     "sibling_findings": sql("SELECT a.fingerprint, count(*) AS n_siblings, min(b.fingerprint) AS first_sibling FROM f a JOIN f b ON a.repo = b.repo AND a.fn_key = b.fn_key AND a.fingerprint <> b.fingerprint AND b.poc_verdict = 'exploited' WHERE a.status = 'confirmed' GROUP BY a.fingerprint", f=FINDINGS),
-    "validate_finding": sql(
-        f"""SELECT fingerprint, CAST(len(e) AS INTEGER) AS n_errors, array_to_string(e, ',') AS errors FROM (SELECT fingerprint, list_filter([CASE WHEN proof_state NOT IN {verdicts.PROOF_STATES} THEN 'proof_state' END, CASE WHEN coalesce(start_line, 0) < 1 THEN 'start_line' END, CASE WHEN {_CWE} IS NULL THEN 'cwe' END, CASE WHEN severity IS NULL OR severity = 'odd' THEN 'severity' END], lambda x: x IS NOT NULL) AS e FROM f)""", f=FINDINGS
-    ),
+    "validate_finding": sql(_VALID_FINDINGS, f=FINDINGS),
     "sarif_export": sql(
         f"""SELECT fingerprint, coalesce('CWE-' || {_CWE}, source) AS rule_id, {_case('severity', verdicts.SARIF_LEVELS, "'note'")} AS level, substr(trim(regexp_replace(title, '\\s+', ' ', 'g')), 1, 600) AS message,
  '{{"uri":"' || file_path || '","startLine":' || greatest(1, start_line) || '}}' AS location FROM f WHERE {_ACTIVE}""".replace("{{", "{").replace("}}", "}"), f=FINDINGS
@@ -251,7 +284,7 @@ SELECT fingerprint, derived_severity, derived, CASE WHEN step <= -1 THEN 5 WHEN
     ),
     "vote_majority": sql(
         f"""WITH c AS (SELECT repo, fingerprint, count(*) FILTER ({_VALID}) AS n, count(*) FILTER (verdict = '{_YES}') AS y, count(*) FILTER (verdict = '{_NO}') AS x, count(*) FILTER (verdict = '{_OPEN}') AS o FROM v GROUP BY repo, fingerprint)
-SELECT repo, fingerprint, CASE WHEN y * 2 > n THEN '{_YES}' WHEN x * 2 > n THEN '{_NO}' ELSE '{_OPEN}' END AS verdict, CASE WHEN n = 0 THEN 0.0 ELSE round(greatest(y, x, o) / n, 3) END AS agreement, n AS n_votes FROM c""", v=VOTES
+SELECT repo, fingerprint, CASE WHEN y * 2 > n THEN '{_YES}' WHEN x * 2 > n THEN '{_NO}' ELSE '{_OPEN}' END AS verdict, CASE WHEN n = 0 THEN 0.0 ELSE round(CASE WHEN y * 2 > n THEN y WHEN x * 2 > n THEN x ELSE o END / n, 3) END AS agreement, n AS n_votes, concat_ws(',', CASE WHEN y > 0 THEN '{_YES}:' || y END, CASE WHEN x > 0 THEN '{_NO}:' || x END, CASE WHEN o > 0 THEN '{_OPEN}:' || o END) AS tally FROM c""", v=VOTES
     ),
     "panel_consensus": sql(
         f"""WITH w AS (SELECT *, coalesce(least(1.0, greatest(0.0, confidence)), 0.0) AS conf FROM v WHERE {_VALID}),

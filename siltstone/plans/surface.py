@@ -18,16 +18,23 @@ def shard_plan(spark, sf_dir):
     return surface.shards(read(spark, sf_dir, FILES))
 
 
-def _jobs(spark, sf_dir):
-    return shard_plan(spark, sf_dir).filter(F.length("first_path") % 2 == 0).select("repo", "shard_id", F.lit("shard").alias("scope"))
+def _shard_jobs(spark, sf_dir):
+    """One or two producers for some shards, and two for each whole repository."""
+    some = shard_plan(spark, sf_dir).filter(F.length("first_path") % 2 == 0)
+    own = F.explode(F.array_compact(F.array(F.lit("sast"), F.when(F.col("n_files") % 2 == 0, F.lit("authz")))))
+    return some.select("repo", "shard_id", F.lit("shard").alias("scope"), own.alias("producer")).union(some.select("repo", F.lit(None).cast("string"), F.lit("repo"), F.explode(F.array(F.lit("iac"), F.lit("binary-recon")))))
 
 
 def coverage_map(spark, sf_dir):
-    return surface.coverage(shard_plan(spark, sf_dir), _jobs(spark, sf_dir))
+    return surface.coverage(shard_plan(spark, sf_dir), _shard_jobs(spark, sf_dir))
+
+
+def coverage_shards(spark, sf_dir):
+    return surface.shard_coverage(read(spark, sf_dir, FILES), _shard_jobs(spark, sf_dir))
 
 
 def uncovered_shards(spark, sf_dir):
-    return surface.uncovered(shard_plan(spark, sf_dir), _jobs(spark, sf_dir)).select("repo", "shard_id")
+    return surface.uncovered(shard_plan(spark, sf_dir), _shard_jobs(spark, sf_dir)).select("repo", "shard_id")
 
 
 def partition_entry_points(spark, sf_dir):
@@ -189,7 +196,8 @@ _NORM = "regexp_replace(path, '^(\\./)+', '')"
 _LANG = "CASE " + " ".join(f"WHEN regexp_matches({{p}}, '{p}') THEN '{name}'" for p, name in text.LANGUAGES) + " ELSE 'Other' END"
 _SHARDS = f"""p AS (SELECT DISTINCT repo, {_NORM} AS path FROM files), d AS (SELECT *, CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '(root)' END AS dir FROM p),
 k AS (SELECT *, CAST(ceil(row_number() OVER (PARTITION BY repo, dir ORDER BY path) / 60.0) AS BIGINT) AS k, count(*) OVER (PARTITION BY repo, dir) AS n FROM d),
-s AS (SELECT repo, CASE WHEN dir = '(root)' THEN 'root' ELSE dir END || CASE WHEN n > 60 THEN '__' || k ELSE '' END AS shard_id, dir, count(*) AS n_files, min(path) AS first_path FROM k GROUP BY ALL)"""
+s AS (SELECT repo, CASE WHEN dir = '(root)' THEN 'root' ELSE dir END || CASE WHEN n > 60 THEN '__' || k ELSE '' END AS shard_id, dir, count(*) AS n_files, min(path) AS first_path, list_slice(list_sort(list(path)), 1, 5) AS few FROM k GROUP BY ALL),
+sl AS (SELECT repo, CASE WHEN dir = '(root)' THEN 'root' ELSE dir END || CASE WHEN n > 60 THEN '__' || k ELSE '' END AS shard_id, {_LANG.format(p="path")} AS language, count(*) AS c FROM k GROUP BY ALL), sb AS (SELECT repo, shard_id, string_agg(language || ':' || c, ',' ORDER BY language) AS by_language FROM sl GROUP BY ALL)"""
 _COMPONENT = f"coalesce(list_filter(string_split({_NORM}, '/')[1:-2], lambda x: x <> '' AND lower(x) NOT IN {text.PLAIN_ROOTS})[1], '(root)')"
 _URL = "regexp_replace(url, '^https://[^/?#]*', '')"
 _NAMES = "list_sort(list_distinct(list_filter(list_transform(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: split_part(x, '=', 1)), lambda x: x <> '')))"
@@ -214,7 +222,7 @@ _HAY = "concat_ws(chr(10), path, substr(content, 1, 8000))"
 QUERIES = {
     f.__name__: f
     for f in (
-        inventory, shard_plan, coverage_map, uncovered_shards, partition_entry_points, path_names, endpoint_dedupe, url_parts, traffic_correlate, blast_radius, caller_weight, diff_blast_radius, code_graph, resolve_callees, called_elsewhere, k_hop_reach, k_hop_paths, excerpt_radius, per_file_cap, even_sample,
+        inventory, shard_plan, coverage_map, coverage_shards, uncovered_shards, partition_entry_points, path_names, endpoint_dedupe, url_parts, traffic_correlate, blast_radius, caller_weight, diff_blast_radius, code_graph, resolve_callees, called_elsewhere, k_hop_reach, k_hop_paths, excerpt_radius, per_file_cap, even_sample,
         interleave_anchors, risk_rank_files, attack_subsystems, rank_obligations, producer_shard_jobs, register_producer, diff_risk, latest_run, recent_churn,
     )
 }
@@ -245,10 +253,11 @@ _PARAMETER = traffic.PARAMETER[1:-1]
 
 ORACLE_SQL = {
     "inventory": sql(f"SELECT repo, language, count(*) AS n_files, CAST(sum(bytes) AS BIGINT) AS bytes FROM (SELECT repo, {_NORM} AS path, {_LANG.format(p=_NORM)} AS language, bytes FROM files) WHERE NOT regexp_matches(path, '{surface.EXCLUDED}') AND language <> 'Other' GROUP BY repo, language", files=FILES),
-    "shard_plan": sql(f"WITH {_SHARDS} SELECT * FROM s", files=FILES),
+    "shard_plan": sql(f"WITH {_SHARDS} SELECT s.* EXCLUDE (few), by_language FROM s JOIN sb USING (repo, shard_id)", files=FILES),
     "coverage_map": sql(
-        f"WITH {_SHARDS}, c AS (SELECT repo, CAST(sum(n_files) AS BIGINT) AS files, CAST(coalesce(sum(n_files) FILTER (length(first_path) % 2 = 0), 0) AS BIGINT) AS covered FROM s GROUP BY repo) SELECT repo, files, covered, files - covered AS uncovered, round(covered * 100 / files, 1) AS pct FROM c", files=FILES
+        f"WITH {_SHARDS}, c AS (SELECT repo, CAST(sum(n_files) AS BIGINT) AS files, CAST(coalesce(sum(n_files) FILTER (length(first_path) % 2 = 0), 0) AS BIGINT) AS covered FROM s GROUP BY repo) SELECT repo, files, covered, files - covered AS uncovered, round(covered * 100 / files, 1) AS pct, CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.repo = c.repo AND length(first_path) % 2 = 0) THEN 'binary-recon,iac' ELSE '' END AS repo_producers FROM c", files=FILES
     ),
+    "coverage_shards": sql(f"WITH {_SHARDS} SELECT repo, shard_id, n_files, length(first_path) % 2 = 0 AS covered, CASE WHEN length(first_path) % 2 > 0 THEN '' WHEN n_files % 2 = 0 THEN 'authz,sast' ELSE 'sast' END AS producers, CASE WHEN length(first_path) % 2 = 0 THEN '' ELSE array_to_string(few, ',') END AS sample_files FROM s", files=FILES),
     "uncovered_shards": sql(f"WITH {_SHARDS} SELECT repo, shard_id FROM s WHERE (repo, shard_id) NOT IN (SELECT (repo, shard_id) FROM s WHERE length(first_path) % 2 = 0)", files=FILES),
     "partition_entry_points": sql(
         f"""WITH r AS (SELECT repo, {_COMPONENT} AS component, 'k' || (bytes % 3) AS kind FROM files), z AS (SELECT repo, component, count(*) AS size FROM r GROUP BY ALL),

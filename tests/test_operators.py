@@ -63,7 +63,7 @@ def test_votes(spark):
     rows += [("r", "d", "l0", 0, "bogus", 0.5, True, None, None)]
     frame = spark.createDataFrame(rows, schema)
     majority = {r["fingerprint"]: (r["verdict"], r["agreement"], r["n_votes"]) for r in voting.majority(frame).collect()}
-    assert majority == {"a": (yes, 1.0, 3), "b": (yes, 1.0, 3), "c": ("inconclusive", 0.5, 2), "d": ("inconclusive", 0.0, 0)}
+    assert majority == {"a": (yes, 1.0, 3), "b": (yes, 1.0, 3), "c": ("inconclusive", 0.0, 2), "d": ("inconclusive", 0.0, 0)}
     for tolerance, verdict, flagged in (("ask", "inconclusive", True), ("recall", "inconclusive", False), ("precision", no, False)):
         got = {r["fingerprint"]: r for r in voting.consensus(frame, tolerance).collect()}
         assert set(got) == {"a", "b", "c"}

@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-from siltstone.operators import sarif, sweep
+from siltstone.operators import findings, sarif, scan, surface, sweep
 
 
 def planned(spark, own=(), **how):
@@ -91,3 +91,42 @@ def test_a_document_of_many_parts(spark, tmp_path):
     parts = sorted(Path(f"{tmp_path}/d/repo=r").glob("part-*"))
     assert len(parts) > 1
     assert len(json.loads("".join(p.read_text() for p in parts))["runs"][0]["results"]) == 3000
+
+
+VALID = "fingerprint string, source string, ref_id string, title string, severity string, status string, proof_state string, evidence array<struct<file_path:string,start_line:bigint,end_line:bigint>>, verification struct<verdict:string,confidence:double,verified_at:string>, poc struct<proof_level:int,proof_verdict:string,backend:string,proven_at:string>, fix struct<verdict:string,patch_path:string,applied:boolean,exploit_passed:boolean,functional_passed:boolean,semantic_passed:boolean,poc_plus_passed:boolean>"
+
+
+@pytest.mark.parametrize(("given", "want"), [
+    ({}, []),
+    ({"title": " ", "status": "odd", "proof_state": None}, ["title", "proof_state", "status: unknown"]),
+    ({"evidence": None}, ["evidence"]),
+    ({"evidence": [("a", 0, None), ("", 1, 0), ("c", None, 3)]}, ["evidence[0].start_line", "evidence[1].file_path", "evidence[1].end_line"]),
+    ({"verification": ("maybe", 1.5, None)}, ["verification.verdict", "verification.confidence", "verification.verified_at"]),
+    ({"poc": (6, None, "", "t")}, ["poc.proof_level", "poc.proof_verdict", "poc.backend"]),
+    ({"fix": ("validated", "p", True, True, True, None, True)}, []),
+    ({"fix": ("validated", "", None, False, None, False, True)}, ["fix.patch_path", "fix.applied", "fix.exploit_passed", "fix.functional_passed", "fix.semantic_passed"]),
+    ({"fix": ("build-failed", "p", False, None, None, False, None)}, []),
+])
+def test_nested_blocks_are_checked(spark, given, want):
+    base = {"fingerprint": "f", "source": "s", "ref_id": "r", "title": "t", "severity": "high", "status": "open", "proof_state": "open", "evidence": [("a.c", 1, None)], "verification": None, "poc": None, "fix": None}
+    got = findings.errors(spark.createDataFrame([tuple((base | given).values())], VALID)).first()
+    assert (got["n_errors"], got["errors"]) == (len(want), ",".join(want))
+
+
+def test_shards_hold_languages_and_uncovered_files(spark):
+    files = spark.createDataFrame([("r", f"{d}/f{i:03}.{'c' if i % 2 else 'py'}") for d, n in (("a", 61), ("b", 7)) for i in range(n)] + [("r", "a/f000.py")], "repo string, path string")
+    assert {r["shard_id"]: (r["n_files"], r["by_language"]) for r in surface.shards(files).collect()} == {"a__1": (60, "C:30,Python:30"), "a__2": (1, "Python:1"), "b": (7, "C:3,Python:4")}
+    jobs = spark.createDataFrame([("r", "b", "shard", "sast"), ("r", "b", "shard", "authz"), ("r", "a__2", "shard", "sast"), ("r", None, "repo", "iac")], "repo string, shard_id string, scope string, producer string")
+    got = {r["shard_id"]: (r["covered"], r["producers"], r["sample_files"]) for r in surface.shard_coverage(files, jobs).collect()}
+    assert got == {"a__1": (False, "", "a/f000.py,a/f001.c,a/f002.py,a/f003.c,a/f004.py"), "a__2": (True, "sast", ""), "b": (True, "authz,sast", "")}
+    assert [tuple(r) for r in surface.coverage(surface.shards(files), jobs).collect()] == [("r", 68, 8, 60, 11.8, "iac")]
+
+
+def test_telemetry_tells_how_a_run_ended(spark):
+    rows = [
+        ("done", ["#1 NEW cov: 1 ft: 2", "#9 DONE   cov: 3 ft: 4"]), ("crash", ["#1 NEW cov: 1 ft: 2", "Test unit written to ./crash-1", "SUMMARY: AddressSanitizer: SEGV x ", "Test unit written to ./other"]),
+        ("go", ["workers: 8, corpus: 10 (3m ago), crashers: 0, restarts", "workers: 8, corpus: 12 (3m ago), crashers: 1, restarts"]), ("open", ["#9 DONE cov: 3 ft: 4", "#10 pulse cov: 3 ft: 4"]),
+    ]
+    lines = spark.createDataFrame([(k, i, t) for k, ts in rows for i, t in enumerate(ts)], "run_id string, line long, text string")
+    got = {r["run_id"]: (r["ended_with"], r["artifact"], r["summary"], r["corpus"], r["crashers"]) for r in scan.telemetry(lines).collect()}
+    assert got == {"done": ("done", None, None, None, None), "crash": ("crash", "./crash-1", "SEGV x", None, None), "go": ("crash", None, None, 12, 1), "open": ("unknown", None, None, None, None)}
