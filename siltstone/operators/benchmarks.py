@@ -88,17 +88,62 @@ def aggregate(cases: DataFrame) -> DataFrame:
     return sums.select("*", _rounded(F.col("tp"), F.col("expected")).alias("recall"), _rounded(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), _rounded(F.col("false_proofs"), F.col("proven")).alias("false_proof_rate"))
 
 
+def _in_reach(truth: DataFrame, places: DataFrame, radius: int) -> DataFrame:
+    """``case_id, file_path, line`` of the expectations with a line that a place of their file lies within ``radius`` lines of.
+
+    Distinct places meet distinct expectations by file name and bucket of lines.
+    """
+    width = 2 * radius + 1
+    near = F.explode(F.array_distinct(F.array(*[F.floor((F.col("line") + d) / width) for d in (-radius, radius)])))
+    e = truth.filter("line > 0").select("case_id", "file_path", "line").distinct().withColumn("base", basename(norm_path(F.col("file_path")))).withColumn("bucket", near)
+    a = places.filter("line is not null").select("case_id", F.col("file_path").alias("a_path"), F.col("line").alias("a_line")).distinct().withColumn("base", basename(norm_path(F.col("a_path")))).withColumn("bucket", F.floor(F.col("a_line") / width))
+    met = e.join(a, ["case_id", "base", "bucket"]).filter(same_path(F.col("file_path"), F.col("a_path")) & (F.abs(F.col("line") - F.col("a_line")) <= radius))
+    return met.select("case_id", "file_path", "line").distinct()
+
+
+def _in_file(truth: DataFrame, files: DataFrame) -> DataFrame:
+    """``case_id, file_path, line`` of the expectations whose file is among the files."""
+    e = truth.select("case_id", "file_path").distinct().withColumn("base", basename(norm_path(F.col("file_path"))))
+    a = files.select("case_id", F.col("file_path").alias("a_path")).distinct().withColumn("base", basename(norm_path(F.col("a_path"))))
+    met = e.join(a, ["case_id", "base"]).filter(same_path(F.col("file_path"), F.col("a_path"))).select("case_id", "file_path").distinct()
+    return truth.select("case_id", "file_path", "line").distinct().join(met, ["case_id", "file_path"])
+
+
+def _named(truth: DataFrame, met: DataFrame) -> DataFrame:
+    """``case_id, id`` of the expectations at these places."""
+    m = met.distinct().select(F.col("case_id").alias("_c"), F.col("file_path").alias("_p"), F.col("line").alias("_l"))
+    return truth.join(m, (F.col("case_id") == F.col("_c")) & (F.col("file_path") == F.col("_p")) & F.col("line").eqNullSafe(F.col("_l")), "left_semi").select("case_id", "id").distinct()
+
+
 def anchor_hits(truth: DataFrame, anchors: DataFrame, site: bool, radius: int = 6) -> DataFrame:
     """``case_id, id`` of the expectations that an anchor meets: in the same file, within ``radius`` lines.
 
     At file level a missing line on either side is met by any; at site level the
-    anchor needs one.
+    anchor needs one.  Anchors and expectations are reduced to places and files
+    before they meet.
+    """
+    open_ended = truth.filter("coalesce(line, 0) <= 0")
+    met = _in_reach(truth, anchors, radius)
+    if site:
+        return _named(truth, met.union(_in_file(open_ended, anchors.filter("line is not null"))))
+    return _named(truth, met.union(_in_file(open_ended, anchors)).union(_in_file(truth, anchors.filter("line is null"))))
+
+
+def context(truth: DataFrame, files: DataFrame, obligations: DataFrame, overlay: DataFrame, leads: DataFrame, tolerance: int = 6) -> DataFrame:
+    """``case_id, id, file_seen, site_seen``: whether a review was shown an expectation's file, and its site.
+
+    ``files(case_id, file_path)`` are those that it was given; sites are the places of
+    obligations and of the overlay (case_id, file_path, line), and both ends of leads
+    (case_id, file_path, sink_line, source_line).  A site is seen within ``tolerance``
+    lines; without a line on either side any place of the file will do.
     """
-    a = anchors.select("case_id", F.col("file_path").alias("a_path"), F.col("line").alias("a_line")).withColumn("base", basename(norm_path(F.col("a_path"))))
-    e = truth.withColumn("base", basename(norm_path(F.col("file_path"))))
-    near = F.abs(F.col("line") - F.col("a_line")) <= radius
-    ok = (F.col("a_line").isNotNull() & ((F.coalesce("line", F.lit(0)) <= 0) | near)) if site else (F.col("a_line").isNull() | (F.coalesce("line", F.lit(0)) <= 0) | near)
-    return e.join(a, ["case_id", "base"]).filter(same_path(F.col("file_path"), F.col("a_path")) & ok).select("case_id", "id").distinct()
+    place = lambda rows, line: rows.select("case_id", "file_path", F.col(line).cast("long").alias("line"))
+    sites = place(obligations, "line").union(place(overlay, "line")).union(place(leads, "sink_line")).union(place(leads, "source_line").filter("line is not null")).distinct()
+    filed = _named(truth, _in_file(truth, files)).withColumn("f", F.lit(True))
+    free = F.col("line").isNull()
+    sited = _named(truth, _in_reach(truth, sites, tolerance).union(_in_file(truth.filter("coalesce(line, 0) <= 0"), sites)).union(_in_file(truth, sites.filter(free)))).withColumn("s", F.lit(True))
+    met = truth.select("case_id", "id").join(filed, ["case_id", "id"], "left").join(sited, ["case_id", "id"], "left")
+    return met.select("case_id", "id", F.coalesce("f", F.lit(False)).alias("file_seen"), F.coalesce("s", F.lit(False)).alias("site_seen"))
 
 
 def scoreboard(truth: DataFrame, lanes: dict[str, DataFrame]) -> DataFrame:

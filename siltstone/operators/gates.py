@@ -49,12 +49,27 @@ def promoted(drafts: DataFrame) -> DataFrame:
     return drafts.select("fingerprint", "source", ref.alias("ref_id"), title.alias("title"), norm_cwe(F.col("cwe")).alias("cwe"), draft_status(F.col("verdict")).alias("status"))
 
 
+def _ends(path: Column) -> Column:
+    """A path and all its ends that begin after a slash."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+
+
 def leads_of(candidates: DataFrame, leads: DataFrame, most: int = 10) -> DataFrame:
-    """``fingerprint, lead, n``: at most ``most`` leads whose path ends the candidate's, or the other way round."""
-    c = candidates.select("repo", "fingerprint", F.col("file_path").alias("p")).withColumn("base", basename(F.col("p")))
-    m = leads.select("repo", "lead", F.col("file_path").alias("q")).withColumn("base", basename(F.col("q")))
-    met = c.join(m, ["repo", "base"]).filter(same_path(F.col("p"), F.col("q")))
-    return met.withColumn("n", F.row_number().over(Window.partitionBy("fingerprint").orderBy("lead"))).filter(F.col("n") <= most).select("fingerprint", "lead", "n")
+    """``fingerprint, lead, n``: at most ``most`` leads whose path ends the candidate's, or the other way round.
+
+    Distinct paths meet on their ends, and each lead's path brings its first leads
+    only, so files of one name in many folders don't meet in pairs.
+    """
+    n = F.row_number().over(Window.partitionBy("repo", "q").orderBy("lead"))
+    first = leads.select("repo", "lead", F.col("file_path").alias("q")).distinct().withColumn("n", n).filter(F.col("n") <= most).drop("n")
+    mine, theirs = candidates.select("repo", F.col("file_path").alias("p")).distinct(), first.select("repo", "q").distinct()
+    longer = mine.withColumn("q", F.explode(_ends(F.col("p")))).join(theirs, ["repo", "q"])
+    shorter = theirs.withColumn("p", F.explode(_ends(F.col("q")))).join(mine, ["repo", "p"])
+    paths = longer.select("repo", "p", "q").union(shorter.select("repo", "p", "q")).distinct()
+    place = F.row_number().over(Window.partitionBy("repo", "p").orderBy("lead"))
+    met = paths.join(first, ["repo", "q"]).select("repo", "p", "lead").distinct().withColumn("n", place).filter(F.col("n") <= most)
+    return candidates.select("repo", "fingerprint", F.col("file_path").alias("p")).join(met, ["repo", "p"]).select("fingerprint", "lead", "n")
 
 
 #: Verdicts of the two reviews of threats and changes, those that need an anchor, and the guard words that a clearance must hold.

@@ -5,9 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators.findings import ACTIONABLE
+
 
 def shared(spark: SparkSession, name: str) -> str:
     """A new folder in the place that all executors share."""
@@ -72,6 +74,27 @@ def report(findings: DataFrame, most: int = 200) -> DataFrame:
     return by("severity", "severity").unionByName(by("status", "status")).unionByName(by("producer", "source")).unionByName(shown).unionByName(rest).unionByName(done)
 
 
+def full_report(findings: DataFrame, ranks: DataFrame, chains: DataFrame, covered: DataFrame, untouched: DataFrame, first: int = 10, most: int = 200, sample: int = 25) -> DataFrame:
+    """``repo, section, name, n``: :func:`report` and what it leads with and ends with.
+
+    ``fix-first`` names the ``first`` actionable findings of ``ranks(repo, fingerprint, rank)``
+    with their place among those, ``chain`` each chain of ``chains(repo, label, n)``,
+    ``coverage`` the files, covered and uncovered ones of ``covered``, ``uncovered`` the first
+    files of ``untouched(repo, path)`` by path, with their place.
+    """
+    live = ranks.join(findings.filter(F.col("status").isin(*ACTIONABLE)).select("repo", "fingerprint").distinct(), ["repo", "fingerprint"], "left_semi")
+    top = lambda rows, order, k: rows.withColumn("n", F.row_number().over(Window.partitionBy("repo").orderBy(*order)).cast("long")).filter(F.col("n") <= k)
+    part = lambda rows, section, name: rows.select("repo", F.lit(section).alias("section"), name.alias("name"), F.col("n").cast("long").alias("n"))
+    counts = covered.select("repo", F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("long").alias("n")) for c in ("files", "covered", "uncovered")])).alias("c")).select("repo", "c.name", "c.n")
+    return (
+        report(findings, most)
+        .unionByName(part(top(live, ["rank", "fingerprint"], first), "fix-first", F.col("fingerprint")))
+        .unionByName(part(chains, "chain", F.col("label")))
+        .unionByName(part(counts, "coverage", F.col("name")))
+        .unionByName(part(top(untouched.select("repo", "path").distinct(), ["path"], sample), "uncovered", F.col("path")))
+    )
+
+
 def runnable(rules: DataFrame, manifest: DataFrame) -> DataFrame:
     """``path, state``: whether a rule may run: it is listed, was compiled, and its content has the listed digest.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.operators import catalog, gates, scan, surface, threats
+from siltstone.operators import benchmarks, catalog, gates, scan, surface, threats
 from siltstone.plans.derived import ANCHORS, CRASHES, FINDINGS, SYMBOLS, TRUTH, read, sql
 from siltstone.plans.lines import code_lines, code_sql
 from siltstone.plans.packs import ORACLE_SQL as PACKS_SQL
@@ -150,17 +150,21 @@ def threat_lookup(spark, sf_dir):
     return threats.threats_of(d, read(spark, sf_dir, THREATS))
 
 
-@register("context_hits", sql("WITH s AS (SELECT DISTINCT file_path, line FROM a), m AS (SELECT t.case_id, t.id, bool_or(s.file_path IS NOT NULL) AS file_seen, coalesce(bool_or(t.line > 0 AND abs(s.line - t.line) <= 6), false) AS site_seen FROM t LEFT JOIN s ON string_split(s.file_path, '/')[-1] = t.file_path GROUP BY ALL) SELECT * FROM m", t=TRUTH, a=ANCHORS))
+#: Places that a review was shown: obligations of the files that it was given, those of an overlay, and leads with one end or both.
+_SEEN = "SELECT DISTINCT string_split(file_path, '/')[-1] AS file_path, line, line % 3 AS part FROM a"
+
+
+@register("context_hits", sql(f"WITH s AS ({_SEEN}), g AS (SELECT DISTINCT file_path FROM s WHERE part = 0 AND line > 20), c AS (SELECT file_path, CASE WHEN line % 11 = 0 AND part = 1 THEN NULL ELSE line END AS line FROM s UNION ALL SELECT file_path, line - 9 FROM s WHERE part = 2 AND line % 2 = 0), m AS (SELECT t.case_id, t.id, coalesce(bool_or(t.line IS NULL OR t.line <= 0 OR c.line IS NULL OR abs(c.line - t.line) <= 6) FILTER (c.file_path IS NOT NULL), false) AS site_seen FROM t LEFT JOIN c ON c.file_path = t.file_path GROUP BY ALL) SELECT m.case_id, m.id, t.file_path IN (SELECT file_path FROM g) AS file_seen, site_seen FROM m JOIN t ON t.case_id = m.case_id AND t.id = m.id", t=TRUTH, a=ANCHORS))
 def context_hits(spark, sf_dir):
-    """Whether the anchors show an expected finding's file, and its site within six lines."""
-    # lines of a file in buckets of seven, so that a site meets by an equal key
-    a = read(spark, sf_dir, ANCHORS).select(F.substring_index("file_path", "/", -1).alias("file_path"), "line").distinct()
+    """Whether a review was shown an expected finding's file, and its site within six lines."""
     t = read(spark, sf_dir, TRUTH)
-    near = t.filter("line > 0").select("case_id", "id", "file_path", F.col("line").alias("at"), F.explode(F.sequence(F.floor(F.col("line") / 7) - 1, F.floor(F.col("line") / 7) + 1)).alias("bucket"))
-    site = near.join(a.withColumn("bucket", F.floor(F.col("line") / 7)), ["file_path", "bucket"]).filter(F.abs(F.col("line") - F.col("at")) <= 6).select("case_id", "id").distinct().withColumn("s", F.lit(True))
-    file = a.select("file_path").distinct().withColumn("f", F.lit(True))
-    met = t.join(file, "file_path", "left").join(site, ["case_id", "id"], "left")
-    return met.select("case_id", "id", F.coalesce("f", F.lit(False)).alias("file_seen"), F.coalesce("s", F.lit(False)).alias("site_seen"))
+    a = read(spark, sf_dir, ANCHORS).select(F.substring_index("file_path", "/", -1).alias("file_path"), F.col("line").cast("long").alias("line")).distinct()
+    # every case was shown the same places
+    shown = t.select("case_id", "file_path").distinct().join(a, "file_path")
+    part = lambda k: shown.filter(F.col("line") % 3 == k)
+    overlay = part(1).withColumn("line", F.when(F.col("line") % 11 != 0, F.col("line")))
+    leads = part(2).select("case_id", "file_path", F.col("line").alias("sink_line"), F.when(F.col("line") % 2 == 0, F.col("line") - 9).alias("source_line"))
+    return benchmarks.context(t, part(0).filter("line > 20"), part(0), overlay, leads)
 
 
 @register("boundary_crossings", sql("WITH b AS (SELECT repo, id AS boundary, [concat('w', CAST(substr(id, 2) AS BIGINT) % 5), 'w9'] AS own FROM t), w AS (SELECT repo, id AS flow, [concat('t', CAST(substr(id, 2) AS BIGINT) + 3), concat('t', CAST(substr(id, 2) AS BIGINT) * 2)] AS bs FROM t), e AS (SELECT repo, boundary, unnest(own) AS flow FROM b UNION SELECT x.repo, x.boundary, x.flow FROM (SELECT repo, flow, unnest(bs) AS boundary FROM w) x SEMI JOIN b ON b.repo = x.repo AND b.boundary = x.boundary) SELECT repo, boundary, string_agg(flow, ',' ORDER BY flow) AS crossing FROM e GROUP BY ALL", t=THREATS))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.operators import merged, sarif, stores
-from siltstone.plans.derived import CRASHES, FINDINGS, RUNS, VOTES, read, sql
+from siltstone.operators import findings, merged, sarif, stores, surface
+from siltstone.plans.derived import CRASHES, FILES, FINDINGS, RUNS, VOTES, read, sql
+from siltstone.plans.findings import _ACTIVE, _RISK, _SEVERITY_RANK
 from siltstone.plans.register import registry
+from siltstone.plans.surface import _SHARDS
 from siltstone.sources import documents
 from siltstone.streaming import crashes
 
@@ -107,9 +109,21 @@ def write_jsonl(spark, sf_dir):
 _BY = " UNION ALL ".join(f"SELECT repo, '{s}' AS section, coalesce({c}, '(none)') AS name, count(*) AS n FROM f GROUP BY ALL" for s, c in (("severity", "severity"), ("status", "status"), ("producer", "source")))
 
 
-@register("report_tables", sql(f"WITH t AS (SELECT repo, count(*) AS n FROM f GROUP BY repo) {_BY} UNION ALL SELECT repo, 'table', 'shown', least(200, n) FROM t UNION ALL SELECT repo, 'table', 'left out', greatest(0, n - 200) FROM t UNION ALL SELECT repo, 'resolved', 'all', count(*) FROM f WHERE status IN ('reviewed', 'noise', 'remediated') GROUP BY repo", f=FINDINGS))
+_FIRST = f"SELECT repo, 'fix-first' AS section, fingerprint AS name, row_number() OVER (PARTITION BY repo ORDER BY {_RISK} DESC, {_SEVERITY_RANK} DESC, fingerprint) AS n FROM f WHERE {_ACTIVE} QUALIFY n <= 10"
+_CHAINS = "SELECT min(repo) AS repo, 'chain' AS section, chain AS name, count(DISTINCT fingerprint) AS n FROM f WHERE chain IS NOT NULL GROUP BY chain HAVING count(DISTINCT fingerprint) > 1"
+_COVERED = f"SELECT repo, 'coverage' AS section, unnest(['files', 'covered', 'uncovered']) AS name, unnest([files, covered, files - covered]) AS n FROM (SELECT repo, CAST(sum(n_files) AS BIGINT) AS files, CAST(coalesce(sum(n_files) FILTER (length(first_path) % 2 = 0), 0) AS BIGINT) AS covered FROM s GROUP BY repo)"
+_UNTOUCHED = "SELECT repo, 'uncovered' AS section, path AS name, row_number() OVER (PARTITION BY repo ORDER BY path) AS n FROM (SELECT k.repo, path FROM k JOIN s ON s.repo = k.repo AND s.dir = k.dir AND s.shard_id = CASE WHEN k.dir = '(root)' THEN 'root' ELSE k.dir END || CASE WHEN k.n > 60 THEN '__' || k.k ELSE '' END WHERE length(first_path) % 2 > 0) QUALIFY n <= 25"
+
+
+@register("report_tables", sql(f"WITH {_SHARDS}, t AS (SELECT repo, count(*) AS n FROM f GROUP BY repo) {_BY} UNION ALL SELECT repo, 'table', 'shown', least(200, n) FROM t UNION ALL SELECT repo, 'table', 'left out', greatest(0, n - 200) FROM t UNION ALL SELECT repo, 'resolved', 'all', count(*) FROM f WHERE status IN ('reviewed', 'noise', 'remediated') GROUP BY repo UNION ALL {_FIRST} UNION ALL {_CHAINS} UNION ALL {_COVERED} UNION ALL {_UNTOUCHED}", f=FINDINGS, files=FILES))
 def report_tables(spark, sf_dir):
-    return stores.report(read(spark, sf_dir, FINDINGS))
+    """A report's counts, what to fix first, its chains, and what the sweep of the files covered."""
+    f, files = read(spark, sf_dir, FINDINGS), read(spark, sf_dir, FILES)
+    chains = f.filter("chain is not null").groupBy(F.col("chain").alias("label")).agg(F.min("repo").alias("repo"), F.countDistinct("fingerprint").alias("n")).filter("n > 1")
+    shards = surface.shards(files)
+    jobs = shards.filter(F.length("first_path") % 2 == 0).select("repo", "shard_id", F.lit("shard").alias("scope"), F.lit("sast").alias("producer"))
+    untouched = surface.shard_files(files).join(jobs, ["repo", "shard_id"], "left_anti")
+    return stores.full_report(f, findings.ranked(f), chains, surface.coverage(shards, jobs), untouched)
 
 
 @register("rule_digest_check", "SELECT concat('rules/d', doc_id) AS path, CASE WHEN doc_id % 4 = 0 THEN 'unlisted' WHEN doc_id % 3 = 0 THEN 'not-compiled' WHEN doc_id % 5 = 0 THEN 'altered' ELSE 'runnable' END AS state FROM documents")
