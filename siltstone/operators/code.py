@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators.ranking import placed
 from siltstone.operators.spans import all_spans, innermost
 from siltstone.operators.stores import written
 
@@ -109,10 +110,16 @@ def even_sample(rows: DataFrame, group: list[str], order: list[Column], cap: int
     return rows.withColumn("_n", n).withColumn("_i", at).filter(picked).drop("_n", "_i")
 
 
-def interleave(rows: DataFrame, kinds: tuple[str, str], order: list[Column]) -> DataFrame:
-    """Rows of two kinds ranked each on its own and put in turn, the first kind first: ``slot`` from 1."""
-    own = F.row_number().over(Window.partitionBy("repo", "kind").orderBy(*order))
-    return rows.filter(F.col("kind").isin(*kinds)).withColumn("_o", own).withColumn("slot", F.row_number().over(Window.partitionBy("repo").orderBy("_o", F.when(F.col("kind") == kinds[0], 0).otherwise(1)))).drop("_o")
+def interleave(rows: DataFrame, kinds: tuple[str, str], order: list[tuple[str, bool]], tie: str) -> DataFrame:
+    """Rows of two kinds ranked each on its own and put in turn, the first kind first: ``slot`` from 1.
+
+    A row's slot follows from its own rank and the number of rows of the other kind, so
+    that no task has a repository's rows in one order.
+    """
+    own = written(placed(rows.filter(F.col("kind").isin(*kinds)), ["repo", "kind"], order, tie, "_own", prefix=6), "ranked")
+    counts = own.groupBy("repo").agg(*[F.count_if(F.col("kind") == k).alias(f"_n{i}") for i, k in enumerate(kinds)])
+    slot = F.when(F.col("kind") == kinds[0], F.col("_own") + F.least(F.col("_own") - 1, "_n1")).otherwise(F.col("_own") + F.least("_own", "_n0"))
+    return own.join(counts, "repo").withColumn("slot", slot.cast("int")).drop("_own", "_n0", "_n1")
 
 
 def blocks(lines: DataFrame, header: str = r"\)\s*\{\s*$", control: str = r"^\s*(if|for|while|switch|else|do|catch)\b") -> DataFrame:

@@ -86,20 +86,29 @@ def partitions(entries: DataFrame, most: int = 6) -> DataFrame:
     return named.groupBy("repo", "label").agg(F.count("*").alias("size"), F.countDistinct("kind").alias("n_kinds"))
 
 
-def subsystems(file_scores: DataFrame, limit: int = 15) -> DataFrame:
+#: Suffixes of native sources.
+NATIVE_SOURCES = r"(?i)\.(c|h|cc|cpp|cxx|hpp|hh|m|rs)$"
+
+
+def subsystems(file_scores: DataFrame, limit: int = 15, most: int = 60, native: bool = False) -> DataFrame:
     """Each repo's ``limit`` subsystems of the greatest score, of files that can be reached.
 
     ``file_scores(repo, path, score, reachable, reason)``, one row a reason.  A
-    subsystem has its distinct reasons, the first 60 paths and how many more there are;
-    ``tail`` is the number of the repo's subsystems beyond the limit.
+    subsystem has its distinct reasons, its number of files and the first ``most`` paths;
+    ``tail`` is the number of the repo's subsystems beyond the limit.  With ``native``
+    the same subsystems keep their native sources only, and those without any go.
     """
-    rows = file_scores.filter("reachable").withColumn("subsystem", subsystem_key(F.col("path")))
+    rows = written(file_scores.filter("reachable").withColumn("subsystem", subsystem_key(F.col("path"))), "reachable")
     agg = rows.groupBy("repo", "subsystem").agg(F.sum("score").alias("score"), F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
-    files = rows.select("repo", "subsystem", "path").distinct().withColumn("k", F.row_number().over(Window.partitionBy("repo", "subsystem").orderBy("path")))
-    paths = files.groupBy("repo", "subsystem").agg(F.count("*").alias("n_files"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("k") <= 60, F.col("path")))), ",").alias("paths"))
-    w = Window.partitionBy("repo")
-    ordered = agg.join(paths, ["repo", "subsystem"]).withColumn("place", F.row_number().over(w.orderBy(F.desc("score"), "subsystem"))).withColumn("tail", F.greatest(F.lit(0), F.count("*").over(w) - limit))
-    return ordered.filter(F.col("place") <= limit).select("repo", "subsystem", "score", "reasons", "n_files", "paths", "place", "tail")
+    ranked = written(placed(agg, ["repo"], [("score", True)], "subsystem", prefix=8), "subsystems")
+    tail = ranked.groupBy("repo").agg(F.greatest(F.lit(0), F.count("*") - limit).alias("tail"))
+    first = ranked.filter(F.col("place") <= limit)
+    files = placed(rows.join(first.select("repo", "subsystem"), ["repo", "subsystem"], "left_semi").select("repo", "subsystem", "path").distinct(), ["repo", "subsystem"], [], "path", "k", prefix=24)
+    shown = F.col("k") <= most
+    if native:
+        files, shown = files.filter(shown & F.col("path").rlike(NATIVE_SOURCES)), F.lit(True)
+    paths = files.groupBy("repo", "subsystem").agg(F.count("*").alias("n_files"), F.array_join(F.array_sort(F.collect_list(F.when(shown, F.col("path")))), ",").alias("paths"))
+    return first.join(paths, ["repo", "subsystem"]).join(tail, "repo").select("repo", "subsystem", "score", "reasons", "n_files", "paths", "place", "tail")
 
 
 def endpoints(requests: DataFrame) -> DataFrame:
@@ -157,16 +166,21 @@ def obligations_ranked(obligations: DataFrame, file_scores: DataFrame, budget: i
 def chains(members: DataFrame, findings: DataFrame, claimed: DataFrame) -> DataFrame:
     """``chain, repo, chain_id, n_members, kind, severity``: each group of at least two distinct members.
 
-    ``members(chain, fingerprint)``, ``claimed(chain, claimed)`` a severity or null, high
-    by default; a chain is as severe as that or its worst member, an attack path if
-    a member can be reached from an entry.  A chain is named by a digest of all its
-    members, so their fingerprints are held together: it is the work of one review.
+    ``members(chain, fingerprint)``, ``claimed(chain, claimed, kind, entry_point, asset)``: a
+    severity, high by default, and what the chain is.  A chain is as severe as claimed or
+    as its worst member; without a kind it is an attack path if it names an entry point
+    or an asset, else a composition.  A chain with a member that isn't a finding is left
+    out.  A chain is named by a digest of all its members, so their fingerprints are held
+    together: it is the work of one review.
     """
-    met = members.distinct().join(findings.select("fingerprint", "repo", "severity", F.coalesce("entry_reachable", F.lit(False)).alias("entry")), "fingerprint")
-    agg = met.groupBy("chain").agg(F.min("repo").alias("repo"), F.collect_set("fingerprint").alias("m"), F.bool_or("entry").alias("entry"), F.max(F.coalesce(scores.level(F.col("severity")), F.lit(0))).alias("worst"))
-    full = agg.filter(F.size("m") >= 2).join(claimed, "chain", "left")
+    known = findings.groupBy("fingerprint").agg(F.min("repo").alias("repo"), F.max(F.coalesce(scores.level(F.col("severity")), F.lit(0))).alias("level"))
+    met = members.distinct().join(known, "fingerprint", "left")
+    agg = met.groupBy("chain").agg(F.min("repo").alias("repo"), F.collect_set("fingerprint").alias("m"), F.max("level").alias("worst"), F.bool_and(F.col("level").isNotNull()).alias("sound"))
+    full = agg.filter(F.col("sound") & (F.size("m") >= 2)).join(claimed, "chain", "left")
     level = F.greatest(F.col("worst"), F.coalesce(scores.level(F.col("claimed")), scores.level(F.lit("high"))))
-    return full.select("chain", "repo", chain_id(F.col("m")).alias("chain_id"), F.size("m").alias("n_members"), F.when(F.col("entry"), "attack-path").otherwise("chain").alias("kind"), scores.level_name(level).alias("severity"))
+    some = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    kind = F.coalesce("kind", F.when(some("entry_point") | some("asset"), "attack-path").otherwise("composition"))
+    return full.select("chain", "repo", chain_id(F.col("m")).alias("chain_id"), F.size("m").alias("n_members"), kind.alias("kind"), scores.level_name(level).alias("severity"))
 
 
 def chain_labels(built: DataFrame, members: DataFrame) -> DataFrame:
@@ -219,12 +233,12 @@ def memory_dirs(scored: DataFrame, budget: int = 25, most: int = 10, largest: in
 
     ``scored(repo, path, score)``; folders of more than ``largest`` files are left out.
     """
-    rank = F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("score"), "path"))
     folder = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).otherwise(".")
     below, reads = F.col("rn") > budget, F.col("path").rlike(INPUT_PATH)
-    agg = scored.withColumn("rn", rank).groupBy("repo", folder.alias("dir")).agg(F.count("*").alias("files"), F.count_if(below & reads).alias("input"), F.count_if(below & ~reads & F.col("path").rlike(NATIVE_FILES)).alias("native"))
-    place = F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("input"), F.desc("native"), "dir"))
-    return agg.filter((F.col("files") <= largest) & (F.col("input") + F.col("native") > 0)).withColumn("place", place).filter(F.col("place") <= most).select("repo", "dir", "input", "native", "place")
+    ranked = placed(written(scored, "scored"), ["repo"], [("score", True)], "path", "rn", prefix=12)
+    agg = ranked.groupBy("repo", folder.alias("dir")).agg(F.count("*").alias("files"), F.count_if(below & reads).alias("input"), F.count_if(below & ~reads & F.col("path").rlike(NATIVE_FILES)).alias("native"))
+    left = written(agg.filter((F.col("files") <= largest) & (F.col("input") + F.col("native") > 0)), "folders")
+    return placed(left, ["repo"], [("input", True), ("native", True)], "dir", prefix=12).filter(F.col("place") <= most).select("repo", "dir", "input", "native", "place")
 
 
 def slices(lines: DataFrame, obligations: DataFrame, most: int = 80) -> DataFrame:

@@ -182,9 +182,10 @@ def recall_scoreboard(spark, sf_dir):
 
 
 def chain_build(spark, sf_dir):
-    f = read(spark, sf_dir, FINDINGS)
-    claimed = f.filter("chain is not null").select("chain", F.when(F.substring("chain", 2, 12).cast("long") % 3 == 0, "low").alias("claimed")).distinct()
-    return surface.chains(f.filter("chain is not null").select("chain", "fingerprint"), f, claimed)
+    f = read(spark, sf_dir, FINDINGS).filter("chain is not null")
+    n = F.substring("chain", 2, 12).cast("long")
+    claimed = f.select("chain", F.when(n % 3 == 0, "low").alias("claimed"), F.when(n % 7 == 0, "composition").alias("kind"), F.when(n % 4 == 0, "login").when(n % 4 == 1, " ").alias("entry_point"), F.when(n % 5 == 0, "keys").alias("asset")).distinct()
+    return surface.chains(f.select("chain", "fingerprint"), f, claimed)
 
 
 _FIRST_RUN = f"""WITH c AS (SELECT finding, role, run_no,
@@ -316,6 +317,6 @@ SELECT finding, CASE WHEN fired = 0 THEN best WHEN fired = total AND clean THEN
         f"WITH {_HITS}, r AS (SELECT t.case_id, t.id, hf.id IS NOT NULL AS f, hs.id IS NOT NULL AS s FROM t LEFT JOIN hf ON t.case_id = hf.case_id AND t.id = hf.id LEFT JOIN hs ON t.case_id = hs.case_id AND t.id = hs.id WHERE kind = 'vuln') SELECT case_id, count(*) AS expected, round(count(*) FILTER (f) / count(*), 4) AS file_recall, round(count(*) FILTER (s) / count(*), 4) AS site_recall FROM r GROUP BY ROLLUP (case_id)", truth=TRUTH, actual=ACTUAL
     ),
     "chain_build": sql(
-        f"SELECT chain, min(repo) AS repo, 'chain-' || left(sha256(string_agg(fingerprint, '|' ORDER BY fingerprint)), 12) AS chain_id, CAST(count(*) AS INTEGER) AS n_members, CASE WHEN bool_or(coalesce(entry_reachable, false)) THEN 'attack-path' ELSE 'chain' END AS kind, ['info', 'low', 'medium', 'high', 'critical'][greatest(CASE WHEN CAST(substr(chain, 2) AS BIGINT) % 3 = 0 THEN 1 ELSE 3 END, max({_case('severity', {k: i for i, k in enumerate(scores.LEVELS)}, '0')})) + 1] AS severity FROM f WHERE chain IS NOT NULL GROUP BY chain HAVING count(*) >= 2", f=FINDINGS
+        f"SELECT chain, min(repo) AS repo, 'chain-' || left(sha256(string_agg(fingerprint, '|' ORDER BY fingerprint)), 12) AS chain_id, CAST(count(*) AS INTEGER) AS n_members, CASE WHEN CAST(substr(chain, 2) AS BIGINT) % 7 = 0 THEN 'composition' WHEN CAST(substr(chain, 2) AS BIGINT) % 4 = 0 OR CAST(substr(chain, 2) AS BIGINT) % 5 = 0 THEN 'attack-path' ELSE 'composition' END AS kind, ['info', 'low', 'medium', 'high', 'critical'][greatest(CASE WHEN CAST(substr(chain, 2) AS BIGINT) % 3 = 0 THEN 1 ELSE 3 END, max({_case('severity', {k: i for i, k in enumerate(scores.LEVELS)}, '0')})) + 1] AS severity FROM f WHERE chain IS NOT NULL GROUP BY chain HAVING count(*) >= 2", f=FINDINGS
     ),
 }

@@ -129,7 +129,7 @@ def even_sample(spark, sf_dir):
 
 def interleave_anchors(spark, sf_dir):
     rows = read(spark, sf_dir, FINDINGS).select("repo", "fingerprint", F.when(F.col("start_line") % 3 == 0, "source").when(F.col("start_line") % 3 == 1, "sink").otherwise("other").alias("kind"), "caller_count")
-    return code.interleave(rows, ("source", "sink"), [F.desc("caller_count"), F.col("fingerprint")]).select("repo", "fingerprint", "kind", "slot")
+    return code.interleave(rows, ("source", "sink"), [("caller_count", True)], "fingerprint").select("repo", "fingerprint", "kind", "slot")
 
 
 def risk_rank_files(spark, sf_dir):
@@ -140,9 +140,17 @@ def risk_rank_files(spark, sf_dir):
     return surface.file_risk(files, weight.join(a, ["repo", "path"], "full"), 50)
 
 
+def _reachable(spark, sf_dir):
+    return read(spark, sf_dir, FINDINGS).select("repo", F.col("file_path").alias("path"), F.col("caller_count").alias("score"), F.coalesce("entry_reachable", F.lit(False)).alias("reachable"), F.col("exposure").alias("reason"))
+
+
 def attack_subsystems(spark, sf_dir):
-    rows = read(spark, sf_dir, FINDINGS).select("repo", F.col("file_path").alias("path"), F.col("caller_count").alias("score"), F.coalesce("entry_reachable", F.lit(False)).alias("reachable"), F.col("exposure").alias("reason"))
-    return surface.subsystems(rows)
+    return surface.subsystems(_reachable(spark, sf_dir))
+
+
+def attack_subsystems_native(spark, sf_dir):
+    """The native sources of the same subsystems."""
+    return surface.subsystems(_reachable(spark, sf_dir), native=True)
 
 
 def rank_obligations(spark, sf_dir):
@@ -223,7 +231,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         inventory, shard_plan, coverage_map, coverage_shards, uncovered_shards, partition_entry_points, path_names, endpoint_dedupe, url_parts, traffic_correlate, blast_radius, caller_weight, diff_blast_radius, code_graph, resolve_callees, called_elsewhere, k_hop_reach, k_hop_paths, excerpt_radius, per_file_cap, even_sample,
-        interleave_anchors, risk_rank_files, attack_subsystems, rank_obligations, producer_shard_jobs, register_producer, diff_risk, latest_run, recent_churn,
+        interleave_anchors, risk_rank_files, attack_subsystems, attack_subsystems_native, rank_obligations, producer_shard_jobs, register_producer, diff_risk, latest_run, recent_churn,
     )
 }
 
@@ -324,6 +332,13 @@ SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY repo ORDER BY scor
 g AS (SELECT repo, subsystem, CAST(sum(caller_count) AS BIGINT) AS score, coalesce(string_agg(DISTINCT exposure, ',' ORDER BY exposure), '') AS reasons, count(DISTINCT file_path) AS n_files FROM k GROUP BY ALL),
 p AS (SELECT repo, subsystem, string_agg(file_path, ',' ORDER BY file_path) AS paths FROM (SELECT DISTINCT repo, subsystem, file_path FROM k QUALIFY dense_rank() OVER (PARTITION BY repo, subsystem ORDER BY file_path) <= 60) GROUP BY ALL),
 o AS (SELECT g.*, paths, CAST(row_number() OVER (PARTITION BY g.repo ORDER BY score DESC, g.subsystem) AS INTEGER) AS place, greatest(0, count(*) OVER (PARTITION BY g.repo) - 15) AS tail FROM g JOIN p ON g.repo = p.repo AND g.subsystem = p.subsystem)
+SELECT repo, subsystem, score, reasons, n_files, paths, place, tail FROM o WHERE place <= 15""", f=FINDINGS
+    ),
+    "attack_subsystems_native": sql(
+        """WITH k AS (SELECT *, split_part(file_path, '/', 1) || '/' || split_part(split_part(file_path, '/', 3), '.', 1) AS subsystem FROM f WHERE entry_reachable),
+g AS (SELECT repo, subsystem, CAST(sum(caller_count) AS BIGINT) AS score, coalesce(string_agg(DISTINCT exposure, ',' ORDER BY exposure), '') AS reasons, 0 AS unused FROM k GROUP BY ALL),
+p AS (SELECT repo, subsystem, string_agg(file_path, ',' ORDER BY file_path) AS paths, count(*) AS n_files FROM (SELECT DISTINCT repo, subsystem, file_path FROM k QUALIFY dense_rank() OVER (PARTITION BY repo, subsystem ORDER BY file_path) <= 60) WHERE regexp_matches(file_path, '\\.(c|rs)$') GROUP BY ALL),
+z AS (SELECT g.*, CAST(row_number() OVER (PARTITION BY g.repo ORDER BY score DESC, g.subsystem) AS INTEGER) AS place, greatest(0, count(*) OVER (PARTITION BY g.repo) - 15) AS tail FROM g), o AS (SELECT z.*, paths, n_files FROM z JOIN p ON z.repo = p.repo AND z.subsystem = p.subsystem)
 SELECT repo, subsystem, score, reasons, n_files, paths, place, tail FROM o WHERE place <= 15""", f=FINDINGS
     ),
     "rank_obligations": sql(

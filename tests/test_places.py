@@ -1,8 +1,9 @@
 """Places that meet by file and line without pairs, leads by path, and reports."""
 
+import itertools
 import random
 
-from siltstone.operators import benchmarks, findings, gates, stores
+from siltstone.operators import benchmarks, code, findings, gates, stores, surface
 
 TRUTH = "case_id string, id string, kind string, cwe string, file_path string, line long"
 
@@ -64,3 +65,29 @@ def test_reports_lead_with_what_to_fix(spark):
     assert rows["chain", "C1"] == 3 and rows["coverage", "uncovered"] == 3 and rows["uncovered", "p1"] == 2 and ("uncovered", "p2") not in rows
     assert rows["resolved", "all"] == 4 and rows["producer", "sast"] == 8
     assert findings.ACTIONABLE[0] == "open"
+
+
+def test_kinds_take_turns(spark):
+    for a, b in ((3, 3), (5, 2), (1, 4), (0, 3)):
+        rows = [("r", f"s{i}", "source", 9 - i) for i in range(a)] + [("r", f"t{i}", "sink", i) for i in range(b)] + [("r", "other", "x", 1)]
+        got = code.interleave(spark.createDataFrame(rows, "repo string, fingerprint string, kind string, weight int"), ("source", "sink"), [("weight", True)], "fingerprint").collect()
+        one, two = [f"s{i}" for i in range(a)], [f"t{i}" for i in reversed(range(b))]
+        want = [x for pair in itertools.zip_longest(one, two) for x in pair if x]
+        assert [r["fingerprint"] for r in sorted(got, key=lambda r: r["slot"])] == want and sorted(r["slot"] for r in got) == list(range(1, a + b + 1))
+
+
+def test_chains_by_what_they_name(spark):
+    found = spark.createDataFrame([("r", "a", "low"), ("r", "b", "critical"), ("r", "c", None)], "repo string, fingerprint string, severity string")
+    members = spark.createDataFrame([("1", "a"), ("1", "b"), ("1", "a"), ("2", "a"), ("2", "c"), ("3", "a"), ("4", "a"), ("4", "gone"), ("4", "b"), ("5", "a"), ("5", "c")], "chain string, fingerprint string")
+    claimed = spark.createDataFrame([("1", "low", None, None, "keys"), ("2", None, None, " ", ""), ("5", "medium", "own", "login", None)], "chain string, claimed string, kind string, entry_point string, asset string")
+    got = {r["chain"]: (r["n_members"], r["kind"], r["severity"]) for r in surface.chains(members, found, claimed).collect()}
+    assert got == {"1": (2, "attack-path", "critical"), "2": (2, "composition", "high"), "5": (2, "own", "medium")}
+
+
+def test_native_sources_of_subsystems(spark):
+    rows = [("r", f"src/net/f{i}.{'c' if i % 2 else 'py'}", 5, True, "entry") for i in range(4)] + [("r", "src/web/a.js", 90, True, "route"), ("r", "src/off/z.c", 50, False, "entry")]
+    scored = spark.createDataFrame(rows, "repo string, path string, score int, reachable boolean, reason string")
+    every = {r["subsystem"]: (r["n_files"], r["place"]) for r in surface.subsystems(scored).collect()}
+    native = {r["subsystem"]: r["paths"] for r in surface.subsystems(scored, native=True).collect()}
+    assert len(every) >= 2 and not any("off" in k for k in every)
+    assert all(x.endswith(".c") for p in native.values() for x in p.split(",")) and sum(len(p.split(",")) for p in native.values()) == 2
