@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.text import cwe_number
 
 _WEB8 = "javascript typescript python ruby php java go csharp"
-#: CWE, class, languages, and some signals of a sink.  A longer catalog is given as a table of the same columns.
+#: A short catalog: CWE, class, languages and some signals of a sink.  A whole one, with all four kinds of signals, is read by :func:`read_catalog`.
 CATALOG = (
     (22, "path-traversal", "any", "open|readFile|writeFile"), (73, "externally-controlled-path", "any", "open|create|rename"), (77, "command-injection", "any", "exec|spawn|system"),
     (78, "os-command-injection", "any", "child_process.exec|os.system|Runtime.exec"), (79, "xss", _WEB8, "render|send|html"), (89, "sql-injection", "any", "query|execute|exec"),
@@ -49,10 +49,33 @@ REMEDIES = {
 GENERAL_REMEDY = "Check input where it enters, neutralise it where it is used, and test the trigger."
 
 
+#: Kinds of signals in their order, and the column that holds them.
+ROLES = (("source", "sources"), ("sink", "signals"), ("sanitizer", "sanitizers"), ("structural", "structural"))
+_SCHEMA = "cwe long, class string, languages array<string>, sources array<string>, signals array<string>, sanitizers array<string>, structural array<string>"
+
+
 def catalog(spark: SparkSession) -> DataFrame:
-    """``cwe, class, languages, signals`` of the built-in catalog."""
-    rows = [(c, k, langs.split(), signals.split("|")) for c, k, langs, signals in CATALOG]
-    return spark.createDataFrame(rows, "cwe long, class string, languages array<string>, signals array<string>")
+    """``cwe, class, languages, sources, signals, sanitizers, structural`` of the built-in catalog, which has signals of sinks only."""
+    rows = [(c, k, langs.split(), [], signals.split("|"), [], []) for c, k, langs, signals in CATALOG]
+    return spark.createDataFrame(rows, _SCHEMA)
+
+
+def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """The same columns of catalog documents: JSON objects with ``entries``, of which missing lists are empty and those without a CWE are left out."""
+    names = {"sources": "sourceSignals", "signals": "sinkSignals", "sanitizers": "sanitizerSignals", "structural": "structuralQueries"}
+    entry = "struct<cwe:string,taintClass:string,languages:array<string>," + ",".join(f"{n}:array<string>" for n in names.values()) + ">"
+    e = spark.read.schema(f"entries array<{entry}>").option("multiLine", True).json(path).select(F.explode("entries").alias("e"))
+    some = lambda c: F.coalesce(F.col(f"e.{c}"), F.array().cast("array<string>"))
+    rows = e.select(cwe_number(F.col("e.cwe")).alias("cwe"), F.col("e.taintClass").alias("class"), some("languages").alias("languages"), *[some(n).alias(c) for c, n in names.items()])
+    return rows.filter("cwe is not null")
+
+
+def with_signals(entries: DataFrame, own: DataFrame) -> DataFrame:
+    """``entries`` with signals of one's own, ``own(cwe, role, pattern)``, after theirs, by pattern."""
+    added = own.groupBy("cwe").agg(*[F.array_sort(F.collect_set(F.when(F.col("role") == role, F.col("pattern")))).alias(f"_{c}") for role, c in ROLES])
+    met = entries.join(added, "cwe", "left")
+    both = [F.concat(c, F.coalesce(f"_{c}", F.array().cast("array<string>"))).alias(c) for _, c in ROLES]
+    return met.select("cwe", "class", "languages", *both)
 
 
 def remedy(cwe: Column, own: Column) -> Column:
@@ -75,12 +98,15 @@ def looked_up(findings: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def seeds(entries: DataFrame) -> DataFrame:
-    """``cwe, role, pattern, n``: the entries' signals, blank ones left out, the first of those that differ in case only."""
-    rows = entries.select("cwe", F.posexplode("signals").alias("pos", "pattern"), F.lit("sink").alias("role")).union(entries.select("cwe", F.lit(-1), F.col("class"), F.lit("class")))
+    """``cwe, role, pattern, n``: the entries' signals by role and place, blank ones left out, the first of those that differ in case only."""
+    rows = None
+    for at, (role, column) in enumerate(ROLES):
+        own = entries.select("cwe", F.lit(at).alias("at"), F.lit(role).alias("role"), F.posexplode(column).alias("pos", "pattern"))
+        rows = own if rows is None else rows.union(own)
     rows = rows.withColumn("pattern", F.trim("pattern")).filter("pattern <> ''")
     first = F.row_number().over(Window.partitionBy("cwe", "role", F.lower("pattern")).orderBy("pos"))
     kept = rows.withColumn("first", first).filter("first = 1")
-    return kept.select("cwe", "role", "pattern", F.row_number().over(Window.partitionBy("cwe").orderBy(F.desc("role"), "pos")).alias("n"))
+    return kept.select("cwe", "role", "pattern", F.row_number().over(Window.partitionBy("cwe").orderBy("at", "pos")).alias("n"))
 
 
 def ranked(contexts: DataFrame, entries: DataFrame, most: int = 20) -> DataFrame:
@@ -93,7 +119,7 @@ def ranked(contexts: DataFrame, entries: DataFrame, most: int = 20) -> DataFrame
     lang = F.exists("languages", lambda x: F.array_contains("entry_languages", x))
     any_ = F.array_contains("entry_languages", "any")
     few = F.size("frameworks") + F.size("databases") + F.size("entry_points") < 2
-    tokens = F.concat(F.array("class"), "signals")
+    tokens = F.concat(F.array("class"), "sources", "signals", "structural")
     hits = F.size(F.filter(tokens, lambda t: (F.length(t) >= 3) & F.contains(F.col("corpus"), F.lower(t))))
     when = lambda c, w: F.when(c, w).otherwise(0)
     score = (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siltstone.functions.text import cwe_number
 from siltstone.operators import benchmarks, catalog, gates, scan, surface, threats
 from siltstone.plans.derived import ANCHORS, CRASHES, FINDINGS, SYMBOLS, TRUTH, read, sql
 from siltstone.plans.lines import code_lines, code_sql
@@ -101,13 +102,26 @@ def catalog_lookup(spark, sf_dir):
     return catalog.looked_up(read(spark, sf_dir, FINDINGS), catalog.catalog(spark))
 
 
-@register("structural_queries", sql(f"WITH c AS (SELECT * FROM {_CATALOG}), p AS (SELECT number, 'sink' AS role, unnest(signals) AS pattern, unnest(range(len(signals))) AS pos FROM c UNION ALL SELECT number, 'class', class, -1 FROM c), k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY number, role, lower(pattern) ORDER BY pos) = 1), n AS (SELECT number AS cwe, role, pattern, CAST(row_number() OVER (PARTITION BY number ORDER BY role DESC, pos) AS INTEGER) AS n FROM k), s AS (SELECT {_NUMBER} AS number, count(*) AS findings FROM f GROUP BY ALL) SELECT n.cwe, role, pattern, n, coalesce(findings, 0) AS findings FROM n LEFT JOIN s ON n.cwe = s.number", f=FINDINGS))
-def structural_queries(spark, sf_dir):
-    """The catalog's seeds, each with the number of findings of its CWE."""
-    from siltstone.functions.text import cwe_number
+#: Signals that findings tell of: who found a class, what fixed it and in which kind of file.
+_LEARNT = f"SELECT DISTINCT {_NUMBER} AS number, role, pattern FROM (SELECT cwe, unnest(['source', 'sanitizer', 'structural']) AS role, unnest([source, fix_verdict, ' .' || string_split(file_path, '.')[-1]]) AS pattern FROM f) WHERE pattern IS NOT NULL"
+_WHOLE = f"(SELECT c.number, class, langs, coalesce(sources, []) AS sources, signals, coalesce(sanitizers, []) AS sanitizers, coalesce(structural, []) AS structural FROM {_CATALOG} LEFT JOIN (SELECT number, list_sort(list(pattern) FILTER (role = 'source')) AS sources, list_sort(list(pattern) FILTER (role = 'sanitizer')) AS sanitizers, list_sort(list(pattern) FILTER (role = 'structural')) AS structural FROM ({_LEARNT}) GROUP BY number) l ON l.number = c.number)"
+
+
+def _whole_catalog(spark, sf_dir):
+    f = read(spark, sf_dir, FINDINGS)
+    kinds = {"source": F.col("source"), "sanitizer": F.col("fix_verdict"), "structural": F.concat(F.lit(" ."), F.substring_index("file_path", ".", -1))}
+    told = f.select(cwe_number(F.col("cwe")).alias("cwe"), F.explode(F.array(*[F.struct(F.lit(k).alias("role"), c.alias("pattern")) for k, c in kinds.items()])).alias("s")).select("cwe", "s.role", "s.pattern")
+    return catalog.with_signals(catalog.catalog(spark), told.filter("pattern is not null").distinct())
 
+
+_ROLES = " UNION ALL ".join(f"SELECT number, {i} AS part, '{role}' AS role, trim(unnest({c}), ' ') AS pattern, unnest(range(len({c}))) AS pos FROM c" for i, (role, c) in enumerate(catalog.ROLES))
+
+
+@register("structural_queries", sql(f"WITH c AS {_WHOLE}, p AS (SELECT * FROM ({_ROLES}) WHERE pattern <> ''), k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY number, role, lower(pattern) ORDER BY pos) = 1), n AS (SELECT number AS cwe, role, pattern, CAST(row_number() OVER (PARTITION BY number ORDER BY part, pos) AS INTEGER) AS n FROM k), s AS (SELECT {_NUMBER} AS number, count(*) AS findings FROM f GROUP BY ALL) SELECT n.cwe, role, pattern, n, coalesce(findings, 0) AS findings FROM n LEFT JOIN s ON n.cwe = s.number", f=FINDINGS))
+def structural_queries(spark, sf_dir):
+    """The catalog's seeds of all four roles, each with the number of findings of its CWE."""
     n = read(spark, sf_dir, FINDINGS).groupBy(cwe_number(F.col("cwe")).alias("cwe")).agg(F.count("*").alias("findings"))
-    return catalog.seeds(catalog.catalog(spark)).join(n, "cwe", "left").select("cwe", "role", "pattern", "n", F.coalesce("findings", F.lit(0)).alias("findings"))
+    return catalog.seeds(_whole_catalog(spark, sf_dir)).join(n, "cwe", "left").select("cwe", "role", "pattern", "n", F.coalesce("findings", F.lit(0)).alias("findings"))
 
 
 #: Contexts of repositories, one a supplier.
@@ -115,20 +129,20 @@ CONTEXT = """
 SELECT concat('s', CAST(s_suppkey AS STRING)) AS repo, CASE s_nationkey % 6 WHEN 0 THEN 'python' WHEN 1 THEN 'javascript' WHEN 2 THEN 'java' WHEN 3 THEN 'c' WHEN 4 THEN 'go' END AS language,
  CASE s_suppkey % 3 WHEN 0 THEN 'flask' END AS framework, CASE s_suppkey % 4 WHEN 0 THEN 'PostgreSQL' WHEN 1 THEN 'mongo' END AS db, CASE s_suppkey % 5 WHEN 0 THEN 'main' END AS entry,
  CASE s_nationkey % 4 WHEN 0 THEN 79 WHEN 1 THEN 89 END AS threat, CASE s_suppkey % 6 WHEN 0 THEN 787 WHEN 1 THEN 22 END AS intel,
- lower(concat(s_name, CASE s_suppkey % 7 WHEN 0 THEN ' render query redirect' WHEN 1 THEN ' exec spawn system' WHEN 2 THEN ' RegExp logger' ELSE '' END)) AS corpus
+ lower(concat(s_name, CASE s_suppkey % 7 WHEN 0 THEN ' render query redirect sast .py' WHEN 1 THEN ' exec spawn system' WHEN 2 THEN ' RegExp logger' ELSE '' END)) AS corpus
 FROM {supplier}
 """
-_HITS = "len(list_filter(list_prepend(class, signals), lambda t: length(t) >= 3 AND contains(corpus, lower(t))))"
+_HITS = "len(list_filter(list_prepend(class, list_concat(sources, signals, structural)), lambda t: length(t) >= 3 AND contains(corpus, lower(t))))"
 _FIT = f"""(CASE WHEN threat = number THEN 100 ELSE 0 END + CASE WHEN intel = number THEN 60 ELSE 0 END + CASE WHEN language IS NOT NULL AND (list_contains(langs, language) OR list_contains(langs, 'any')) THEN 25 ELSE 0 END + CASE WHEN list_contains(langs, 'any') THEN 5 ELSE 0 END
  + CASE WHEN regexp_matches(coalesce(db, ''), '(?i)sql|postgres|mysql|sqlite|oracle') AND regexp_matches(class, '(?i)sql|nosql|second-order') THEN 35 ELSE 0 END + CASE WHEN (framework IS NOT NULL OR entry IS NOT NULL) AND class IN {_list(catalog.WEB)} THEN 20 ELSE 0 END
  + CASE WHEN language = 'python' AND (framework IS NOT NULL)::INT + (db IS NOT NULL)::INT + (entry IS NOT NULL)::INT < 2 AND class IN {_list(catalog.SPARSE_PYTHON)} THEN 18 ELSE 0 END + least(30, 5 * {_HITS}))"""
 
 
-@register("rank_catalog", sql(f"SELECT repo, CAST(number AS BIGINT) AS cwe, CAST({_FIT} AS INTEGER) AS score, CAST(row_number() OVER (PARTITION BY repo ORDER BY {_FIT} DESC, number) AS INTEGER) AS place FROM x, {_CATALOG} QUALIFY place <= 20", x=CONTEXT))
+@register("rank_catalog", sql(f"SELECT repo, CAST(number AS BIGINT) AS cwe, CAST({_FIT} AS INTEGER) AS score, CAST(row_number() OVER (PARTITION BY repo ORDER BY {_FIT} DESC, number) AS INTEGER) AS place FROM x, {_WHOLE} w QUALIFY place <= 20", x=CONTEXT, f=FINDINGS))
 def rank_catalog(spark, sf_dir):
     one = lambda c: F.array_compact(F.array(c))
     x = read(spark, sf_dir, CONTEXT).select("repo", one("language").alias("languages"), one("framework").alias("frameworks"), one("db").alias("databases"), one("entry").alias("entry_points"), one(F.col("threat").cast("long")).alias("threat_cwes"), one(F.col("intel").cast("long")).alias("intel_cwes"), "corpus")
-    return catalog.ranked(x, catalog.catalog(spark))
+    return catalog.ranked(x, _whole_catalog(spark, sf_dir))
 
 
 # joins

@@ -1,9 +1,10 @@
 """Places that meet by file and line without pairs, leads by path, and reports."""
 
 import itertools
+import json
 import random
 
-from siltstone.operators import benchmarks, code, findings, gates, stores, surface
+from siltstone.operators import benchmarks, catalog, code, findings, gates, stores, surface
 
 TRUTH = "case_id string, id string, kind string, cwe string, file_path string, line long"
 
@@ -91,3 +92,12 @@ def test_native_sources_of_subsystems(spark):
     native = {r["subsystem"]: r["paths"] for r in surface.subsystems(scored, native=True).collect()}
     assert len(every) >= 2 and not any("off" in k for k in every)
     assert all(x.endswith(".c") for p in native.values() for x in p.split(",")) and sum(len(p.split(",")) for p in native.values()) == 2
+
+
+def test_catalogs_of_four_roles(spark, tmp_path):
+    entries = [{"cwe": "CWE-79", "taintClass": "xss", "languages": ["any"], "sourceSignals": ["query", " Query ", ""], "sinkSignals": ["html"], "sanitizerSignals": ["escape"], "structuralQueries": ["innerHTML"]}, {"cwe": "89", "taintClass": "sql"}, {"taintClass": "none"}]
+    (tmp_path / "catalog.json").write_text(json.dumps({"version": 1, "entries": entries}, indent=1))
+    read = catalog.read_catalog(spark, f"{tmp_path}/catalog.json")
+    own = spark.createDataFrame([(89, "sink", "execute"), (79, "sanitizer", "encode"), (79, "sanitizer", "Escape"), (1, "sink", "lost")], "cwe long, role string, pattern string")
+    got = [(r["cwe"], r["role"], r["pattern"], r["n"]) for r in catalog.seeds(catalog.with_signals(read, own)).orderBy("cwe", "n").collect()]
+    assert got == [(79, "source", "query", 1), (79, "sink", "html", 2), (79, "sanitizer", "escape", 3), (79, "sanitizer", "encode", 4), (79, "structural", "innerHTML", 5), (89, "sink", "execute", 1)]
