@@ -12,7 +12,8 @@ totals, both Parquet, and ``commits/<n>``, one line that names the attempt.  Tha
 put there only if no other is, so of two writers one goes on to the next number with
 the other's changes in view; what a lost attempt has left is named by no commit.
 :meth:`Rollup.compact` sums up the commits so far, so that looking up old counts costs
-the documents that there are, not their history.
+the documents that there are, not their history; a batch that finds ``COMPACT_AFTER``
+commits since the last time does so itself.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.workspace import written
 
+#: Commits since the last compaction after which a batch compacts: its own cost then stays that of the documents and so many batches.
+COMPACT_AFTER = 16
 KEYS = ("source", "lang", "tokenizer")
 BUCKETS = 16
 EVENT = "doc_id long, tokenizer string, op string, source string, lang string, tokens long, seq long"
@@ -119,6 +122,8 @@ class Rollup:
         other columns are ignored, and an empty batch is a commit without changes.
 
         Only documents that the batch names are looked up, in their buckets, and written.
+        Of many commits the batch also makes one (:meth:`compact`); if another writer is
+        first, a later batch will.
         """
         key = ["doc_id", "tokenizer"]
         events = events.select(*[F.col(c.split()[0]) for c in EVENT.split(", ")]).filter("doc_id is not null and tokenizer is not null and op in ('insert', 'delete', 'revise')")
@@ -140,6 +145,8 @@ class Rollup:
                 none = F.lit(None)
                 met = last.select("*", none.cast("string").alias("old_source"), none.cast("string").alias("old_lang"), none.cast("long").alias("old_tokens"))
             self._write(met, number, attempt)
+        if len(since) >= COMPACT_AFTER:
+            self.compact()
         return True
 
     def _write(self, met: DataFrame, number: int, attempt: str) -> None:

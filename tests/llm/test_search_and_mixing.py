@@ -181,6 +181,21 @@ def test_slots_spread_evenly(spark):
             assert abs(sum(r["source"] == source for r in rows[:upto]) - share * upto) < 5
 
 
+def test_rollup_compacts_itself(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "COMPACT_AFTER", 3)
+    r = token_counts.Rollup(spark, fresh_path(spark, "compacting"))
+    want, most = {}, 0
+    for i in range(8):
+        rows = [(i % 3, "t", "revise", "a", "en", 10 + i, 0), (100 + i, "t", "insert", "b", None, i, 0)]
+        assert r.apply(f"batch {i}", spark.createDataFrame(rows, token_counts.EVENT))
+        want |= {(d, s): n for d, _, _, s, _, n, _ in rows}
+        most = max(most, len(r._since_base()))
+    assert most <= 4 and [b for _, b in r.commits()] == [f"batch {i}" for i in range(8)]
+    assert not r.apply("batch 1", spark.createDataFrame([(0, "t", "delete", "a", "en", 0, 0)], token_counts.EVENT))
+    assert {(x["source"], x["docs"], x["tokens"]) for x in r.totals().collect()} == {("a", 3, sum(n for (_, s), n in want.items() if s == "a")), ("b", 8, sum(range(8)))}
+    assert {(x["doc_id"], x["source"]): x["tokens"] for x in r.state().collect()} == want
+
+
 def test_rollup_commits_once(spark):
     r = token_counts.Rollup(spark, fresh_path(spark, "test"))
     e = lambda rows: spark.createDataFrame(rows, token_counts.EVENT)
