@@ -171,3 +171,14 @@ def test_witness_paths_are_shortest(spark, hops):
         p = r["path"]
         assert p[0] == r["source"] and p[-1] == r["sink"] and len(p) == r["hops"] + 1 and p[(r["hops"] + 1) // 2] == r["meeting"]
         assert all(x in edges for x in zip(p, p[1:]))
+
+
+def test_meetings_of_many_trails_are_the_least_and_each_pair_comes_once(spark):
+    layer = lambda name, n: [f"{name}{i:02d}" for i in range(n)]
+    layers = [layer("s", 4), layer("c", 20), layer("b", 20), layer("d", 20), layer("t", 70)]
+    edges = [(x, y) for one, two in zip(layers, layers[1:]) for x in one for y in two] + [("s00", "t03"), ("s01", "c19"), ("c19", "t04")]
+    node = lambda xs: spark.createDataFrame([(x,) for x in xs], "node string")
+    got = paths.witness_meetings(spark.createDataFrame(edges, "src string, dst string"), node(layers[0]), node([*layers[4], "s02"]), 4).collect()
+    want = {(s, t): (4, "b00") for s in layers[0] for t in layers[4]}
+    want |= {(s, "t04"): (2, "c19") for s in layers[0]} | {("s00", "t03"): (1, "t03"), ("s02", "s02"): (0, "s02")}
+    assert len(got) == len(want) and {(r["source"], r["sink"]): (r["hops"], r["meeting"]) for r in got} == want
