@@ -192,3 +192,14 @@ def test_more_signals_than_a_bound(spark):
     wanted = spark.createDataFrame([("r", f"i{i}", f"call_{i}(", None) for i in range(3000)], "repo string, id string, signal string, language string")
     got = sorted((r["id"], r["path"], r["place"]) for r in worklists.invariant_files(src, wanted).collect())
     assert got == [("i2999", "b.c", 1), ("i7", "a.c", 1), ("i7", "b.c", 2)]
+
+
+@pytest.mark.parametrize("few", [0, 256])
+def test_lines_stay_in_their_tasks_when_fixed_strings_are_looked_for(spark, few):
+    src = spark.createDataFrame([("a", 1, "Free(x); memcpy(y)"), ("a", 2, "free it's"), ("b", 1, None), ("b", 2, "")], "path string, line long, text string")
+    wanted = spark.createDataFrame([("free",), ("Free",), ("memcpy(",), ("'",), (None,), ("",)], "signal string")
+    for any_case, want in ((False, [("a", 1, "Free"), ("a", 1, "memcpy("), ("a", 2, "'"), ("a", 2, "free")]), (True, [("a", 1, "Free"), ("a", 1, "free"), ("a", 1, "memcpy("), ("a", 2, "'"), ("a", 2, "free")])):
+        found = lines_with(src, wanted, any_case=any_case, few=few)
+        assert sorted(tuple(r)[:2] + (r["signal"],) for r in found.collect()) == want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan if not few else "Join" not in plan
