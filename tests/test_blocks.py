@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.functions.literals import candidates, matches, required
 from siltstone.operators import code, dispatch, flows, scan, spans, surface, worklists
@@ -203,3 +204,14 @@ def test_lines_stay_in_their_tasks_when_fixed_strings_are_looked_for(spark, few)
         assert sorted(tuple(r)[:2] + (r["signal"],) for r in found.collect()) == want
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" in plan if not few else "Join" not in plan
+
+
+def test_lines_are_made_once_for_all_patterns_of_a_pack(spark):
+    src = spark.createDataFrame([("r", "a.c", 1, "n")], "repo string, path string, line long, text string").withColumn("text", F.concat(F.lit("free("), "text", F.lit(");")))
+    found = scan.obligations(src)
+    assert [tuple(r) for r in found.collect()] == [("r", "a.c", 1, "lifetime-free")]
+    # the text's expression is nowhere but below the search for literals
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("concat(free(") == 1
+    from siltstone.functions.literals import needed
+
+    assert ("*", "<<") in needed(dict(scan.NATIVE_RULES)["int-overflow-size"])
