@@ -81,10 +81,10 @@ def document(findings: DataFrame, tool: str, version: str, everything: bool = Fa
     )
 
 
-def write(lines: DataFrame, path: str) -> None:
+def write(lines: DataFrame, path: str, compression: str = "none") -> None:
     """The documents as text files under ``repo=...``, whose order by name is that of their lines."""
     order = ["repo", "part", "place"]
-    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("repo", "text").write.partitionBy("repo").text(path)
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("repo", "text").write.partitionBy("repo").text(path, compression=compression)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

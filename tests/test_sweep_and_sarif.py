@@ -130,3 +130,11 @@ def test_telemetry_tells_how_a_run_ended(spark):
     lines = spark.createDataFrame([(k, i, t) for k, ts in rows for i, t in enumerate(ts)], "run_id string, line long, text string")
     got = {r["run_id"]: (r["ended_with"], r["artifact"], r["summary"], r["corpus"], r["crashers"]) for r in scan.telemetry(lines).collect()}
     assert got == {"done": ("done", None, None, None, None), "crash": ("crash", "./crash-1", "SEGV x", None, None), "go": ("crash", None, None, 12, 1), "open": ("unknown", None, None, None, None)}
+
+
+def test_documents_may_be_compressed(spark, tmp_path):
+    lines = spark.createDataFrame([("r", 3, i, '{"ruleId":"A","level":"note"},') for i in range(2000)], "repo string, part int, place long, text string")
+    sarif.write(lines, f"{tmp_path}/z", "gzip")
+    parts = list(Path(f"{tmp_path}/z/repo=r").glob("part-*"))
+    assert all(p.name.endswith(".gz") for p in parts) and sum(p.stat().st_size for p in parts) < 6000
+    assert sarif.read(spark, f"{tmp_path}/z").count() == 2000
