@@ -17,3 +17,10 @@ def test_derived_severity_is_put_in_a_few_times_only(spark, small):
     rows = spark.createDataFrame([(["a", " ", None], "Local", None, "high"), ([], "  PUBLIC ", True, None), (None, None, True, "odd"), (None, "tenant", True, "low"), (["a", "b", "c"], None, False, "critical")], "pre array<string>, access string, model boolean, claimed string")
     d = rows.select("claimed", scores.derive_severity(F.col("pre"), F.col("access"), F.col("model"), F.col("claimed")).alias("d")).select("d.severity", "d.derived", scores.judge_claimed(F.col("claimed"), F.col("d.severity")).alias("j"))
     assert [tuple(r) for r in d.collect()] == [("low", True, -3), ("high", True, 0), ("medium", False, 0), ("high", True, 5), ("low", True, -5)]
+
+
+def test_catalog_lookup_leaves_findings_where_they_are(spark):
+    found = spark.createDataFrame([(f"f{i}", "CWE-79" if i % 3 else None) for i in range(9)], "fingerprint string, cwe string")
+    looked = catalog.looked_up(found, catalog.catalog(spark))
+    assert "BroadcastHashJoin" in plan_of(looked) and "SortMergeJoin" not in plan_of(looked)
+    assert {(r["fingerprint"], r["cwe"], r["class"]) for r in looked.collect()} == {(f"f{i}", 79 if i % 3 else None, "xss" if i % 3 else None) for i in range(9)}
