@@ -24,3 +24,9 @@ def test_catalog_lookup_leaves_findings_where_they_are(spark):
     looked = catalog.looked_up(found, catalog.catalog(spark))
     assert "BroadcastHashJoin" in plan_of(looked) and "SortMergeJoin" not in plan_of(looked)
     assert {(r["fingerprint"], r["cwe"], r["class"]) for r in looked.collect()} == {(f"f{i}", 79 if i % 3 else None, "xss" if i % 3 else None) for i in range(9)}
+
+
+def test_words_of_a_change_are_found_as_in_its_sql(spark):
+    texts = ["nothing", "a ſql b", "SQL and Hash", "fsx os.x", "yamlxload", "YAML.LOAD", "Key of a cooKie", None, ""]
+    got = [tuple(r) for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(surface.diff_risk(F.lit("p"), F.col("t")).alias("d")).select("d.score", "d.tags").collect()]
+    assert got == [(0, ""), (3, "data-access"), (8, "crypto,data-access"), (2, "fs"), (0, ""), (4, "exec/deser"), (3, "web-guard"), (0, ""), (0, "")]
