@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.literals import once
 from siltstone.operators.ranking import placed
 from siltstone.operators.spans import all_spans, innermost
 from siltstone.operators.stores import written
@@ -46,8 +47,9 @@ def definitions(symbols: DataFrame, names: DataFrame, limit: int = 5) -> DataFra
 
 def call_sites(lines: DataFrame, stop_words=("if", "for", "while", "switch", "return", "catch", "function", "sizeof", "def", "class")) -> DataFrame:
     """``repo, path, line, name``: names that an opening bracket follows, with their lines."""
-    found = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z_][A-Za-z0-9_]+)\s*\("), 1)))
-    return lines.filter(F.col("text").contains("(")).select("repo", "path", "line", found.alias("name")).filter(~F.col("name").isin(*stop_words))
+    names = F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z_][A-Za-z0-9_]+)\s*\("), 1))
+    calling = once(lines.select("repo", "path", "line", "text"), "text", F.col("text")).filter(F.col("text").contains("("))
+    return once(calling, "names", names).select("repo", "path", "line", F.explode("names").alias("name")).filter(~F.col("name").isin(*stop_words))
 
 
 def code_graph(defs: DataFrame, calls: DataFrame, limit: int = 400) -> DataFrame:
@@ -143,13 +145,14 @@ def blocks(lines: DataFrame, header: str = r"\)\s*\{\s*$", control: str = r"^\s*
     return ended.filter("side = 0").select("repo", "path", F.col("line").alias("start"), "end")
 
 
-def block_calls(lines: DataFrame, most: int = 40) -> DataFrame:
+def block_calls(lines: DataFrame, most: int = 40, spans: DataFrame | None = None) -> DataFrame:
     """``repo, path, start, block, name, first, n, place``: the first ``most`` names that each block calls, in order of their first line.
 
     A call belongs to the innermost block around it, so those after a nested block
     are the outer one's again; calls of the block itself don't count.
+    ``spans`` are the lines' blocks, if they are known.
     """
-    inside = innermost(call_sites(lines), all_spans(lines)).filter("span.end is not null and name <> span.block")
+    inside = innermost(call_sites(lines), all_spans(lines) if spans is None else spans).filter("span.end is not null and name <> span.block")
     each = inside.groupBy("repo", "path", F.col("span.start").alias("start"), F.col("span.block").alias("block"), "name").agg(F.min("line").alias("first"), F.countDistinct("line").alias("n"))
     return each.withColumn("place", F.row_number().over(Window.partitionBy("repo", "path", "start").orderBy("first", "name"))).filter(F.col("place") <= most)
 

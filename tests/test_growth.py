@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from siltstone.functions import scores
-from siltstone.operators import catalog, surface
+from siltstone.operators import catalog, spans, surface
 from siltstone.plans import names, singles
 
 
@@ -30,3 +30,12 @@ def test_words_of_a_change_are_found_as_in_its_sql(spark):
     texts = ["nothing", "a ſql b", "SQL and Hash", "fsx os.x", "yamlxload", "YAML.LOAD", "Key of a cooKie", None, ""]
     got = [tuple(r) for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(surface.diff_risk(F.lit("p"), F.col("t")).alias("d")).select("d.score", "d.tags").collect()]
     assert got == [(0, ""), (3, "data-access"), (8, "crypto,data-access"), (2, "fs"), (0, ""), (4, "exec/deser"), (3, "web-guard"), (0, ""), (0, "")]
+
+
+def test_ends_of_blocks_need_no_frame_of_all_that_follows(spark):
+    body = "\n".join(f"int f{i}(int a)\n{{\n  g(a);\n}}" for i in range(50))
+    files = spark.createDataFrame([("r", "a.c", i, t) for i, t in enumerate(body.split("\n"), 1)] + [("r", "b.py", i, t) for i, t in enumerate(["def a(x):", "  b()", "", "  def c(y):", "    d()", "e()", "def f(z):"], 1)], "repo string, path string, line long, text string")
+    found = spans.all_spans(files)
+    assert "unboundedfollowing" not in plan_of(found).lower()
+    got = {(r["path"], r["block"], r["start"], r["end"]) for r in found.collect()}
+    assert got == {("a.c", f"f{i}", 4 * i + 1, 4 * i + 4) for i in range(50)} | {("b.py", "a", 1, 5), ("b.py", "c", 4, 5), ("b.py", "f", 7, 7)}
