@@ -55,3 +55,8 @@ def test_reports_without_ranks_sort_the_first_findings_only(spark):
     want = [r["fingerprint"] for r in findings.ranked(found).orderBy("rank").collect() if int(r["fingerprint"][1:]) % 2]
     few = findings.leading(found, 3)
     assert "WindowGroupLimit" in plan_of(few) and [r["fingerprint"] for r in few.orderBy("rank").collect()] == want[:3]
+
+
+def test_broken_rules_are_joined_as_texts(spark, small):
+    checked = of_findings.QUERIES["validate_finding"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction(isnotnull" not in checked and checked.count("explode(array(struct") == 1
