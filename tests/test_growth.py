@@ -60,3 +60,11 @@ def test_reports_without_ranks_sort_the_first_findings_only(spark):
 def test_broken_rules_are_joined_as_texts(spark, small):
     checked = of_findings.QUERIES["validate_finding"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "lambdafunction(isnotnull" not in checked and checked.count("explode(array(struct") == 1
+
+
+def test_kinds_of_programs_need_no_pattern_on_most_lines(spark):
+    text = [("a", "x = 1"), ("a", None), ("b", "int main (int argc, char **argv) { getopt(a); getopt_long (b); }"), ("b", "listen(s); accept (s)"), ("c", "import flask"), ("c", "from flask import flask"), ("n", None)]
+    lines = spark.createDataFrame([(r, "p", i, t) for i, (r, t) in enumerate(text)], "repo string, path string, line long, text string")
+    kinds = scan.program_kind(lines)
+    assert "Contains(low" in kinds._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in kinds.collect()} == {("a", 0, 0, 0, 0, "library", "medium"), ("b", 0, 1, 2, 4, "daemon", "high"), ("c", 3, 0, 0, 0, "web-service", "high"), ("n", None, None, None, None, "unknown", "low")}
