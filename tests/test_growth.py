@@ -1,11 +1,15 @@
 """What keeps queries in proportion to their input: plans, and results that a cheaper form must keep."""
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from siltstone.functions import scores
 from siltstone.operators import catalog, findings, scan, spans, surface
 from siltstone.plans import findings as of_findings
 from siltstone.plans import names, singles
+from siltstone.plans import surface as of_surface
+from tests.conftest import against_duckdb
 
 
 def plan_of(frame):
@@ -33,6 +37,15 @@ def test_words_of_a_change_are_found_as_in_its_sql(spark):
     assert got == [(0, ""), (3, "data-access"), (8, "crypto,data-access"), (2, "fs"), (0, ""), (4, "exec/deser"), (3, "web-guard"), (0, ""), (0, "")]
 
 
+def test_words_of_a_change_are_looked_for_in_whole_texts(spark, tmp_path):
+    texts = ["x " * 3998 + "password", "x " * 60000 + "Cookie", "é" * 8001 + "\nSQL", None, "x " * 4000]
+    n = len(texts)
+    pq.write_table(pa.table({"doc_id": range(n), "text": texts, "lang": ["en"] * n, "source": ["s"] * n, "n_chars": [len(t or "") for t in texts]}), f"{tmp_path}/documents.parquet")
+    risk = of_surface.QUERIES["diff_risk"](spark, str(tmp_path))
+    assert {r["doc_id"]: (r["score"], r["tags"]) for r in risk.collect()} == {0: (5, "auth"), 1: (3, "web-guard"), 2: (3, "data-access"), 3: (0, ""), 4: (0, "")}
+    against_duckdb(risk, of_surface.ORACLE_SQL["diff_risk"], str(tmp_path), ("documents",))
+
+
 def test_ends_of_blocks_need_no_frame_of_all_that_follows(spark):
     body = "\n".join(f"int f{i}(int a)\n{{\n  g(a);\n}}" for i in range(50))
     files = spark.createDataFrame([("r", "a.c", i, t) for i, t in enumerate(body.split("\n"), 1)] + [("r", "b.py", i, t) for i, t in enumerate(["def a(x):", "  b()", "", "  def c(y):", "    d()", "e()", "def f(z):"], 1)], "repo string, path string, line long, text string")
